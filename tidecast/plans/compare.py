@@ -1,0 +1,69 @@
+"""Side-by-side check of a Spark query against its DuckDB oracle SQL.
+
+Used by the tests and by ``scripts``-style runs; DuckDB runs in-process
+on the same parquet files (no server).
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+import math
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def duckdb_conn(sf_dir: str):
+    import os
+
+    import duckdb
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return None
+        return round(v, 6)
+    if isinstance(v, _dt.datetime):
+        return v.isoformat()
+    if isinstance(v, _dt.date):
+        return v.isoformat()
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    if hasattr(v, "asDict"):
+        return tuple(_norm(x) for x in v)
+    if isinstance(v, dict):
+        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+    return v
+
+
+def _rows(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def compare(spark_df, con, sql: str) -> dict:
+    s_cols = spark_df.columns
+    s_rows = [tuple(r) for r in spark_df.collect()]
+    res = con.execute(sql)
+    d_cols = [d[0] for d in res.description]
+    d_rows = res.fetchall()
+    out = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
+           "columns_match": sorted(s_cols) == sorted(d_cols),
+           "spark_cols": sorted(s_cols), "oracle_cols": sorted(d_cols)}
+    a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
+    out["values_match"] = a == b
+    if not out["values_match"]:
+        diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
+        out["first_diffs"] = diff
+    return out
