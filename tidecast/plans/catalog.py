@@ -41,3 +41,306 @@ def pulls_ses_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = SI.Tables(spark, sf_dir)
     fc = SM.ses_forecast(pulls_monthly_series(t))
     return fc.select("repo", "ds", r4("alpha").alias("alpha"), r4("yhat").alias("yhat"))
+
+
+# ---------------------------------------------------------------- issues
+from ..operators import clean as C  # noqa: E402
+from ..operators import eligibility as EL  # noqa: E402
+from ..operators import insights as I  # noqa: E402
+from ..operators import timeline as TL  # noqa: E402
+from ..operators import windows as W  # noqa: E402
+from ..sources import windows as SW  # noqa: E402
+
+
+@query("issues_created_by_month")
+def issues_created_by_month(spark, sf_dir):
+    """A1: issues per created 'YYYY-MM'."""
+    return S.count_by_month_text(SI.issues(SI.Tables(spark, sf_dir)), "created_at")
+
+
+@query("issues_closed_by_month")
+def issues_closed_by_month(spark, sf_dir):
+    """A2: closed issues per closed 'YYYY-MM' (open issues excluded)."""
+    return S.count_by_month_text(SI.issues(SI.Tables(spark, sf_dir)), "closed_at")
+
+
+@query("issues_peak_days")
+def issues_peak_days(spark, sf_dir):
+    """I1 + I2: the three insights per repository."""
+    return I.issue_insights(SI.issues(SI.Tables(spark, sf_dir)))
+
+
+@query("weekday_histogram")
+def weekday_histogram(spark, sf_dir):
+    """Pull requests per weekday name."""
+    return I.weekday_histogram(SI.pulls(SI.Tables(spark, sf_dir)), "created_at").drop("weekday_pos")
+
+
+@query("month_histogram")
+def month_histogram(spark, sf_dir):
+    """Pull requests per month name."""
+    return I.month_histogram(SI.pulls(SI.Tables(spark, sf_dir)), "created_at").drop("month")
+
+
+def _issues_windowed(spark, sf_dir, cap):
+    t = SI.Tables(spark, sf_dir)
+    iss = C.dedupe_records(SI.issues(t), ["repo", "issue_number"])
+    return SW.records_in_windows(iss, SI.AS_OF, "created_at", cap=cap)
+
+
+@query("issues_in_windows")
+def issues_in_windows(spark, sf_dir):
+    """S4 + S5 + J2 + P13: issues created in the 12 monthly windows before as_of."""
+    return _issues_windowed(spark, sf_dir, None).select(
+        "repo", "issue_number", "created_at", "closed_at", "window_idx")
+
+
+@query("issues_in_windows_capped")
+def issues_in_windows_capped(spark, sf_dir):
+    """S5 with the one-page cap: first 100 per (repo, window) by (day, number)."""
+    return _issues_windowed(spark, sf_dir, SW.PAGE_SIZE).select(
+        "repo", "issue_number", "created_at", "window_idx", "rank_in_window")
+
+
+# ---------------------------------------------------------- monthly series
+def _series_out(df):
+    return df.select("repo", "ds", "y")
+
+
+@query("pulls_monthly")
+def pulls_monthly(spark, sf_dir):
+    """A3 + T3: pull requests per month (observed months only)."""
+    return _series_out(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+
+
+def commits_monthly_series(t):
+    return S.monthly_count(SI.commits(t), "date", "commits")
+
+
+@query("commits_monthly")
+def commits_monthly(spark, sf_dir):
+    return _series_out(commits_monthly_series(SI.Tables(spark, sf_dir)))
+
+
+def releases_monthly_series(t):
+    return S.monthly_count(SI.releases(t), "published_at", "releases")
+
+
+@query("releases_monthly")
+def releases_monthly(spark, sf_dir):
+    return _series_out(releases_monthly_series(SI.Tables(spark, sf_dir)))
+
+
+def branches_monthly_series(t):
+    return TL.synthetic_monthly(SI.branches(t), SI.AS_OF, "branches")
+
+
+@query("branches_monthly")
+def branches_monthly(spark, sf_dir):
+    """T8 + A3: branches per synthetic month (list position -> day)."""
+    return _series_out(branches_monthly_series(SI.Tables(spark, sf_dir)))
+
+
+def contributors_monthly_series(t):
+    return TL.synthetic_monthly(SI.contributors(t), SI.AS_OF, "contributors", value_col="contributions")
+
+
+@query("contributors_monthly")
+def contributors_monthly(spark, sf_dir):
+    """T8 + A5: contributions summed per synthetic month."""
+    return _series_out(contributors_monthly_series(SI.Tables(spark, sf_dir)))
+
+
+@query("contributors_timeline")
+def contributors_timeline(spark, sf_dir):
+    """T8 per row: list position and synthetic day of every contributor."""
+    t = SI.Tables(spark, sf_dir)
+    df = TL.rank_spaced_timeline(SI.contributors(t), SI.AS_OF, SI.CONTRIBUTOR_ORDER)
+    return df.select("repo", "name", "contributions", "position", "synthetic_day")
+
+
+@query("pulls_month_profile")
+def pulls_month_profile(spark, sf_dir):
+    """A4: pull requests per calendar month 1-12."""
+    return S.month_of_year_profile(SI.pulls(SI.Tables(spark, sf_dir)), "created_at")
+
+
+def issues_daily_series(t, value="count"):
+    return S.daily_series(SI.issues(t), "created_at", "issues", value=value)
+
+
+@query("issues_daily_count")
+def issues_daily_count(spark, sf_dir):
+    """Issues created per day."""
+    return _series_out(issues_daily_series(SI.Tables(spark, sf_dir)))
+
+
+@query("issues_daily_sum_number")
+def issues_daily_sum_number(spark, sf_dir):
+    """A6 with the reference's value (sum of issue numbers, D1)."""
+    return _series_out(issues_daily_series(SI.Tables(spark, sf_dir), "sum_number"))
+
+
+@query("releases_monthly_filled")
+def releases_monthly_filled(spark, sf_dir):
+    """T6 + J1 + A7: dense month-start grid of releases, zeros in gaps."""
+    return _series_out(S.gap_fill(releases_monthly_series(SI.Tables(spark, sf_dir)), "month"))
+
+
+@query("issues_daily_filled")
+def issues_daily_filled(spark, sf_dir):
+    """T5 + J1: dense daily grid of created issues, zeros in gaps."""
+    return _series_out(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
+
+
+@query("recent_releases")
+def recent_releases(spark, sf_dir):
+    """P7 + P9 + T2 + P8: releases of the last 730 days, strict timestamps."""
+    t = SI.Tables(spark, sf_dir)
+    r = C.since(SI.releases(t), "published_at", SI.AS_OF, 730)
+    r = C.published_only(r, "published_text")
+    from ..functions.timecols import parse_time
+    r = r.withColumn("parsed", parse_time("published_text", strict=True))
+    r = C.only_present(r, "parsed")
+    return r.select("repo", "name", F.col("parsed").cast("date").alias("published_at"))
+
+
+@query("repo_validation")
+def repo_validation(spark, sf_dir):
+    """P10 over keys derived from part: 'word/word' (valid), brand (no
+    slash) and 'type/word/word' (three parts)."""
+    p = SI.Tables(spark, sf_dir).part
+    k1 = p.select(F.regexp_replace("p_name", " ", "/").alias("repo"))
+    k2 = p.select(F.col("p_brand").alias("repo"))
+    k3 = p.select(F.concat(F.col("p_type"), F.lit("/"), F.regexp_replace("p_name", " ", "/")).alias("repo"))
+    keys = k1.unionByName(k2).unionByName(k3).distinct()
+    return C.validate_repo(keys).select("repo", "status", "owner", "name")
+
+
+# ------------------------------------------------------------- eligibility
+def metric_series(t, metric: str):
+    """Series of one metric per the registry (grain and gap rule)."""
+    if metric == "issues":
+        return S.gap_fill(issues_daily_series(t), "day")
+    if metric == "pulls":
+        return pulls_monthly_series(t)
+    if metric == "commits":
+        return commits_monthly_series(t)
+    if metric == "branches":
+        return S.gap_fill(branches_monthly_series(t), "month")
+    if metric == "contributors":
+        return contributors_monthly_series(t)
+    if metric == "releases":
+        return S.gap_fill(releases_monthly_series(t), "month")
+    raise KeyError(metric)
+
+
+def metric_records(t, metric: str):
+    """(repo, n_records) per metric: usable (dated) records."""
+    src = {"issues": (SI.issues, "created_at"), "pulls": (SI.pulls, "created_at"),
+           "commits": (SI.commits, "date"), "branches": (SI.branches, None),
+           "contributors": (SI.contributors, None), "releases": (SI.releases, "published_at")}[metric]
+    df = src[0](t)
+    if src[1] is not None:
+        df = df.where(F.col(src[1]).isNotNull())
+    return df.groupBy("repo").agg(F.count(F.lit(1)).alias("n_records")).withColumn("metric", F.lit(metric))
+
+
+def metric_counts(t, metrics=("issues", "pulls", "commits", "branches", "contributors", "releases")):
+    out = None
+    for m in metrics:
+        pts = metric_series(t, m).groupBy("repo", "metric").agg(F.count(F.lit(1)).alias("n_points"))
+        c = metric_records(t, m).join(pts, ["repo", "metric"], "left") \
+            .select("repo", "metric", "n_records", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("series_eligibility")
+def series_eligibility(spark, sf_dir):
+    """P12 + A8: status of every (repo, metric, model slot)."""
+    return EL.eligibility(metric_counts(SI.Tables(spark, sf_dir)))
+
+
+def _monthly_all(t):
+    out = None
+    for m in ("pulls", "commits", "branches", "contributors", "releases"):
+        s = metric_series(t, m)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("eligible_series")
+def eligible_series(spark, sf_dir):
+    """J4 (left semi): monthly series passing the statsmodels-slot gate."""
+    t = SI.Tables(spark, sf_dir)
+    st = EL.eligibility(metric_counts(t, ("pulls", "commits", "branches", "contributors", "releases")))
+    return EL.eligible_series(_monthly_all(t), st, "statsmodels").select("repo", "metric", "ds", "y")
+
+
+@query("rejected_series")
+def rejected_series(spark, sf_dir):
+    """J4 (left anti): monthly series failing the statsmodels-slot gate."""
+    t = SI.Tables(spark, sf_dir)
+    st = EL.eligibility(metric_counts(t, ("pulls", "commits", "branches", "contributors", "releases")))
+    return EL.rejected_series(_monthly_all(t), st, "statsmodels").select("repo", "metric", "ds", "y")
+
+
+# ------------------------------------------------------------------ grids
+@query("future_month_starts")
+def future_month_starts(spark, sf_dir):
+    """12 month-starts after each pull series' last month."""
+    return S.future_month_starts(pulls_monthly_series(SI.Tables(spark, sf_dir))).select("repo", "step", "ds")
+
+
+@query("future_month_ends")
+def future_month_ends(spark, sf_dir):
+    """12 month-ends starting with the last observed month."""
+    return S.future_month_ends(pulls_monthly_series(SI.Tables(spark, sf_dir))).select("repo", "step", "ds")
+
+
+@query("future_days")
+def future_days(spark, sf_dir):
+    """Issue history days plus the next 30 days."""
+    return S.future_days(issues_daily_series(SI.Tables(spark, sf_dir))).select("repo", "ds", "future")
+
+
+# ---------------------------------------------------------- windows/splits
+@query("series_index_scaled")
+def series_index_scaled(spark, sf_dir):
+    """T7 + W2: month index and min-max scaled value per pull series."""
+    s = S.add_index(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    s = W.minmax_scale(s, fit_on="all")
+    return s.select("repo", "ds", "idx", "y", r4("y_scaled").alias("y_scaled"))
+
+
+@query("series_split_ordered")
+def series_split_ordered(spark, sf_dir):
+    """Ordered 80/20 split of each pull series."""
+    return W.split_ordered(pulls_monthly_series(SI.Tables(spark, sf_dir))).select("repo", "ds", "idx", "split")
+
+
+@query("series_split_hashed")
+def series_split_hashed(spark, sf_dir):
+    """Seeded shuffled 80/20 split of each pull series."""
+    return W.split_hashed(pulls_monthly_series(SI.Tables(spark, sf_dir))).select("repo", "ds", "idx", "split")
+
+
+def pulls_daily_filled(t):
+    return S.gap_fill(S.daily_series(SI.pulls(t), "created_at", "pulls"), "day")
+
+
+@query("lookback_windows_30")
+def lookback_windows_30(spark, sf_dir):
+    """Previous 30 daily pull counts per day, made inside each split."""
+    s = W.split_ordered(pulls_daily_filled(SI.Tables(spark, sf_dir)))
+    lb = W.lookback_windows(s, 30)
+    x = F.array_join(F.transform("x", lambda v: v.cast("long").cast("string")), ",")
+    return lb.select("repo", "ds", "split", x.alias("x"), "y")
+
+
+@query("diff_and_lags")
+def diff_and_lags(spark, sf_dir):
+    """W5 + W6: first difference of monthly commits and its lags 1..5."""
+    d = W.lag_matrix(W.difference(commits_monthly_series(SI.Tables(spark, sf_dir))), 5)
+    return d.select("repo", "ds", "y", "dy", *[f"lag{i}" for i in range(1, 6)])

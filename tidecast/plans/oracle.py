@@ -41,3 +41,285 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY
 SELECT repo, CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE) AS ds, round(alpha, 4) AS alpha, round(level, 4) AS yhat
 FROM best, range(1, 13) h(k)
 """
+
+
+# ---------------------------------------------------------------- issues
+def _by_month_text(col: str) -> str:
+    return with_views("issues") + f"""
+SELECT repo, strftime({col}, '%Y-%m') AS month, count(*) AS n
+FROM issues WHERE {col} IS NOT NULL GROUP BY ALL"""
+
+
+ORACLE["issues_created_by_month"] = _by_month_text("created_at")
+ORACLE["issues_closed_by_month"] = _by_month_text("closed_at")
+
+ORACLE["issues_peak_days"] = with_views("issues") + """,
+cw AS (SELECT repo, dayname(created_at) AS v, isodow(created_at) AS p, count(*) AS n
+       FROM issues WHERE created_at IS NOT NULL GROUP BY ALL),
+kw AS (SELECT repo, dayname(closed_at) AS v, isodow(closed_at) AS p, count(*) AS n
+       FROM issues WHERE closed_at IS NOT NULL GROUP BY ALL),
+km AS (SELECT repo, monthname(closed_at) AS v, month(closed_at) AS p, count(*) AS n
+       FROM issues WHERE closed_at IS NOT NULL GROUP BY ALL),
+a AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM cw) WHERE rn = 1),
+b AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM kw) WHERE rn = 1),
+c AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM km) WHERE rn = 1)
+SELECT r.repo, a.v AS max_created_day_of_week, b.v AS max_closed_day_of_week, c.v AS max_closed_month_of_year
+FROM (SELECT DISTINCT repo FROM issues) r
+LEFT JOIN a ON a.repo = r.repo LEFT JOIN b ON b.repo = r.repo LEFT JOIN c ON c.repo = r.repo"""
+
+ORACLE["weekday_histogram"] = with_views("pulls") + """
+SELECT repo, dayname(created_at) AS weekday, count(*) AS n FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL"""
+
+ORACLE["month_histogram"] = with_views("pulls") + """
+SELECT repo, monthname(created_at) AS month_name, count(*) AS n FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL"""
+
+_WINDOWS = f"""wb AS (
+  SELECT 1 AS window_idx, CAST({AS_OF_SQL} - INTERVAL 1 MONTH AS DATE) AS lo, {AS_OF_SQL} AS hi
+  UNION ALL
+  SELECT window_idx + 1, CAST(lo - INTERVAL 1 MONTH AS DATE), lo FROM wb WHERE window_idx < 12),
+iw AS (
+  SELECT i.*, wb.window_idx FROM issues i JOIN wb
+    ON i.created_at <= wb.hi AND (i.created_at > wb.lo OR (wb.window_idx = 12 AND i.created_at = wb.lo)))"""
+
+ORACLE["issues_in_windows"] = with_views("issues", recursive=True) + f""",
+{_WINDOWS}
+SELECT repo, issue_number, created_at, closed_at, window_idx FROM iw"""
+
+ORACLE["issues_in_windows_capped"] = with_views("issues", recursive=True) + f""",
+{_WINDOWS}
+SELECT * FROM (
+  SELECT repo, issue_number, created_at, window_idx,
+         row_number() OVER (PARTITION BY repo, window_idx ORDER BY created_at, issue_number) AS rank_in_window
+  FROM iw) WHERE rank_in_window <= 100"""
+
+
+# ---------------------------------------------------------- monthly series
+def _monthly(view: str, col: str, value: str = "count(*)") -> str:
+    return f"""SELECT repo, {month(col)} AS ds, CAST({value} AS DOUBLE) AS y
+FROM {view} WHERE {col} IS NOT NULL GROUP BY ALL"""
+
+
+ORACLE["pulls_monthly"] = with_views("pulls") + "\n" + _monthly("pulls", "created_at")
+ORACLE["commits_monthly"] = with_views("commits") + "\n" + _monthly("commits", '"date"')
+ORACLE["releases_monthly"] = with_views("releases") + "\n" + _monthly("releases", "published_at")
+
+SYNTH_BRANCHES = f"""sb AS (
+  SELECT repo, CAST({AS_OF_SQL} - CAST(n AS INTEGER) + CAST(i AS INTEGER) AS DATE) AS day FROM (
+    SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY seq) - 1 AS i,
+           count(*) OVER (PARTITION BY repo) AS n FROM branches))"""
+
+SYNTH_CONTRIB = f"""sc AS (
+  SELECT repo, name, contributions, i AS position,
+         CAST({AS_OF_SQL} - CAST(n AS INTEGER) + CAST(i AS INTEGER) AS DATE) AS day FROM (
+    SELECT repo, name, contributions,
+           row_number() OVER (PARTITION BY repo ORDER BY contributions DESC, seq) - 1 AS i,
+           count(*) OVER (PARTITION BY repo) AS n FROM contributors))"""
+
+ORACLE["branches_monthly"] = with_views("branches") + f""",
+{SYNTH_BRANCHES}
+{_monthly("sb", "day")}"""
+
+ORACLE["contributors_monthly"] = with_views("contributors") + f""",
+{SYNTH_CONTRIB}
+{_monthly("sc", "day", "sum(contributions)")}"""
+
+ORACLE["contributors_timeline"] = with_views("contributors") + f""",
+{SYNTH_CONTRIB}
+SELECT repo, name, contributions, position, day AS synthetic_day FROM sc"""
+
+ORACLE["pulls_month_profile"] = with_views("pulls") + """
+SELECT repo, month(created_at) AS month, count(*) AS n FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL"""
+
+ISSUES_DAILY = """idc AS (
+  SELECT repo, CAST(created_at AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
+  FROM issues WHERE created_at IS NOT NULL GROUP BY ALL)"""
+
+ORACLE["issues_daily_count"] = with_views("issues") + f""",
+{ISSUES_DAILY}
+SELECT * FROM idc"""
+
+ORACLE["issues_daily_sum_number"] = with_views("issues") + """
+SELECT repo, CAST(created_at AS DATE) AS ds, CAST(sum(issue_number) AS DOUBLE) AS y
+FROM issues WHERE created_at IS NOT NULL GROUP BY ALL"""
+
+
+def fill(src: str, unit: str, name: str) -> str:
+    """Dense grid CTE ``name`` over CTE ``src`` (repo, ds, y)."""
+    return f"""{name}_b AS (SELECT repo, min(ds) AS lo, max(ds) AS hi FROM {src} GROUP BY repo),
+{name}_g AS (SELECT repo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 {unit})) AS DATE) AS ds FROM {name}_b),
+{name} AS (SELECT g.repo, g.ds, coalesce(s.y, CAST(0 AS DOUBLE)) AS y
+           FROM {name}_g g LEFT JOIN {src} s ON s.repo = g.repo AND s.ds = g.ds)"""
+
+
+RELEASES_MONTHLY = f"""rm AS ({_monthly("releases", "published_at")})"""
+
+ORACLE["releases_monthly_filled"] = with_views("releases") + f""",
+{RELEASES_MONTHLY},
+{fill("rm", "MONTH", "rmf")}
+SELECT * FROM rmf"""
+
+ORACLE["issues_daily_filled"] = with_views("issues") + f""",
+{ISSUES_DAILY},
+{fill("idc", "DAY", "idf")}
+SELECT * FROM idf"""
+
+ORACLE["recent_releases"] = with_views("releases") + f"""
+SELECT repo, name, CAST(strptime(published_text, '%Y-%m-%dT%H:%M:%SZ') AS DATE) AS published_at
+FROM releases
+WHERE published_at >= CAST({AS_OF_SQL} AS TIMESTAMP) - INTERVAL 730 DAY
+  AND nullif(published_text, '') IS NOT NULL
+  AND try_strptime(published_text, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL"""
+
+ORACLE["repo_validation"] = """
+WITH k AS (
+  SELECT replace(p_name, ' ', '/') AS repo FROM part
+  UNION SELECT p_brand FROM part
+  UNION SELECT p_type || '/' || replace(p_name, ' ', '/') FROM part)
+SELECT repo,
+       CASE WHEN repo IS NULL OR repo = '' THEN 'invalid_repo'
+            WHEN len(string_split(repo, '/')) = 2 THEN 'ok' ELSE 'invalid_repo' END AS status,
+       CASE WHEN repo <> '' AND len(string_split(repo, '/')) = 2 THEN string_split(repo, '/')[1] END AS owner,
+       CASE WHEN repo <> '' AND len(string_split(repo, '/')) = 2 THEN string_split(repo, '/')[2] END AS name
+FROM k"""
+
+
+# ------------------------------------------------------------- eligibility
+GATES = """gates(metric, slot, estimator, min_records, min_points) AS (VALUES
+  ('issues', 'lstm', 'lookback', 1, 0), ('issues', 'prophet', 'additive', 1, 0),
+  ('issues', 'statsmodels', 'auto_order', 1, 0),
+  ('pulls', 'lstm', 'index_trend', 1, 0), ('pulls', 'prophet', 'additive', 1, 0),
+  ('pulls', 'statsmodels', 'smoothing', 1, 6),
+  ('commits', 'lstm', 'index_trend', 1, 0), ('commits', 'prophet', 'additive', 1, 0),
+  ('commits', 'statsmodels', 'ar5', 1, 12),
+  ('branches', 'lstm', 'index_trend', 1, 0), ('branches', 'prophet', 'additive', 1, 0),
+  ('branches', 'statsmodels', 'ar5', 1, 11),
+  ('contributors', 'lstm', 'index_trend', 1, 0), ('contributors', 'prophet', 'additive', 1, 0),
+  ('contributors', 'statsmodels', 'arma', 1, 6),
+  ('releases', 'lstm', 'index_trend', 1, 0), ('releases', 'prophet', 'additive', 2, 0),
+  ('releases', 'statsmodels', 'arma', 3, 0))"""
+
+PULLS_M = f"""s_pulls AS (SELECT repo, 'pulls' AS metric, ds, y FROM ({_monthly("pulls", "created_at")}))"""
+COMMITS_M = f"""s_commits AS (SELECT repo, 'commits' AS metric, ds, y FROM ({_monthly("commits", '"date"')}))"""
+BRANCHES_M = f"""{SYNTH_BRANCHES},
+s_branches AS (SELECT repo, 'branches' AS metric, ds, y FROM ({_monthly("sb", "day")}))"""
+CONTRIB_M = f"""{SYNTH_CONTRIB},
+s_contributors AS (SELECT repo, 'contributors' AS metric, ds, y FROM ({_monthly("sc", "day", "sum(contributions)")}))"""
+RELEASES_M = f"""{RELEASES_MONTHLY},
+{fill("rm", "MONTH", "rmf")},
+s_releases AS (SELECT repo, 'releases' AS metric, ds, y FROM rmf)"""
+ISSUES_D = f"""{ISSUES_DAILY},
+{fill("idc", "DAY", "idf")},
+s_issues AS (SELECT repo, 'issues' AS metric, ds, y FROM idf)"""
+
+RECORDS = """r_all AS (
+  SELECT repo, 'issues' AS metric, count(*) AS n_records FROM issues WHERE created_at IS NOT NULL GROUP BY repo
+  UNION ALL SELECT repo, 'pulls', count(*) FROM pulls WHERE created_at IS NOT NULL GROUP BY repo
+  UNION ALL SELECT repo, 'commits', count(*) FROM commits WHERE "date" IS NOT NULL GROUP BY repo
+  UNION ALL SELECT repo, 'branches', count(*) FROM branches GROUP BY repo
+  UNION ALL SELECT repo, 'contributors', count(*) FROM contributors GROUP BY repo
+  UNION ALL SELECT repo, 'releases', count(*) FROM releases WHERE published_at IS NOT NULL GROUP BY repo)"""
+
+MONTHLY_ALL = """m_all AS (
+  SELECT * FROM s_pulls UNION ALL SELECT * FROM s_commits UNION ALL SELECT * FROM s_branches
+  UNION ALL SELECT * FROM s_contributors UNION ALL SELECT * FROM s_releases)"""
+
+STATUS = """st AS (
+  SELECT r.repo, r.metric, g.slot, g.estimator, r.n_records, coalesce(p.n_points, 0) AS n_points,
+         CASE WHEN r.n_records = 0 THEN 'no_data'
+              WHEN r.n_records < g.min_records OR coalesce(p.n_points, 0) < g.min_points THEN 'not_enough_data'
+              ELSE 'ok' END AS status
+  FROM r_all r JOIN gates g ON g.metric = r.metric
+  LEFT JOIN (SELECT repo, metric, count(*) AS n_points FROM s_every GROUP BY ALL) p
+    ON p.repo = r.repo AND p.metric = r.metric)"""
+
+_ALL_VIEWS = ("issues", "pulls", "commits", "branches", "contributors", "releases")
+
+ORACLE["series_eligibility"] = with_views(*_ALL_VIEWS) + f""",
+{GATES}, {PULLS_M}, {COMMITS_M}, {BRANCHES_M}, {CONTRIB_M}, {RELEASES_M}, {ISSUES_D}, {RECORDS},
+{MONTHLY_ALL},
+s_every AS (SELECT * FROM m_all UNION ALL SELECT * FROM s_issues),
+{STATUS}
+SELECT * FROM st"""
+
+_MONTHLY_STATUS = with_views(*_ALL_VIEWS) + f""",
+{GATES}, {PULLS_M}, {COMMITS_M}, {BRANCHES_M}, {CONTRIB_M}, {RELEASES_M}, {RECORDS},
+{MONTHLY_ALL},
+s_every AS (SELECT * FROM m_all),
+{STATUS.replace("FROM r_all r", "FROM (SELECT * FROM r_all WHERE metric <> 'issues') r")},
+ok AS (SELECT repo, metric FROM st WHERE slot = 'statsmodels' AND status = 'ok')"""
+
+ORACLE["eligible_series"] = _MONTHLY_STATUS + """
+SELECT m.repo, m.metric, m.ds, m.y FROM m_all m WHERE EXISTS (
+  SELECT 1 FROM ok WHERE ok.repo = m.repo AND ok.metric = m.metric)"""
+
+ORACLE["rejected_series"] = _MONTHLY_STATUS + """
+SELECT m.repo, m.metric, m.ds, m.y FROM m_all m WHERE NOT EXISTS (
+  SELECT 1 FROM ok WHERE ok.repo = m.repo AND ok.metric = m.metric)"""
+
+
+# ------------------------------------------------------------------ grids
+ORACLE["future_month_starts"] = with_views("pulls") + f""",
+{PULLS_MONTHLY}
+SELECT repo, CAST(k AS INTEGER) AS step, CAST(max(ds) + to_months(CAST(k AS INTEGER)) AS DATE) AS ds
+FROM pm, range(1, 13) h(k) GROUP BY repo, k"""
+
+ORACLE["future_month_ends"] = with_views("pulls") + f""",
+{PULLS_MONTHLY}
+SELECT repo, CAST(k AS INTEGER) AS step,
+       CAST(last_day(max(ds) + to_months(CAST(k AS INTEGER) - 1)) AS DATE) AS ds
+FROM pm, range(1, 13) h(k) GROUP BY repo, k"""
+
+ORACLE["future_days"] = with_views("issues") + f""",
+{ISSUES_DAILY}
+SELECT repo, ds, false AS future FROM idc
+UNION ALL
+SELECT repo, CAST(max(ds) + CAST(k AS INTEGER) AS DATE) AS ds, true AS future
+FROM idc, range(1, 31) h(k) GROUP BY repo, k"""
+
+
+# ---------------------------------------------------------- windows/splits
+ORACLE["series_index_scaled"] = with_views("pulls") + f""",
+{PULLS_MONTHLY},
+x AS (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+             min(y) OVER (PARTITION BY repo) AS lo, max(y) OVER (PARTITION BY repo) AS hi FROM pm)
+SELECT repo, ds, idx, y,
+       round(CASE WHEN hi = lo THEN y - lo ELSE (y - lo) / (hi - lo) END, 4) AS y_scaled FROM x"""
+
+ORACLE["series_split_ordered"] = with_views("pulls") + f""",
+{PULLS_MONTHLY}
+SELECT repo, ds, idx, CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT repo, ds, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+         count(*) OVER (PARTITION BY repo) AS n FROM pm)"""
+
+ORACLE["series_split_hashed"] = with_views("pulls") + f""",
+{PULLS_MONTHLY},
+x AS (SELECT repo, ds, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+             count(*) OVER (PARTITION BY repo) AS n FROM pm),
+h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY md5(repo || '|' || CAST(idx AS VARCHAR) || '|42')) AS hr
+      FROM x)
+SELECT repo, ds, idx,
+       CASE WHEN n < 2 THEN 'both' WHEN hr <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM h"""
+
+PULLS_DAILY_FILLED = """pdc AS (
+  SELECT repo, CAST(created_at AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
+  FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL),
+""" + fill("pdc", "DAY", "pdf")
+
+ORACLE["lookback_windows_30"] = with_views("pulls") + f""",
+{PULLS_DAILY_FILLED},
+sp AS (SELECT repo, ds, y, CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+         count(*) OVER (PARTITION BY repo) AS n FROM pdf)),
+lb AS (SELECT repo, ds, split, y,
+              list(y) OVER (PARTITION BY repo, split ORDER BY ds ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS x
+       FROM sp)
+SELECT repo, ds, split, array_to_string(list_transform(x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',') AS x, y
+FROM lb WHERE len(x) = 30"""
+
+ORACLE["diff_and_lags"] = with_views("commits") + f""",
+cm AS ({_monthly("commits", '"date"')}),
+d AS (SELECT repo, ds, y, y - lag(y) OVER (PARTITION BY repo ORDER BY ds) AS dy FROM cm)
+SELECT repo, ds, y, dy,
+       lag(dy, 1) OVER w AS lag1, lag(dy, 2) OVER w AS lag2, lag(dy, 3) OVER w AS lag3,
+       lag(dy, 4) OVER w AS lag4, lag(dy, 5) OVER w AS lag5
+FROM d WINDOW w AS (PARTITION BY repo ORDER BY ds)"""
