@@ -344,3 +344,106 @@ def diff_and_lags(spark, sf_dir):
     """W5 + W6: first difference of monthly commits and its lags 1..5."""
     d = W.lag_matrix(W.difference(commits_monthly_series(SI.Tables(spark, sf_dir))), 5)
     return d.select("repo", "ds", "y", "dy", *[f"lag{i}" for i in range(1, 6)])
+
+
+# ------------------------------------------------------------------ models
+from ..operators import ar as AR  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import linalg as LA  # noqa: E402
+from ..operators import trend as TR  # noqa: E402
+
+
+@query("ar1_forecast")
+def ar1_forecast(spark, sf_dir):
+    """F4 with p = 1 (closed form) on monthly commits, 12 months ahead."""
+    fc = AR.ar1_forecast(commits_monthly_series(SI.Tables(spark, sf_dir)))
+    return fc.select("repo", "step", "ds", r4("phi").alias("phi"), r4("yhat").alias("yhat"))
+
+
+@query("gram_entries")
+def gram_entries(spark, sf_dir):
+    """K1 before the solve: X'X and X'y of the AR(5) design on monthly pull
+    differences (upper triangle, 1-based lag positions; j = 0 for X'y)."""
+    d = AR.ar_design(pulls_monthly_series(SI.Tables(spark, sf_dir)), 5)
+    return LA.gram_long(d, ["repo", "metric"], "x", "dy", 5).select("repo", "kind", "i", "j", "value")
+
+
+def _hashed_trend(spark, sf_dir):
+    s = W.split_hashed(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    return TR.index_trend_fit(s)
+
+
+@query("index_trend_fit")
+def index_trend_fit(spark, sf_dir):
+    """linear month-index trend fitted on the hashed-split train rows,
+    predicted in-sample for every month (monthly pulls)."""
+    f = _hashed_trend(spark, sf_dir)
+    return f.select("repo", "ds", "idx", "split", "y", r4("yhat").alias("yhat"))
+
+
+@query("index_trend_mse")
+def index_trend_mse(spark, sf_dir):
+    """E1 over F10: mean squared error per split."""
+    f = _hashed_trend(spark, sf_dir).withColumn("segment", F.col("split")).withColumn("model", F.lit("index_trend"))
+    m = EV.mse(f, segment=None)
+    return m.select("repo", F.col("segment").alias("split"), r4("mse").alias("mse"))
+
+
+def _holdout(spark, sf_dir):
+    s = W.split_ordered(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    return EV.holdout_index_trend(s).unionByName(EV.holdout_ses(s))
+
+
+@query("actual_vs_predicted")
+def actual_vs_predicted(spark, sf_dir):
+    """E2 + F12: train fit and test forecast of index trend and SES."""
+    return _holdout(spark, sf_dir).select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    """Models ranked per repository by hold-out mse."""
+    c = EV.compare_models(_holdout(spark, sf_dir))
+    return c.select("repo", "model", r4("mse").alias("mse"), "rank")
+
+
+# -------------------------------------------- iterative fits (numpy-checked)
+def _fc_out(fc):
+    return fc.select("repo", "model", "step", "ds", r4("yhat").alias("yhat"),
+                     r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))
+
+
+@query("hw_forecast")
+def hw_forecast(spark, sf_dir):
+    """Holt-Winters (additive season 12, no trend) on monthly pulls."""
+    return _fc_out(SM.hw_forecast(pulls_monthly_series(SI.Tables(spark, sf_dir))))
+
+
+@query("smoothing_forecast")
+def smoothing_forecast(spark, sf_dir):
+    """Holt-Winters for >= 24 months, SES for 6-23, on monthly releases."""
+    return _fc_out(SM.smoothing_forecast(releases_monthly_series(SI.Tables(spark, sf_dir))))
+
+
+@query("ar5_forecast")
+def ar5_forecast(spark, sf_dir):
+    """ARIMA(5,1,0) on monthly commits."""
+    return _fc_out(AR.ar_forecast(commits_monthly_series(SI.Tables(spark, sf_dir)), 5))
+
+
+@query("arma_forecast")
+def arma_forecast(spark, sf_dir):
+    """ARIMA(1,1,1) (Hannan-Rissanen) on monthly contributions."""
+    return _fc_out(AR.arma_forecast(contributors_monthly_series(SI.Tables(spark, sf_dir))))
+
+
+@query("auto_order_forecast")
+def auto_order_forecast(spark, sf_dir):
+    """F6 + F12: order chosen on the first 80 % of daily created issues,
+    forecast over the held-out days."""
+    s = W.split_ordered(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
+    train = s.where(F.col("split") == "train").select("repo", "metric", "ds", "y")
+    h = s.where(F.col("split") == "test").groupBy("repo", "metric").agg(F.count(F.lit(1)).cast("int").alias("h"))
+    fc = AR.auto_order_forecast(train, h)
+    return fc.select("repo", "model", "d", "p", "step", "ds", r4("yhat").alias("yhat"),
+                     r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))

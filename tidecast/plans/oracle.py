@@ -323,3 +323,101 @@ SELECT repo, ds, y, dy,
        lag(dy, 1) OVER w AS lag1, lag(dy, 2) OVER w AS lag2, lag(dy, 3) OVER w AS lag3,
        lag(dy, 4) OVER w AS lag4, lag(dy, 5) OVER w AS lag5
 FROM d WINDOW w AS (PARTITION BY repo ORDER BY ds)"""
+
+
+# ------------------------------------------------------------------ models
+COMMITS_MONTHLY = f"""cm AS ({_monthly("commits", '"date"')})"""
+
+ORACLE["ar1_forecast"] = with_views("commits", recursive=True) + f""",
+{COMMITS_MONTHLY},
+d AS (SELECT repo, ds, y, y - lag(y) OVER (PARTITION BY repo ORDER BY ds) AS dy FROM cm),
+l AS (SELECT repo, ds, dy, lag(dy) OVER (PARTITION BY repo ORDER BY ds) AS dy1 FROM d),
+phi AS (SELECT repo, sum(dy * dy1) / sum(dy1 * dy1) AS phi FROM l
+        WHERE dy IS NOT NULL AND dy1 IS NOT NULL GROUP BY repo),
+lst AS (SELECT repo, max(ds) AS last_ds, arg_max(y, ds) AS last_y, arg_max(dy, ds) AS last_dy FROM d GROUP BY repo),
+rec AS (
+  SELECT p.repo, 1 AS step, p.phi, p.phi * l.last_dy AS d, l.last_y + p.phi * l.last_dy AS level, l.last_ds
+  FROM phi p JOIN lst l ON l.repo = p.repo
+  UNION ALL
+  SELECT repo, step + 1, phi, phi * d, level + phi * d, last_ds FROM rec WHERE step < 12)
+SELECT repo, step, CAST(last_ds + to_months(step) AS DATE) AS ds, round(phi, 4) AS phi, round(level, 4) AS yhat
+FROM rec"""
+
+
+def _gram_sql() -> str:
+    parts = []
+    for i in range(1, 6):
+        for j in range(i, 6):
+            parts.append(f"SELECT repo, 'xx' AS kind, {i} AS i, {j} AS j, sum(x{i} * x{j}) AS value FROM f GROUP BY repo")
+    for i in range(1, 6):
+        parts.append(f"SELECT repo, 'xy', {i}, 0, sum(x{i} * dy) FROM f GROUP BY repo")
+    lags = ", ".join(f"lag(dy, {i}) OVER w AS x{i}" for i in range(1, 6))
+    nn = " AND ".join(f"x{i} IS NOT NULL" for i in range(1, 6))
+    return with_views("pulls") + f""",
+{PULLS_MONTHLY},
+d AS (SELECT repo, ds, y - lag(y) OVER (PARTITION BY repo ORDER BY ds) AS dy FROM pm),
+l AS (SELECT repo, ds, dy, {lags} FROM d WINDOW w AS (PARTITION BY repo ORDER BY ds)),
+f AS (SELECT * FROM l WHERE dy IS NOT NULL AND {nn})
+""" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["gram_entries"] = _gram_sql()
+
+HASHED_TREND = f"""{PULLS_MONTHLY},
+x AS (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+             count(*) OVER (PARTITION BY repo) AS n FROM pm),
+h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY md5(repo || '|' || CAST(idx AS VARCHAR) || '|42')) AS hr
+      FROM x),
+sp AS (SELECT repo, ds, y, idx,
+              CASE WHEN n < 2 THEN 'both' WHEN hr <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM h),
+cf AS (SELECT repo, coalesce(regr_slope(y, idx), 0) AS slope,
+              coalesce(regr_intercept(y, idx), avg(y)) AS intercept
+       FROM sp WHERE split IN ('train', 'both') GROUP BY repo),
+fit AS (SELECT sp.*, cf.intercept + cf.slope * sp.idx AS yhat FROM sp JOIN cf ON cf.repo = sp.repo)"""
+
+ORACLE["index_trend_fit"] = with_views("pulls") + f""",
+{HASHED_TREND}
+SELECT repo, ds, idx, split, y, round(yhat, 4) AS yhat FROM fit"""
+
+ORACLE["index_trend_mse"] = with_views("pulls") + f""",
+{HASHED_TREND}
+SELECT repo, split, round(avg((y - yhat) * (y - yhat)), 4) AS mse FROM fit GROUP BY repo, split"""
+
+HOLDOUT = f"""{PULLS_MONTHLY},
+sp AS (SELECT repo, ds, y, idx, CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+         count(*) OVER (PARTITION BY repo) AS n FROM pm)),
+cf AS (SELECT repo, coalesce(regr_slope(y, idx), 0) AS slope, coalesce(regr_intercept(y, idx), avg(y)) AS intercept
+       FROM sp WHERE split = 'train' GROUP BY repo),
+it AS (SELECT sp.repo, 'index_trend' AS model, sp.split AS segment, sp.ds, sp.y,
+              cf.intercept + cf.slope * sp.idx AS yhat FROM sp JOIN cf ON cf.repo = sp.repo),
+tr AS (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) AS t FROM sp WHERE split = 'train'),
+grid AS (SELECT CAST(i AS DOUBLE) / CAST(100 AS DOUBLE) AS alpha FROM range(1, 100) r(i)),
+rec AS (
+  SELECT tr.repo, g.alpha, tr.t, tr.y AS level, CAST(0 AS DOUBLE) AS sse, CAST(NULL AS DOUBLE) AS pred
+  FROM tr CROSS JOIN grid g WHERE tr.t = 1
+  UNION ALL
+  SELECT r.repo, r.alpha, tr.t, r.alpha * tr.y + (CAST(1 AS DOUBLE) - r.alpha) * r.level,
+         r.sse + (tr.y - r.level) * (tr.y - r.level), r.level
+  FROM rec r JOIN tr ON tr.repo = r.repo AND tr.t = r.t + 1),
+lastt AS (SELECT repo, max(t) AS t FROM tr GROUP BY repo),
+best AS (SELECT repo, alpha, level FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.repo ORDER BY r.sse, r.alpha) AS rn
+  FROM rec r JOIN lastt l ON l.repo = r.repo AND l.t = r.t) WHERE rn = 1),
+ses AS (
+  SELECT tr.repo, 'ses' AS model, 'train' AS segment, tr.ds, tr.y, r.pred AS yhat
+  FROM tr JOIN best b ON b.repo = tr.repo JOIN rec r ON r.repo = tr.repo AND r.alpha = b.alpha AND r.t = tr.t
+  UNION ALL
+  SELECT sp.repo, 'ses', 'test', sp.ds, sp.y, b.level FROM sp JOIN best b ON b.repo = sp.repo WHERE sp.split = 'test'),
+hf AS (SELECT * FROM it UNION ALL SELECT * FROM ses)"""
+
+ORACLE["actual_vs_predicted"] = with_views("pulls", recursive=True) + f""",
+{HOLDOUT}
+SELECT repo, model, segment, ds, y, round(yhat, 4) AS yhat FROM hf"""
+
+ORACLE["model_comparison"] = with_views("pulls", recursive=True) + f""",
+{HOLDOUT},
+m AS (SELECT repo, model, avg((y - yhat) * (y - yhat)) AS mse FROM hf
+      WHERE segment = 'test' AND yhat IS NOT NULL GROUP BY repo, model)
+SELECT repo, model, round(mse, 4) AS mse,
+       row_number() OVER (PARTITION BY repo ORDER BY mse, model) AS rank FROM m"""
