@@ -30,16 +30,30 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
 
     ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
     feature or target must be filtered out by the caller.
+
+    With z = x ++ [y], every row emits its upper-triangle products
+    z_i * z_j (j >= i) as (key, i, j) entries inside the same map stage,
+    which the partial aggregate immediately folds, so only one running
+    sum per (key, i, j, map task) is shuffled. (A single aggregate with
+    p^2/2 sum columns would avoid the explode, but its plan grows
+    quadratically and is slow to build for p ~ 50.)
     """
-    xc, yc = F.col(x), F.col(y)
-    upper = {(i, j): F.sum(xc[i] * xc[j]).alias(f"_g{i}_{j}") for i in range(p) for j in range(i, p)}
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yc * yc).alias("yy")]
-    aggs += list(upper.values())
-    aggs += [F.sum(xc[i] * yc).alias(f"_b{i}") for i in range(p)]
-    g = df.groupBy(*keys).agg(*aggs)
-    xx = F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
-    xy = F.array(*[F.col(f"_b{i}") for i in range(p)])
-    return g.select(*keys, "n", xx.alias("xx"), xy.alias("xy"), "yy")
+    z = F.concat(F.col(x), F.array(F.col(y).cast("double"))).alias("_z")
+    e = df.select(*keys, z)
+    e = e.select(*keys, "_z", F.posexplode("_z").alias("i", "zi"))
+    e = e.select(*keys, "i", "zi", F.posexplode(F.slice("_z", F.col("i") + 1, F.lit(p + 1) - F.col("i")))
+                 .alias("o", "zj"))
+    sums = e.groupBy(*keys, "i", (F.col("i") + F.col("o")).alias("j")) \
+        .agg(F.sum(F.col("zi") * F.col("zj")).alias("v"), F.count(F.lit(1)).alias("cnt"))
+    q = p + 1
+    g = sums.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("i") * q + F.col("j")).alias("k"), "v"))).alias("_m"),
+        F.max("cnt").alias("n"))
+    xx = F.expr(f"transform(sequence(0, {p * p - 1}), k -> "
+                f"_m[least(k div {p}, k % {p}) * {q} + greatest(k div {p}, k % {p})])")
+    xy = F.expr(f"transform(sequence(0, {p - 1}), i -> _m[i * {q} + {p}])")
+    yy = F.expr(f"_m[{p * q + p}]")
+    return g.select(*keys, "n", xx.alias("xx"), xy.alias("xy"), yy.alias("yy"))
 
 
 def gram_long(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:

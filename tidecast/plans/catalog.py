@@ -447,3 +447,42 @@ def auto_order_forecast(spark, sf_dir):
     fc = AR.auto_order_forecast(train, h)
     return fc.select("repo", "model", "d", "p", "step", "ds", r4("yhat").alias("yhat"),
                      r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))
+
+
+from ..operators import additive as AD  # noqa: E402
+from ..operators import lookback as LB  # noqa: E402
+
+
+def _band_out(fc):
+    return fc.select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"),
+                     r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))
+
+
+@query("additive_forecast")
+def additive_forecast(spark, sf_dir):
+    """F7 + F8: additive model on monthly pulls, history + 12 month-starts."""
+    return _band_out(AD.additive_forecast(pulls_monthly_series(SI.Tables(spark, sf_dir)), "month"))
+
+
+@query("additive_daily_forecast")
+def additive_daily_forecast(spark, sf_dir):
+    """F7 + F8 on daily created issues: history + 30 days."""
+    s = S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")
+    return _band_out(AD.additive_forecast(s, "day"))
+
+
+@query("releases_additive_tail")
+def releases_additive_tail(spark, sf_dir):
+    """F7 + T11 + T12: the release endpoint's view -- zero-filled monthly
+    releases, month-end continuation, last 12 rows only."""
+    s = S.gap_fill(releases_monthly_series(SI.Tables(spark, sf_dir)), "month")
+    fc = AD.additive_forecast(s, "month", month_end=True)
+    return _band_out(S.forecast_tail(fc, 12))
+
+
+@query("lookback_forecast")
+def lookback_forecast(spark, sf_dir):
+    """per-series linear AR(30) on scaled daily created issues."""
+    s = S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")
+    fc = LB.lookback_forecast(s)
+    return fc.select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"))
