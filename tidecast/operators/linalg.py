@@ -25,8 +25,8 @@ SOLUTION = T.StructType([
 ])
 
 
-def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
-    """(keys, n, xx ARRAY[p*p] row-major, xy ARRAY[p], yy) per key.
+def gram_jvm(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
+    """Pure-JVM variant of ``gram``: (keys, n, xx ARRAY[p*p] row-major, xy ARRAY[p], yy) per key.
 
     ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
     feature or target must be filtered out by the caller.
@@ -56,6 +56,57 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
     return g.select(*keys, "n", xx.alias("xx"), xy.alias("xy"), yy.alias("yy"))
 
 
+def _assemble(sums: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """(keys, k, v, cnt) upper-triangle sums of z = x ++ [y] -> gram rows."""
+    q = p + 1
+    g = sums.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_m"), F.max("cnt").alias("n"))
+    xx = F.expr(f"transform(sequence(0, {p * p - 1}), k -> "
+                f"_m[least(k div {p}, k % {p}) * {q} + greatest(k div {p}, k % {p})])")
+    xy = F.expr(f"transform(sequence(0, {p - 1}), i -> _m[i * {q} + {p}])")
+    yy = F.expr(f"_m[{p * q + p}]")
+    return g.select(*keys, "n", xx.alias("xx"), xy.alias("xy"), yy.alias("yy"))
+
+
+def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
+    """(keys, n, xx ARRAY[p*p] row-major, xy ARRAY[p], yy) per key.
+
+    ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
+    feature or target must be filtered out by the caller.
+
+    Two-level sum: inside each task, every Arrow batch is reduced per key
+    to the upper triangle of Z'Z (Z = [X | y]) with one numpy product;
+    Spark then adds these partials by (key, entry) -- a keyed aggregate
+    with map-side combine. Rows never leave their task, a hot key is
+    simply spread over more batches, and Python sees rows only to
+    multiply them.
+    """
+    q = p + 1
+    iu = np.triu_indices(q)
+    flat = (iu[0] * q + iu[1]).astype("int32")
+    key_types = {f.name: f.dataType for f in df.schema.fields if f.name in keys}
+    out_schema = T.StructType([T.StructField(k, key_types[k]) for k in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("tri", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            for kv, g in pdf.groupby(keys, sort=False, dropna=False):
+                kv = kv if isinstance(kv, tuple) else (kv,)
+                Z = np.empty((len(g), q))
+                Z[:, :p] = np.stack(g[x].to_numpy())
+                Z[:, p] = g[y].to_numpy(dtype=float)
+                G = Z.T @ Z
+                yield pd.DataFrame([[*kv, len(g), G[iu].tolist()]], columns=[*keys, "n", "tri"])
+
+    parts = df.select(*keys, F.col(x).alias(x), F.col(y).cast("double").alias(y)).mapInPandas(partial, out_schema)
+    ks = F.array(*[F.lit(int(v)) for v in flat])
+    sums = parts.select(*keys, "n", F.explode(F.arrays_zip(ks.alias("k"), F.col("tri").alias("v"))).alias("e")) \
+        .groupBy(*keys, F.col("e.k").alias("k")).agg(F.sum("e.v").alias("v"), F.sum("n").alias("cnt"))
+    return _assemble(sums, keys, p)
+
+
 def gram_long(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
     """The same statistics as rows (keys, kind, i, j, value), 1-based,
     upper triangle for 'xx' and j = 0 for 'xy'."""

@@ -486,3 +486,42 @@ def lookback_forecast(spark, sf_dir):
     s = S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")
     fc = LB.lookback_forecast(s)
     return fc.select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"))
+
+
+from . import pipeline as PL  # noqa: E402
+from . import report as R  # noqa: E402
+
+
+@query("issue_report_flat")
+def issue_report_flat(spark, sf_dir):
+    """R1 (flattened): issues created in the 12 windows before as_of, with
+    their month counts as 'YYYY-MM:n' text, insights and repo facts."""
+    t = SI.Tables(spark, sf_dir)
+    iss = SW.records_in_windows(SI.issues(t), SI.AS_OF, "created_at")
+    return R.issue_report(iss, flat=True)
+
+
+@query("metric_report_pulls")
+def metric_report_pulls(spark, sf_dir):
+    """R2: the three slots of the pulls metric side by side."""
+    t = SI.Tables(spark, sf_dir)
+    st = EL.eligibility(metric_counts(t, ("pulls",)))
+    rep = R.metric_report(st, "pulls")
+    choice = F.when(F.col("n_points") >= SM.HW_MIN_POINTS, F.lit("holt_winters")) \
+        .when(F.col("n_points") >= SM.SES_MIN_POINTS, F.lit("ses"))
+    return rep.withColumn("statsmodels_model", choice)
+
+
+@query("status_report")
+def status_report(spark, sf_dir):
+    """Gate status of every (repo, metric, slot) plus key validity."""
+    t = SI.Tables(spark, sf_dir)
+    return R.status_report(EL.eligibility(metric_counts(t)))
+
+
+@query("forecast_report")
+def forecast_report(spark, sf_dir):
+    """Every metric x slot forecast for every repository, one frame."""
+    fc, _ = PL.all_forecasts(SI.Tables(spark, sf_dir), persist=True)
+    return fc.select("repo", "metric", "slot", "model", "segment", "ds", "y", r4("yhat").alias("yhat"),
+                     r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))

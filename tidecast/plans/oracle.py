@@ -421,3 +421,50 @@ m AS (SELECT repo, model, avg((y - yhat) * (y - yhat)) AS mse FROM hf
       WHERE segment = 'test' AND yhat IS NOT NULL GROUP BY repo, model)
 SELECT repo, model, round(mse, 4) AS mse,
        row_number() OVER (PARTITION BY repo ORDER BY mse, model) AS rank FROM m"""
+
+
+# ----------------------------------------------------------------- reports
+ORACLE["issue_report_flat"] = with_views("issues", recursive=True) + f""",
+{_WINDOWS},
+cm AS (SELECT repo, strftime(created_at, '%Y-%m') AS m, count(*) AS n FROM iw GROUP BY ALL),
+km AS (SELECT repo, strftime(closed_at, '%Y-%m') AS m, count(*) AS n FROM iw WHERE closed_at IS NOT NULL GROUP BY ALL),
+ct AS (SELECT repo, string_agg(m || ':' || CAST(n AS VARCHAR), ',' ORDER BY m) AS t FROM cm GROUP BY repo),
+kt AS (SELECT repo, string_agg(m || ':' || CAST(n AS VARCHAR), ',' ORDER BY m) AS t FROM km GROUP BY repo),
+cw AS (SELECT repo, dayname(created_at) AS v, isodow(created_at) AS p, count(*) AS n
+       FROM iw WHERE created_at IS NOT NULL GROUP BY ALL),
+kw AS (SELECT repo, dayname(closed_at) AS v, isodow(closed_at) AS p, count(*) AS n
+       FROM iw WHERE closed_at IS NOT NULL GROUP BY ALL),
+kmn AS (SELECT repo, monthname(closed_at) AS v, month(closed_at) AS p, count(*) AS n
+       FROM iw WHERE closed_at IS NOT NULL GROUP BY ALL),
+a AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM cw) WHERE rn = 1),
+b AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM kw) WHERE rn = 1),
+c AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM kmn) WHERE rn = 1)
+SELECT r.repo, CAST(0 AS BIGINT) AS stars, CAST(0 AS BIGINT) AS forks,
+       ct.t AS created_issues_by_month, kt.t AS closed_issues_by_month,
+       a.v AS max_created_day_of_week, b.v AS max_closed_day_of_week, c.v AS max_closed_month_of_year
+FROM (SELECT DISTINCT repo FROM iw) r
+LEFT JOIN ct ON ct.repo = r.repo LEFT JOIN kt ON kt.repo = r.repo
+LEFT JOIN a ON a.repo = r.repo LEFT JOIN b ON b.repo = r.repo LEFT JOIN c ON c.repo = r.repo"""
+
+ORACLE["metric_report_pulls"] = with_views("pulls") + f""",
+{GATES},
+pm AS ({_monthly("pulls", "created_at")}),
+cnt AS (SELECT r.repo, r.n_records, p.n_points FROM
+          (SELECT repo, count(*) AS n_records FROM pulls WHERE created_at IS NOT NULL GROUP BY repo) r
+          LEFT JOIN (SELECT repo, count(*) AS n_points FROM pm GROUP BY repo) p ON p.repo = r.repo),
+st AS (SELECT c.repo, g.slot, c.n_records, coalesce(c.n_points, 0) AS n_points,
+              CASE WHEN c.n_records = 0 THEN 'no_data'
+                   WHEN c.n_records < g.min_records OR coalesce(c.n_points, 0) < g.min_points THEN 'not_enough_data'
+                   ELSE 'ok' END AS status
+       FROM cnt c JOIN gates g ON g.metric = 'pulls')
+SELECT repo, any_value(n_records) AS n_records, any_value(n_points) AS n_points,
+       max(CASE WHEN slot = 'lstm' THEN status END) AS lstm_status,
+       max(CASE WHEN slot = 'prophet' THEN status END) AS prophet_status,
+       max(CASE WHEN slot = 'statsmodels' THEN status END) AS statsmodels_status,
+       CASE WHEN any_value(n_points) >= 24 THEN 'holt_winters' WHEN any_value(n_points) >= 6 THEN 'ses' END
+         AS statsmodels_model
+FROM st GROUP BY repo"""
+
+ORACLE["status_report"] = ORACLE["series_eligibility"].replace(
+    "SELECT * FROM st", """SELECT *, CASE WHEN repo IS NULL OR repo = '' THEN 'invalid_repo'
+       WHEN len(string_split(repo, '/')) = 2 THEN 'ok' ELSE 'invalid_repo' END AS key_status FROM st""")
