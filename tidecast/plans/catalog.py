@@ -525,3 +525,16 @@ def forecast_report(spark, sf_dir):
     fc, _ = PL.all_forecasts(SI.Tables(spark, sf_dir), persist=True)
     return fc.select("repo", "metric", "slot", "model", "segment", "ds", "y", r4("yhat").alias("yhat"),
                      r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))
+
+
+@query("pulls_monthly_filled")
+def pulls_monthly_filled(spark, sf_dir):
+    """A3 + T6: monthly pull counts on a dense month grid (zeros in gaps)."""
+    return _series_out(S.gap_fill(pulls_monthly_series(SI.Tables(spark, sf_dir)), "month"))
+
+
+@query("commits_daily_filled")
+def commits_daily_filled(spark, sf_dir):
+    """A6 + T5: daily commits on a dense day grid (zeros in gaps)."""
+    s = S.daily_series(SI.commits(SI.Tables(spark, sf_dir)), "date", "commits")
+    return _series_out(S.gap_fill(s, "day"))

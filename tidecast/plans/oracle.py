@@ -468,3 +468,14 @@ FROM st GROUP BY repo"""
 ORACLE["status_report"] = ORACLE["series_eligibility"].replace(
     "SELECT * FROM st", """SELECT *, CASE WHEN repo IS NULL OR repo = '' THEN 'invalid_repo'
        WHEN len(string_split(repo, '/')) = 2 THEN 'ok' ELSE 'invalid_repo' END AS key_status FROM st""")
+
+ORACLE["pulls_monthly_filled"] = with_views("pulls") + f""",
+{PULLS_MONTHLY},
+{fill("pm", "MONTH", "pmf")}
+SELECT * FROM pmf"""
+
+ORACLE["commits_daily_filled"] = with_views("commits") + f""",
+cd AS (SELECT repo, CAST("date" AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
+       FROM commits WHERE "date" IS NOT NULL GROUP BY ALL),
+{fill("cd", "DAY", "cdf")}
+SELECT * FROM cdf"""

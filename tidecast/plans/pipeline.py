@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from ..operators import smoothing as SM
 from ..operators import timeline as TL
 from ..operators import trend as TR
 from ..operators import windows as W
+from ..session import cut_lineage
 from ..sources import standins as SI
 from ..sources import windows as SW
 from . import report as R
@@ -91,7 +91,7 @@ def status_table(t: SI.Tables, series: DataFrame) -> DataFrame:
     return j.select("repo", "metric", "slot", "estimator", "n_records", "n_points", status.alias("status"))
 
 
-def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True):
+def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True):  # noqa: C901
     """(forecasts, status) for every metric x slot. Forecast rows follow
     ``OUT``; ``status`` is the R3 table."""
     parts = entity_series(t, as_of)
@@ -99,10 +99,10 @@ def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True
     for s in parts.values():
         series = s if series is None else series.unionByName(s)
     if persist:
-        series = series.persist(StorageLevel.MEMORY_AND_DISK)
+        series = cut_lineage(series)
     status = status_table(t, series)
     if persist:
-        status = status.persist(StorageLevel.MEMORY_AND_DISK)
+        status = cut_lineage(status)
 
     def ok(metric, slot):
         return EL.eligible_series(series.where(F.col("metric") == metric), status, slot)

@@ -41,11 +41,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     file system). Only when the session leaves it unset (tests, local runs)
     do we pick a scratch folder ourselves.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        # unset: only in tests / local runs -> a private scratch folder
         d = tempfile.mkdtemp(prefix="tidecast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder: the result
+    survives executor loss and later plans start from it, not from the
+    whole derivation. (Never a local checkpoint.)"""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
