@@ -38,7 +38,7 @@ def to_day(c) -> Column:
 
 def to_day_text(c) -> Column:
     """T4 on raw text: the first ten characters as a date, NULL if invalid."""
-    return F.try_to_date(F.substring(_c(c), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(_c(c), 1, 10), "yyyy-MM-dd")
 
 
 def to_month(c) -> Column:
