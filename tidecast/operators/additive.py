@@ -60,15 +60,15 @@ def _features(ds: str = "ds"):
     """ARRAY<DOUBLE> of length P for the row's date, given the stats columns."""
     t = F.when(F.col("span") > 0, F.datediff(F.col(ds), F.col("first_ds")) / F.col("span").cast("double")) \
         .otherwise(F.lit(0.0))
-    days = F.datediff(F.col(ds), F.lit("1970-01-01").cast("date")).cast("double")
     hinge = F.transform("cps", lambda c: F.when(c.isNull(), F.lit(0.0)).otherwise(F.greatest(t - c, F.lit(0.0))))
+    days = f"CAST(datediff(`{ds}`, DATE'1970-01-01') AS DOUBLE)"
     four = []
     for on, order, period in (("yearly_on", YEARLY_ORDER, YEAR_DAYS), ("weekly_on", WEEKLY_ORDER, 7.0)):
-        for k in range(1, order + 1):
-            arg = days * F.lit(2.0 * math.pi * k / period)
-            four += [F.when(F.col(on), F.sin(arg)).otherwise(F.lit(0.0)),
-                     F.when(F.col(on), F.cos(arg)).otherwise(F.lit(0.0))]
-    return F.concat(F.array(F.lit(1.0), t), hinge, F.array(*four))
+        w = 2.0 * math.pi / period
+        four.append(F.expr(
+            f"flatten(transform(sequence(1, {order}), k -> IF({on}, "
+            f"array(sin({days} * ({w!r} * k)), cos({days} * ({w!r} * k))), array(0D, 0D))))"))
+    return F.concat(F.array(F.lit(1.0), t), hinge, *four)
 
 
 def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS) -> DataFrame:

@@ -155,11 +155,9 @@ def kpss_level(series: DataFrame, keys=KEYS, max_lag: int = 12) -> DataFrame:
     variance, lags floor(4 * (n/100)^(1/4)), capped at ``max_lag``)."""
     wn = Window.partitionBy(*keys)
     w = Window.partitionBy(*keys).orderBy("ds")
-    s = series.withColumn("n", F.count(F.lit(1)).over(wn)) \
-        .withColumn("e", F.col("y") - F.avg("y").over(wn))
-    s = s.withColumn("S", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    for k in range(1, max_lag + 1):
-        s = s.withColumn(f"_p{k}", F.col("e") * F.lag("e", k).over(w))
+    s = series.select("*", F.count(F.lit(1)).over(wn).alias("n"), (F.col("y") - F.avg("y").over(wn)).alias("e"))
+    s = s.select("*", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("S"),
+                 *[(F.col("e") * F.lag("e", k).over(w)).alias(f"_p{k}") for k in range(1, max_lag + 1)])
     aggs = [F.first("n").alias("n"), F.sum(F.col("S") * F.col("S")).alias("ss"),
             F.sum(F.col("e") * F.col("e")).alias("g0")]
     aggs += [F.sum(f"_p{k}").alias(f"g{k}") for k in range(1, max_lag + 1)]
@@ -181,8 +179,7 @@ def auto_order_fit(series: DataFrame, keys=KEYS, max_p: int = MAX_P) -> DataFram
     w = Window.partitionBy(*keys).orderBy("ds")
     s = s.withColumn("z", F.when(F.col("d") == 1, F.col("y") - F.lag("y", 1).over(w)).otherwise(F.col("y")))
     s = s.where(F.col("z").isNotNull())
-    for i in range(1, max_p + 1):
-        s = s.withColumn(f"zl{i}", F.lag("z", i).over(w))
+    s = s.select("*", *[F.lag("z", i).over(w).alias(f"zl{i}") for i in range(1, max_p + 1)])
     cond = F.col(f"zl{max_p}").isNotNull()
     s = s.where(cond).select(*keys, "d", "z", F.array(F.lit(1.0), *[F.col(f"zl{i}") for i in range(1, max_p + 1)])
                              .alias("x"))

@@ -96,3 +96,10 @@ def dedupe_records(df: DataFrame, key: list[str]) -> DataFrame:
     by its record ids.
     """
     return df.dropDuplicates(key)
+
+
+def project_series(df: DataFrame, time_col: str, value_col: str | None = None, metric: str = "series") -> DataFrame:
+    """Choose the time and value columns and name them ``ds``/``y``
+    (value 1 per record when ``value_col`` is None)."""
+    y = F.lit(1.0) if value_col is None else F.col(value_col).cast("double")
+    return df.select("repo", F.lit(metric).alias("metric"), F.col(time_col).alias("ds"), y.alias("y"))

@@ -83,7 +83,6 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
     """
     q = p + 1
     iu = np.triu_indices(q)
-    flat = (iu[0] * q + iu[1]).astype("int32")
     key_types = {f.name: f.dataType for f in df.schema.fields if f.name in keys}
     out_schema = T.StructType([T.StructField(k, key_types[k]) for k in keys] + [
         T.StructField("n", T.LongType()), T.StructField("tri", T.ArrayType(T.DoubleType()))])
@@ -101,7 +100,8 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
                 yield pd.DataFrame([[*kv, len(g), G[iu].tolist()]], columns=[*keys, "n", "tri"])
 
     parts = df.select(*keys, F.col(x).alias(x), F.col(y).cast("double").alias(y)).mapInPandas(partial, out_schema)
-    ks = F.array(*[F.lit(int(v)) for v in flat])
+    # flat upper-triangle positions i * q + j (j >= i), row-major like np.triu_indices
+    ks = F.expr(f"flatten(transform(sequence(0, {q - 1}), i -> transform(sequence(i, {q - 1}), j -> i * {q} + j)))")
     sums = parts.select(*keys, "n", F.explode(F.arrays_zip(ks.alias("k"), F.col("tri").alias("v"))).alias("e")) \
         .groupBy(*keys, F.col("e.k").alias("k")).agg(F.sum("e.v").alias("v"), F.sum("n").alias("cnt"))
     return _assemble(sums, keys, p)

@@ -89,6 +89,4 @@ def difference(series: DataFrame, keys=KEYS, col: str = "y", out: str = "dy") ->
 def lag_matrix(df: DataFrame, p: int, col: str = "dy", keys=KEYS, prefix: str = "lag") -> DataFrame:
     """Lags 1..p of ``col`` as columns."""
     w = Window.partitionBy(*keys).orderBy("ds")
-    for i in range(1, p + 1):
-        df = df.withColumn(f"{prefix}{i}", F.lag(col, i).over(w))
-    return df
+    return df.select("*", *[F.lag(col, i).over(w).alias(f"{prefix}{i}") for i in range(1, p + 1)])

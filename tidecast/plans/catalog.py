@@ -538,3 +538,10 @@ def commits_daily_filled(spark, sf_dir):
     """A6 + T5: daily commits on a dense day grid (zeros in gaps)."""
     s = S.daily_series(SI.commits(SI.Tables(spark, sf_dir)), "date", "commits")
     return _series_out(S.gap_fill(s, "day"))
+
+
+@query("pulls_profile_trend")
+def pulls_profile_trend(spark, sf_dir):
+    """A4 + F10: the pulls slot's month-of-year profile with its linear fit."""
+    prof = S.month_of_year_profile(SI.pulls(SI.Tables(spark, sf_dir)), "created_at")
+    return TR.profile_trend(prof).select("repo", "month", "n", r4("yhat").alias("yhat"))

@@ -479,3 +479,10 @@ cd AS (SELECT repo, CAST("date" AS DATE) AS ds, CAST(count(*) AS DOUBLE) AS y
        FROM commits WHERE "date" IS NOT NULL GROUP BY ALL),
 {fill("cd", "DAY", "cdf")}
 SELECT * FROM cdf"""
+
+ORACLE["pulls_profile_trend"] = with_views("pulls") + """,
+p AS (SELECT repo, month(created_at) AS month, count(*) AS n FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL),
+c AS (SELECT repo, coalesce(regr_slope(CAST(n AS DOUBLE), CAST(month AS DOUBLE)), 0) AS slope,
+             coalesce(regr_intercept(CAST(n AS DOUBLE), CAST(month AS DOUBLE)), avg(n)) AS intercept
+      FROM p GROUP BY repo)
+SELECT p.repo, p.month, p.n, round(c.intercept + c.slope * p.month, 4) AS yhat FROM p JOIN c ON c.repo = p.repo"""

@@ -60,21 +60,16 @@ def entity_series(t: SI.Tables, as_of: _dt.date = SI.AS_OF) -> dict[str, DataFra
 
 
 def _counts(t: SI.Tables, series: DataFrame) -> DataFrame:
-    rec = []
-    src = {"issues": (SI.issues(t), "created_at"), "issues_closed": (SI.issues(t), "closed_at"),
-           "pulls": (SI.pulls(t), "created_at"), "commits": (SI.commits(t), "date"),
-           "branches": (SI.branches(t), None), "contributors": (SI.contributors(t), None),
-           "releases": (SI.releases(t), "published_at")}
-    for m, (df, col) in src.items():
-        if col is not None:
-            df = df.where(F.col(col).isNotNull())
-        rec.append(df.groupBy("repo").agg(F.count(F.lit(1)).alias("n_records")).withColumn("metric", F.lit(m)))
-    r = rec[0]
-    for x in rec[1:]:
-        r = r.unionByName(x)
-    pts = series.groupBy("repo", "metric").agg(F.count(F.lit(1)).alias("n_points"))
-    return r.join(pts, ["repo", "metric"], "left").select(
-        "repo", "metric", "n_records", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+    """(repo, metric, n_records, n_points) without re-reading raw records:
+    for count series the records are the sum of the (zero-filled) counts;
+    only the contribution sums need their own row count."""
+    pts = series.groupBy("repo", "metric").agg(
+        F.count(F.lit(1)).alias("n_points"), F.sum("y").cast("long").alias("_sum"))
+    contrib = SI.contributors(t).groupBy("repo").agg(F.count(F.lit(1)).alias("_rows")) \
+        .withColumn("metric", F.lit("contributors"))
+    j = pts.join(contrib, ["repo", "metric"], "left")
+    n_rec = F.when(F.col("metric") == "contributors", F.coalesce("_rows", F.lit(0))).otherwise(F.col("_sum"))
+    return j.select("repo", "metric", n_rec.cast("long").alias("n_records"), "n_points")
 
 
 def status_table(t: SI.Tables, series: DataFrame) -> DataFrame:
@@ -104,36 +99,31 @@ def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True
     if persist:
         status = cut_lineage(status)
 
-    def ok(metric, slot):
-        return EL.eligible_series(series.where(F.col("metric") == metric), status, slot)
-
-    out = []
-    for m in ("issues", "issues_closed"):
-        out.append(_norm(LB.lookback_forecast(ok(m, "lstm")).withColumn("metric", F.lit(m)), "lstm"))
-        out.append(_norm(AD.additive_forecast(ok(m, "prophet"), "day"), "prophet"))
-        s = W.split_ordered(ok(m, "statsmodels"))
-        train = s.where(F.col("split") == "train").select(*KEYS, "ds", "y")
-        h = s.where(F.col("split") == "test").groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("h"))
-        fc = AR.auto_order_forecast(train, h).withColumn("segment", F.lit("test"))
-        fc = fc.join(s.where(F.col("split") == "test").select(*KEYS, "ds", "y"), [*KEYS, "ds"], "left")
-        out.append(_norm(fc, "statsmodels"))
-    for m in ("pulls", "commits", "branches", "contributors", "releases"):
-        tr = TR.index_trend_fit(W.split_hashed(ok(m, "lstm"))).withColumn("model", F.lit("index_trend")) \
-            .withColumn("segment", F.col("split"))
-        out.append(_norm(tr, "lstm"))
-        if m == "releases":
-            fc = S.forecast_tail(AD.additive_forecast(ok(m, "prophet"), "month", month_end=True), 12)
-        else:
-            fc = AD.additive_forecast(ok(m, "prophet"), "month")
-        out.append(_norm(fc, "prophet"))
-        src = ok(m, "statsmodels")
-        if m == "pulls":
-            fc = SM.smoothing_forecast(src)
-        elif m in ("commits", "branches"):
-            fc = AR.ar_forecast(src, 5)
-        else:
-            fc = AR.arma_forecast(src)
-        out.append(_norm(fc, "statsmodels"))
+    def ok(metrics, slot):
+        return EL.eligible_series(series.where(F.col("metric").isin(*metrics)), status, slot)
+
+    daily = ("issues", "issues_closed")
+    monthly = ("pulls", "commits", "branches", "contributors", "releases")
+    # one fit per model over every metric it serves: operators are keyed by
+    # (repo, metric), so the metrics simply add keys to the same job
+    out = [_norm(LB.lookback_forecast(ok(daily, "lstm")), "lstm"),
+           _norm(AD.additive_forecast(ok(daily, "prophet"), "day"), "prophet")]
+    s = W.split_ordered(ok(daily, "statsmodels"))
+    train = s.where(F.col("split") == "train").select(*KEYS, "ds", "y")
+    h = s.where(F.col("split") == "test").groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("h"))
+    fc = AR.auto_order_forecast(train, h).withColumn("segment", F.lit("test"))
+    fc = fc.join(s.where(F.col("split") == "test").select(*KEYS, "ds", "y"), [*KEYS, "ds"], "left")
+    out.append(_norm(fc, "statsmodels"))
+    tr = TR.index_trend_fit(W.split_hashed(ok(monthly, "lstm"))).withColumn("model", F.lit("index_trend")) \
+        .withColumn("segment", F.col("split"))
+    out.append(_norm(tr, "lstm"))
+    out.append(_norm(AD.additive_forecast(ok(monthly[:-1], "prophet"), "month"), "prophet"))
+    # releases: month-end continuation, last 12 rows only (the release endpoint's view)
+    out.append(_norm(S.forecast_tail(AD.additive_forecast(ok(("releases",), "prophet"), "month",
+                                                          month_end=True), 12), "prophet"))
+    out.append(_norm(SM.smoothing_forecast(ok(("pulls",), "statsmodels")), "statsmodels"))
+    out.append(_norm(AR.ar_forecast(ok(("commits", "branches"), "statsmodels"), 5), "statsmodels"))
+    out.append(_norm(AR.arma_forecast(ok(("contributors", "releases"), "statsmodels")), "statsmodels"))
     res = out[0]
     for x in out[1:]:
         res = res.unionByName(x)
