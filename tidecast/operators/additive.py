@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import KEYS
-from .linalg import dot, gram, solve
+from .linalg import dot_fixed, gram, solve
 from .smoothing import Z80
 
 # Fixed values (defaults of the decomposable model the reference calls).
@@ -57,23 +57,28 @@ def _stats(series: DataFrame, grain: str, keys) -> DataFrame:
 
 
 def _features(ds: str = "ds"):
-    """ARRAY<DOUBLE> of length P for the row's date, given the stats columns."""
+    """ARRAY<DOUBLE> of length P for the row's date, given the stats columns.
+
+    Written as P explicit element expressions (no lambdas), so the whole
+    array is produced inside whole-stage codegen.
+    """
     t = F.when(F.col("span") > 0, F.datediff(F.col(ds), F.col("first_ds")) / F.col("span").cast("double")) \
         .otherwise(F.lit(0.0))
-    hinge = F.transform("cps", lambda c: F.when(c.isNull(), F.lit(0.0)).otherwise(F.greatest(t - c, F.lit(0.0))))
-    days = f"CAST(datediff(`{ds}`, DATE'1970-01-01') AS DOUBLE)"
-    four = []
+    days = F.datediff(F.col(ds), F.lit("1970-01-01").cast("date")).cast("double")
+    cps = F.col("cps")
+    cols = [F.lit(1.0), t]
+    cols += [F.coalesce(F.greatest(t - cps[k], F.lit(0.0)), F.lit(0.0)) for k in range(N_CHANGEPOINTS)]
     for on, order, period in (("yearly_on", YEARLY_ORDER, YEAR_DAYS), ("weekly_on", WEEKLY_ORDER, 7.0)):
-        w = 2.0 * math.pi / period
-        four.append(F.expr(
-            f"flatten(transform(sequence(1, {order}), k -> IF({on}, "
-            f"array(sin({days} * ({w!r} * k)), cos({days} * ({w!r} * k))), array(0D, 0D))))"))
-    return F.concat(F.array(F.lit(1.0), t), hinge, *four)
+        for k in range(1, order + 1):
+            arg = days * F.lit(2.0 * math.pi * k / period)
+            cols += [F.when(F.col(on), F.sin(arg)).otherwise(F.lit(0.0)),
+                     F.when(F.col(on), F.cos(arg)).otherwise(F.lit(0.0))]
+    return F.array(*cols)
 
 
-def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS) -> DataFrame:
+def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: DataFrame | None = None) -> DataFrame:
     """(keys, stats..., beta, sigma) per series."""
-    st = _stats(series, grain, keys)
+    st = stats if stats is not None else _stats(series, grain, keys)
     rows = series.join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
                                         _features().alias("x"))
     g = gram(rows, keys, "x", "ys", P)
@@ -101,12 +106,13 @@ def additive_forecast(series: DataFrame, grain: str = "month", h: int | None = N
     points (segment 'forecast'): 30 days for daily series, 12 months for
     monthly ones (month-starts; ``month_end=True`` for the month-end grid)."""
     h = h if h is not None else (30 if grain == "day" else 12)
-    fit = additive_fit(series, grain, keys)
+    st = _stats(series, grain, keys)
+    fit = additive_fit(series, grain, keys, stats=st).select(*keys, "beta", "sigma")
     hist = series.select(*keys, "ds", "y", F.lit("train").alias("segment"))
-    fut = _future(fit, grain, h, month_end, keys).select(
+    fut = _future(st, grain, h, month_end, keys).select(
         *keys, "ds", F.lit(None).cast("double").alias("y"), F.lit("forecast").alias("segment"))
-    grid = hist.unionByName(fut).join(fit, keys)
-    yhat = dot(_features(), F.col("beta")) * F.col("scale")
+    grid = hist.unionByName(fut).join(st, keys).join(fit, keys)
+    yhat = dot_fixed(_features(), F.col("beta"), P) * F.col("scale")
     out = grid.withColumn("yhat", yhat)
     band = F.lit(Z80) * F.col("sigma")
     return out.select(*keys, F.lit("additive").alias("model"), "segment", "ds", "y", "yhat",

@@ -162,3 +162,12 @@ def sub_gram(g: DataFrame, p_full: int, idx: list[int], prefix: str) -> DataFram
 def dot(a, b):
     """SQL dot product of two equal-length ARRAY<DOUBLE> columns."""
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, t: acc + t)
+
+
+def dot_fixed(a, b, n: int):
+    """Dot product of two ARRAY<DOUBLE> columns of known length ``n`` as
+    one arithmetic expression (codegen-friendly, unlike a lambda fold)."""
+    out = a[0] * b[0]
+    for i in range(1, n):
+        out = out + a[i] * b[i]
+    return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import KEYS
-from .linalg import dot, gram, solve
+from .linalg import dot_fixed, gram, solve
 from .windows import LOOK_BACK, lookback_windows, minmax_scale, minmax_unscale, split_ordered
 
 RIDGE = 1e-3
@@ -43,7 +43,8 @@ def lookback_forecast(series: DataFrame, k: int = LOOK_BACK, fit_on: str = "trai
         tr = lb.where(F.col("split") == "train").select(*keys, xs.alias("xs"), "y_scaled")
         beta = solve(gram(tr, keys, "xs", "y_scaled", k + 1), ridge=RIDGE) \
             .select(*keys, F.col("fit.beta").alias("beta"))
-        pred = lb.join(beta, keys).withColumn("p", dot(F.concat(F.array(F.lit(1.0)), F.col("x")), F.col("beta")))
+        pred = lb.join(beta, keys).withColumn(
+            "p", F.col("beta")[0] + dot_fixed(F.col("x"), F.slice("beta", 2, k), k))
     elif model == "global":
         vec = lb.withColumn("features", array_to_vector("x"))
         lr = LinearRegression(featuresCol="features", labelCol="y_scaled", predictionCol="p",
