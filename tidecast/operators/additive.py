@@ -112,8 +112,8 @@ def additive_forecast(series: DataFrame, grain: str = "month", h: int | None = N
     fut = _future(st, grain, h, month_end, keys).select(
         *keys, "ds", F.lit(None).cast("double").alias("y"), F.lit("forecast").alias("segment"))
     grid = hist.unionByName(fut).join(st, keys).join(fit, keys)
-    yhat = dot_fixed(_features(), F.col("beta"), P) * F.col("scale")
-    out = grid.withColumn("yhat", yhat)
+    out = grid.withColumn("_x", _features())
+    out = out.withColumn("yhat", dot_fixed(F.col("_x"), F.col("beta"), P) * F.col("scale"))
     band = F.lit(Z80) * F.col("sigma")
     return out.select(*keys, F.lit("additive").alias("model"), "segment", "ds", "y", "yhat",
                       (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"))
