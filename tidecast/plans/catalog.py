@@ -84,8 +84,7 @@ def month_histogram(spark, sf_dir):
 
 def _issues_windowed(spark, sf_dir, cap):
     t = SI.Tables(spark, sf_dir)
-    iss = C.dedupe_records(SI.issues(t), ["repo", "issue_number"])
-    return SW.records_in_windows(iss, SI.AS_OF, "created_at", cap=cap)
+    return SW.records_in_windows(SI.issues(t), SI.AS_OF, "created_at", cap=cap, dedupe=True)
 
 
 @query("issues_in_windows")

@@ -41,7 +41,7 @@ def month_windows(spark: SparkSession, as_of: _dt.date, n: int = N_WINDOWS) -> D
 
 def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_at",
                        n: int = N_WINDOWS, cap: int | None = None,
-                       key: str = "issue_number") -> DataFrame:
+                       key: str = "issue_number", dedupe: bool = False) -> DataFrame:
     """S5 + J2: records whose day falls in a window, tagged with its index.
 
     Windows are half-open ``(lo, hi]`` except the oldest, ``[lo, hi]``, so a
@@ -50,13 +50,18 @@ def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_
     to the scan); the window lookup is then a range join against a
     12-row table whose size is fixed by ``n``, hence safe to broadcast.
     ``cap`` keeps the first ``cap`` records per (repo, window) by
-    (day, key), as one search page did (defect D5 kept as an option).
+    (day, key), as one search page did (defect D5 kept as an option);
+    ``row_number() <= cap`` gets a partial group limit before the shuffle.
+    ``dedupe`` drops repeated (repo, key) records (P13).
     """
     spark = df.sparkSession
     b = window_bounds(as_of, n)
     lo_all, hi_all = b[-1][1], b[0][2]
     day = F.col(time_col).cast("date")
     pre = df.where((F.col(time_col) >= F.lit(lo_all)) & (F.col(time_col) < F.lit(hi_all + _dt.timedelta(days=1))))
+    if dedupe:
+        # P13 after the range filter, so the filter still reaches the scan
+        pre = pre.dropDuplicates(["repo", key])
     w = F.broadcast(month_windows(spark, as_of, n))
     cond = (day <= w.hi) & ((day > w.lo) | ((w.window_idx == n) & (day == w.lo)))
     out = pre.join(w, cond, "inner").drop("lo", "hi")
