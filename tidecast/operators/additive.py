@@ -79,7 +79,10 @@ def _features(ds: str = "ds"):
 def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: DataFrame | None = None) -> DataFrame:
     """(keys, stats..., beta, sigma) per series."""
     st = stats if stats is not None else _stats(series, grain, keys)
-    rows = series.join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
+    # cluster each series' (narrow) rows by key before the 53-wide features
+    # exist, so the per-batch partial Gram is already one matrix per series
+    # (series length is bounded by the calendar, so no key is unbounded)
+    rows = series.repartition(*keys).join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
                                         _features().alias("x"))
     g = gram(rows, keys, "x", "ys", P)
     sol = solve(g, ridge=F.array(*[F.lit(v) for v in RIDGE]))

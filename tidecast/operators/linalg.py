@@ -79,7 +79,10 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
     Spark then adds these partials by (key, entry) -- a keyed aggregate
     with map-side combine. Rows never leave their task, a hot key is
     simply spread over more batches, and Python sees rows only to
-    multiply them.
+    multiply them. The partials shrink the data when a batch holds many
+    rows of the same key, so callers feed rows clustered by key (series
+    rows after a keyed window or repartition): then there is about one
+    partial per series.
     """
     q = p + 1
     iu = np.triu_indices(q)
