@@ -58,4 +58,4 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order, k: int, out: st
     and map task cross the network even for a hot group.
     """
     w = Window.partitionBy(*group_cols).orderBy(*order_columns(order))
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= k)

@@ -60,7 +60,7 @@ def since(df: DataFrame, col: str, as_of: _dt.date, days: int = 730) -> DataFram
     lo = _dt.datetime.combine(as_of - _dt.timedelta(days=days), _dt.time())
     kind = df.schema[col].dataType
     if isinstance(kind, T.TimestampNTZType):
-        bound = F.lit(lo).cast("timestamp_ntz")
+        bound = F.lit(lo.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")  # zone-free
     elif isinstance(kind, T.DateType):
         bound = F.lit(lo.date())
     else:

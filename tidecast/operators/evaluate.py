@@ -67,4 +67,4 @@ def compare_models(frame: DataFrame, keys=KEYS) -> DataFrame:
     """Rank models per series by hold-out mse (1 = best, ties by name)."""
     m = mse(frame, keys, "test")
     w = Window.partitionBy(*keys).orderBy(F.col("mse").asc(), F.col("model").asc())
-    return m.withColumn("rank", F.row_number().over(w))
+    return m.withColumn("rank", F.row_number().over(w).cast("long"))

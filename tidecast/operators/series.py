@@ -71,7 +71,7 @@ def month_of_year_profile(df: DataFrame, time_col) -> DataFrame:
     """A4: records per calendar month 1-12, all years folded together."""
     t = _time(time_col)
     return (df.where(t.isNotNull())
-              .groupBy("repo", F.month(t.cast("date")).alias("month"))
+              .groupBy("repo", F.month(t.cast("date")).cast("long").alias("month"))
               .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -108,7 +108,7 @@ def gap_fill(series: DataFrame, unit: str = "month", fill: float = 0.0, keys=KEY
 def add_index(series: DataFrame, keys=KEYS, col: str = "idx") -> DataFrame:
     """0-based position in time order within each series."""
     w = Window.partitionBy(*keys).orderBy("ds")
-    return series.withColumn(col, F.row_number().over(w) - 1)
+    return series.withColumn(col, (F.row_number().over(w) - 1).cast("long"))
 
 
 def future_month_starts(series: DataFrame, h: int = 12, keys=KEYS) -> DataFrame:

@@ -21,7 +21,7 @@ def split_ordered(series: DataFrame, frac: float = TRAIN_FRAC, keys=KEYS) -> Dat
     """The first ``floor(frac * n)`` points (by ds) are train, the rest test."""
     w = Window.partitionBy(*keys).orderBy("ds")
     wn = Window.partitionBy(*keys)
-    return (series.withColumn("idx", F.row_number().over(w) - 1)
+    return (series.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
                   .withColumn("n_points", F.count(F.lit(1)).over(wn))
                   .withColumn("split", F.when(F.col("idx") < F.floor(F.col("n_points") * F.lit(frac)),
                                               F.lit("train")).otherwise(F.lit("test"))))
@@ -36,7 +36,7 @@ def split_hashed(series: DataFrame, test_frac: float = TEST_FRAC, seed: int = SP
     wn = Window.partitionBy(*keys)
     h = F.md5(F.concat_ws("|", F.col("repo"), F.col("idx").cast("string"), F.lit(str(seed))))
     wh = Window.partitionBy(*keys).orderBy(h)
-    s = (series.withColumn("idx", F.row_number().over(w) - 1)
+    s = (series.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
                .withColumn("n_points", F.count(F.lit(1)).over(wn))
                .withColumn("_hr", F.row_number().over(wh)))
     n_test = F.ceil(F.col("n_points") * F.lit(test_frac))
