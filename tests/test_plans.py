@@ -65,3 +65,20 @@ def test_report_nested_columns(spark):
     rep = R.issue_report(SI.issues(t)).where(F.col("repo") == "1-URGENT") \
         .select(F.map_keys("created_issues_by_month").alias("k"), "created_issues_by_month").first()
     assert rep.k == sorted(rep.k) and sum(rep.created_issues_by_month.values()) > 0
+
+
+def test_dashboard_tables(spark):
+    from tidecast.plans import pipeline as PL
+    from tidecast.sources import standins as SI
+    d = PL.dashboard_tables(SI.Tables(spark, SF0001))
+    assert {"forecasts", "status", "issue_report", "pulls_report", "releases_report"} <= set(d)
+    fc = d["forecasts"]
+    slots = {(r.metric, r.slot) for r in fc.select("metric", "slot").distinct().collect()}
+    assert ("pulls", "statsmodels") in slots and ("issues", "prophet") in slots and ("releases", "lstm") in slots
+    st = d["status"]
+    assert st.where(F.col("status").isNull()).count() == 0
+    assert {r.status for r in st.collect()} <= {"ok", "no_data", "not_enough_data", "failed"}
+    rep = d["issue_report"].collect()
+    assert len(rep) == 5 and all(r.prophet_forecast for r in rep)
+    pr = d["pulls_report"].collect()
+    assert len(pr) == 5 and all(r.statsmodels_status == "ok" for r in pr)

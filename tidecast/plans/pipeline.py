@@ -130,11 +130,30 @@ def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True
     return res, status
 
 
+def fit_status(forecasts: DataFrame, status: DataFrame) -> DataFrame:
+    """Per (repo, metric, slot) that passed its gate: 'failed' when a
+    forecast value is not finite, 'not_enough_data' when the estimator
+    produced no rows (e.g. no 30-day window fits in the test part)."""
+    fc = forecasts.groupBy("repo", "metric", "slot").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"))
+    ok = status.where(F.col("status") == "ok").select("repo", "metric", "slot")
+    j = ok.join(fc, ["repo", "metric", "slot"], "left")
+    st = (F.when(F.col("_rows").isNull(), F.lit("not_enough_data"))
+           .when(F.col("_bad") > 0, F.lit("failed")))
+    return j.select("repo", "metric", "slot", st.alias("fit_status")).where(F.col("fit_status").isNotNull())
+
+
 def dashboard_tables(t: SI.Tables, as_of: _dt.date = SI.AS_OF) -> dict[str, DataFrame]:
-    """Everything the page shows, for every repository."""
+    """Everything the page shows, for every repository.
+
+    The forecasts are written once (checkpoint) and every table below
+    reads them, so no model is fitted twice.
+    """
     fc, status = all_forecasts(t, as_of)
+    fc = cut_lineage(fc)
     issues = SW.records_in_windows(SI.issues(t), as_of, "created_at")
-    out = {"forecasts": fc, "status": R.status_report(status),
+    out = {"forecasts": fc, "status": R.status_report(status, fit_status(fc, status)),
            "issue_report": R.issue_report(issues, forecasts=fc.where(F.col("metric") == "issues"))}
     for m in ("pulls", "commits", "branches", "contributors", "releases"):
         out[f"{m}_report"] = R.metric_report(status, m, fc)
