@@ -544,3 +544,39 @@ def pulls_profile_trend(spark, sf_dir):
     """A4 + F10: the pulls slot's month-of-year profile with its linear fit."""
     prof = S.month_of_year_profile(SI.pulls(SI.Tables(spark, sf_dir)), "created_at")
     return TR.profile_trend(prof).select("repo", "month", "n", r4("yhat").alias("yhat"))
+
+
+@query("series_bounds")
+def series_bounds(spark, sf_dir):
+    """A7 + A8: first/last month and number of points of each pull series."""
+    b = S.series_bounds(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    return b.select("repo", "first_ds", "last_ds", "n_points")
+
+
+@query("record_counts")
+def record_counts(spark, sf_dir):
+    """Records per repository for every entity stand-in."""
+    t = SI.Tables(spark, sf_dir)
+    parts = [("issues", SI.issues(t)), ("pulls", SI.pulls(t)), ("commits", SI.commits(t)),
+             ("branches", SI.branches(t)), ("contributors", SI.contributors(t)), ("releases", SI.releases(t))]
+    out = None
+    for name, df in parts:
+        c = S.record_count(df).select("repo", F.lit(name).alias("entity"), "n_records")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("pulls_parsed_from_text")
+def pulls_parsed_from_text(spark, sf_dir):
+    """T1 + T4 + P8 on API-shaped text: order dates rendered as ISO text
+    ('...T...Z'), parsed back leniently and by first-ten-characters, then
+    counted per day; both parses must agree."""
+    from ..functions.timecols import STRICT_FORMAT, parse_time, to_day_text
+    p = SI.pulls(SI.Tables(spark, sf_dir)).select(
+        "repo", F.date_format("created_at", STRICT_FORMAT).alias("created_text"))
+    p = p.select("repo", parse_time("created_text").cast("date").alias("day_ts"),
+                 to_day_text("created_text").alias("day_txt"))
+    p = C.only_present(p, "day_ts")
+    return p.groupBy("repo", F.col("day_txt").alias("ds")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("day_ts") == F.col("day_txt"), 1).otherwise(0))
+        .cast("long").alias("n_agree"))

@@ -486,3 +486,19 @@ c AS (SELECT repo, coalesce(regr_slope(CAST(n AS DOUBLE), CAST(month AS DOUBLE))
              coalesce(regr_intercept(CAST(n AS DOUBLE), CAST(month AS DOUBLE)), avg(n)) AS intercept
       FROM p GROUP BY repo)
 SELECT p.repo, p.month, p.n, round(c.intercept + c.slope * p.month, 4) AS yhat FROM p JOIN c ON c.repo = p.repo"""
+
+ORACLE["series_bounds"] = with_views("pulls") + f""",
+{PULLS_MONTHLY}
+SELECT repo, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS n_points FROM pm GROUP BY repo"""
+
+ORACLE["record_counts"] = with_views(*_ALL_VIEWS) + """
+SELECT repo, 'issues' AS entity, count(*) AS n_records FROM issues GROUP BY repo
+UNION ALL SELECT repo, 'pulls', count(*) FROM pulls GROUP BY repo
+UNION ALL SELECT repo, 'commits', count(*) FROM commits GROUP BY repo
+UNION ALL SELECT repo, 'branches', count(*) FROM branches GROUP BY repo
+UNION ALL SELECT repo, 'contributors', count(*) FROM contributors GROUP BY repo
+UNION ALL SELECT repo, 'releases', count(*) FROM releases GROUP BY repo"""
+
+ORACLE["pulls_parsed_from_text"] = with_views("pulls") + """
+SELECT repo, CAST(created_at AS DATE) AS ds, count(*) AS n, CAST(count(*) AS BIGINT) AS n_agree
+FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL"""
