@@ -72,9 +72,19 @@ def _recursion(p: int, h_col: str) -> str:
           'out', concat(acc.out, array(acc.level + {nxt})))).out"""
 
 
-def ar_fit(series: DataFrame, p: int = 5, keys=KEYS) -> DataFrame:
+def _design_from_state(st: DataFrame, p: int, keys) -> DataFrame:
+    """AR design rows exploded from each series' sorted differences: for
+    t >= p, y = dys[t] and x = [dys[t-1] .. dys[t-p]]. Built from the same
+    per-series row as the forecast state, so the series is read once."""
+    rows = F.expr(f"""transform(sequence({p}, size(dys) - 1),
+        t -> named_struct('dy', dys[t], 'x', transform(sequence(1, {p}), i -> dys[t - i])))""")
+    return st.select(*keys, F.explode(F.when(F.size("dys") > p, rows)).alias("r")).select(*keys, "r.dy", "r.x")
+
+
+def ar_fit(series: DataFrame, p: int = 5, keys=KEYS, state: DataFrame | None = None) -> DataFrame:
     """F4 fit: (keys, beta, sse, n_obs, rank) of ARIMA(p,1,0) without constant."""
-    g = gram(ar_design(series, p, keys), keys, "x", "dy", p)
+    st = state if state is not None else _state(series, p, keys)
+    g = gram(_design_from_state(st, p, keys), keys, "x", "dy", p)
     f = solve(g)
     return f.select(*keys, F.col("fit.beta").alias("beta"), F.col("fit.sse").alias("sse"),
                     F.col("n").alias("n_obs"), F.col("fit.rank").alias("rank"))
@@ -90,8 +100,8 @@ def _explode_path(df: DataFrame, keys, model: str, unit: str, sigma) -> DataFram
 
 def ar_forecast(series: DataFrame, p: int = 5, h: int = 12, keys=KEYS, unit: str = "month") -> DataFrame:
     """ARIMA(p,1,0) fitted by K1, ``h``-step recursion in SQL."""
-    fit = ar_fit(series, p, keys)
-    st = _state(series, p, keys).join(fit, keys)
+    st = _state(series, p, keys)
+    st = st.join(ar_fit(series, p, keys, state=st), keys)
     st = st.withColumn("c", F.lit(0.0)).withColumn("path", F.expr(_recursion(p, str(h))))
     sigma = F.sqrt(F.col("sse") / F.greatest(F.col("n_obs") - F.lit(p), F.lit(1)))
     return _explode_path(st, keys, f"ar{p}", unit, sigma)

@@ -46,9 +46,26 @@ def peak_month_name(df: DataFrame, col: str, out: str = "peak_month") -> DataFra
 def issue_insights(issues: DataFrame) -> DataFrame:
     """The three insights of the issue endpoints, with the created/closed
     columns each honoured (defect D2 fixed): repo, max_created_day_of_week,
-    max_closed_day_of_week, max_closed_month_of_year."""
-    repos = issues.select("repo").distinct()
-    a = peak_weekday(issues, "created_at", "max_created_day_of_week")
-    b = peak_weekday(issues, "closed_at", "max_closed_day_of_week")
-    c = peak_month_name(issues, "closed_at", "max_closed_month_of_year")
-    return repos.join(a, "repo", "left").join(b, "repo", "left").join(c, "repo", "left")
+    max_closed_day_of_week, max_closed_month_of_year.
+
+    One pass over the issues: every issue emits three (kind, label,
+    calendar position) entries, one keyed aggregate counts them (partial
+    aggregation, so a hot repository is no problem), and the argmax runs
+    on at most 7 + 7 + 12 rows per repository. Null dates count 0, so a
+    repository whose issues are all open still gets a row (null insight).
+    """
+    c, k = F.col("created_at"), F.col("closed_at")
+    entries = F.array(
+        F.struct(F.lit("max_created_day_of_week").alias("kind"), weekday_name(c).alias("label"),
+                 weekday_pos(c).alias("pos")),
+        F.struct(F.lit("max_closed_day_of_week").alias("kind"), weekday_name(k).alias("label"),
+                 weekday_pos(k).alias("pos")),
+        F.struct(F.lit("max_closed_month_of_year").alias("kind"), month_name(k).alias("label"),
+                 F.month(k.cast("date")).alias("pos")))
+    e = issues.select("repo", F.explode(entries).alias("e")).select("repo", "e.*")
+    hist = e.groupBy("repo", "kind", "label", "pos").agg(F.count("label").alias("n"))
+    w = Window.partitionBy("repo", "kind").orderBy(F.col("n").desc(), F.col("pos").asc_nulls_last())
+    top = hist.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1) \
+        .select("repo", "kind", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+    kinds = ["max_created_day_of_week", "max_closed_day_of_week", "max_closed_month_of_year"]
+    return top.groupBy("repo").pivot("kind", kinds).agg(F.first("label"))

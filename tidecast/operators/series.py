@@ -95,14 +95,20 @@ def calendar_grid(bounds: DataFrame, unit: str, keys=KEYS) -> DataFrame:
 def gap_fill(series: DataFrame, unit: str = "month", fill: float = 0.0, keys=KEYS) -> DataFrame:
     """T5/T6 + J1: dense grid between first and last point, ``fill`` where missing.
 
-    grid (from per-series bounds, a tiny aggregate) LEFT JOIN series on
-    (keys, ds). Sparse months must already be month-starts (``to_month``).
+    One pass: each series is gathered into a ds -> y map together with its
+    bounds (one keyed aggregate; the map is bounded by the calendar span),
+    the calendar is exploded from the bounds, and each grid day looks its
+    value up in the map. This is the left join of grid and series without
+    reading the series twice (a self-join would re-run the record
+    aggregate below it). Sparse months must already be month-starts.
     """
     if unit not in ("day", "month"):
         raise ValueError(unit)
-    grid = calendar_grid(series_bounds(series, keys), unit, keys)
-    return (grid.join(series, [*keys, "ds"], "left")
-                .select(*keys, "ds", F.coalesce(F.col("y"), F.lit(float(fill))).alias("y")))
+    step = F.expr("INTERVAL 1 DAY") if unit == "day" else F.expr("INTERVAL 1 MONTH")
+    g = series.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ds", "y"))).alias("_m"),
+                                  F.min("ds").alias("_lo"), F.max("ds").alias("_hi"))
+    grid = g.select(*keys, "_m", F.explode(F.sequence("_lo", "_hi", step)).alias("ds"))
+    return grid.select(*keys, "ds", F.coalesce(F.element_at("_m", F.col("ds")), F.lit(float(fill))).alias("y"))
 
 
 def add_index(series: DataFrame, keys=KEYS, col: str = "idx") -> DataFrame:

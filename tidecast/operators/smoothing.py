@@ -120,8 +120,8 @@ def smoothing_forecast(series: DataFrame, h: int = 12, keys=KEYS) -> DataFrame:
     The split is by a per-series count, so each branch only folds the
     series it is responsible for; statuses come from ``plans.report``.
     """
-    n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    s = series.join(n, keys)
+    from pyspark.sql import Window
+    s = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     long_ = s.where(F.col("_n") >= HW_MIN_POINTS).drop("_n")
     short = s.where((F.col("_n") >= SES_MIN_POINTS) & (F.col("_n") < HW_MIN_POINTS)).drop("_n")
     return hw_forecast(long_, h, keys).unionByName(ses_forecast(short, h, keys))

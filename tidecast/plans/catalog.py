@@ -31,6 +31,15 @@ def r4(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 4)
 
 
+def staged(series: DataFrame) -> DataFrame:
+    """Materialise a series once (reliable checkpoint in the session's
+    checkpoint folder) before a model reads it along several branches, so
+    the raw records are scanned and aggregated once and a lost executor
+    recomputes from here, not from the raw tables."""
+    from ..session import cut_lineage
+    return cut_lineage(series)
+
+
 def pulls_monthly_series(t: SI.Tables) -> DataFrame:
     return S.monthly_count(SI.pulls(t), "created_at", "pulls")
 
@@ -355,7 +364,7 @@ from ..operators import trend as TR  # noqa: E402
 @query("ar1_forecast")
 def ar1_forecast(spark, sf_dir):
     """F4 with p = 1 (closed form) on monthly commits, 12 months ahead."""
-    fc = AR.ar1_forecast(commits_monthly_series(SI.Tables(spark, sf_dir)))
+    fc = AR.ar1_forecast(staged(commits_monthly_series(SI.Tables(spark, sf_dir))))
     return fc.select("repo", "step", "ds", r4("phi").alias("phi"), r4("yhat").alias("yhat"))
 
 
@@ -368,7 +377,7 @@ def gram_entries(spark, sf_dir):
 
 
 def _hashed_trend(spark, sf_dir):
-    s = W.split_hashed(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    s = W.split_hashed(staged(pulls_monthly_series(SI.Tables(spark, sf_dir))))
     return TR.index_trend_fit(s)
 
 
@@ -389,7 +398,7 @@ def index_trend_mse(spark, sf_dir):
 
 
 def _holdout(spark, sf_dir):
-    s = W.split_ordered(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    s = W.split_ordered(staged(pulls_monthly_series(SI.Tables(spark, sf_dir))))
     return EV.holdout_index_trend(s).unionByName(EV.holdout_ses(s))
 
 
@@ -427,20 +436,20 @@ def smoothing_forecast(spark, sf_dir):
 @query("ar5_forecast")
 def ar5_forecast(spark, sf_dir):
     """ARIMA(5,1,0) on monthly commits."""
-    return _fc_out(AR.ar_forecast(commits_monthly_series(SI.Tables(spark, sf_dir)), 5))
+    return _fc_out(AR.ar_forecast(staged(commits_monthly_series(SI.Tables(spark, sf_dir))), 5))
 
 
 @query("arma_forecast")
 def arma_forecast(spark, sf_dir):
     """ARIMA(1,1,1) (Hannan-Rissanen) on monthly contributions."""
-    return _fc_out(AR.arma_forecast(contributors_monthly_series(SI.Tables(spark, sf_dir))))
+    return _fc_out(AR.arma_forecast(staged(contributors_monthly_series(SI.Tables(spark, sf_dir)))))
 
 
 @query("auto_order_forecast")
 def auto_order_forecast(spark, sf_dir):
     """F6 + F12: order chosen on the first 80 % of daily created issues,
     forecast over the held-out days."""
-    s = W.split_ordered(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
+    s = W.split_ordered(staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")))
     train = s.where(F.col("split") == "train").select("repo", "metric", "ds", "y")
     h = s.where(F.col("split") == "test").groupBy("repo", "metric").agg(F.count(F.lit(1)).cast("int").alias("h"))
     fc = AR.auto_order_forecast(train, h)
@@ -460,13 +469,13 @@ def _band_out(fc):
 @query("additive_forecast")
 def additive_forecast(spark, sf_dir):
     """F7 + F8: additive model on monthly pulls, history + 12 month-starts."""
-    return _band_out(AD.additive_forecast(pulls_monthly_series(SI.Tables(spark, sf_dir)), "month"))
+    return _band_out(AD.additive_forecast(staged(pulls_monthly_series(SI.Tables(spark, sf_dir))), "month"))
 
 
 @query("additive_daily_forecast")
 def additive_daily_forecast(spark, sf_dir):
     """F7 + F8 on daily created issues: history + 30 days."""
-    s = S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")
+    s = staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
     return _band_out(AD.additive_forecast(s, "day"))
 
 
@@ -474,7 +483,7 @@ def additive_daily_forecast(spark, sf_dir):
 def releases_additive_tail(spark, sf_dir):
     """F7 + T11 + T12: the release endpoint's view -- zero-filled monthly
     releases, month-end continuation, last 12 rows only."""
-    s = S.gap_fill(releases_monthly_series(SI.Tables(spark, sf_dir)), "month")
+    s = staged(S.gap_fill(releases_monthly_series(SI.Tables(spark, sf_dir)), "month"))
     fc = AD.additive_forecast(s, "month", month_end=True)
     return _band_out(S.forecast_tail(fc, 12))
 
@@ -482,7 +491,7 @@ def releases_additive_tail(spark, sf_dir):
 @query("lookback_forecast")
 def lookback_forecast(spark, sf_dir):
     """per-series linear AR(30) on scaled daily created issues."""
-    s = S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")
+    s = staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
     fc = LB.lookback_forecast(s)
     return fc.select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"))
 
