@@ -18,14 +18,14 @@ spark = build_session("local[8]", 8, extra={"spark.sql.maxMetadataStringLength":
 os.makedirs("docs/plans", exist_ok=True)
 for n in NAMES:
     df = QUERIES[n](spark, sf)
-    df.write.format("noop").mode("overwrite").save()  # final adaptive plan
+    df.collect()  # run it, so the formatted plan is the final adaptive plan
     plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     plan = re.sub(r"file:/root/testdata/[^\]]*", "<testdata>", plan)
     with open(f"docs/plans/{n}.txt", "w") as f:
         f.write(plan)
     head = plan.split("\n\n")[0]
     ex = len(re.findall(r"Exchange", head)) - len(re.findall(r"ReusedExchange", head))
-    print(f"{n:28s} exchanges={ex:2d} codegen={len(set(re.findall(r'WholeStageCodegen \((\d+)\)', head))):2d} "
+    print(f"{n:28s} exchanges={ex:2d} codegen={len(set(re.findall(r'\[codegen id : (\d+)\]', plan))):2d} "
           f"python={len(re.findall(r'ArrowEvalPython|MapInPandas|BatchEvalPython', head))} "
           f"broadcast={len(re.findall(r'BroadcastExchange', head))} "
           f"partial_agg={'yes' if 'partial_' in plan else 'no'} "
