@@ -20,8 +20,9 @@ def order_columns(order) -> list[Column]:
 
 
 def positional_index(df: DataFrame, part_cols: list[str], order, out: str = "pos",
-                     num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row within ``part_cols`` in ``order``.
+                     num_partitions: int | None = None, stage: bool = True) -> DataFrame:
+    """0-based position of each row within ``part_cols`` in ``order``, plus
+    the group size as ``group_rows``.
 
     Equivalent to ``row_number() over (partition by part_cols order by ...) - 1``
     but a hot key is spread over many tasks:
@@ -33,6 +34,10 @@ def positional_index(df: DataFrame, part_cols: list[str], order, out: str = "pos
        with a running sum over task ids of the same key;
     4. position = offset of the slice + rank inside it.
 
+    The ranked slices feed two branches (the counts and the final join),
+    so with ``stage`` they are written once (reliable checkpoint) instead
+    of range-shuffling the input twice.
+
     ``order`` must be a total order within a key (add a unique tie-break),
     otherwise positions among ties are arbitrary, as with row_number.
     """
@@ -42,9 +47,14 @@ def positional_index(df: DataFrame, part_cols: list[str], order, out: str = "pos
     ranged = df.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", *part_cols).orderBy(*order_columns(order))
     local = ranged.withColumn("_lpos", F.row_number().over(w) - 1)
-    counts = ranged.groupBy("_pid", *part_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    if stage:
+        from ..session import cut_lineage
+        local = cut_lineage(local)
+    counts = local.groupBy("_pid", *part_cols).agg(F.count(F.lit(1)).alias("_cnt"))
     wc = Window.partitionBy(*part_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wc), F.lit(0))).drop("_cnt")
+    offs = (counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wc), F.lit(0)))
+                  .withColumn("group_rows", F.sum("_cnt").over(Window.partitionBy(*part_cols)))
+                  .drop("_cnt"))
     return (local.join(offs, ["_pid", *part_cols])
                  .withColumn(out, (F.col("_off") + F.col("_lpos")).cast("long"))
                  .drop("_pid", "_lpos", "_off"))

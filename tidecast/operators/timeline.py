@@ -27,12 +27,10 @@ from ..functions.ranking import positional_index
 
 def rank_spaced_timeline(df: DataFrame, as_of: _dt.date, order, out: str = "synthetic_day") -> DataFrame:
     """Per-row synthetic day ``as_of - n + position`` (flagged synthetic by name)."""
-    n = df.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
     pos = positional_index(df, ["repo"], order, out="position")
-    return (pos.join(n, "repo")
-               .withColumn(out, F.date_add(F.date_sub(F.lit(as_of), F.col("_n").cast("int")),
+    return (pos.withColumn(out, F.date_add(F.date_sub(F.lit(as_of), F.col("group_rows").cast("int")),
                                            F.col("position").cast("int")))
-               .drop("_n"))
+               .drop("group_rows"))
 
 
 def _month_overlaps(blocks: DataFrame) -> DataFrame:
