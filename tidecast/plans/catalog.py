@@ -589,3 +589,12 @@ def pulls_parsed_from_text(spark, sf_dir):
     return p.groupBy("repo", F.col("day_txt").alias("ds")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("day_ts") == F.col("day_txt"), 1).otherwise(0))
         .cast("long").alias("n_agree"))
+
+
+@query("lookback_training_loss")
+def lookback_training_loss(spark, sf_dir):
+    """objective per iteration of the global look-back model trained
+    on the daily created-issue windows of every repository."""
+    s = staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
+    curve, _ = LB.training_loss(s)
+    return curve
