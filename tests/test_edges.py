@@ -139,3 +139,12 @@ def test_short_daily_stream_has_no_lookback_windows(spark):
     s = S.gap_fill(S.daily_series(ev, "created_at", "events"), "day")
     lb = W.lookback_windows(W.split_ordered(s), 30)
     assert lb.count() == 0
+
+
+def test_missing_column_status(spark):
+    df = spark.createDataFrame([("a/b", 1), ("c/d", 2)], "repo STRING, number BIGINT")
+    st = EL.missing_column_status(df, "pulls", ["created_at"])
+    rows = st.collect()
+    assert len(rows) == 6 and {r.status for r in rows} == {"no_column"}
+    ok = spark.createDataFrame([("a/b", dt.datetime(2024, 1, 1))], "repo STRING, created_at TIMESTAMP")
+    assert EL.missing_column_status(ok, "pulls", ["created_at"]) is None

@@ -39,3 +39,19 @@ def rejected_series(series: DataFrame, status: DataFrame, slot: str) -> DataFram
     """Series rows that fail ``slot``'s gate (left anti against the ok set)."""
     ok = status.where((F.col("slot") == slot) & (F.col("status") == "ok")).select("repo", "metric")
     return series.join(ok, ["repo", "metric"], "left_anti")
+
+
+def missing_column_status(df: DataFrame, metric: str, columns: list[str]) -> DataFrame | None:
+    """When a landed entity lacks a column the metric needs (e.g. a
+    pulls landing without ``created_at``), every (repo, slot) of that
+    metric gets 'no_column' instead of a crash. The check itself is on
+    the schema (driver side, no data read); None when all columns exist."""
+    missing = [c for c in columns if c not in df.columns]
+    if not missing:
+        return None
+    from ..registry import METRICS
+    slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(sl.estimator).alias("estimator"))
+                      for s, sl in METRICS[metric].slots.items()])
+    return df.select("repo").distinct().select("repo", F.lit(metric).alias("metric"), F.explode(slots).alias("s")) \
+        .select("repo", "metric", "s.slot", "s.estimator", F.lit(0).cast("long").alias("n_records"),
+                F.lit(0).cast("long").alias("n_points"), F.lit("no_column").alias("status"))
