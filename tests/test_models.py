@@ -198,3 +198,12 @@ def test_training_loss_curve(spark):
     losses = [r.loss for r in curve.orderBy("iteration").collect()]
     assert 1 <= len(losses) <= 11 and losses[-1] <= losses[0]
     assert {r.split for r in ev.collect()} == {"train", "test"}
+
+
+def test_rank_deficient_fit_is_flagged(spark):
+    # a linear ramp has constant differences: the AR(5) lag matrix has rank 1
+    s = monthly_frame(spark, [float(i) for i in range(30)])
+    flags = {r.fit_flag for r in AR.ar_forecast(s, 5).collect()}
+    assert flags == {"degenerate"}
+    ok = AR.ar_forecast(CAT.commits_monthly_series(SI.Tables(spark, SF0001)), 5)
+    assert {r.fit_flag for r in ok.collect()} == {None}

@@ -77,7 +77,7 @@ def test_dashboard_tables(spark):
     assert ("pulls", "statsmodels") in slots and ("issues", "prophet") in slots and ("releases", "lstm") in slots
     st = d["status"]
     assert st.where(F.col("status").isNull()).count() == 0
-    assert {r.status for r in st.collect()} <= {"ok", "no_data", "not_enough_data", "failed"}
+    assert {r.status for r in st.collect()} <= {"ok", "no_data", "not_enough_data", "failed", "degenerate"}
     rep = d["issue_report"].collect()
     assert len(rep) == 5 and all(r.prophet_forecast for r in rep)
     pr = d["pulls_report"].collect()

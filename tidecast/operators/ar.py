@@ -90,12 +90,17 @@ def ar_fit(series: DataFrame, p: int = 5, keys=KEYS, state: DataFrame | None = N
                     F.col("n").alias("n_obs"), F.col("fit.rank").alias("rank"))
 
 
-def _explode_path(df: DataFrame, keys, model: str, unit: str, sigma) -> DataFrame:
-    out = df.select(*keys, "last_ds", F.posexplode("path").alias("pos", "yhat"), sigma.alias("_sigma"))
+def _explode_path(df: DataFrame, keys, model: str, unit: str, sigma, flag=None) -> DataFrame:
+    """Forecast rows from the ``path`` array; ``fit_flag`` is 'degenerate'
+    when the fit was rank deficient (minimum-norm solution), else null."""
+    flag = F.lit(None).cast("string") if flag is None else flag
+    out = df.select(*keys, "last_ds", F.posexplode("path").alias("pos", "yhat"), sigma.alias("_sigma"),
+                    flag.alias("fit_flag"))
     out = out.withColumn("step", F.col("pos") + 1).withColumn("ds", _step_date(unit, "last_ds", "step"))
     band = F.lit(Z80) * F.col("_sigma") * F.sqrt(F.col("step").cast("double"))
     return out.select(*keys, F.lit(model).alias("model"), "step", "ds", "yhat",
-                      (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"))
+                      (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"),
+                      "fit_flag")
 
 
 def ar_forecast(series: DataFrame, p: int = 5, h: int = 12, keys=KEYS, unit: str = "month") -> DataFrame:
@@ -104,7 +109,8 @@ def ar_forecast(series: DataFrame, p: int = 5, h: int = 12, keys=KEYS, unit: str
     st = st.join(ar_fit(series, p, keys, state=st), keys)
     st = st.withColumn("c", F.lit(0.0)).withColumn("path", F.expr(_recursion(p, str(h))))
     sigma = F.sqrt(F.col("sse") / F.greatest(F.col("n_obs") - F.lit(p), F.lit(1)))
-    return _explode_path(st, keys, f"ar{p}", unit, sigma)
+    flag = F.when(F.col("rank") < p, F.lit("degenerate"))
+    return _explode_path(st, keys, f"ar{p}", unit, sigma, flag)
 
 
 def ar1_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month") -> DataFrame:
@@ -156,7 +162,7 @@ def arma_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month"
             'level', acc.level + phi * acc.d + IF(k = 1, theta * e_last, 0D),
             'out', concat(acc.out, array(acc.level + phi * acc.d + IF(k = 1, theta * e_last, 0D))))).out"""))
     sigma = F.sqrt(F.col("sse") / F.greatest(F.col("n_obs") - F.lit(2), F.lit(1)))
-    return _explode_path(st, keys, "arma", unit, sigma)
+    return _explode_path(st, keys, "arma", unit, sigma, F.when(F.col("degenerate"), F.lit("degenerate")))
 
 
 # ------------------------------------------------------------ order search

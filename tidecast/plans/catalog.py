@@ -532,7 +532,7 @@ def forecast_report(spark, sf_dir):
     """Every metric x slot forecast for every repository, one frame."""
     fc, _ = PL.all_forecasts(SI.Tables(spark, sf_dir), persist=True)
     return fc.select("repo", "metric", "slot", "model", "segment", "ds", "y", r4("yhat").alias("yhat"),
-                     r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))
+                     r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"), "fit_flag")
 
 
 @query("pulls_monthly_filled")

@@ -28,7 +28,7 @@ from ..sources import standins as SI
 from ..sources import windows as SW
 from . import report as R
 
-OUT = ["repo", "metric", "slot", "model", "segment", "ds", "y", "yhat", "yhat_lower", "yhat_upper"]
+OUT = ["repo", "metric", "slot", "model", "segment", "ds", "y", "yhat", "yhat_lower", "yhat_upper", "fit_flag"]
 
 
 def _norm(df: DataFrame, slot: str, segment: str | None = None) -> DataFrame:
@@ -41,6 +41,8 @@ def _norm(df: DataFrame, slot: str, segment: str | None = None) -> DataFrame:
             sel.append(F.lit(segment or "forecast").alias("segment"))
         elif c in cols:
             sel.append(F.col(c))
+        elif c == "fit_flag":
+            sel.append(F.lit(None).cast("string").alias(c))
         else:
             sel.append(F.lit(None).cast("double").alias(c))
     return df.select(*sel)
@@ -133,14 +135,17 @@ def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True
 def fit_status(forecasts: DataFrame, status: DataFrame) -> DataFrame:
     """Per (repo, metric, slot) that passed its gate: 'failed' when a
     forecast value is not finite, 'not_enough_data' when the estimator
-    produced no rows (e.g. no 30-day window fits in the test part)."""
+    produced no rows (e.g. no 30-day window fits in the test part),
+    'degenerate' when the fit was rank deficient."""
     fc = forecasts.groupBy("repo", "metric", "slot").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"))
+        F.sum(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"),
+        F.max(F.col("fit_flag")).alias("_flag"))
     ok = status.where(F.col("status") == "ok").select("repo", "metric", "slot")
     j = ok.join(fc, ["repo", "metric", "slot"], "left")
     st = (F.when(F.col("_rows").isNull(), F.lit("not_enough_data"))
-           .when(F.col("_bad") > 0, F.lit("failed")))
+           .when(F.col("_bad") > 0, F.lit("failed"))
+           .when(F.col("_flag").isNotNull(), F.col("_flag")))
     return j.select("repo", "metric", "slot", st.alias("fit_status")).where(F.col("fit_status").isNotNull())
 
 
