@@ -56,24 +56,23 @@ def _stats(series: DataFrame, grain: str, keys) -> DataFrame:
             .withColumn("weekly_on", weekly).drop("_ymax", "_dss")
 
 
-def _features(ds: str = "ds"):
-    """ARRAY<DOUBLE> of length P for the row's date, given the stats columns.
-
-    Written as P explicit element expressions (no lambdas), so the whole
-    array is produced inside whole-stage codegen.
-    """
-    t = F.when(F.col("span") > 0, F.datediff(F.col(ds), F.col("first_ds")) / F.col("span").cast("double")) \
-        .otherwise(F.lit(0.0))
-    days = F.datediff(F.col(ds), F.lit("1970-01-01").cast("date")).cast("double")
-    cps = F.col("cps")
-    cols = [F.lit(1.0), t]
-    cols += [F.coalesce(F.greatest(t - cps[k], F.lit(0.0)), F.lit(0.0)) for k in range(N_CHANGEPOINTS)]
+def _features_sql(ds: str = "ds") -> str:
+    """SQL for the ARRAY<DOUBLE> of length P of the row's date, given the
+    stats columns: P explicit element expressions (no lambdas, so the array
+    is produced inside whole-stage codegen), sent to Spark as one string."""
+    t = f"(CASE WHEN span > 0 THEN datediff(`{ds}`, first_ds) / CAST(span AS DOUBLE) ELSE 0D END)"
+    days = f"CAST(datediff(`{ds}`, DATE'1970-01-01') AS DOUBLE)"
+    cols = ["1D", t]
+    cols += [f"coalesce(greatest({t} - cps[{k}], 0D), 0D)" for k in range(N_CHANGEPOINTS)]
     for on, order, period in (("yearly_on", YEARLY_ORDER, YEAR_DAYS), ("weekly_on", WEEKLY_ORDER, 7.0)):
         for k in range(1, order + 1):
-            arg = days * F.lit(2.0 * math.pi * k / period)
-            cols += [F.when(F.col(on), F.sin(arg)).otherwise(F.lit(0.0)),
-                     F.when(F.col(on), F.cos(arg)).otherwise(F.lit(0.0))]
-    return F.array(*cols)
+            w = repr(2.0 * math.pi * k / period)
+            cols += [f"IF({on}, sin({days} * {w}), 0D)", f"IF({on}, cos({days} * {w}), 0D)"]
+    return "array(" + ", ".join(cols) + ")"
+
+
+def _features(ds: str = "ds"):
+    return F.expr(_features_sql(ds))
 
 
 def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: DataFrame | None = None) -> DataFrame:
@@ -85,7 +84,7 @@ def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: Data
     rows = series.repartition(*keys).join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
                                         _features().alias("x"))
     g = gram(rows, keys, "x", "ys", P)
-    sol = solve(g, ridge=F.array(*[F.lit(v) for v in RIDGE]))
+    sol = solve(g, ridge=F.expr("array(" + ", ".join(f"{v!r}D" for v in RIDGE) + ")"))
     sol = sol.select(*keys, F.col("fit.beta").alias("beta"),
                      F.sqrt(F.col("fit.sse") / F.col("n")).alias("_sig"))
     return st.join(sol, keys).withColumn("sigma", F.col("_sig") * F.col("scale")).drop("_sig")
@@ -116,7 +115,7 @@ def additive_forecast(series: DataFrame, grain: str = "month", h: int | None = N
         *keys, "ds", F.lit(None).cast("double").alias("y"), F.lit("forecast").alias("segment"))
     grid = hist.unionByName(fut).join(st, keys).join(fit, keys)
     out = grid.withColumn("_x", _features())
-    out = out.withColumn("yhat", dot_fixed(F.col("_x"), F.col("beta"), P) * F.col("scale"))
+    out = out.withColumn("yhat", dot_fixed("_x", "beta", P) * F.col("scale"))
     band = F.lit(Z80) * F.col("sigma")
     return out.select(*keys, F.lit("additive").alias("model"), "segment", "ds", "y", "yhat",
                       (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"))

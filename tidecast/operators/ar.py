@@ -178,13 +178,11 @@ def kpss_level(series: DataFrame, keys=KEYS, max_lag: int = 12) -> DataFrame:
             F.sum(F.col("e") * F.col("e")).alias("g0")]
     aggs += [F.sum(f"_p{k}").alias(f"g{k}") for k in range(1, max_lag + 1)]
     g = s.groupBy(*keys).agg(*aggs)
-    lag = F.least(F.floor(F.lit(4.0) * F.pow(F.col("n") / F.lit(100.0), F.lit(0.25))), F.lit(max_lag))
-    lrv = F.col("g0")
-    for k in range(1, max_lag + 1):
-        wk = F.when(F.lit(k) <= lag, (F.lit(1.0) - F.lit(k) / (lag + F.lit(1.0))) * F.lit(2.0)).otherwise(0.0)
-        lrv = lrv + wk * F.coalesce(F.col(f"g{k}"), F.lit(0.0))
-    lrv = lrv / F.col("n")
-    stat = F.when(lrv > 0, F.col("ss") / (F.col("n") * F.col("n") * lrv)).otherwise(F.lit(0.0))
+    lag = f"least(floor(4D * pow(n / 100D, 0.25D)), {max_lag})"
+    terms = " + ".join(f"IF({k} <= {lag}, 2D * (1D - {k} / ({lag} + 1D)), 0D) * coalesce(g{k}, 0D)"
+                       for k in range(1, max_lag + 1))
+    lrv = f"((g0 + {terms}) / n)"
+    stat = F.expr(f"IF({lrv} > 0, ss / (n * n * {lrv}), 0D)")
     return g.select(*keys, "n", stat.alias("kpss"))
 
 

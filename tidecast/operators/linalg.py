@@ -167,10 +167,9 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, t: acc + t)
 
 
-def dot_fixed(a, b, n: int):
-    """Dot product of two ARRAY<DOUBLE> columns of known length ``n`` as
-    one arithmetic expression (codegen-friendly, unlike a lambda fold)."""
-    out = a[0] * b[0]
-    for i in range(1, n):
-        out = out + a[i] * b[i]
-    return out
+def dot_fixed(a: str, b: str, n: int, b_offset: int = 0):
+    """Dot product of ARRAY<DOUBLE> columns ``a`` and ``b`` (SQL names or
+    expressions) over ``n`` elements, as one arithmetic expression
+    (codegen-friendly, unlike a lambda fold); ``b`` is read from
+    ``b_offset`` on."""
+    return F.expr(" + ".join(f"{a}[{i}] * {b}[{i + b_offset}]" for i in range(n)))

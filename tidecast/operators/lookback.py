@@ -44,7 +44,7 @@ def lookback_forecast(series: DataFrame, k: int = LOOK_BACK, fit_on: str = "trai
         beta = solve(gram(tr, keys, "xs", "y_scaled", k + 1), ridge=RIDGE) \
             .select(*keys, F.col("fit.beta").alias("beta"))
         pred = lb.join(beta, keys).withColumn(
-            "p", F.col("beta")[0] + dot_fixed(F.col("x"), F.slice("beta", 2, k), k))
+            "p", F.col("beta")[0] + dot_fixed("x", "beta", k, b_offset=1))
     elif model == "global":
         vec = lb.withColumn("features", array_to_vector("x"))
         lr = LinearRegression(featuresCol="features", labelCol="y_scaled", predictionCol="p",
