@@ -47,14 +47,13 @@ def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_
     Windows are half-open ``(lo, hi]`` except the oldest, ``[lo, hi]``, so a
     boundary-day record is counted once (defect D4 fixed). The overall
     range is applied first as a literal filter on the bare column (pushed
-    to the scan); the window lookup is then a range join against a
-    12-row table whose size is fixed by ``n``, hence safe to broadcast.
+    to the scan); the window index is then a CASE over the 12 sorted
+    bounds (the range join of records and windows, without a join).
     ``cap`` keeps the first ``cap`` records per (repo, window) by
     (day, key), as one search page did (defect D5 kept as an option);
     ``row_number() <= cap`` gets a partial group limit before the shuffle.
     ``dedupe`` drops repeated (repo, key) records (P13).
     """
-    spark = df.sparkSession
     b = window_bounds(as_of, n)
     lo_all, hi_all = b[-1][1], b[0][2]
     day = F.col(time_col).cast("date")
@@ -62,9 +61,14 @@ def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_
     if dedupe:
         # P13 after the range filter, so the filter still reaches the scan
         pre = pre.dropDuplicates(["repo", key])
-    w = F.broadcast(month_windows(spark, as_of, n))
-    cond = (day <= w.hi) & ((day > w.lo) | ((w.window_idx == n) & (day == w.lo)))
-    out = pre.join(w, cond, "inner").drop("lo", "hi")
+    # J2 as a lookup: windows are contiguous and sorted, so the range join
+    # against the window table reduces to the first window whose start lies
+    # before the day -- a CASE over the bounds, no join and no nested loop
+    idx = None
+    for i, lo, _hi in b:
+        cond = (day >= F.lit(lo)) if i == n else (day > F.lit(lo))
+        idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
+    out = pre.withColumn("window_idx", idx).where(F.col("window_idx").isNotNull() & (day <= F.lit(hi_all)))
     if cap is not None:
         out = top_k_per_group(out, ["repo", "window_idx"], [(time_col, False), (key, False)], cap,
                               out="rank_in_window")
