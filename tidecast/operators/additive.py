@@ -120,8 +120,3 @@ def additive_forecast(series: DataFrame, grain: str = "month", h: int | None = N
     return out.select(*keys, F.lit("additive").alias("model"), "segment", "ds", "y", "yhat",
                       (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"))
 
-
-def forecast_tail(fc: DataFrame, n: int = 12, keys=KEYS) -> DataFrame:
-    """T12 for the release endpoint: only the last ``n`` rows (the future)."""
-    from .series import forecast_tail as _tail
-    return _tail(fc, n, keys)
