@@ -148,3 +148,19 @@ def test_missing_column_status(spark):
     assert len(rows) == 6 and {r.status for r in rows} == {"no_column"}
     ok = spark.createDataFrame([("a/b", dt.datetime(2024, 1, 1))], "repo STRING, created_at TIMESTAMP")
     assert EL.missing_column_status(ok, "pulls", ["created_at"]) is None
+
+
+def test_restrict_to_selected_repositories(spark):
+    from tidecast.sources.landed import restrict_to
+    df = spark.createDataFrame([("a/b", 1), ("c/d", 2), ("e/f", 3)], "repo STRING, number BIGINT")
+    sel = spark.createDataFrame([("a/b",), ("e/f",), ("e/f",)], "repo STRING")
+    assert sorted(r.number for r in restrict_to(df, sel).collect()) == [1, 3]
+
+
+def test_project_series_and_month_windows(spark):
+    df = spark.createDataFrame([("a/b", dt.date(2024, 1, 5), 3)], "repo STRING, t DATE, v BIGINT")
+    s = C.project_series(df, "t", "v", "m").first()
+    assert (s.repo, s.metric, s.ds, s.y) == ("a/b", "m", dt.date(2024, 1, 5), 3.0)
+    w = SW.month_windows(spark, dt.date(2024, 3, 31)).orderBy("window_idx").collect()
+    assert len(w) == 12 and w[0].hi == dt.date(2024, 3, 31) and w[0].lo == dt.date(2024, 2, 29)
+    assert all(a.lo == b.hi for a, b in zip(w, w[1:]))
