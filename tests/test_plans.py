@@ -82,3 +82,14 @@ def test_dashboard_tables(spark):
     assert len(rep) == 5 and all(r.prophet_forecast for r in rep)
     pr = d["pulls_report"].collect()
     assert len(pr) == 5 and all(r.statsmodels_status == "ok" for r in pr)
+
+
+def test_no_cross_or_nested_loop_joins_anywhere(spark):
+    bad = []
+    for name, fn in E.queries().items():
+        if name in ("forecast_report", "lookback_training_loss"):
+            continue  # composed of the model queries checked here; run eagerly elsewhere
+        p = _plan(fn(spark, SF0001))
+        if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
+            bad.append(name)
+    assert bad == []

@@ -14,14 +14,31 @@ def gates(spark) -> DataFrame:
                                  "metric STRING, slot STRING, estimator STRING, min_records INT, min_points INT")
 
 
-def eligibility(counts: DataFrame) -> DataFrame:
+def slot_gates():
+    """MAP<metric, ARRAY<slot, estimator, min_records, min_points>> literal
+    built from the registry (fixed size), for a per-row lookup + explode."""
+    from ..registry import METRICS
+    entries = []
+    for m, spec in METRICS.items():
+        entries.append(F.lit(m))
+        entries.append(F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(sl.estimator).alias("estimator"),
+                                          F.lit(sl.gate.min_records).alias("min_records"),
+                                          F.lit(sl.gate.min_points).alias("min_points"))
+                                 for s, sl in spec.slots.items()]))
+    return F.create_map(*entries)
+
+
+def eligibility(counts: DataFrame, gate_metric: str = "metric") -> DataFrame:
     """Status per (repo, metric, slot) from per-series counts.
 
     ``counts``: (repo, metric, n_records, n_points). Status is 'no_data'
-    without records, 'not_enough_data' below a gate, else 'ok'.
+    without records, 'not_enough_data' below a gate, else 'ok'. Each row
+    picks its metric's slots from the registry map and explodes them -- no
+    join, so nothing degrades into a nested loop when ``metric`` is a
+    constant. ``gate_metric`` names the column whose gates apply.
     """
-    g = F.broadcast(gates(counts.sparkSession))
-    j = counts.join(g, "metric")
+    j = counts.select("*", F.explode(F.element_at(slot_gates(), F.col(gate_metric))).alias("_g")) \
+        .select("*", "_g.*").drop("_g")
     status = (F.when(F.col("n_records") == 0, F.lit("no_data"))
                .when((F.col("n_records") < F.col("min_records")) | (F.col("n_points") < F.col("min_points")),
                      F.lit("not_enough_data"))

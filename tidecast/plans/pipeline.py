@@ -79,13 +79,7 @@ def status_table(t: SI.Tables, series: DataFrame) -> DataFrame:
     # issues_closed follows the issue gates
     counts = counts.withColumn("_m", F.when(F.col("metric") == "issues_closed", F.lit("issues"))
                                .otherwise(F.col("metric")))
-    g = F.broadcast(EL.gates(t.spark))
-    j = counts.join(g, counts["_m"] == g["metric"]).drop(g["metric"]).drop("_m")
-    status = (F.when(F.col("n_records") == 0, F.lit("no_data"))
-               .when((F.col("n_records") < F.col("min_records")) | (F.col("n_points") < F.col("min_points")),
-                     F.lit("not_enough_data"))
-               .otherwise(F.lit("ok")))
-    return j.select("repo", "metric", "slot", "estimator", "n_records", "n_points", status.alias("status"))
+    return EL.eligibility(counts, gate_metric="_m")
 
 
 def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True):  # noqa: C901
