@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _dedup
+from . import mixing as _mixing
+from . import packing as _packing
+from . import secret_scan as _secrets
+from . import token_counts as _tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +19,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup.exact_dedup(documents(spark, sf_dir)).drop("th")
 
 
+def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(documents(spark, sf_dir))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(documents(spark, sf_dir)).drop("th")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.secret_scan(documents(spark, sf_dir))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens.token_counts(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_pack_power_of_two": op3_pack_power_of_two,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE = {
