@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _dedup
+from . import language_id as _language
 from . import mixing as _mixing
 from . import packing as _packing
 from . import secret_scan as _secrets
@@ -19,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup.exact_dedup(documents(spark, sf_dir)).drop("th")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(documents(spark, sf_dir))
+
+
 def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(documents(spark, sf_dir))
 
@@ -37,6 +42,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op3_pack_power_of_two": op3_pack_power_of_two,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
