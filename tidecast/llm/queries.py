@@ -9,6 +9,7 @@ from . import language_id as _language
 from . import mixing as _mixing
 from . import packing as _packing
 from . import secret_scan as _secrets
+from . import sharding as _sharding
 from . import token_counts as _tokens
 
 
@@ -28,6 +29,10 @@ def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(documents(spark, sf_dir))
 
 
+def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.reshard(documents(spark, sf_dir)).drop("th")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(documents(spark, sf_dir)).drop("th")
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_pack_power_of_two": op3_pack_power_of_two,
+    "op5_reshard": op5_reshard,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
