@@ -2,10 +2,10 @@
 
 1. One pass over the texts writes a narrow table: id, SHA-256 of the text
    without white space, code points of the original text.
-2. A Misra-Gries family sketch (Spark's ``approx_top_k_accumulate`` /
-   ``approx_top_k_combine``: bounded counters, decremented together when
-   full, mergeable) names digests that may be frequent. It is built per
-   task group first, so no single task merges the sketch of every task.
+2. A Misra-Gries family sketch (Spark's ``approx_top_k_accumulate``:
+   bounded counters, decremented together when full) names digests that
+   may be frequent. It is built per task group and the estimates are added
+   up, so no single task merges the sketch of every task.
 3. The candidates are verified: their exact count and the row that stays
    come from one aggregate with map-side combine. At most ``max_heavy``
    such rows exist, so they are broadcast and the copies of frequent texts
@@ -42,13 +42,18 @@ def _order():
 
 
 def frequent_digests(table: DataFrame, counters: int, max_heavy: int, task_groups: int = 64) -> DataFrame:
-    """(h, ): 64-bit hashes of digests that may be frequent, at most ``max_heavy``."""
+    """(h, ): 64-bit hashes of digests that may be frequent, at most ``max_heavy``.
+
+    Every task group has a sketch of its own, and the estimates are added
+    up per hash, so each group's error is relative to its own rows and the
+    sum's to all rows.
+    """
     h = F.xxhash64("digest").alias("h")
     parts = table.select(h, (F.spark_partition_id() % task_groups).alias("g")).groupBy("g") \
         .agg(F.expr(f"approx_top_k_accumulate(h, {counters})").alias("s"))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s"))
-    return merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {max_heavy})")).alias("e")) \
-        .where("e.count > 1").select(F.col("e.item").alias("h"))
+    found = parts.select(F.explode(F.expr(f"approx_top_k_estimate(s, {max_heavy})")).alias("e"))
+    return found.groupBy(F.col("e.item").alias("h")).agg(F.sum("e.count").alias("n")).where("n > 1") \
+        .orderBy(F.desc("n"), "h").limit(max_heavy).select("h")
 
 
 def exact_dedup(docs: DataFrame, counters: int = 8192, max_heavy: int = 1024) -> DataFrame:
@@ -66,7 +71,6 @@ def exact_dedup(docs: DataFrame, counters: int = 8192, max_heavy: int = 1024) ->
     empty result; extra columns are ignored whatever their names.
     """
     table = digest_table(docs)
-    # approx_top_k needs a power of two of counters or more rows than it returns
     cand = frequent_digests(table, counters, max_heavy)
     hashed = table.withColumn("h", F.xxhash64("digest"))
     heavy = stage(hashed.join(F.broadcast(cand), "h", "left_semi").groupBy("digest")
