@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _dedup
+from . import fingerprints as _prints
 from . import language_id as _language
+from . import license_scan as _licenses
 from . import mixing as _mixing
 from . import packing as _packing
 from . import secret_scan as _secrets
@@ -29,6 +31,10 @@ def op3_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(documents(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prints.fingerprints(documents(spark, sf_dir))
+
+
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.reshard(documents(spark, sf_dir)).drop("th")
 
@@ -45,14 +51,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licenses.license_scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_pack_power_of_two": op3_pack_power_of_two,
+    "op4_fingerprints": op4_fingerprints,
     "op5_reshard": op5_reshard,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE = {
