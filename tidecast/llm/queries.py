@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _dedup
 from . import fingerprints as _prints
+from . import jaccard_join as _jaccard
 from . import language_id as _language
 from . import license_scan as _licenses
 from . import mixing as _mixing
@@ -51,6 +52,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(documents(spark, sf_dir))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.near_duplicates(documents(spark, sf_dir)).drop("th")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licenses.license_scan(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_license_scan": op10_license_scan,
 }
 

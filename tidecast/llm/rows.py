@@ -15,8 +15,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows starts from the written table, also
-    after executors are lost. Used for narrow tables (ids, digests,
-    counts), never for whole texts.
+    after executors are lost. Operators write narrow tables only (ids,
+    digests, counts); the pipeline also writes the texts between its stages.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/tidecast-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
