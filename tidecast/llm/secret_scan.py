@@ -120,8 +120,11 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     def count(cond) -> Column:
         return F.size(F.filter("all", cond)).cast("long")
 
+    def of_kind(k: int):
+        return lambda s: s["k"] == k
+
     return out.select(
-        "doc_id", *[count(lambda s, k=k: s["k"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        "doc_id", *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"),
         count(lambda s: (s["k"] < 3) & s["live"]).alias("n_live"),
         count(lambda s: (s["k"] < 3) & ~s["live"]).alias("n_example"))
