@@ -84,7 +84,7 @@ def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: Data
     rows = series.repartition(*keys).join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
                                         _features().alias("x"))
     g = gram(rows, keys, "x", "ys", P)
-    sol = solve(g, ridge=F.expr("array(" + ", ".join(f"{v!r}D" for v in RIDGE) + ")"))
+    sol = solve(g, P, ridge=RIDGE)
     sol = sol.select(*keys, F.col("fit.beta").alias("beta"),
                      F.sqrt(F.col("fit.sse") / F.col("n")).alias("_sig"))
     return st.join(sol, keys).withColumn("sigma", F.col("_sig") * F.col("scale")).drop("_sig")

@@ -55,7 +55,8 @@ def _state(series: DataFrame, p: int, keys) -> DataFrame:
     return pts.select(*keys, F.element_at("pts", -1)["ds"].alias("last_ds"),
                       F.element_at("pts", -1)["y"].alias("last_y"), F.size("pts").alias("n_points"),
                       ys.alias("ys")) \
-        .withColumn("dys", F.expr("transform(sequence(1, size(ys) - 1), i -> ys[i] - ys[i - 1])")) \
+        .withColumn("dys", F.expr("IF(size(ys) > 1, transform(sequence(1, size(ys) - 1), i -> ys[i] - ys[i - 1]), "
+                              "CAST(array() AS ARRAY<DOUBLE>))")) \
         .withColumn("hist", F.expr(f"slice(dys, greatest(size(dys) - {p} + 1, 1), {p})"))
 
 
@@ -76,16 +77,16 @@ def _design_from_state(st: DataFrame, p: int, keys) -> DataFrame:
     """AR design rows exploded from each series' sorted differences: for
     t >= p, y = dys[t] and x = [dys[t-1] .. dys[t-p]]. Built from the same
     per-series row as the forecast state, so the series is read once."""
-    rows = F.expr(f"""transform(sequence({p}, size(dys) - 1),
-        t -> named_struct('dy', dys[t], 'x', transform(sequence(1, {p}), i -> dys[t - i])))""")
-    return st.select(*keys, F.explode(F.when(F.size("dys") > p, rows)).alias("r")).select(*keys, "r.dy", "r.x")
+    rows = F.expr(f"""IF(size(dys) > {p}, transform(sequence({p}, size(dys) - 1),
+        t -> named_struct('dy', dys[t], 'x', transform(sequence(1, {p}), i -> dys[t - i]))), NULL)""")
+    return st.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.dy", "r.x")
 
 
 def ar_fit(series: DataFrame, p: int = 5, keys=KEYS, state: DataFrame | None = None) -> DataFrame:
     """F4 fit: (keys, beta, sse, n_obs, rank) of ARIMA(p,1,0) without constant."""
     st = state if state is not None else _state(series, p, keys)
     g = gram(_design_from_state(st, p, keys), keys, "x", "dy", p)
-    f = solve(g)
+    f = solve(g, p)
     return f.select(*keys, F.col("fit.beta").alias("beta"), F.col("fit.sse").alias("sse"),
                     F.col("n").alias("n_obs"), F.col("fit.rank").alias("rank"))
 
@@ -133,7 +134,7 @@ def ar1_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month")
 def arma_fit(series: DataFrame, keys=KEYS, m: int = HR_LONG_ORDER) -> DataFrame:
     """F5 fit by Hannan-Rissanen: (keys, phi, theta, sse, n_obs, degenerate)."""
     design = ar_design(series, m, keys)
-    long_ = solve(gram(design, keys, "x", "dy", m)).select(*keys, F.col("fit.beta").alias("a"))
+    long_ = solve(gram(design, keys, "x", "dy", m), m).select(*keys, F.col("fit.beta").alias("a"))
     res = design.join(long_, keys).withColumn("e", F.col("dy") - dot(F.col("x"), F.col("a")))
     # all differences, with the stage-1 residual where it exists (null before lag m)
     d = difference(series, keys).where(F.col("dy").isNotNull()).select(*keys, "ds", "dy")
@@ -142,7 +143,7 @@ def arma_fit(series: DataFrame, keys=KEYS, m: int = HR_LONG_ORDER) -> DataFrame:
     d = d.withColumn("dy1", F.lag("dy", 1).over(w)).withColumn("e1", F.lag("e", 1).over(w))
     d2 = d.where(F.col("dy1").isNotNull() & F.col("e1").isNotNull()) \
         .select(*keys, "dy", F.array("dy1", "e1").alias("x"))
-    f2 = solve(gram(d2, keys, "x", "dy", 2), ridge=1e-9)
+    f2 = solve(gram(d2, keys, "x", "dy", 2), 2, ridge=1e-9)
     return f2.select(*keys, F.col("fit.beta")[0].alias("phi"), F.col("fit.beta")[1].alias("theta"),
                      F.col("fit.sse").alias("sse"), F.col("n").alias("n_obs"),
                      (F.col("fit.rank") < 2).alias("degenerate"))
@@ -166,24 +167,27 @@ def arma_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month"
 
 
 # ------------------------------------------------------------ order search
-def kpss_level(series: DataFrame, keys=KEYS, max_lag: int = 12) -> DataFrame:
-    """KPSS level-stationarity statistic per series (Bartlett long-run
-    variance, lags floor(4 * (n/100)^(1/4)), capped at ``max_lag``)."""
-    wn = Window.partitionBy(*keys)
-    w = Window.partitionBy(*keys).orderBy("ds")
-    s = series.select("*", F.count(F.lit(1)).over(wn).alias("n"), (F.col("y") - F.avg("y").over(wn)).alias("e"))
-    s = s.select("*", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("S"),
-                 *[(F.col("e") * F.lag("e", k).over(w)).alias(f"_p{k}") for k in range(1, max_lag + 1)])
-    aggs = [F.first("n").alias("n"), F.sum(F.col("S") * F.col("S")).alias("ss"),
-            F.sum(F.col("e") * F.col("e")).alias("g0")]
-    aggs += [F.sum(f"_p{k}").alias(f"g{k}") for k in range(1, max_lag + 1)]
-    g = s.groupBy(*keys).agg(*aggs)
-    lag = f"least(floor(4D * pow(n / 100D, 0.25D)), {max_lag})"
-    terms = " + ".join(f"IF({k} <= {lag}, 2D * (1D - {k} / ({lag} + 1D)), 0D) * coalesce(g{k}, 0D)"
-                       for k in range(1, max_lag + 1))
-    lrv = f"((g0 + {terms}) / n)"
-    stat = F.expr(f"IF({lrv} > 0, ss / (n * n * {lrv}), 0D)")
-    return g.select(*keys, "n", stat.alias("kpss"))
+def kpss_level(series: DataFrame, keys=KEYS) -> DataFrame:
+    """KPSS level-stationarity statistic per series: Bartlett long-run
+    variance with floor(4 * (n/100)^(1/4)) lags, whatever the length.
+
+    Folds over each series' own sorted values: the cumulative sums, and one
+    autocovariance for each lag the formula asks for.
+    """
+    pts = sorted_points(series, keys)
+    g = pts.select(*keys, F.transform("pts", lambda q: q["y"]).alias("ys"))
+    g = g.withColumn("mean", F.expr("aggregate(ys, 0D, (s, v) -> s + v, s -> s / size(ys))"))
+    g = g.select(*keys, F.size("ys").cast("long").alias("n"), F.expr("transform(ys, y -> y - mean)").alias("e"))
+    g = g.withColumn("lag", F.expr("CAST(floor(4D * pow(n / 100D, 0.25D)) AS INT)"))
+    g = g.withColumn("ss", F.expr("""aggregate(e, named_struct('c', 0D, 'ss', 0D),
+        (a, v) -> named_struct('c', a.c + v, 'ss', a.ss + (a.c + v) * (a.c + v)), a -> a.ss)"""))
+    g = g.withColumn("g0", F.expr("aggregate(e, 0D, (s, v) -> s + v * v)"))
+    # lags of n or more have no pair of points
+    g = g.withColumn("gk", F.expr("""IF(least(lag, n - 1) < 1, 0D, aggregate(sequence(1, CAST(least(lag, n - 1) AS INT)), 0D,
+        (s, k) -> s + 2D * (1D - k / (lag + 1D)) * aggregate(sequence(k, CAST(n - 1 AS INT)), 0D,
+            (u, i) -> u + e[i] * e[i - k])))"""))
+    lrv = "((g0 + gk) / n)"
+    return g.select(*keys, "n", F.expr(f"IF({lrv} > 0, ss / (n * n * {lrv}), 0D)").alias("kpss"))
 
 
 def auto_order_fit(series: DataFrame, keys=KEYS, max_p: int = MAX_P) -> DataFrame:
@@ -202,11 +206,7 @@ def auto_order_fit(series: DataFrame, keys=KEYS, max_p: int = MAX_P) -> DataFram
     # feature positions: intercept (0) only for d = 0, then lags 1..p
     idx = F.expr("concat(IF(d = 0, array(0), CAST(array() AS ARRAY<INT>)), "
                  "IF(p > 0, sequence(1, p), CAST(array() AS ARRAY<INT>)))")
-    cand = cand.withColumn("idx", idx)
-    P = max_p + 1
-    cand = cand.withColumn("sxx", F.expr(f"flatten(transform(idx, i -> transform(idx, j -> xx[i * {P} + j])))")) \
-               .withColumn("sxy", F.expr("transform(idx, i -> xy[i])"))
-    sol = solve(cand.select(*keys, "d", "p", "idx", "n", "yy", F.col("sxx").alias("xx"), F.col("sxy").alias("xy")))
+    sol = solve(cand.withColumn("idx", idx), max_p + 1, keep="idx")
     k = F.size("idx") + F.lit(1)
     aic = F.col("n") * F.log(F.greatest(F.col("fit.sse"), F.lit(1e-12)) / F.col("n")) + F.lit(2.0) * k
     sol = sol.withColumn("aic", aic)

@@ -1,13 +1,14 @@
 """K1: least squares for many series at once.
 
 The sufficient statistics of a linear fit -- the Gram matrix X'X, X'y,
-y'y and n -- are sums, so they are computed as one keyed aggregate with
-map-side partial sums: Spark never moves the rows, only p*(p+1)/2 + p + 2
-running sums per (key, map task). That holds for a million small series
-and for one huge one alike.
-
-Only the final p x p solve runs in Python, in one Arrow-batched pandas
-UDF over rows that each hold one series' Gram matrix (p^2 numbers).
+y'y and n -- are sums. Every Arrow batch is reduced to one packed upper
+triangle of Z'Z (Z = [X | y]) per key, and Spark adds these partials by
+key: it never moves the rows, only p^2/2 sums per (key, batch). Callers
+feed rows clustered by key, and a series is bounded by the calendar, so a
+key has a few partials at most.
+
+The p x p solves run in Python, stacked: one eigendecomposition call for
+all series of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -25,64 +26,17 @@ SOLUTION = T.StructType([
 ])
 
 
-def gram_jvm(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
-    """Pure-JVM variant of ``gram``: (keys, n, xx ARRAY[p*p] row-major, xy ARRAY[p], yy) per key.
-
-    ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
-    feature or target must be filtered out by the caller.
-
-    With z = x ++ [y], every row emits its upper-triangle products
-    z_i * z_j (j >= i) as (key, i, j) entries inside the same map stage,
-    which the partial aggregate immediately folds, so only one running
-    sum per (key, i, j, map task) is shuffled. (A single aggregate with
-    p^2/2 sum columns would avoid the explode, but its plan grows
-    quadratically and is slow to build for p ~ 50.)
-    """
-    z = F.concat(F.col(x), F.array(F.col(y).cast("double"))).alias("_z")
-    e = df.select(*keys, z)
-    e = e.select(*keys, "_z", F.posexplode("_z").alias("i", "zi"))
-    e = e.select(*keys, "i", "zi", F.posexplode(F.slice("_z", F.col("i") + 1, F.lit(p + 1) - F.col("i")))
-                 .alias("o", "zj"))
-    sums = e.groupBy(*keys, "i", (F.col("i") + F.col("o")).alias("j")) \
-        .agg(F.sum(F.col("zi") * F.col("zj")).alias("v"), F.count(F.lit(1)).alias("cnt"))
-    q = p + 1
-    g = sums.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("i") * q + F.col("j")).alias("k"), "v"))).alias("_m"),
-        F.max("cnt").alias("n"))
-    xx = F.expr(f"transform(sequence(0, {p * p - 1}), k -> "
-                f"_m[least(k div {p}, k % {p}) * {q} + greatest(k div {p}, k % {p})])")
-    xy = F.expr(f"transform(sequence(0, {p - 1}), i -> _m[i * {q} + {p}])")
-    yy = F.expr(f"_m[{p * q + p}]")
-    return g.select(*keys, "n", xx.alias("xx"), xy.alias("xy"), yy.alias("yy"))
-
-
-def _assemble(sums: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """(keys, k, v, cnt) upper-triangle sums of z = x ++ [y] -> gram rows."""
-    q = p + 1
-    g = sums.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_m"), F.max("cnt").alias("n"))
-    xx = F.expr(f"transform(sequence(0, {p * p - 1}), k -> "
-                f"_m[least(k div {p}, k % {p}) * {q} + greatest(k div {p}, k % {p})])")
-    xy = F.expr(f"transform(sequence(0, {p - 1}), i -> _m[i * {q} + {p}])")
-    yy = F.expr(f"_m[{p * q + p}]")
-    return g.select(*keys, "n", xx.alias("xx"), xy.alias("xy"), yy.alias("yy"))
+def packed(i: int, j: int, q: int) -> int:
+    """Place of entry (i, j), i <= j, in the packed upper triangle of a q x q matrix."""
+    return i * q - i * (i - 1) // 2 + (j - i)
 
 
 def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
-    """(keys, n, xx ARRAY[p*p] row-major, xy ARRAY[p], yy) per key.
+    """(keys, n, tri) per key: ``tri`` is the packed upper triangle of Z'Z,
+    Z = [X | y], row-major, (p + 1)(p + 2) / 2 numbers.
 
     ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
     feature or target must be filtered out by the caller.
-
-    Two-level sum: inside each task, every Arrow batch is reduced per key
-    to the upper triangle of Z'Z (Z = [X | y]) with one numpy product;
-    Spark then adds these partials by (key, entry) -- a keyed aggregate
-    with map-side combine. Rows never leave their task, a hot key is
-    simply spread over more batches, and Python sees rows only to
-    multiply them. The partials shrink the data when a batch holds many
-    rows of the same key, so callers feed rows clustered by key (series
-    rows after a keyed window or repartition): then there is about one
-    partial per series.
     """
     q = p + 1
     iu = np.triu_indices(q)
@@ -94,72 +48,72 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
         for pdf in batches:
             if pdf.empty:
                 continue
-            for kv, g in pdf.groupby(keys, sort=False, dropna=False):
-                kv = kv if isinstance(kv, tuple) else (kv,)
-                Z = np.empty((len(g), q))
-                Z[:, :p] = np.stack(g[x].to_numpy())
-                Z[:, p] = g[y].to_numpy(dtype=float)
-                G = Z.T @ Z
-                yield pd.DataFrame([[*kv, len(g), G[iu].tolist()]], columns=[*keys, "n", "tri"])
+            z = np.column_stack([np.stack(pdf[x].to_numpy()), pdf[y].to_numpy(dtype=float)])
+            groups = pdf.groupby(keys, sort=False, dropna=False)
+            number = groups.ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            z, ends = z[order], np.cumsum(np.bincount(number))
+            starts = np.concatenate([[0], ends[:-1]])
+            out = pdf.iloc[order[starts]][keys].reset_index(drop=True)
+            out["n"] = ends - starts
+            out["tri"] = [(z[a:b].T @ z[a:b])[iu] for a, b in zip(starts, ends, strict=True)]
+            yield out
 
     parts = df.select(*keys, F.col(x).alias(x), F.col(y).cast("double").alias(y)).mapInPandas(partial, out_schema)
-    # flat upper-triangle positions i * q + j (j >= i), row-major like np.triu_indices
-    ks = F.expr(f"flatten(transform(sequence(0, {q - 1}), i -> transform(sequence(i, {q - 1}), j -> i * {q} + j)))")
-    sums = parts.select(*keys, "n", F.explode(F.arrays_zip(ks.alias("k"), F.col("tri").alias("v"))).alias("e")) \
-        .groupBy(*keys, F.col("e.k").alias("k")).agg(F.sum("e.v").alias("v"), F.sum("n").alias("cnt"))
-    return _assemble(sums, keys, p)
+    total = "IF(size(_t) = 1, _t[0], aggregate(slice(_t, 2, size(_t) - 1), _t[0], (a, t) -> zip_with(a, t, (u, v) -> u + v)))"
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("tri").alias("_t")) \
+        .select(*keys, "n", F.expr(total).alias("tri"))
 
 
 def gram_long(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
     """The same statistics as rows (keys, kind, i, j, value), 1-based,
     upper triangle for 'xx' and j = 0 for 'xy'."""
-    g = gram(df, keys, x, y, p)
+    g, q = gram(df, keys, x, y, p), p + 1
     pairs = [F.struct(F.lit("xx").alias("kind"), F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"),
-                      F.col("xx")[i * p + j].alias("value")) for i in range(p) for j in range(i, p)]
+                      F.col("tri")[packed(i, j, q)].alias("value")) for i in range(p) for j in range(i, p)]
     pairs += [F.struct(F.lit("xy").alias("kind"), F.lit(i + 1).alias("i"), F.lit(0).alias("j"),
-                       F.col("xy")[i].alias("value")) for i in range(p)]
+                       F.col("tri")[packed(i, p, q)].alias("value")) for i in range(p)]
     return g.select(*keys, F.explode(F.array(*pairs)).alias("e")).select(*keys, "e.*")
 
 
-@F.pandas_udf(SOLUTION)
-def _solve(xx: pd.Series, xy: pd.Series, yy: pd.Series, ridge: pd.Series) -> pd.DataFrame:
-    betas, sses, ranks = [], [], []
-    for g, b, c, lam in zip(xx, xy, yy, ridge):
-        b = np.asarray(b, dtype=float)
-        p = b.shape[0]
-        G = np.asarray(g, dtype=float).reshape(p, p)
-        lam = np.asarray(lam, dtype=float)
-        A = G + np.diag(lam)
-        beta, _, rank, _ = np.linalg.lstsq(A, b, rcond=None)
-        sse = float(c - 2.0 * beta @ b + beta @ G @ beta)
-        betas.append(beta.tolist())
-        sses.append(max(sse, 0.0))
-        ranks.append(int(rank))
-    return pd.DataFrame({"beta": betas, "sse": sses, "rank": ranks})
-
-
-def solve(g: DataFrame, ridge=None) -> DataFrame:
-    """Attach ``fit`` = (beta, sse, rank) to each row of ``gram`` output.
-
-    ``ridge``: None (plain least squares, minimum-norm when singular), a
-    float added to every diagonal entry, or an ARRAY<DOUBLE> column with
-    one penalty per coefficient.
+def _solve_stacked(a: np.ndarray, b: np.ndarray, c: np.ndarray, lam: np.ndarray):
+    """Minimum-norm solutions of (A + diag(lam)) beta = b for stacked A, with
+    the residual sum of squares of the unpenalised problem and the rank."""
+    w, v = np.linalg.eigh(a + np.eye(a.shape[1]) * lam)
+    keep = w > w.max(axis=1, keepdims=True, initial=0.0) * a.shape[1] * np.finfo(float).eps
+    part = np.einsum("sij,si->sj", v, b)
+    beta = np.einsum("sij,sj->si", v, np.divide(part, w, out=np.zeros_like(w), where=keep))
+    sse = c - 2.0 * np.einsum("si,si->s", beta, b) + np.einsum("si,sij,sj->s", beta, a, beta)
+    return beta, np.maximum(sse, 0.0), keep.sum(axis=1)
+
+
+def solve(g: DataFrame, p: int, ridge=0.0, keep: str | None = None) -> DataFrame:
+    """Attach ``fit`` = (beta, sse, rank) to each row of ``gram`` output, and ``yy``.
+
+    ``ridge``: a float added to every diagonal entry, or one penalty a
+    coefficient; 0 is plain least squares (minimum norm when singular).
+    ``keep``: an ARRAY<INT> column of feature positions; only these enter.
     """
-    if ridge is None:
-        lam = F.transform("xy", lambda v: F.lit(0.0))
-    elif isinstance(ridge, (int, float)):
-        lam = F.transform("xy", lambda v: F.lit(float(ridge)))
-    else:
-        lam = ridge
-    return g.withColumn("fit", _solve("xx", "xy", "yy", lam))
-
-
-def sub_gram(g: DataFrame, p_full: int, idx: list[int], prefix: str) -> DataFrame:
-    """Columns ``{prefix}xx/xy`` holding the principal sub-problem on the
-    feature positions ``idx`` (0-based) of a full Gram from ``gram``."""
-    xx = F.array(*[F.col("xx")[i * p_full + j] for i in idx for j in idx])
-    xy = F.array(*[F.col("xy")[i] for i in idx])
-    return g.withColumn(f"{prefix}xx", xx).withColumn(f"{prefix}xy", xy)
+    q, iu = p + 1, np.triu_indices(p + 1)
+    penalty = np.broadcast_to(np.asarray(ridge, float), (p,)).copy()
+
+    @F.pandas_udf(SOLUTION)
+    def fit(tri: pd.Series, positions: pd.Series) -> pd.DataFrame:
+        z = np.zeros((len(tri), q, q))
+        z[:, iu[0], iu[1]] = np.stack(tri.to_numpy()) if len(tri) else 0.0
+        z[:, iu[1], iu[0]] = z[:, iu[0], iu[1]]
+        out = pd.DataFrame({"beta": [None] * len(tri), "sse": 0.0, "rank": 0})
+        which = [tuple(range(p)) if k is None else tuple(k) for k in positions]
+        for at in set(which):  # rows of the same positions are solved together
+            rows, ix = np.array([i for i, k in enumerate(which) if k == at]), np.array(at, int)
+            beta, sse, rank = _solve_stacked(z[np.ix_(rows, ix, ix)], z[np.ix_(rows, ix, [p])][:, :, 0],
+                                             z[rows, p, p], penalty[ix])
+            for i, bt, s, r in zip(rows, beta, sse, rank, strict=True):
+                out.at[i, "beta"], out.at[i, "sse"], out.at[i, "rank"] = bt.tolist(), float(s), int(r)
+        return out
+
+    positions = F.col(keep) if keep else F.lit(None).cast("array<int>")
+    return g.withColumn("fit", fit("tri", positions))
 
 
 def dot(a, b):

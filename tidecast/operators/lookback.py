@@ -41,7 +41,7 @@ def lookback_forecast(series: DataFrame, k: int = LOOK_BACK, fit_on: str = "trai
     if model == "per_series":
         xs = F.concat(F.array(F.lit(1.0)), F.col("x"))
         tr = lb.where(F.col("split") == "train").select(*keys, xs.alias("xs"), "y_scaled")
-        beta = solve(gram(tr, keys, "xs", "y_scaled", k + 1), ridge=RIDGE) \
+        beta = solve(gram(tr, keys, "xs", "y_scaled", k + 1), k + 1, ridge=RIDGE) \
             .select(*keys, F.col("fit.beta").alias("beta"))
         pred = lb.join(beta, keys).withColumn(
             "p", F.col("beta")[0] + dot_fixed("x", "beta", k, b_offset=1))

@@ -87,10 +87,10 @@ SELECT repo, issue_number, created_at, closed_at, window_idx FROM iw"""
 
 ORACLE["issues_in_windows_capped"] = with_views("issues", recursive=True) + f""",
 {_WINDOWS}
-SELECT * FROM (
+SELECT *, CAST(ceil(rank_in_window / 100.0) AS BIGINT) AS page FROM (
   SELECT repo, issue_number, created_at, window_idx,
          row_number() OVER (PARTITION BY repo, window_idx ORDER BY created_at, issue_number) AS rank_in_window
-  FROM iw) WHERE rank_in_window <= 100"""
+  FROM iw)"""
 
 
 # ---------------------------------------------------------- monthly series

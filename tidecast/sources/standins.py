@@ -60,15 +60,21 @@ def commits(t: Tables) -> DataFrame:
     return li.select(F.col("l_returnflag").alias("repo"), sha.alias("sha"), F.col("l_shipdate").alias("date"))
 
 
-def issues(t: Tables) -> DataFrame:
+def issues(t: Tables, since: _dt.date | None = None) -> DataFrame:
     """Orders as issues; closed_at is the first ship date >= order date.
 
+    ``since`` keeps the issues created on that day or later. A closing date
+    never lies before its creation, so the same bound prunes both scans.
+
     The join is on the order key only (unique in orders, <= 7 lines each),
     so the sort-merge join's hash partitioning on the key also serves the
     following aggregate: one shuffle per side, no skew.
     """
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     li = t.lineitem.select(F.col("l_orderkey"), F.col("l_shipdate"))
+    if since is not None:
+        bound = F.lit(f"{since} 00:00:00").cast("timestamp_ntz")
+        o, li = o.where(F.col("o_orderdate") >= bound), li.where(F.col("l_shipdate") >= bound)
     j = o.join(li, (o.o_orderkey == li.l_orderkey) & (li.l_shipdate >= o.o_orderdate)
                & (o.o_orderstatus == F.lit("F")), "left")
     g = j.groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority") \

@@ -8,11 +8,11 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import top_k_per_group
+from ..functions.ranking import positional_index
 
-# Twelve windows of one month; one search page holds 100.
+# Twelve windows of one month; one search page shows 100.
 N_WINDOWS = 12
-PAGE_SIZE = 100
+PAGE_ROWS = 100
 
 
 def add_months(d: _dt.date, k: int) -> _dt.date:
@@ -40,8 +40,7 @@ def month_windows(spark: SparkSession, as_of: _dt.date, n: int = N_WINDOWS) -> D
 
 
 def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_at",
-                       n: int = N_WINDOWS, cap: int | None = None,
-                       key: str = "issue_number", dedupe: bool = False) -> DataFrame:
+                       n: int = N_WINDOWS, key: str = "issue_number", dedupe: bool = False) -> DataFrame:
     """S5 + J2: records whose day falls in a window, tagged with its index.
 
     Windows are half-open ``(lo, hi]`` except the oldest, ``[lo, hi]``, so a
@@ -49,9 +48,6 @@ def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_
     range is applied first as a literal filter on the bare column (pushed
     to the scan); the window index is then a CASE over the 12 sorted
     bounds (the range join of records and windows, without a join).
-    ``cap`` keeps the first ``cap`` records per (repo, window) by
-    (day, key), as one search page did (defect D5 kept as an option);
-    ``row_number() <= cap`` gets a partial group limit before the shuffle.
     ``dedupe`` drops repeated (repo, key) records (P13).
     """
     b = window_bounds(as_of, n)
@@ -69,7 +65,18 @@ def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_
         cond = (day >= F.lit(lo)) if i == n else (day > F.lit(lo))
         idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
     out = pre.withColumn("window_idx", idx).where(F.col("window_idx").isNotNull() & (day <= F.lit(hi_all)))
-    if cap is not None:
-        out = top_k_per_group(out, ["repo", "window_idx"], [(time_col, False), (key, False)], cap,
-                              out="rank_in_window")
     return out
+
+
+def paged(windowed: DataFrame, time_col: str = "created_at", key: str = "issue_number",
+          page_rows: int = PAGE_ROWS) -> DataFrame:
+    """O3: every record of ``records_in_windows`` with its rank by (day, key)
+    in its (repo, window), from 1, and the page it would be shown on.
+
+    Nothing is dropped (a one-page fetch loses what comes later, D5). The
+    rank is the skew-safe distributed one, so a hot window spans tasks.
+    """
+    pos = positional_index(windowed, ["repo", "window_idx"], [(time_col, False), (key, False)], out="rank_in_window")
+    rank = F.col("rank_in_window") + 1
+    return pos.drop("group_rows").withColumn("rank_in_window", rank) \
+        .withColumn("page", F.ceil(F.col("rank_in_window") / F.lit(page_rows)).cast("long"))
