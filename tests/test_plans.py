@@ -61,6 +61,16 @@ def test_write_forecasts_dynamic_overwrite(spark, scratch):
     assert got == {("pulls", 9.0), ("commits", 2.0)}
 
 
+def test_write_forecasts_keeps_other_repositories(spark, scratch, monkeypatch):
+    monkeypatch.setattr(R, "FORECAST_BUCKETS", 1)  # both repositories share every folder
+    path = os.path.join(scratch, "fc")
+    schema = "repo STRING, metric STRING, model STRING, yhat DOUBLE"
+    R.write_forecasts(spark.createDataFrame([("o/a", "pulls", "ses", 1.0), ("o/b", "pulls", "ses", 2.0)], schema), path)
+    R.write_forecasts(spark.createDataFrame([("o/a", "pulls", "ses", 5.0)], schema), path)
+    got = {(r.repo, r.yhat) for r in spark.read.parquet(path).collect()}
+    assert got == {("o/a", 5.0), ("o/b", 2.0)}
+
+
 def test_report_nested_columns(spark):
     from tidecast.sources import standins as SI
     t = SI.Tables(spark, SF0001)

@@ -84,18 +84,16 @@ def validate_repo(df: DataFrame, col: str = "repo") -> DataFrame:
                      repo_name(col).alias("name"))
 
 
-def require_column(df: DataFrame, col: str) -> bool:
-    """Schema check on the driver (no data is touched)."""
-    return col in df.columns
+def dedupe_records(df: DataFrame, key: list[str], fetched: str) -> DataFrame:
+    """The last fetched row of each key (overlapping pages and windows
+    fetch a record again, perhaps changed since); column order is kept.
 
-
-def dedupe_records(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key (overlapping pages/windows fetch a record twice).
-
-    Hash-partitioned on the full key, so a hot repository is still spread
-    by its record ids.
+    A keyed maximum with map-side combine on the full key, so a hot
+    repository is spread by its record ids.
     """
-    return df.dropDuplicates(key)
+    rest = [c for c in df.columns if c not in key]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(fetched)).alias("_r"))
+    return last.select(*key, "_r.*").select(*df.columns)
 
 
 def project_series(df: DataFrame, time_col: str, value_col: str | None = None, metric: str = "series") -> DataFrame:

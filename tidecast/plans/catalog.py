@@ -600,3 +600,146 @@ def lookback_training_loss(spark, sf_dir):
     s = staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
     curve, _ = LB.training_loss(s)
     return curve
+
+
+# ---------------------------------------- landed records, built as JSON text
+from ..functions.timecols import STRICT_FORMAT  # noqa: E402
+from ..sources import landed as L  # noqa: E402
+
+
+def _landed(df, entity, record, broken=None):
+    """Rows (repo, seq, json): ``record`` as API JSON, cut short where ``broken`` holds."""
+    text = F.to_json(record)
+    if broken is not None:
+        text = F.when(broken, F.substring(text, 1, 12)).otherwise(text)
+    return L.parse_records(df.select("repo", "seq", text.alias("json")), entity)
+
+
+def _iso(c):
+    return F.date_format(c, STRICT_FORMAT)
+
+
+@query("landed_issues")
+def landed_issues(spark, sf_dir):
+    """S1 + P1 + P8: issues as API JSON, parsed back; some texts are cut
+    short (all fields null, dropped), some users are missing."""
+    o = SI.Tables(spark, sf_dir).orders.select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("seq"),
+                                               "o_orderstatus", "o_orderdate", "o_custkey")
+    user = F.when(F.col("seq") % 89 != 0, F.struct(F.col("o_custkey").cast("string").alias("login")))
+    closed = F.when(F.col("o_orderstatus") == "F", _iso(F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")))
+    rec = F.struct(F.col("seq").alias("number"), _iso("o_orderdate").alias("created_at"), closed.alias("closed_at"),
+                   F.lower("o_orderstatus").alias("state"), user.alias("user"))
+    out = L.project(_landed(o, "issues", rec, F.col("seq") % 97 == 0), "issues")
+    return C.only_present(out, "issue_number")
+
+
+@query("landed_commits")
+def landed_commits(spark, sf_dir):
+    """S1 + P2: sha and commit.author.date out of nested JSON; some records have no author."""
+    li = SI.Tables(spark, sf_dir).lineitem.select(
+        F.col("l_returnflag").alias("repo"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_shipdate")
+    author = F.when(F.col("seq") % 83 != 0, F.struct(_iso("l_shipdate").alias("date")))
+    rec = F.struct(F.md5(F.col("seq").cast("string")).alias("sha"), F.struct(author.alias("author")).alias("commit"))
+    out = L.project(_landed(li, "commits", rec), "commits")
+    return out.select("repo", "sha", F.col("date").cast("date").alias("day"))
+
+
+@query("landed_branches")
+def landed_branches(spark, sf_dir):
+    """S1 + P3: name and commit.sha with the list position."""
+    p = SI.Tables(spark, sf_dir).part.select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("seq"), "p_name")
+    rec = F.struct(F.col("p_name").alias("name"),
+                   F.struct(F.md5(F.col("seq").cast("string")).alias("sha")).alias("commit"))
+    return L.project(_landed(p, "branches", rec), "branches")
+
+
+@query("landed_contributors")
+def landed_contributors(spark, sf_dir):
+    """S1 + P4: a missing login is 'unknown', missing contributions are 0."""
+    c = SI.Tables(spark, sf_dir).customer.select(
+        F.col("c_mktsegment").alias("repo"), F.col("c_custkey").alias("seq"), "c_name")
+    rec = F.struct(F.when(F.col("seq") % 7 != 0, F.col("c_name")).alias("login"),
+                   F.when(F.col("seq") % 11 != 0, F.col("seq") % 100).alias("contributions"))
+    return L.project(_landed(c, "contributors", rec), "contributors")
+
+
+@query("landed_releases")
+def landed_releases(spark, sf_dir):
+    """S1 + P5 + P9 + T2: names default to 'unknown', unpublished releases
+    are dropped, times that miss the strict format become null."""
+    o = SI.Tables(spark, sf_dir).orders.select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("seq"),
+                                               "o_orderdate")
+    at = F.when(F.col("seq") % 5 == 0, F.lit(None).cast("string")).when(F.col("seq") % 7 == 0, F.lit("")) \
+        .when(F.col("seq") % 11 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(_iso("o_orderdate"))
+    rec = F.struct(F.when(F.col("seq") % 3 != 0, F.col("seq").cast("string")).alias("name"), at.alias("published_at"))
+    out = L.project(_landed(o, "releases", rec), "releases")
+    return out.select("repo", "name", F.col("published_at").cast("date").alias("day"))
+
+
+@query("landed_repositories")
+def landed_repositories(spark, sf_dir):
+    """Stars and forks from repository objects, missing counts are 0."""
+    n = SI.Tables(spark, sf_dir).nation.select(F.col("n_name").alias("repo"), F.col("n_nationkey").cast("long").alias("seq"))
+    rec = F.struct(F.col("repo").alias("full_name"),
+                   F.when(F.col("seq") % 3 != 0, F.col("seq") * 10).alias("stargazers_count"),
+                   F.when(F.col("seq") % 4 != 0, F.col("seq")).alias("forks_count"))
+    return L.repository_facts(_landed(n, "repository", rec))
+
+
+@query("issues_refetched")
+def issues_refetched(spark, sf_dir):
+    """S3 + P13: a first fetch without closing dates, then a second fetch of
+    every record; per record the last fetched copy stays."""
+    iss = SI.issues(SI.Tables(spark, sf_dir)).select("repo", "issue_number", "created_at", "closed_at")
+    first = iss.withColumn("closed_at", F.lit(None).cast("date")).withColumn("fetch", F.lit(1))
+    both = L.concat_pages(first, iss.withColumn("fetch", F.lit(2)))
+    return C.dedupe_records(both, ["repo", "issue_number"], "fetch").drop("fetch")
+
+
+@query("commits_of_selected_repositories")
+def commits_of_selected_repositories(spark, sf_dir):
+    """S6 + A3: monthly commits of the repositories on a list (those with an
+    open line of 1995), by a semi join."""
+    t = SI.Tables(spark, sf_dir)
+    listed = t.lineitem.where((F.col("l_linestatus") == "O") & (F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"))) \
+        .select(F.col("l_returnflag").alias("repo"))
+    return _series_out(S.monthly_count(L.restrict_to(SI.commits(t), listed), "date", "commits"))
+
+
+@query("order_value_series")
+def order_value_series(spark, sf_dir):
+    """Any time and value column as a series, here summed per month."""
+    o = SI.Tables(spark, sf_dir).orders.withColumn("repo", F.col("o_orderpriority"))
+    p = C.project_series(o, "o_orderdate", "o_totalprice", "order_value")
+    return p.groupBy("repo", F.trunc(F.col("ds").cast("date"), "MM").alias("ds")).agg(F.round(F.sum("y"), 2).alias("y"))
+
+
+@query("missing_column_status")
+def missing_column_status(spark, sf_dir):
+    """A pulls landing without created_at gives 'no_column' for every slot."""
+    p = SI.pulls(SI.Tables(spark, sf_dir)).drop("created_at")
+    return EL.missing_column_status(p, "pulls", ["created_at"])
+
+
+def recent_monthly(df, time_col, metric):
+    return S.monthly_count(C.since(df, time_col, SI.AS_OF, 730), time_col, metric)
+
+
+@query("pulls_recent_monthly")
+def pulls_recent_monthly(spark, sf_dir):
+    """P7 + A3: monthly pulls of the last two years, as the report asks for them."""
+    return _series_out(recent_monthly(SI.pulls(SI.Tables(spark, sf_dir)), "created_at", "pulls"))
+
+
+@query("commits_recent_monthly")
+def commits_recent_monthly(spark, sf_dir):
+    """P7 + A3: monthly commits of the last two years."""
+    return _series_out(recent_monthly(SI.commits(SI.Tables(spark, sf_dir)), "date", "commits"))
+
+
+@query("recent_releases_smoothing")
+def recent_releases_smoothing(spark, sf_dir):
+    """P7 + A3 + F3: the smoothing dispatch on series of at most two years,
+    where both branches run (24 months or more, 6 to 23 months)."""
+    s = recent_monthly(SI.releases(SI.Tables(spark, sf_dir)), "published_at", "releases")
+    return _fc_out(SM.smoothing_forecast(staged(s)))

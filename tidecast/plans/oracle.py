@@ -502,3 +502,128 @@ UNION ALL SELECT repo, 'releases', count(*) FROM releases GROUP BY repo"""
 ORACLE["pulls_parsed_from_text"] = with_views("pulls") + """
 SELECT repo, CAST(created_at AS DATE) AS ds, count(*) AS n, CAST(count(*) AS BIGINT) AS n_agree
 FROM pulls WHERE created_at IS NOT NULL GROUP BY ALL"""
+
+
+# ---------------------------------------- landed records, built as JSON text
+ORACLE["landed_issues"] = """
+SELECT o_orderpriority AS repo, o_orderkey AS issue_number, CAST(o_orderdate AS DATE) AS created_at,
+       CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate + INTERVAL 3 DAY AS DATE) END AS closed_at,
+       lower(o_orderstatus) AS state, CASE WHEN o_orderkey % 89 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS author
+FROM orders WHERE o_orderkey % 97 <> 0"""
+
+ORACLE["landed_commits"] = """
+SELECT l_returnflag AS repo, md5(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)) AS sha,
+       CASE WHEN (l_orderkey * 10 + l_linenumber) % 83 <> 0 THEN CAST(l_shipdate AS DATE) END AS day FROM lineitem"""
+
+ORACLE["landed_branches"] = """
+SELECT p_brand AS repo, p_name AS name, md5(CAST(p_partkey AS VARCHAR)) AS commit_sha, p_partkey AS seq FROM part"""
+
+ORACLE["landed_contributors"] = """
+SELECT c_mktsegment AS repo, CASE WHEN c_custkey % 7 <> 0 THEN c_name ELSE 'unknown' END AS name,
+       CAST(CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 100 ELSE 0 END AS BIGINT) AS contributions, c_custkey AS seq
+FROM customer"""
+
+ORACLE["landed_releases"] = """
+SELECT o_orderpriority AS repo, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'unknown' END AS name,
+       CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day
+FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0"""
+
+ORACLE["landed_repositories"] = """
+SELECT n_name AS repo, CAST(CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 10 ELSE 0 END AS BIGINT) AS stars,
+       CAST(CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey ELSE 0 END AS BIGINT) AS forks FROM nation"""
+
+ORACLE["issues_refetched"] = with_views("issues") + """
+SELECT repo, issue_number, created_at, closed_at FROM issues"""
+
+ORACLE["commits_of_selected_repositories"] = with_views("commits") + f""",
+sel AS (SELECT * FROM commits WHERE repo IN (
+  SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate < DATE '1996-01-01'))
+{_monthly("sel", '"date"')}"""
+
+ORACLE["order_value_series"] = f"""
+SELECT o_orderpriority AS repo, {month('o_orderdate')} AS ds, round(CAST(sum(o_totalprice) AS DOUBLE), 2) AS y
+FROM orders GROUP BY ALL"""
+
+ORACLE["missing_column_status"] = with_views("pulls") + f""",
+{GATES}
+SELECT p.repo, g.metric, g.slot, g.estimator, CAST(0 AS BIGINT) AS n_records, CAST(0 AS BIGINT) AS n_points,
+       'no_column' AS status
+FROM (SELECT DISTINCT repo FROM pulls) p CROSS JOIN gates g WHERE g.metric = 'pulls'"""
+
+
+def _recent(view: str, col: str, name: str) -> str:
+    return f"""{name} AS (SELECT * FROM {view} WHERE {col} >= CAST({AS_OF_SQL} AS TIMESTAMP) - INTERVAL 730 DAY)"""
+
+
+ORACLE["pulls_recent_monthly"] = with_views("pulls") + f""",
+{_recent("pulls", "created_at", "rec")}
+{_monthly("rec", "created_at")}"""
+
+ORACLE["commits_recent_monthly"] = with_views("commits") + f""",
+{_recent("commits", '"date"', "rec")}
+{_monthly("rec", '"date"')}"""
+
+
+# -------------------------------------------------------------- smoothing
+Z80 = "CAST(1.2815515655446004 AS DOUBLE)"
+
+
+def _smoothing(src: str, ses: bool = True) -> str:
+    """Holt-Winters over 24 points or more and, with ``ses``, SES over 6 to
+    23, by recursion over the same parameter grids as the folds."""
+    hw = f"""
+hs AS (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) AS t,
+              count(*) OVER (PARTITION BY repo) AS n FROM {src}),
+h0 AS (SELECT repo, avg(y) AS lvl, list(y ORDER BY t) AS ys FROM hs WHERE t <= 12 GROUP BY repo),
+hg AS (SELECT CAST(i AS DOUBLE) / 20 AS a, CAST(j AS DOUBLE) / 20 AS g FROM range(1, 20) r(i), range(1, 20) q(j)
+       WHERE i + j <= 20),
+hr AS (
+  SELECT h0.repo, hg.a, hg.g, CAST(0 AS BIGINT) AS t, h0.lvl AS level,
+         list_transform(h0.ys, lambda v: v - h0.lvl) AS season, CAST(0 AS DOUBLE) AS sse
+  FROM h0 CROSS JOIN hg WHERE h0.repo IN (SELECT repo FROM hs WHERE n >= 24)
+  UNION ALL
+  SELECT r.repo, r.a, r.g, s.t,
+         r.a * (s.y - r.season[(s.t - 1) % 12 + 1]) + (1 - r.a) * r.level,
+         list_transform(r.season, lambda v, k: CASE WHEN k = (s.t - 1) % 12 + 1
+                        THEN r.g * (s.y - r.level) + (1 - r.g) * v ELSE v END),
+         r.sse + (s.y - r.level - r.season[(s.t - 1) % 12 + 1]) * (s.y - r.level - r.season[(s.t - 1) % 12 + 1])
+  FROM hr r JOIN hs s ON s.repo = r.repo AND s.t = r.t + 1),
+hb AS (SELECT * FROM (
+  SELECT r.*, s.n, s.ds AS last_ds, row_number() OVER (PARTITION BY r.repo ORDER BY r.sse, r.a, r.g) AS rn
+  FROM hr r JOIN hs s ON s.repo = r.repo AND s.t = r.t AND s.t = s.n) WHERE rn = 1),
+fc AS (
+  SELECT repo, 'holt_winters' AS model, CAST(k AS INTEGER) AS step,
+         CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE) AS ds,
+         level + season[(n - 1 + k) % 12 + 1] AS yhat, sqrt(sse / n) AS sg FROM hb, range(1, 13) h(k)"""
+    if not ses:
+        return hw + ")"
+    return f"""
+sg AS (SELECT CAST(i AS DOUBLE) / CAST(100 AS DOUBLE) AS alpha FROM range(1, 100) r(i)),
+ss AS (SELECT * FROM (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) AS t,
+                             count(*) OVER (PARTITION BY repo) AS n FROM {src}) WHERE n BETWEEN 6 AND 23),
+sr AS (
+  SELECT ss.repo, sg.alpha, ss.t, ss.y AS level, CAST(0 AS DOUBLE) AS sse FROM ss CROSS JOIN sg WHERE ss.t = 1
+  UNION ALL
+  SELECT r.repo, r.alpha, ss.t, r.alpha * ss.y + (CAST(1 AS DOUBLE) - r.alpha) * r.level,
+         r.sse + (ss.y - r.level) * (ss.y - r.level)
+  FROM sr r JOIN ss ON ss.repo = r.repo AND ss.t = r.t + 1),
+sb AS (SELECT * FROM (SELECT r.*, ss.n, ss.ds AS last_ds, row_number() OVER (PARTITION BY r.repo ORDER BY r.sse, r.alpha) AS rn
+  FROM sr r JOIN ss ON ss.repo = r.repo AND ss.t = r.t AND ss.t = ss.n) WHERE rn = 1),""" + hw + """
+  UNION ALL
+  SELECT repo, 'ses', CAST(k AS INTEGER), CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE), level,
+         sqrt(sse / greatest(n - 1, 1)) FROM sb, range(1, 13) h(k))"""
+
+
+_SMOOTH_OUT = f"""
+SELECT repo, model, step, ds, round(yhat, 4) AS yhat, round(yhat - {Z80} * sg, 4) AS yhat_lower,
+       round(yhat + {Z80} * sg, 4) AS yhat_upper FROM fc"""
+
+ORACLE["hw_forecast"] = with_views("pulls", recursive=True) + f""",
+{PULLS_MONTHLY},{_smoothing("pm", ses=False)}{_SMOOTH_OUT}"""
+
+ORACLE["smoothing_forecast"] = with_views("releases", recursive=True) + f""",
+{RELEASES_MONTHLY},{_smoothing("rm")}{_SMOOTH_OUT}"""
+
+ORACLE["recent_releases_smoothing"] = with_views("releases", recursive=True) + f""",
+{_recent("releases", "published_at", "rec")},
+rm2 AS ({_monthly("rec", "published_at")}),{_smoothing("rm2")}{_SMOOTH_OUT}"""

@@ -10,12 +10,14 @@ the number of records.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import repo_status
 from ..operators import insights as I
 from ..operators import series as S
+from ..session import cut_lineage
 
 SLOTS = ["lstm", "prophet", "statsmodels"]
 
@@ -90,14 +92,31 @@ def status_report(status: DataFrame, fit_status: DataFrame | None = None) -> Dat
     return out
 
 
+#: Repositories of one (metric, model) are spread over so many folders.
+FORECAST_BUCKETS = 64
+
+
 def write_forecasts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Publish, replacing only the (metric, model) partitions present
-    in ``df`` (dynamic partition overwrite), like re-uploading the same
-    object name replaced the earlier picture."""
+    """Publish forecasts; what ``df`` holds for a (repo, metric, model)
+    replaces what was there, everything else stays.
+
+    Folders are (metric, model, bucket of repo). Only the folders that
+    ``df`` touches are read, merged and replaced; the merged rows are
+    written to the checkpoint folder first, since a folder cannot be read
+    and replaced in one job.
+    """
     spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    new = df.withColumn("bucket", F.pmod(F.xxhash64("repo"), F.lit(FORECAST_BUCKETS)).cast("int"))
     try:
-        df.write.mode("overwrite").partitionBy("metric", "model").format(fmt).save(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        old = spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    if old is not None:
+        folders = ["metric", "model", "bucket"]
+        kept = old.join(new.select(*folders).distinct(), folders, "left_semi") \
+            .join(new.select("repo", "metric", "model").distinct(), ["repo", "metric", "model"], "left_anti")
+        new = cut_lineage(new.unionByName(kept, allowMissingColumns=True))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("metric", "model", "bucket").format(fmt).save(path)

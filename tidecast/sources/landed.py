@@ -43,6 +43,23 @@ def read_raw(spark: SparkSession, root: str, entity: str) -> DataFrame:
     return recs.select("repo", (F.col("page") * PAGE_STRIDE + F.col("pos")).alias("seq"), "r.*")
 
 
+def parse_records(df: DataFrame, entity: str, col: str = "json") -> DataFrame:
+    """Records kept as one JSON text a row (repo, seq, ``col``) -> landed
+    columns. Malformed text gives null fields, absent fields are null."""
+    return df.select("repo", "seq", F.from_json(col, LANDED[entity]).alias("r")).select("repo", "seq", "r.*")
+
+
+def project(raw: DataFrame, entity: str) -> DataFrame:
+    """Landed columns -> clean entity table."""
+    return _PROJECT[entity](raw)
+
+
+def repository_facts(raw: DataFrame) -> DataFrame:
+    """Stars and forks per repository; a missing count is 0."""
+    return raw.select("repo", F.coalesce("stargazers_count", F.lit(0)).cast("long").alias("stars"),
+                      F.coalesce("forks_count", F.lit(0)).cast("long").alias("forks"))
+
+
 _PROJECT = {
     "issues": C.project_issue,
     "pulls": C.project_pull,
@@ -63,9 +80,8 @@ def read_entity(spark: SparkSession, root: str, entity: str, fmt: str = "json")
 def read_repository(spark: SparkSession, root: str) -> DataFrame:
     """Repository facts; a missing count is 0."""
     pages = _pages(spark, root, "repository")
-    r = pages.select("repo", F.from_json("value", LANDED["repository"]).alias("r"))
-    return r.select("repo", F.coalesce("r.stargazers_count", F.lit(0)).cast("long").alias("stars"),
-                    F.coalesce("r.forks_count", F.lit(0)).cast("long").alias("forks"))
+    return repository_facts(pages.select("repo", F.from_json("value", LANDED["repository"]).alias("r"))
+                            .select("repo", "r.*"))
 
 
 def concat_pages(*dfs: DataFrame) -> DataFrame:

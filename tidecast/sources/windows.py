@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import positional_index
+from ..operators.clean import dedupe_records
 
 # Twelve windows of one month; one search page shows 100.
 N_WINDOWS = 12
@@ -40,7 +41,7 @@ def month_windows(spark: SparkSession, as_of: _dt.date, n: int = N_WINDOWS) -> D
 
 
 def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_at",
-                       n: int = N_WINDOWS, key: str = "issue_number", dedupe: bool = False) -> DataFrame:
+                       n: int = N_WINDOWS, key: str = "issue_number", fetched: str | None = None) -> DataFrame:
     """S5 + J2: records whose day falls in a window, tagged with its index.
 
     Windows are half-open ``(lo, hi]`` except the oldest, ``[lo, hi]``, so a
@@ -48,15 +49,16 @@ def records_in_windows(df: DataFrame, as_of: _dt.date, time_col: str = "created_
     range is applied first as a literal filter on the bare column (pushed
     to the scan); the window index is then a CASE over the 12 sorted
     bounds (the range join of records and windows, without a join).
-    ``dedupe`` drops repeated (repo, key) records (P13).
+    ``fetched`` names a fetch-order column: the last fetched copy of a
+    repeated (repo, key) record stays (P13).
     """
     b = window_bounds(as_of, n)
     lo_all, hi_all = b[-1][1], b[0][2]
     day = F.col(time_col).cast("date")
     pre = df.where((F.col(time_col) >= F.lit(lo_all)) & (F.col(time_col) < F.lit(hi_all + _dt.timedelta(days=1))))
-    if dedupe:
+    if fetched is not None:
         # P13 after the range filter, so the filter still reaches the scan
-        pre = pre.dropDuplicates(["repo", key])
+        pre = dedupe_records(pre, ["repo", key], fetched)
     # J2 as a lookup: windows are contiguous and sorted, so the range join
     # against the window table reduces to the first window whose start lies
     # before the day -- a CASE over the bounds, no join and no nested loop
