@@ -11,12 +11,13 @@ shuffle, and a hot source or a group of copies changes nothing.
 Tokenizing whole texts is the cost. Both the normaliser and the split of
 the tokenizer drop white space, so the ids of a text are those of its
 chunks between white space one after another; each worker keeps the ids of
-the chunks it has seen in a bounded table and calls the tokenizer for new
-ones only.
+the chunks and pieces it has seen in bounded tables and applies the
+tokenizer to new ones only.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -32,8 +33,13 @@ END_ID = 2
 #: str.split() also splits at these four, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
-#: Bound of a worker's table of known chunks (about 150 bytes an entry).
-KNOWN_CHUNKS = 500_000
+#: Bound of each of a worker's tables (about 200 bytes an entry); the one before is kept too.
+KNOWN = 500_000
+#: The split of the tokenizer's pattern, and the same on the characters below.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Chunks of these alone need no normalising but lower case: visible ASCII and Latin letters.
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,8 +47,48 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkIds(dict):
-    """chunk -> its ids as little-endian uint32 bytes, filled on demand."""
+class Known(dict):
+    """A bounded table: when it is full, it becomes the table before, whose
+    entries are taken over as they recur, so frequent entries stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.before.get(key)
+        if out is None:
+            out = self.find(key)
+        if len(self) >= KNOWN:
+            self.before = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class PieceIds(Known):
+    """lower-case piece -> its ids, by the tokenizer's merges alone."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        # the letter of each byte in a byte-level vocabulary: itself if visible, else 256, 257, ... in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def find(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode("utf-8")])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+
+
+class ChunkIds(Known):
+    """chunk between white space -> its ids as little-endian uint32 bytes, filled on demand.
+
+    Chunks of plain characters are cut into pieces here and looked up by
+    piece; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -51,14 +97,17 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= KNOWN_CHUNKS:
-            self.clear()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.pieces = PieceIds(self.tokenizer.model) if split == PATTERN else None
+
+    def find(self, chunk: str) -> bytes:
+        if self.pieces is not None and PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk.lower())))
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
-        self[chunk] = out
-        return out
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def of(self, text: str) -> bytes:
         chunks = text.split() if not SEPARATORS.search(text) else [c for c in ASCII_SPACE.split(text) if c]
