@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import text_hash
+from .rows import small_batches, text_hash
 
 P31 = np.uint64((1 << 31) - 1)
 #: Two bases; their hashes together have 62 bits.
@@ -237,6 +237,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     single row is its own next; an empty table gives an empty result; extra
     columns are ignored whatever their names.
     """
+    small_batches(docs.sparkSession)
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keep_rows, stage, text_hash
+from .rows import keep_rows, small_batches, stage, text_hash
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -387,6 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies of each other, one of them is kept; an empty table gives an
     empty result; extra columns are ignored whatever their names.
     """
+    small_batches(docs.sparkSession)
     table = signatures(docs)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     classes = stage(table.groupBy("ck").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("docs_n"),

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import small_batches
+
 HASHES = 2
 #: Orders of the n-grams; a word's borders count as characters.
 ORDERS = (2, 3, 4, 5)
@@ -174,6 +176,7 @@ def learn(train: DataFrame, per_lang: int = 2000, share: float = 0.4, least: int
     documented bound; so the n-gram counts that reach the driver are
     bounded too (an n-gram must occur ``least`` times).
     """
+    small_batches(train.sparkSession)
     train = train.where(F.col("lang").isNotNull())
     prior = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(prior)

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .rows import small_batches
+
 WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*")
 
 #: Licence notices in their usual public wording, by SPDX identifier.
@@ -136,6 +138,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     table gives an empty result; extra columns are ignored whatever their
     names. Where lower-casing changes a text's length, spans are -1.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("n_matches", T.LongType()), T.StructField("licenses", T.StringType()),

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import small_batches
+
 MAX_LEN = 4096
 #: Id that ends every document (a parameter of the dealt contract).
 END_ID = 2
@@ -145,6 +147,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids
     table gives an empty result; extra columns are ignored whatever their
     names.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     tail = end_id.to_bytes(4, "little")
     fields = [docs.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),

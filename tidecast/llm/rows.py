@@ -5,12 +5,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand at most ``rows`` rows at once to Python.
+
+    Batches are counted in rows, so with the usual 10,000 a batch of long
+    texts takes hundreds of MB in the JVM and again in Python. A smaller
+    limit that the session already has stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(name))
+    if have <= 0 or have > rows:
+        spark.conf.set(name, str(rows))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
