@@ -16,20 +16,29 @@ the piece's own entry: truncation points and budgets are look-ups.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
+import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .rows import small_batches
+
 #: White space as the tokenizer's split sees it (Unicode White_Space).
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the byte-level split (contractions, letters, digits, others, white space).
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+"
                       rf"|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Bounds of a worker's tables.
-KNOWN_PIECES, KNOWN_PAIRS = 400_000, 1_000_000
+#: The same split for texts of plain characters alone (ASCII without separators, Latin letters).
+PLAIN = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+PLAIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t-\r {_L}0-9]+"
+                         r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Bounds of a worker's tables (a full table of pieces is kept once more, so frequent pieces stay).
+KNOWN_PIECES, KNOWN_PAIRS = 600_000, 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,6 +46,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def split(text: str) -> list[str]:
+    """The pieces of an ordinary text, which join to the text."""
+    return (PLAIN_SPLIT if PLAIN.fullmatch(text) else SPLIT).findall(text)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary:
     printable bytes stand for themselves, the others for 256, 257, ... in order."""
@@ -72,7 +86,10 @@ class PrefixCounter(dict):
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.sound: dict[int, bool] = {}
+        self.before: dict[str, int] = {}
+        # tokens that their own bytes are encoded as, and every beginning of one
+        self.known = {data: t for data, t in self.rank.items() if self.is_sound(t)}
+        self.starts = {data[:k] for data in self.known for k in range(1, len(data) + 1)}
 
     def may_follow(self, u: int, t: int) -> bool:
         """Does encoding the bytes of ``u`` then ``t`` give back exactly (u, t)?
@@ -104,55 +121,68 @@ class PrefixCounter(dict):
         self.pairs[key] = ok
         return ok
 
-    def is_sound(self, t: int, data: bytes) -> bool:
-        """Is the token ``t`` what its own bytes are encoded as?"""
-        if t < 256:
-            return True
-        known = self.sound.get(t)
-        if known is None:
-            a, b = self.halves[t]
-            cut = next(i for i in range(1, len(data))
-                       if self.rank.get(data[:i]) == a and self.rank.get(data[i:]) == b)
-            known = self.sound[t] = (self.is_sound(a, data[:cut]) and self.is_sound(b, data[cut:])
-                                     and self._only_joined_last(a, b))
-        return known
-
-    def _only_joined_last(self, a: int, b: int) -> bool:
-        """Nothing joins across the border of ``a`` and ``b`` before they are whole."""
-        merged, halves, top = self.merged, self.halves, self.merged[(a, b)]
-        undone, u, t = top, a, b
-        while u >= 256 or t >= 256:
-            if u > t:
-                undone, u = u, halves[u][1]
-            else:
-                undone, t = t + 1, halves[t][0]
-            across = merged.get((u, t))
-            if across is not None and across < undone:
-                return False
+    def is_sound(self, t: int) -> bool:
+        """Is the token ``t`` what its own bytes are encoded as?
+
+        Its halves are sound or it would not be met on the way; undoing
+        merges as above, nothing may join across their border before the
+        merge that makes ``t``.
+        """
+        merged, halves = self.merged, self.halves
+        todo = [t]
+        while todo:
+            t = todo.pop()
+            if t < 256:
+                continue
+            u, v = halves[t]
+            todo += [u, v]
+            undone = t
+            while u >= 256 or v >= 256:
+                if u > v:
+                    undone, u = u, halves[u][1]
+                else:
+                    undone, v = v + 1, halves[v][0]
+                across = merged.get((u, v))
+                if across is not None and across < undone:
+                    return False
         return True
 
     def prefix_counts(self, data: bytes) -> list[int]:
-        """Token count of ``data[:i]`` for i = 0 .. len(data)."""
-        rank, longest = self.rank, self.longest
-        counts, last = [0], [-1]
-        for i in range(1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                t = rank.get(data[j:i])
-                if t is not None and (j == 0 or self.may_follow(last[j], t)) and self.is_sound(t, data[j:i]):
-                    counts.append(counts[j] + 1)
-                    last.append(t)
+        """Token count of ``data[:i]`` for i = 0 .. len(data).
+
+        Forward: from each prefix whose last token is known, every token
+        that starts there and may follow settles the longer prefix.
+        """
+        known, starts, pairs, may_follow = self.known, self.starts, self.pairs, self.may_follow
+        size = len(data)
+        counts, last = [0] * (size + 1), [-1] * (size + 1)
+        for j in range(size):
+            u, n = last[j], counts[j] + 1
+            for i in range(j + 1, size + 1):
+                part = data[j:i]
+                t = known.get(part)
+                if t is not None:
+                    if last[i] < 0:
+                        if j:
+                            ok = pairs.get((u, t))
+                            if ok is None:
+                                ok = may_follow(u, t)
+                            if not ok:
+                                continue
+                        last[i], counts[i] = t, n
+                elif part not in starts:
                     break
         return counts
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= KNOWN_PIECES:
-            self.clear()
-        data = piece.encode("utf-8")
-        if len(data) <= 4096:
-            n = self.prefix_counts(data)[-1]
+        n = self.before.get(piece)
+        if n is None:
+            n = self.prefix_counts(piece.encode("utf-8"))[-1]
+        if len(piece) <= 256:  # longer ones hardly recur
+            if len(self) >= KNOWN_PIECES:
+                self.before = dict(self)
+                self.clear()
             self[piece] = n
-        else:  # not kept: such pieces hardly recur
-            n = self.prefix_counts(data)[-1]
         return n
 
     def parts(self, text: str):
@@ -169,22 +199,25 @@ class PrefixCounter(dict):
         if pos < len(text):
             yield text[pos:], False
 
+    def pieces(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces of a text and their token counts; a special string is one piece, one token."""
+        pieces: list[str] = []
+        counts: list[int] = []
+        for part, special in self.parts(text):
+            here = [part] if special else split(part)
+            pieces += here
+            counts += [1] if special else map(self.__getitem__, here)
+        return pieces, counts
+
     def count(self, text: str) -> int:
-        """Tokens of the whole text; a special string is one token."""
-        return sum(1 if special else sum(map(self.__getitem__, SPLIT.findall(part)))
-                   for part, special in self.parts(text))
+        """Tokens of the whole text."""
+        return sum(self.pieces(text)[1])
 
     def index(self, text: str) -> tuple[list[int], list[int]]:
         """(code point end, tokens up to there) of every piece: the stored
         prefix table, whose inner entries ``prefix_counts`` of a piece gives."""
-        ends, totals, pos, total = [], [], 0, 0
-        for part, special in self.parts(text):
-            for piece in [part] if special else SPLIT.findall(part):
-                pos += len(piece)
-                total += 1 if special else self[piece]
-                ends.append(pos)
-                totals.append(total)
-        return ends, totals
+        pieces, counts = self.pieces(text)
+        return list(accumulate(map(len, pieces))), list(accumulate(counts))
 
     def count_at(self, text: str, cut: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """Tokens of ``text[:cut]`` from the prefix table.
@@ -209,7 +242,7 @@ class PrefixCounter(dict):
         ends, totals = table or self.index(text)
         if not totals or totals[-1] <= limit:
             return len(text)
-        k = next(i for i, n in enumerate(totals) if n > limit)
+        k = bisect_right(totals, limit)  # the first piece that goes beyond
         for cut in range(ends[k], ends[k - 1] if k else 0, -1):
             if self.count_at(text, cut, (ends, totals)) <= limit:
                 return cut
@@ -242,6 +275,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, tokenizer: str | None = Non
     very long texts are counted whole; an empty table gives an empty
     result; extra columns are ignored whatever their names.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     fields = [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()),
               T.StructField("over_limit", T.BooleanType()), T.StructField("limit_chars", T.LongType())]
@@ -255,12 +289,9 @@ def token_counts(docs: DataFrame, limit: int = 1024, tokenizer: str | None = Non
             tables: tuple[list, list] = ([], [])
             for value in batch.column(1):
                 text = value.as_py() or ""
-                if with_index or counter.count(text) > limit:
-                    table = counter.index(text)
-                    n = table[1][-1] if table[1] else 0
-                    keep = counter.longest_within(text, limit, table)
-                else:
-                    table, n, keep = ([], []), counter.count(text), len(text)
+                table = counter.index(text)
+                n = table[1][-1] if table[1] else 0
+                keep = counter.longest_within(text, limit, table)
                 for col, v in zip(out, (len(text.encode("utf-8")), n, n > limit, keep), strict=True):
                     col.append(v)
                 if with_index:
