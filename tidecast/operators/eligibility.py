@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..registry import gate_rows
-
-
-def gates(spark) -> DataFrame:
-    """The registry's gate matrix (18 rows, fixed by code -> broadcastable)."""
-    return spark.createDataFrame(gate_rows(),
-                                 "metric STRING, slot STRING, estimator STRING, min_records INT, min_points INT")
+from ..functions.keys import repo_status
 
 
 def slot_gates():
@@ -28,10 +22,28 @@ def slot_gates():
     return F.create_map(*entries)
 
 
+def series_counts(series: DataFrame, repos: DataFrame, metrics: list[str]) -> DataFrame:
+    """(repo, metric, n_records, n_points) for every repository and metric,
+    zeros where a repository has no record of a metric.
+
+    ``series``: staged points (repo, metric, ds, y, n) with n the records of
+    the point; ``repos``: (repo). Counts come from the series, so no record
+    is read again.
+    """
+    counts = series.groupBy("repo", "metric").agg(F.sum("n").cast("long").alias("n_records"),
+                                                  F.count(F.lit(1)).alias("n_points"))
+    known = repos.select("repo").union(series.select("repo")).distinct()
+    base = known.select("repo", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    zero = F.lit(0).cast("long")
+    return base.join(counts, ["repo", "metric"], "left").select(
+        "repo", "metric", F.coalesce("n_records", zero).alias("n_records"), F.coalesce("n_points", zero).alias("n_points"))
+
+
 def eligibility(counts: DataFrame, gate_metric: str = "metric") -> DataFrame:
     """Status per (repo, metric, slot) from per-series counts.
 
-    ``counts``: (repo, metric, n_records, n_points). Status is 'no_data'
+    ``counts``: (repo, metric, n_records, n_points). Status is
+    'invalid_repo' when the key is not 'owner/name' (P10), 'no_data'
     without records, 'not_enough_data' below a gate, else 'ok'. Each row
     picks its metric's slots from the registry map and explodes them -- no
     join, so nothing degrades into a nested loop when ``metric`` is a
@@ -39,7 +51,8 @@ def eligibility(counts: DataFrame, gate_metric: str = "metric") -> DataFrame:
     """
     j = counts.select("*", F.explode(F.element_at(slot_gates(), F.col(gate_metric))).alias("_g")) \
         .select("*", "_g.*").drop("_g")
-    status = (F.when(F.col("n_records") == 0, F.lit("no_data"))
+    status = (F.when(repo_status("repo") != "ok", repo_status("repo"))
+               .when(F.col("n_records") == 0, F.lit("no_data"))
                .when((F.col("n_records") < F.col("min_records")) | (F.col("n_points") < F.col("min_points")),
                      F.lit("not_enough_data"))
                .otherwise(F.lit("ok")))

@@ -86,12 +86,6 @@ def record_count(df: DataFrame) -> DataFrame:
     return df.groupBy("repo").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def calendar_grid(bounds: DataFrame, unit: str, keys=KEYS) -> DataFrame:
-    """Every day / month-start between first_ds and last_ds per series."""
-    step = F.expr("INTERVAL 1 DAY") if unit == "day" else F.expr("INTERVAL 1 MONTH")
-    return bounds.select(*keys, F.explode(F.sequence(F.col("first_ds"), F.col("last_ds"), step)).alias("ds"))
-
-
 def gap_fill(series: DataFrame, unit: str = "month", fill: float = 0.0, keys=KEYS) -> DataFrame:
     """T5/T6 + J1: dense grid between first and last point, ``fill`` where missing.
 

@@ -34,17 +34,25 @@ def rank_spaced_timeline(df: DataFrame, as_of: _dt.date, order, out: str = "synt
 
 
 def _month_overlaps(blocks: DataFrame) -> DataFrame:
-    """(repo, lo, hi, v) day blocks -> (repo, ds, y = sum over overlap days * v)."""
+    """(repo, lo, hi, v) day blocks -> (repo, ds, y = sum over overlap days * v, n = overlap days)."""
     m = blocks.select("repo", "lo", "hi", "v",
                       F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"),
                                            F.expr("INTERVAL 1 MONTH"))).alias("ds"))
     days = F.datediff(F.least(F.last_day("ds"), F.col("hi")), F.greatest(F.col("ds"), F.col("lo"))) + 1
-    return m.groupBy("repo", "ds").agg(F.sum(days * F.col("v")).cast("double").alias("y"))
+    return m.groupBy("repo", "ds").agg(F.sum(days * F.col("v")).cast("double").alias("y"),
+                                     F.sum(days).cast("long").alias("n"))
 
 
-def synthetic_monthly(df: DataFrame, as_of: _dt.date, metric: str, value_col: str | None = None) -> DataFrame:
+def synthetic_monthly(df: DataFrame, as_of: _dt.date, metric: str, value_col: str | None = None,
+                      with_n: bool = False) -> DataFrame:
     """Monthly count (``value_col=None``) or monthly sum of ``value_col`` for
-    a list ordered by ``value_col`` descending."""
+    a list ordered by ``value_col`` descending; ``with_n`` adds the records
+    of the month.
+
+    One day a record: a list of n records spans n days, so this is for
+    lists of at most about 700,000 (a calendar date must exist for each);
+    longer ones raise an error when their first day is computed.
+    """
     asof = F.lit(as_of)
     if value_col is None:
         n = df.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
@@ -60,4 +68,5 @@ def synthetic_monthly(df: DataFrame, as_of: _dt.date, metric: str, value_col: st
         first = F.date_sub(asof, F.col("n").cast("int"))
         blocks = g.select("repo", "v", F.date_add(first, F.col("start").cast("int")).alias("lo"),
                           F.date_add(first, (F.col("start") + F.col("cnt") - 1).cast("int")).alias("hi"))
-    return _month_overlaps(blocks).select("repo", F.lit(metric).alias("metric"), "ds", "y")
+    cols = ["ds", "y", "n"] if with_n else ["ds", "y"]
+    return _month_overlaps(blocks).select("repo", F.lit(metric).alias("metric"), *cols)

@@ -228,72 +228,57 @@ def repo_validation(spark, sf_dir):
 
 
 # ------------------------------------------------------------- eligibility
-def metric_series(t, metric: str):
-    """Series of one metric per the registry (grain and gap rule)."""
-    if metric == "issues":
-        return S.gap_fill(issues_daily_series(t), "day")
-    if metric == "pulls":
-        return pulls_monthly_series(t)
-    if metric == "commits":
-        return commits_monthly_series(t)
-    if metric == "branches":
-        return S.gap_fill(branches_monthly_series(t), "month")
-    if metric == "contributors":
-        return contributors_monthly_series(t)
-    if metric == "releases":
-        return S.gap_fill(releases_monthly_series(t), "month")
-    raise KeyError(metric)
+MONTHLY = ("pulls", "commits", "branches", "contributors", "releases")
 
 
-def metric_records(t, metric: str):
-    """(repo, n_records) per metric: usable (dated) records."""
-    src = {"issues": (SI.issues, "created_at"), "pulls": (SI.pulls, "created_at"),
-           "commits": (SI.commits, "date"), "branches": (SI.branches, None),
-           "contributors": (SI.contributors, None), "releases": (SI.releases, "published_at")}[metric]
-    df = src[0](t)
-    if src[1] is not None:
-        df = df.where(F.col(src[1]).isNotNull())
-    return df.groupBy("repo").agg(F.count(F.lit(1)).alias("n_records")).withColumn("metric", F.lit(metric))
+def metric_series(t, metric: str):
+    """Points (repo, metric, ds, y, n) of one metric per the registry's
+    grain and gap rule; n is the number of records of the point."""
+    if metric == "contributors":
+        return TL.synthetic_monthly(SI.contributors(t), SI.AS_OF, metric, "contributions", with_n=True)
+    series = {"issues": lambda: S.gap_fill(S.daily_series(SI.issues_created(t), "created_at", "issues"), "day"),
+              "pulls": lambda: pulls_monthly_series(t), "commits": lambda: commits_monthly_series(t),
+              "branches": lambda: branches_monthly_series(t),
+              "releases": lambda: S.gap_fill(releases_monthly_series(t), "month")}[metric]()
+    return series.withColumn("n", F.col("y").cast("long"))
 
 
-def metric_counts(t, metrics=("issues", "pulls", "commits", "branches", "contributors", "releases")):
+def report_series(t, metrics):
+    """The series of several metrics, written once; counts, statuses and
+    the series themselves are all read from there."""
     out = None
     for m in metrics:
-        pts = metric_series(t, m).groupBy("repo", "metric").agg(F.count(F.lit(1)).alias("n_points"))
-        c = metric_records(t, m).join(pts, ["repo", "metric"], "left") \
-            .select("repo", "metric", "n_records", F.coalesce("n_points", F.lit(0)).alias("n_points"))
-        out = c if out is None else out.unionByName(c)
-    return out
+        s = metric_series(t, m).select("repo", "metric", "ds", "y", "n")
+        out = s if out is None else out.unionByName(s)
+    return staged(out)
+
+
+def metric_statuses(t, series, metrics):
+    """P12 over every known repository and each of ``metrics``."""
+    return EL.eligibility(EL.series_counts(series, SI.repositories(t), list(metrics)))
 
 
 @query("series_eligibility")
 def series_eligibility(spark, sf_dir):
     """P12 + A8: status of every (repo, metric, model slot)."""
-    return EL.eligibility(metric_counts(SI.Tables(spark, sf_dir)))
-
-
-def _monthly_all(t):
-    out = None
-    for m in ("pulls", "commits", "branches", "contributors", "releases"):
-        s = metric_series(t, m)
-        out = s if out is None else out.unionByName(s)
-    return out
+    t, metrics = SI.Tables(spark, sf_dir), ("issues", *MONTHLY)
+    return metric_statuses(t, report_series(t, metrics), metrics)
 
 
 @query("eligible_series")
 def eligible_series(spark, sf_dir):
     """J4 (left semi): monthly series passing the statsmodels-slot gate."""
     t = SI.Tables(spark, sf_dir)
-    st = EL.eligibility(metric_counts(t, ("pulls", "commits", "branches", "contributors", "releases")))
-    return EL.eligible_series(_monthly_all(t), st, "statsmodels").select("repo", "metric", "ds", "y")
+    s = report_series(t, MONTHLY)
+    return EL.eligible_series(s, metric_statuses(t, s, MONTHLY), "statsmodels").select("repo", "metric", "ds", "y")
 
 
 @query("rejected_series")
 def rejected_series(spark, sf_dir):
     """J4 (left anti): monthly series failing the statsmodels-slot gate."""
     t = SI.Tables(spark, sf_dir)
-    st = EL.eligibility(metric_counts(t, ("pulls", "commits", "branches", "contributors", "releases")))
-    return EL.rejected_series(_monthly_all(t), st, "statsmodels").select("repo", "metric", "ds", "y")
+    s = report_series(t, MONTHLY)
+    return EL.rejected_series(s, metric_statuses(t, s, MONTHLY), "statsmodels").select("repo", "metric", "ds", "y")
 
 
 # ------------------------------------------------------------------ grids
@@ -507,16 +492,16 @@ def issue_report_flat(spark, sf_dir):
     """R1 (flattened): issues created in the 12 windows before as_of, with
     their month counts as 'YYYY-MM:n' text, insights and repo facts."""
     t = SI.Tables(spark, sf_dir)
-    iss = SW.records_in_windows(SI.issues(t), SI.AS_OF, "created_at")
-    return R.issue_report(iss, flat=True)
+    iss = SW.records_in_windows(SI.issues(t, since=SW.window_bounds(SI.AS_OF)[-1][1]), SI.AS_OF, "created_at")
+    return R.issue_report(staged(iss), flat=True)
 
 
 @query("metric_report_pulls")
 def metric_report_pulls(spark, sf_dir):
     """R2: the three slots of the pulls metric side by side."""
     t = SI.Tables(spark, sf_dir)
-    st = EL.eligibility(metric_counts(t, ("pulls",)))
-    rep = R.metric_report(st, "pulls")
+    s = report_series(t, ("pulls",))
+    rep = R.metric_report(metric_statuses(t, s, ("pulls",)), "pulls")
     choice = F.when(F.col("n_points") >= SM.HW_MIN_POINTS, F.lit("holt_winters")) \
         .when(F.col("n_points") >= SM.SES_MIN_POINTS, F.lit("ses"))
     return rep.withColumn("statsmodels_model", choice)
@@ -525,14 +510,14 @@ def metric_report_pulls(spark, sf_dir):
 @query("status_report")
 def status_report(spark, sf_dir):
     """Gate status of every (repo, metric, slot) plus key validity."""
-    t = SI.Tables(spark, sf_dir)
-    return R.status_report(EL.eligibility(metric_counts(t)))
+    t, metrics = SI.Tables(spark, sf_dir), ("issues", *MONTHLY)
+    return R.status_report(metric_statuses(t, report_series(t, metrics), metrics))
 
 
 @query("forecast_report")
 def forecast_report(spark, sf_dir):
     """Every metric x slot forecast for every repository, one frame."""
-    fc, _ = PL.all_forecasts(SI.Tables(spark, sf_dir), persist=True)
+    fc, _ = PL.all_forecasts(SI.Tables(spark, sf_dir))
     return fc.select("repo", "metric", "slot", "model", "segment", "ds", "y", r4("yhat").alias("yhat"),
                      r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"), "fit_flag")
 

@@ -223,14 +223,22 @@ MONTHLY_ALL = """m_all AS (
   SELECT * FROM s_pulls UNION ALL SELECT * FROM s_commits UNION ALL SELECT * FROM s_branches
   UNION ALL SELECT * FROM s_contributors UNION ALL SELECT * FROM s_releases)"""
 
-STATUS = """st AS (
-  SELECT r.repo, r.metric, g.slot, g.estimator, r.n_records, coalesce(p.n_points, 0) AS n_points,
-         CASE WHEN r.n_records = 0 THEN 'no_data'
-              WHEN r.n_records < g.min_records OR coalesce(p.n_points, 0) < g.min_points THEN 'not_enough_data'
-              ELSE 'ok' END AS status
-  FROM r_all r JOIN gates g ON g.metric = r.metric
+BAD_KEY = "coalesce(len(string_split(nullif({c}, ''), '/')), 0) <> 2"
+
+STATUS = f"""known AS (SELECT repo FROM s_every UNION SELECT 'nation/' || n_name FROM nation),
+base AS (SELECT k.repo, m.metric FROM known k CROSS JOIN (SELECT DISTINCT metric FROM gates) m),
+cnt AS (
+  SELECT b.repo, b.metric, coalesce(r.n_records, 0) AS n_records, coalesce(p.n_points, 0) AS n_points
+  FROM base b LEFT JOIN r_all r ON r.repo = b.repo AND r.metric = b.metric
   LEFT JOIN (SELECT repo, metric, count(*) AS n_points FROM s_every GROUP BY ALL) p
-    ON p.repo = r.repo AND p.metric = r.metric)"""
+    ON p.repo = b.repo AND p.metric = b.metric),
+st AS (
+  SELECT c.repo, c.metric, g.slot, g.estimator, c.n_records, c.n_points,
+         CASE WHEN {BAD_KEY.format(c='c.repo')} THEN 'invalid_repo'
+              WHEN c.n_records = 0 THEN 'no_data'
+              WHEN c.n_records < g.min_records OR c.n_points < g.min_points THEN 'not_enough_data'
+              ELSE 'ok' END AS status
+  FROM cnt c JOIN gates g ON g.metric = c.metric)"""
 
 _ALL_VIEWS = ("issues", "pulls", "commits", "branches", "contributors", "releases")
 
@@ -245,7 +253,7 @@ _MONTHLY_STATUS = with_views(*_ALL_VIEWS) + f""",
 {GATES}, {PULLS_M}, {COMMITS_M}, {BRANCHES_M}, {CONTRIB_M}, {RELEASES_M}, {RECORDS},
 {MONTHLY_ALL},
 s_every AS (SELECT * FROM m_all),
-{STATUS.replace("FROM r_all r", "FROM (SELECT * FROM r_all WHERE metric <> 'issues') r")},
+{STATUS.replace("SELECT DISTINCT metric FROM gates", "SELECT DISTINCT metric FROM gates WHERE metric <> 'issues'")},
 ok AS (SELECT repo, metric FROM st WHERE slot = 'statsmodels' AND status = 'ok')"""
 
 ORACLE["eligible_series"] = _MONTHLY_STATUS + """
@@ -447,16 +455,10 @@ LEFT JOIN ct ON ct.repo = r.repo LEFT JOIN kt ON kt.repo = r.repo
 LEFT JOIN a ON a.repo = r.repo LEFT JOIN b ON b.repo = r.repo LEFT JOIN c ON c.repo = r.repo"""
 
 ORACLE["metric_report_pulls"] = with_views("pulls") + f""",
-{GATES},
-pm AS ({_monthly("pulls", "created_at")}),
-cnt AS (SELECT r.repo, r.n_records, p.n_points FROM
-          (SELECT repo, count(*) AS n_records FROM pulls WHERE created_at IS NOT NULL GROUP BY repo) r
-          LEFT JOIN (SELECT repo, count(*) AS n_points FROM pm GROUP BY repo) p ON p.repo = r.repo),
-st AS (SELECT c.repo, g.slot, c.n_records, coalesce(c.n_points, 0) AS n_points,
-              CASE WHEN c.n_records = 0 THEN 'no_data'
-                   WHEN c.n_records < g.min_records OR coalesce(c.n_points, 0) < g.min_points THEN 'not_enough_data'
-                   ELSE 'ok' END AS status
-       FROM cnt c JOIN gates g ON g.metric = 'pulls')
+{GATES}, {PULLS_M},
+r_all AS (SELECT repo, 'pulls' AS metric, count(*) AS n_records FROM pulls WHERE created_at IS NOT NULL GROUP BY repo),
+s_every AS (SELECT * FROM s_pulls),
+{STATUS.replace("SELECT DISTINCT metric FROM gates", "SELECT 'pulls' AS metric")}
 SELECT repo, any_value(n_records) AS n_records, any_value(n_points) AS n_points,
        max(CASE WHEN slot = 'lstm' THEN status END) AS lstm_status,
        max(CASE WHEN slot = 'prophet' THEN status END) AS prophet_status,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import KEYS
 from ..operators import additive as AD
 from ..operators import ar as AR
+from ..operators import clean as C
 from ..operators import eligibility as EL
 from ..operators import lookback as LB
 from ..operators import series as S
@@ -48,52 +49,53 @@ def _norm(df: DataFrame, slot: str, segment: str | None = None) -> DataFrame:
     return df.select(*sel)
 
 
-def entity_series(t: SI.Tables, as_of: _dt.date = SI.AS_OF) -> dict[str, DataFrame]:
-    iss = SI.issues(t)
-    return {
+def entity_series(t: SI.Tables, as_of: _dt.date = SI.AS_OF, since_days: int | None = 730) -> dict[str, DataFrame]:
+    """Points (repo, metric, ds, y, n) of every metric.
+
+    As the report asks for them: issues of the 12 windows before ``as_of``,
+    pulls, commits and releases of the last ``since_days`` days (None: all);
+    branches and contributors have no dates and come whole.
+    """
+    def recent(df, col):
+        return df if since_days is None else C.since(df, col, as_of, since_days)
+
+    if since_days is None:
+        iss = SI.issues(t)
+    else:
+        iss = SW.records_in_windows(SI.issues(t, since=SW.window_bounds(as_of)[-1][1]), as_of, "created_at")
+    out = {
         "issues": S.gap_fill(S.daily_series(iss, "created_at", "issues"), "day"),
         "issues_closed": S.gap_fill(S.daily_series(iss, "closed_at", "issues_closed"), "day"),
-        "pulls": S.monthly_count(SI.pulls(t), "created_at", "pulls"),
-        "commits": S.monthly_count(SI.commits(t), "date", "commits"),
-        "branches": S.gap_fill(TL.synthetic_monthly(SI.branches(t), as_of, "branches"), "month"),
-        "contributors": TL.synthetic_monthly(SI.contributors(t), as_of, "contributors", "contributions"),
-        "releases": S.gap_fill(S.monthly_count(SI.releases(t), "published_at", "releases"), "month"),
+        "pulls": S.monthly_count(recent(SI.pulls(t), "created_at"), "created_at", "pulls"),
+        "commits": S.monthly_count(recent(SI.commits(t), "date"), "date", "commits"),
+        "branches": TL.synthetic_monthly(SI.branches(t), as_of, "branches"),
+        "releases": S.gap_fill(S.monthly_count(recent(SI.releases(t), "published_at"), "published_at", "releases"), "month"),
     }
-
-
-def _counts(t: SI.Tables, series: DataFrame) -> DataFrame:
-    """(repo, metric, n_records, n_points) without re-reading raw records:
-    for count series the records are the sum of the (zero-filled) counts;
-    only the contribution sums need their own row count."""
-    pts = series.groupBy("repo", "metric").agg(
-        F.count(F.lit(1)).alias("n_points"), F.sum("y").cast("long").alias("_sum"))
-    contrib = SI.contributors(t).groupBy("repo").agg(F.count(F.lit(1)).alias("_rows")) \
-        .withColumn("metric", F.lit("contributors"))
-    j = pts.join(contrib, ["repo", "metric"], "left")
-    n_rec = F.when(F.col("metric") == "contributors", F.coalesce("_rows", F.lit(0))).otherwise(F.col("_sum"))
-    return j.select("repo", "metric", n_rec.cast("long").alias("n_records"), "n_points")
+    out = {m: s.withColumn("n", F.col("y").cast("long")) for m, s in out.items()}
+    out["contributors"] = TL.synthetic_monthly(SI.contributors(t), as_of, "contributors", "contributions", with_n=True)
+    return out
 
 
 def status_table(t: SI.Tables, series: DataFrame) -> DataFrame:
-    counts = _counts(t, series)
+    """P12 for every known repository and metric, counted on the staged series."""
+    metrics = ["issues", "issues_closed", "pulls", "commits", "branches", "contributors", "releases"]
+    counts = EL.series_counts(series, SI.repositories(t), metrics)
     # issues_closed follows the issue gates
     counts = counts.withColumn("_m", F.when(F.col("metric") == "issues_closed", F.lit("issues"))
                                .otherwise(F.col("metric")))
     return EL.eligibility(counts, gate_metric="_m")
 
 
-def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, persist: bool = True):  # noqa: C901
+def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, since_days: int | None = 730):  # noqa: C901
     """(forecasts, status) for every metric x slot. Forecast rows follow
     ``OUT``; ``status`` is the R3 table."""
-    parts = entity_series(t, as_of)
     series = None
-    for s in parts.values():
+    for s in entity_series(t, as_of, since_days).values():
+        s = s.select("repo", "metric", "ds", "y", "n")
         series = s if series is None else series.unionByName(s)
-    if persist:
-        series = cut_lineage(series)
-    status = status_table(t, series)
-    if persist:
-        status = cut_lineage(status)
+    series = cut_lineage(series)
+    status = cut_lineage(status_table(t, series))
+    series = series.drop("n")
 
     def ok(metrics, slot):
         return EL.eligible_series(series.where(F.col("metric").isin(*metrics)), status, slot)
@@ -151,7 +153,7 @@ def dashboard_tables(t: SI.Tables, as_of: _dt.date = SI.AS_OF) -> dict[str, Data
     """
     fc, status = all_forecasts(t, as_of)
     fc = cut_lineage(fc)
-    issues = SW.records_in_windows(SI.issues(t), as_of, "created_at")
+    issues = SW.records_in_windows(SI.issues(t, since=SW.window_bounds(as_of)[-1][1]), as_of, "created_at")
     out = {"forecasts": fc, "status": R.status_report(status, fit_status(fc, status)),
            "issue_report": R.issue_report(issues, forecasts=fc.where(F.col("metric") == "issues"))}
     for m in ("pulls", "commits", "branches", "contributors", "releases"):

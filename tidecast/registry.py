@@ -62,10 +62,3 @@ METRICS: dict[str, Metric] = {
         "statsmodels": Slot("arma", Gate(3, 0)),
     }),
 }
-
-
-def gate_rows() -> list[tuple[str, str, str, int, int]]:
-    """(metric, slot, estimator, min_records, min_points) rows for a small
-    broadcast table (its size is fixed by this registry)."""
-    return [(m, s, sl.estimator, sl.gate.min_records, sl.gate.min_points)
-            for m, spec in METRICS.items() for s, sl in spec.slots.items()]

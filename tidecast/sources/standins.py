@@ -5,13 +5,14 @@ from the parquet tables in ``sf_dir``. The mapping is fixed so that the
 same views can be written in plain SQL for the DuckDB oracle
 (``plans.oracle``):
 
-* pulls        <- orders   (repo = o_orderpriority, created_at = o_orderdate)
-* commits      <- lineitem (repo = l_returnflag, date = l_shipdate)
+* pulls        <- orders   (repo = orders/<o_orderpriority>, created_at = o_orderdate)
+* commits      <- lineitem (repo = l_returnflag without an owner, so an invalid key;
+                  date = l_shipdate)
 * issues       <- orders left join lineitem (closed_at = first ship date on or
                   after the order date, for status F only)
-* releases     <- 1-URGENT orders join customer join nation (repo = n_name)
-* branches     <- part     (repo = p_brand, list order = p_partkey)
-* contributors <- customer left join order counts (repo = c_mktsegment,
+* releases     <- 1-URGENT orders join customer join nation (repo = nation/<n_name>)
+* branches     <- part     (repo = part/<p_brand>, list order = p_partkey)
+* contributors <- customer left join order counts (repo = customer/<c_mktsegment>,
                   list order = contributions desc, c_custkey)
 * repositories <- nation   (no stars/forks in the data -> 0)
 """
@@ -48,9 +49,14 @@ class Tables:
         return self._frames[name]
 
 
+def _key(owner: str, col: str):
+    """'owner/name' key out of a column."""
+    return F.concat(F.lit(f"{owner}/"), F.col(col)).alias("repo")
+
+
 def pulls(t: Tables) -> DataFrame:
     o = t.orders
-    return o.select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("number"),
+    return o.select(_key("orders", "o_orderpriority"), F.col("o_orderkey").alias("number"),
                     F.col("o_orderdate").alias("created_at"))
 
 
@@ -80,7 +86,7 @@ def issues(t: Tables, since: _dt.date | None = None) -> DataFrame:
     g = j.groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority") \
         .agg(F.min("l_shipdate").alias("first_ship"))
     return g.select(
-        F.col("o_orderpriority").alias("repo"),
+        _key("orders", "o_orderpriority"),
         F.col("o_orderkey").alias("issue_number"),
         F.col("o_orderdate").cast("date").alias("created_at"),
         F.col("first_ship").cast("date").alias("closed_at"),
@@ -89,6 +95,12 @@ def issues(t: Tables, since: _dt.date | None = None) -> DataFrame:
     )
 
 
+def issues_created(t: Tables) -> DataFrame:
+    """(repo, issue_number, created_at) alone: no line items are read."""
+    return t.orders.select(_key("orders", "o_orderpriority"), F.col("o_orderkey").alias("issue_number"),
+                           F.col("o_orderdate").cast("date").alias("created_at"))
+
+
 def releases(t: Tables) -> DataFrame:
     """Urgent orders as releases of the customer's nation.
 
@@ -101,14 +113,14 @@ def releases(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey")
     n = F.broadcast(t.nation.select("n_nationkey", "n_name"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select(F.col("n_name").alias("repo"), F.col("o_orderkey").cast("string").alias("name"),
+    return j.select(_key("nation", "n_name"), F.col("o_orderkey").cast("string").alias("name"),
                     F.col("o_orderdate").alias("published_at"),
                     F.date_format(F.col("o_orderdate"), STRICT_FORMAT).alias("published_text"))
 
 
 def branches(t: Tables) -> DataFrame:
     p = t.part
-    return p.select(F.col("p_brand").alias("repo"), F.col("p_name").alias("name"),
+    return p.select(_key("part", "p_brand"), F.col("p_name").alias("name"),
                     F.md5(F.col("p_partkey").cast("string")).alias("commit_sha"),
                     F.col("p_partkey").alias("seq"))
 
@@ -126,7 +138,7 @@ def contributors(t: Tables) -> DataFrame:
     cnt = t.orders.groupBy(F.col("o_custkey")).agg(F.count(F.lit(1)).alias("n"))
     c = t.customer.select("c_custkey", "c_name", "c_mktsegment")
     j = c.join(cnt, c.c_custkey == cnt.o_custkey, "left")
-    return j.select(F.col("c_mktsegment").alias("repo"), F.col("c_name").alias("name"),
+    return j.select(_key("customer", "c_mktsegment"), F.col("c_name").alias("name"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("contributions"),
                     F.col("c_custkey").alias("seq"))
 
@@ -135,7 +147,7 @@ CONTRIBUTOR_ORDER = [("contributions", True), ("seq", False)]
 
 
 def repositories(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_name").alias("repo"), F.lit(0).cast("long").alias("stars"),
+    return t.nation.select(_key("nation", "n_name"), F.lit(0).cast("long").alias("stars"),
                            F.lit(0).cast("long").alias("forks"))
 
 
