@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from tidecast.plans.compare import compare, duckdb_conn
+from .compare import compare, duckdb_conn
 
 from .conftest import SF0001
 

@@ -99,10 +99,3 @@ def test_stream_monthly_counts(spark, landing, scratch):
     q = LS.start_monthly_counts(spark, landing, "issues", ck, sink=sink, trigger_once=True)
     q.awaitTermination(120)
     assert got[("own/rep", dt.date(2024, 3, 1))] == 3.0
-
-
-def test_stream_memory_sink(spark, landing, scratch):
-    q = LS.start_monthly_counts(spark, landing, "pulls", os.path.join(scratch, "ck2"), trigger_once=True)
-    q.awaitTermination(120)
-    rows = spark.sql("SELECT * FROM pulls_monthly").collect()
-    assert [(r.repo, r.ds, r.y) for r in rows] == [("own/rep", dt.date(2024, 1, 1), 1.0)]

@@ -43,7 +43,7 @@ def peak_month_name(df: DataFrame, col: str, out: str = "peak_month") -> DataFra
     return _argmax(month_histogram(df, col), "month_name", "month", out)
 
 
-def issue_insights(issues: DataFrame) -> DataFrame:
+def issue_insights(issues: DataFrame, weight: str | None = None) -> DataFrame:
     """The three insights of the issue endpoints, with the created/closed
     columns each honoured (defect D2 fixed): repo, max_created_day_of_week,
     max_closed_day_of_week, max_closed_month_of_year.
@@ -53,6 +53,7 @@ def issue_insights(issues: DataFrame) -> DataFrame:
     aggregation, so a hot repository is no problem), and the argmax runs
     on at most 7 + 7 + 12 rows per repository. Null dates count 0, so a
     repository whose issues are all open still gets a row (null insight).
+    ``weight`` names a column with the issues a row stands for.
     """
     c, k = F.col("created_at"), F.col("closed_at")
     entries = F.array(
@@ -62,8 +63,10 @@ def issue_insights(issues: DataFrame) -> DataFrame:
                  weekday_pos(k).alias("pos")),
         F.struct(F.lit("max_closed_month_of_year").alias("kind"), month_name(k).alias("label"),
                  F.month(k.cast("date")).alias("pos")))
-    e = issues.select("repo", F.explode(entries).alias("e")).select("repo", "e.*")
-    hist = e.groupBy("repo", "kind", "label", "pos").agg(F.count("label").alias("n"))
+    w1 = F.lit(1) if weight is None else F.col(weight)
+    e = issues.select("repo", w1.alias("_w"), F.explode(entries).alias("e")).select("repo", "_w", "e.*")
+    hist = e.groupBy("repo", "kind", "label", "pos").agg(F.sum(F.when(F.col("label").isNotNull(), F.col("_w"))
+                                                               .otherwise(0)).alias("n"))
     w = Window.partitionBy("repo", "kind").orderBy(F.col("n").desc(), F.col("pos").asc_nulls_last())
     top = hist.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1) \
         .select("repo", "kind", F.when(F.col("n") > 0, F.col("label")).alias("label"))

@@ -493,7 +493,41 @@ def issue_report_flat(spark, sf_dir):
     their month counts as 'YYYY-MM:n' text, insights and repo facts."""
     t = SI.Tables(spark, sf_dir)
     iss = SW.records_in_windows(SI.issues(t, since=SW.window_bounds(SI.AS_OF)[-1][1]), SI.AS_OF, "created_at")
-    return R.issue_report(staged(iss), flat=True)
+    return R.issue_report(iss, flat=True)
+
+
+@query("issue_report_full")
+def issue_report_full(spark, sf_dir):
+    """R1 with facts and forecasts: stars and forks of the landed repository
+    objects of the order keys, and the smoothing slot's forecast of monthly
+    created issues as text."""
+    t = SI.Tables(spark, sf_dir)
+    iss = SW.records_in_windows(SI.issues(t, since=SW.window_bounds(SI.AS_OF)[-1][1]), SI.AS_OF, "created_at")
+    monthly = S.monthly_count(iss, "created_at", "issues")
+    fc = SM.smoothing_forecast(staged(monthly)).select(
+        "repo", F.lit("statsmodels").alias("slot"), F.lit("forecast").alias("segment"), "ds", "yhat")
+    stars = t.orders.groupBy(F.concat(F.lit("orders/"), F.col("o_orderpriority")).alias("repo")).agg(
+        F.count(F.lit(1)).alias("stars"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("forks"))
+    rep = R.issue_report(iss, facts=stars, forecasts=fc, flat=True)
+    return rep.drop("lstm_forecast", "prophet_forecast") \
+        .withColumn("statsmodels_forecast", R.points_text("statsmodels_forecast"))
+
+
+@query("metric_reports")
+def metric_reports(spark, sf_dir):
+    """R2 of all five metrics with forecasts: the index trend fills the
+    first slot, the smoothing dispatch the third; gates decide who gets one."""
+    t = SI.Tables(spark, sf_dir)
+    s = report_series(t, MONTHLY)
+    st = staged(metric_statuses(t, s, MONTHLY))
+    points = s.select("repo", "metric", "ds", "y")
+    trend = TR.index_trend_fit(W.split_hashed(EL.eligible_series(points, st, "lstm")))
+    smooth = SM.smoothing_forecast(EL.eligible_series(points, st, "statsmodels"))
+    fc = trend.select("repo", "metric", F.lit("lstm").alias("slot"), "ds", "yhat").unionByName(
+        smooth.select("repo", "metric", F.lit("statsmodels").alias("slot"), "ds", "yhat"))
+    rep = R.metric_reports(st, fc.withColumn("segment", F.lit("forecast")))
+    return rep.drop("prophet_forecast").withColumn("lstm_forecast", R.points_text("lstm_forecast")) \
+        .withColumn("statsmodels_forecast", R.points_text("statsmodels_forecast"))
 
 
 @query("metric_report_pulls")

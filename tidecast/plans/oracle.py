@@ -432,8 +432,7 @@ SELECT repo, model, round(mse, 4) AS mse,
 
 
 # ----------------------------------------------------------------- reports
-ORACLE["issue_report_flat"] = with_views("issues", recursive=True) + f""",
-{_WINDOWS},
+_ISSUE_REPORT = f"""{_WINDOWS},
 cm AS (SELECT repo, strftime(created_at, '%Y-%m') AS m, count(*) AS n FROM iw GROUP BY ALL),
 km AS (SELECT repo, strftime(closed_at, '%Y-%m') AS m, count(*) AS n FROM iw WHERE closed_at IS NOT NULL GROUP BY ALL),
 ct AS (SELECT repo, string_agg(m || ':' || CAST(n AS VARCHAR), ',' ORDER BY m) AS t FROM cm GROUP BY repo),
@@ -446,14 +445,20 @@ kmn AS (SELECT repo, monthname(closed_at) AS v, month(closed_at) AS p, count(*)
        FROM iw WHERE closed_at IS NOT NULL GROUP BY ALL),
 a AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM cw) WHERE rn = 1),
 b AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM kw) WHERE rn = 1),
-c AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM kmn) WHERE rn = 1)
-SELECT r.repo, CAST(0 AS BIGINT) AS stars, CAST(0 AS BIGINT) AS forks,
-       ct.t AS created_issues_by_month, kt.t AS closed_issues_by_month,
-       a.v AS max_created_day_of_week, b.v AS max_closed_day_of_week, c.v AS max_closed_month_of_year
-FROM (SELECT DISTINCT repo FROM iw) r
+c AS (SELECT repo, v FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, p) rn FROM kmn) WHERE rn = 1)"""
+
+_ISSUE_REPORT_JOINS = """FROM (SELECT DISTINCT repo FROM iw) r
 LEFT JOIN ct ON ct.repo = r.repo LEFT JOIN kt ON kt.repo = r.repo
 LEFT JOIN a ON a.repo = r.repo LEFT JOIN b ON b.repo = r.repo LEFT JOIN c ON c.repo = r.repo"""
 
+_ISSUE_REPORT_COLS = """ct.t AS created_issues_by_month, kt.t AS closed_issues_by_month,
+       a.v AS max_created_day_of_week, b.v AS max_closed_day_of_week, c.v AS max_closed_month_of_year"""
+
+ORACLE["issue_report_flat"] = with_views("issues", recursive=True) + f""",
+{_ISSUE_REPORT}
+SELECT r.repo, CAST(0 AS BIGINT) AS stars, CAST(0 AS BIGINT) AS forks, {_ISSUE_REPORT_COLS}
+{_ISSUE_REPORT_JOINS}"""
+
 ORACLE["metric_report_pulls"] = with_views("pulls") + f""",
 {GATES}, {PULLS_M},
 r_all AS (SELECT repo, 'pulls' AS metric, count(*) AS n_records FROM pulls WHERE created_at IS NOT NULL GROUP BY repo),
@@ -609,11 +614,11 @@ sr AS (
   SELECT r.repo, r.alpha, ss.t, r.alpha * ss.y + (CAST(1 AS DOUBLE) - r.alpha) * r.level,
          r.sse + (ss.y - r.level) * (ss.y - r.level)
   FROM sr r JOIN ss ON ss.repo = r.repo AND ss.t = r.t + 1),
-sb AS (SELECT * FROM (SELECT r.*, ss.n, ss.ds AS last_ds, row_number() OVER (PARTITION BY r.repo ORDER BY r.sse, r.alpha) AS rn
+sbest AS (SELECT * FROM (SELECT r.*, ss.n, ss.ds AS last_ds, row_number() OVER (PARTITION BY r.repo ORDER BY r.sse, r.alpha) AS rn
   FROM sr r JOIN ss ON ss.repo = r.repo AND ss.t = r.t AND ss.t = ss.n) WHERE rn = 1),""" + hw + """
   UNION ALL
   SELECT repo, 'ses', CAST(k AS INTEGER), CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE), level,
-         sqrt(sse / greatest(n - 1, 1)) FROM sb, range(1, 13) h(k))"""
+         sqrt(sse / greatest(n - 1, 1)) FROM sbest, range(1, 13) h(k))"""
 
 
 _SMOOTH_OUT = f"""
@@ -629,3 +634,42 @@ ORACLE["smoothing_forecast"] = with_views("releases", recursive=True) + f""",
 ORACLE["recent_releases_smoothing"] = with_views("releases", recursive=True) + f""",
 {_recent("releases", "published_at", "rec")},
 rm2 AS ({_monthly("rec", "published_at")}),{_smoothing("rm2")}{_SMOOTH_OUT}"""
+
+
+# ------------------------------------------------- reports with forecasts
+_POINTS = ("string_agg(CAST(ds AS VARCHAR) || ':' || CAST(CAST(round(yhat, 2) AS DECIMAL(18, 2)) AS VARCHAR), ',' ORDER BY ds)")
+
+ORACLE["issue_report_full"] = with_views("issues", recursive=True) + f""",
+{_ISSUE_REPORT},
+im AS ({_monthly("iw", "created_at")}),{_smoothing("im")},
+fx AS (SELECT repo, {_POINTS} AS t FROM fc GROUP BY repo),
+facts AS (SELECT 'orders/' || o_orderpriority AS repo, count(*) AS stars,
+                 count(*) FILTER (o_orderstatus = 'F') AS forks FROM orders GROUP BY ALL)
+SELECT r.repo, coalesce(fa.stars, 0) AS stars, coalesce(fa.forks, 0) AS forks, fx.t AS statsmodels_forecast,
+       {_ISSUE_REPORT_COLS}
+{_ISSUE_REPORT_JOINS}
+LEFT JOIN facts fa ON fa.repo = r.repo LEFT JOIN fx ON fx.repo = r.repo"""
+
+ORACLE["metric_reports"] = _MONTHLY_STATUS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+el AS (SELECT m.* FROM m_all m JOIN st ON st.repo = m.repo AND st.metric = m.metric
+       AND st.slot = 'lstm' AND st.status = 'ok'),
+ex AS (SELECT repo, metric, ds, y, row_number() OVER (PARTITION BY repo, metric ORDER BY ds) - 1 AS idx,
+              count(*) OVER (PARTITION BY repo, metric) AS n FROM el),
+eh AS (SELECT *, row_number() OVER (PARTITION BY repo, metric
+                                    ORDER BY md5(repo || '|' || CAST(idx AS VARCHAR) || '|42')) AS hr FROM ex),
+ec AS (SELECT repo, metric, CASE WHEN count(*) > 1 THEN regr_slope(y, idx) ELSE 0 END AS slope,
+              CASE WHEN count(*) > 1 THEN regr_intercept(y, idx) ELSE avg(y) END AS icpt
+       FROM eh WHERE n < 2 OR hr > ceil(n * 0.2) GROUP BY repo, metric),
+lt AS (SELECT repo, metric, {_POINTS} AS t FROM (
+  SELECT eh.repo, eh.metric, eh.ds, ec.icpt + ec.slope * eh.idx AS yhat
+  FROM eh JOIN ec ON ec.repo = eh.repo AND ec.metric = eh.metric) GROUP BY repo, metric),
+sm AS (SELECT m.metric || '|' || m.repo AS repo, m.ds, m.y FROM m_all m JOIN ok ON ok.repo = m.repo AND ok.metric = m.metric),
+{_smoothing("sm").lstrip()},
+ft AS (SELECT repo, {_POINTS} AS t FROM fc GROUP BY repo),
+rp AS (SELECT repo, metric, max(n_records) AS n_records, max(n_points) AS n_points,
+              max(CASE WHEN slot = 'lstm' THEN status END) AS lstm_status,
+              max(CASE WHEN slot = 'prophet' THEN status END) AS prophet_status,
+              max(CASE WHEN slot = 'statsmodels' THEN status END) AS statsmodels_status FROM st GROUP BY repo, metric)
+SELECT rp.*, lt.t AS lstm_forecast, ft.t AS statsmodels_forecast
+FROM rp LEFT JOIN lt ON lt.repo = rp.repo AND lt.metric = rp.metric
+LEFT JOIN ft ON ft.repo = rp.metric || '|' || rp.repo"""

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import repo_status
 from ..operators import insights as I
-from ..operators import series as S
 from ..session import cut_lineage
 
 SLOTS = ["lstm", "prophet", "statsmodels"]
@@ -45,15 +44,24 @@ def repository_facts(repos: DataFrame, facts: DataFrame | None = None) -> DataFr
 def issue_report(issues: DataFrame, facts: DataFrame | None = None, forecasts: DataFrame | None = None,
                  flat: bool = False) -> DataFrame:
     """Facts, created/closed counts by month, three insights, and
-    (optionally) each slot's forecast points as an array per repository."""
-    repos = issues.select("repo").distinct()
-    created = S.count_by_month_text(issues, "created_at")
-    closed = S.count_by_month_text(issues, "closed_at")
+    (optionally) each slot's forecast points as an array per repository.
+
+    One aggregate of the issues by (repo, created day, closed day) feeds
+    every branch; it is bounded by the calendar and written once.
+    """
+    days = cut_lineage(issues.groupBy("repo", F.col("created_at").cast("date").alias("created_at"),
+                                      F.col("closed_at").cast("date").alias("closed_at"))
+                       .agg(F.count(F.lit(1)).alias("w")))
+
+    def by_month(col):
+        month = F.date_format(col, "yyyy-MM").alias("month")
+        return days.where(F.col(col).isNotNull()).groupBy("repo", month).agg(F.sum("w").alias("n"))
+
     pack = _month_text if flat else _month_map
-    out = (repository_facts(repos, facts)
-           .join(pack(created, "created_issues_by_month"), "repo", "left")
-           .join(pack(closed, "closed_issues_by_month"), "repo", "left")
-           .join(I.issue_insights(issues), "repo", "left"))
+    out = (repository_facts(days.select("repo").distinct(), facts)
+           .join(pack(by_month("created_at"), "created_issues_by_month"), "repo", "left")
+           .join(pack(by_month("closed_at"), "closed_issues_by_month"), "repo", "left")
+           .join(I.issue_insights(days, weight="w"), "repo", "left"))
     if forecasts is not None:
         fc = forecasts.where(F.col("segment") != "train").groupBy("repo").pivot("slot", SLOTS).agg(
             F.array_sort(F.collect_list(F.struct("ds", "yhat"))))
@@ -63,24 +71,35 @@ def issue_report(issues: DataFrame, facts: DataFrame | None = None, forecasts: D
     return out
 
 
-def metric_report(status: DataFrame, metric: str, forecasts: DataFrame | None = None) -> DataFrame:
-    """R2: one row per repository, the three slots side by side (status,
-    and the forecast points when given; a failed slot is null)."""
-    st = status.where(F.col("metric") == metric)
-    base = st.groupBy("repo").agg(F.first("n_records").alias("n_records"), F.first("n_points").alias("n_points"))
-    piv = st.groupBy("repo").pivot("slot", SLOTS).agg(F.first("status"))
-    for s in SLOTS:
-        piv = piv.withColumnRenamed(s, f"{s}_status")
-    out = base.join(piv, "repo")
+def metric_reports(status: DataFrame, forecasts: DataFrame | None = None) -> DataFrame:
+    """R2: one row per (repo, metric), the three slots side by side: status,
+    and the forecast points (arrays by date) when given; a slot without a
+    forecast is null. One keyed pivot each, however many metrics."""
+    keys = ["repo", "metric"]
+    out = status.groupBy(*keys).agg(
+        F.max("n_records").alias("n_records"), F.max("n_points").alias("n_points"),
+        *[F.max(F.when(F.col("slot") == s, F.col("status"))).alias(f"{s}_status") for s in SLOTS])
     if forecasts is not None:
-        fc = forecasts.where((F.col("metric") == metric) & (F.col("segment") != "train")) \
-            .groupBy("repo").pivot("slot", SLOTS).agg(F.array_sort(F.collect_list(F.struct("ds", "yhat"))))
-        for s in SLOTS:
-            fc = fc.withColumnRenamed(s, f"{s}_forecast")
-        out = out.join(fc, "repo", "left")
+        point = F.struct("ds", "yhat")
+        fc = forecasts.where(F.col("segment") != "train").groupBy(*keys).agg(
+            *[F.array_sort(F.collect_list(F.when(F.col("slot") == s, point))).alias(f"_{s}") for s in SLOTS])
+        fc = fc.select(*keys, *[F.when(F.size(f"_{s}") > 0, F.col(f"_{s}")).alias(f"{s}_forecast") for s in SLOTS])
+        out = out.join(fc, keys, "left")
     return out
 
 
+def metric_report(status: DataFrame, metric: str, forecasts: DataFrame | None = None) -> DataFrame:
+    """R2 of one metric."""
+    fc = None if forecasts is None else forecasts.where(F.col("metric") == metric)
+    return metric_reports(status.where(F.col("metric") == metric), fc).drop("metric")
+
+
+def points_text(col: str):
+    """'date:value,...' of an array of (ds, yhat), values with two decimals."""
+    return F.array_join(F.transform(col, lambda p: F.concat(
+        p["ds"].cast("string"), F.lit(":"), F.round(p["yhat"], 2).cast("decimal(18,2)").cast("string"))), ",")
+
+
 def status_report(status: DataFrame, fit_status: DataFrame | None = None) -> DataFrame:
     """One status per (repo, metric, slot): gates first, then what the
     fit reported ('degenerate' / 'failed'), plus the key's own validity."""

@@ -1,7 +1,6 @@
-"""Explicit schemas: landed JSON shapes and the clean per-entity tables."""
+"""Explicit schemas of the landed JSON."""
 
-from pyspark.sql.types import (ArrayType, DateType, DoubleType, LongType, StringType,
-                               StructField, StructType, TimestampType)
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Landed JSON (one API page per file). Only the fields the engine reads.
 _USER = StructType([StructField("login", StringType())])
@@ -43,33 +42,3 @@ LANDED = {
         StructField("published_at", StringType()),
     ]),
 }
-
-# Clean tables; every one also carries ``repo STRING``.
-REPO = StructField("repo", StringType(), False)
-
-CLEAN = {
-    "repositories": StructType([REPO, StructField("stars", LongType()), StructField("forks", LongType())]),
-    "issues": StructType([REPO, StructField("issue_number", LongType()), StructField("created_at", DateType()),
-                          StructField("closed_at", DateType()), StructField("state", StringType()),
-                          StructField("author", StringType())]),
-    "pulls": StructType([REPO, StructField("number", LongType()), StructField("created_at", TimestampType())]),
-    "commits": StructType([REPO, StructField("sha", StringType()), StructField("date", TimestampType())]),
-    "branches": StructType([REPO, StructField("name", StringType()), StructField("commit_sha", StringType()),
-                            StructField("seq", LongType())]),
-    "contributors": StructType([REPO, StructField("name", StringType()), StructField("contributions", LongType()),
-                                StructField("seq", LongType())]),
-    "releases": StructType([REPO, StructField("name", StringType()), StructField("published_at", TimestampType())]),
-}
-
-SERIES = StructType([REPO, StructField("metric", StringType()), StructField("ds", DateType()),
-                     StructField("y", DoubleType())])
-
-FORECAST = StructType([
-    REPO, StructField("metric", StringType()), StructField("model", StringType()),
-    StructField("segment", StringType()), StructField("ds", DateType()), StructField("y", DoubleType()),
-    StructField("yhat", DoubleType()), StructField("yhat_lower", DoubleType()),
-    StructField("yhat_upper", DoubleType()),
-])
-
-LOOKBACK = StructType([REPO, StructField("ds", DateType()), StructField("split", StringType()),
-                       StructField("x", ArrayType(DoubleType())), StructField("y", DoubleType())])

@@ -71,7 +71,7 @@ _PROJECT = {
 
 
 def read_entity(spark: SparkSession, root: str, entity: str, fmt: str = "json") -> DataFrame:
-    """Clean entity table (``schemas.CLEAN``) from landed pages."""
+    """Clean entity table from landed pages."""
     if fmt == "parquet":
         return spark.read.parquet(f"{root.rstrip('/')}/{entity}")
     return _PROJECT[entity](read_raw(spark, root, entity))

@@ -1,6 +1,6 @@
 """The driver's TPC-H-like tables re-read as repository activity.
 
-Each function returns a clean entity table (see ``schemas.CLEAN``) built
+Each function returns a clean entity table built
 from the parquet tables in ``sf_dir``. The mapping is fixed so that the
 same views can be written in plain SQL for the DuckDB oracle
 (``plans.oracle``):

@@ -47,16 +47,11 @@ def monthly_counts_stream(records: DataFrame, entity: str) -> DataFrame:
 
 
 def start_monthly_counts(spark: SparkSession, root: str, entity: str, checkpoint: str,
-                         sink=None, trigger_once: bool = False):
+                         sink, trigger_once: bool = False):
     """Start the stream. ``sink(batch_df, batch_id)`` receives the updated
-    (repo, metric, ds, y) rows of each micro-batch (update mode); by default
-    they go to an in-memory table named ``{entity}_monthly``."""
+    (repo, metric, ds, y) rows of each micro-batch (update mode)."""
     counts = monthly_counts_stream(stream_records(spark, root, entity), entity)
-    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    if sink is None:
-        w = w.format("memory").queryName(f"{entity}_monthly").outputMode("complete")
-    else:
-        w = w.foreachBatch(sink)
+    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
