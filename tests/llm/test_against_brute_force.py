@@ -393,7 +393,7 @@ def test_op9_large_group_in_blocks(spark, monkeypatch):
 def test_op9_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]
-    got = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long"), 200).collect()}
     root = {n: n for e in edges for n in e}
     for _ in root:
         for a, b in edges:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keep_rows, small_batches, stage, text_hash
+from .rows import few, keep_rows, small_batches, stage, text_hash
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -294,14 +294,15 @@ def candidate_stars(members: DataFrame) -> DataFrame:
         .mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int) -> DataFrame:
     """(node, root): the smallest node of each connected part, for the nodes of ``edges`` (a, b).
 
     Large-star and small-star steps in turn, until nothing changes; every
     step is a keyed minimum with map-side combine and a join, written out.
+    ``rows``: about how many edges to expect (for the number of files).
     """
-    edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                  .distinct(), "edges")
+    edges = stage(few(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                      .distinct(), rows), "edges")
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -312,7 +313,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("x"), F.col("m").alias("y")),
             F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.*")
-        edges = stage(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        edges = stage(few(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(),
+                          seen[0] if seen else rows), "edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
         if now == seen:
             break
@@ -390,10 +392,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     table = signatures(docs)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
-    classes = stage(table.groupBy("ck").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("docs_n"),
-                                            F.min(order).alias("best")), "classes")
-    reps = stage(table.where("n > 0").join(classes.select("cid"), F.col("rid") == F.col("cid"), "left_semi")
-                 .select(F.col("rid").alias("cid"), "sig"), "reps")
+    rows = table.count()
+    classes = stage(few(table.groupBy("ck").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("docs_n"),
+                                            F.min(order).alias("best")), rows), "classes")
+    reps = stage(few(table.where("n > 0").join(classes.select("cid"), F.col("rid") == F.col("cid"), "left_semi")
+                     .select(F.col("rid").alias("cid"), "sig"), rows), "reps")
 
     all_bands = bands(reps)
     h = F.xxhash64("cid") % 1_000_000_007
@@ -402,24 +405,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets of the same members (same count, sum of hashes and ends) are kept once
     once = full.groupBy("n", "h", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
     members = all_bands.join(once, "key").join(reps, "cid").select("key", "n", "cid", "sig")
-    group = stage(components(candidate_stars(members)), "candidates")
+    group = components(candidate_stars(members), rows)
 
     sizes = group.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     needed = group.join(sizes, "root").join(classes, F.col("node") == F.col("cid")) \
         .join(table.select("rid", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("rid") == F.col("cid")) \
         .select("_id", "_th", F.col("root").alias("key"), "n", "cid", "docs_n")
-    found = stage(verified(shingle_sets(docs, stage(needed, "needed"))), "links")
+    found = stage(verified(shingle_sets(docs, stage(few(needed, rows), "needed"))), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("doc_links").alias("doc_links"))
-    parts = components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))) \
-        .select(F.col("node").alias("cid"), "root")
+    parts = components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")),
+                       rows).select(F.col("node").alias("cid"), "root")
 
     named = classes.join(links, "cid", "left").join(parts, "cid", "left") \
         .withColumn("root", F.coalesce("root", "cid"))
-    named = stage(named, "named")
+    named = stage(few(named, rows), "named")
     best = named.groupBy("root").agg(F.min("best").alias("first"))
     named = named.join(best, "root").select("ck", "docs_n", "links", "doc_links", "first")
     none = F.lit(0).cast("long")
-    return table.select("rid", "doc_id", "th", "ck").join(named, "ck").select(
+    return few(table.select("rid", "doc_id", "th", "ck").join(named, "ck"), rows).select(
         "doc_id", F.col("first.id").alias("class_id"),
         (F.col("docs_n") - 1 + F.coalesce("doc_links", none)).alias("n_links"),
         F.coalesce("links", none).alias("n_text_links"), (F.col("docs_n") - 1).alias("n_copies"),

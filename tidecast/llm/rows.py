@@ -36,6 +36,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Narrow rows (ids, counts, hashes) that make a file of a staged table.
+FILE_ROWS = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` narrow rows in as few partitions as they
+    need, so that small tables are not written as many tiny files."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name starting with ``name`` that ``df`` doesn't use yet."""
     used = {c.lower() for c in df.columns}
