@@ -144,15 +144,21 @@ def arma_fit(series: DataFrame, keys=KEYS, m: int = HR_LONG_ORDER) -> DataFrame:
     d2 = d.where(F.col("dy1").isNotNull() & F.col("e1").isNotNull()) \
         .select(*keys, "dy", F.array("dy1", "e1").alias("x"))
     f2 = solve(gram(d2, keys, "x", "dy", 2), 2, ridge=1e-9)
-    return f2.select(*keys, F.col("fit.beta")[0].alias("phi"), F.col("fit.beta")[1].alias("theta"),
+    # stationary and invertible: an MA root inside the circle is replaced by its
+    # reciprocal (same autocovariances), else the residual filter diverges
+    phi, theta = F.col("fit.beta")[0], F.col("fit.beta")[1]
+    theta = F.when(F.abs(theta) > 1, 1 / theta).otherwise(theta)
+    inside = lambda c: F.greatest(F.lit(-0.99), F.least(F.lit(0.99), c))
+    return f2.select(*keys, inside(phi).alias("phi"), inside(theta).alias("theta"),
                      F.col("fit.sse").alias("sse"), F.col("n").alias("n_obs"),
                      (F.col("fit.rank") < 2).alias("degenerate"))
 
 
-def arma_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month") -> DataFrame:
+def arma_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month",
+                  m: int = HR_LONG_ORDER) -> DataFrame:
     """ARIMA(1,1,1); residuals re-run over the whole series by a fold,
     then dy_{n+1} = phi*dy_n + theta*e_n and dy_{n+k} = phi*dy_{n+k-1}."""
-    fit = arma_fit(series, keys)
+    fit = arma_fit(series, keys, m)
     st = _state(series, 1, keys).join(fit, keys)
     st = st.withColumn("e_last", F.expr("""aggregate(dys, named_struct('e', 0D, 'd', CAST(NULL AS DOUBLE)),
         (acc, v) -> named_struct('e', v - phi * coalesce(acc.d, 0D) - theta * acc.e, 'd', v)).e"""))

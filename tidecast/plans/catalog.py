@@ -762,3 +762,31 @@ def recent_releases_smoothing(spark, sf_dir):
     where both branches run (24 months or more, 6 to 23 months)."""
     s = recent_monthly(SI.releases(SI.Tables(spark, sf_dir)), "published_at", "releases")
     return _fc_out(SM.smoothing_forecast(staged(s)))
+
+
+# ------------------------------- the least-squares family at closed-form sizes
+@query("ar2_forecast")
+def ar2_forecast(spark, sf_dir):
+    """F4 + K1: ARIMA(2,1,0) on monthly commits, small enough for a written-out solve."""
+    return _fc_out(AR.ar_forecast(staged(commits_monthly_series(SI.Tables(spark, sf_dir))), 2))
+
+
+@query("arma_short_forecast")
+def arma_short_forecast(spark, sf_dir):
+    """F5 + K1: ARIMA(1,1,1) with a first stage of two lags, on monthly pulls."""
+    s = staged(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    return _fc_out(AR.arma_forecast(s, m=2))
+
+
+@query("lookback1_forecast")
+def lookback1_forecast(spark, sf_dir):
+    """F9 + K1: the look-back model with one day, on filled daily pulls."""
+    fc = LB.lookback_forecast(staged(pulls_daily_filled(SI.Tables(spark, sf_dir))), k=1)
+    return fc.select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"))
+
+
+@query("forecast_tail")
+def forecast_tail(spark, sf_dir):
+    """The last three points of each smoothing forecast."""
+    fc = SM.smoothing_forecast(staged(releases_monthly_series(SI.Tables(spark, sf_dir))))
+    return S.forecast_tail(fc, 3).select("repo", "model", "ds", r4("yhat").alias("yhat"))

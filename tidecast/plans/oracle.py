@@ -673,3 +673,86 @@ rp AS (SELECT repo, metric, max(n_records) AS n_records, max(n_points) AS n_poin
 SELECT rp.*, lt.t AS lstm_forecast, ft.t AS statsmodels_forecast
 FROM rp LEFT JOIN lt ON lt.repo = rp.repo AND lt.metric = rp.metric
 LEFT JOIN ft ON ft.repo = rp.metric || '|' || rp.repo"""
+
+
+# ------------------------------- the least-squares family at closed-form sizes
+def _diffs(src: str) -> str:
+    """Differences of ``src`` with two lags: d (repo, ds, y, dy), l (.., x1, x2)."""
+    return f"""d AS (SELECT repo, ds, y, y - lag(y) OVER (PARTITION BY repo ORDER BY ds) AS dy FROM {src}),
+l AS (SELECT repo, ds, dy, lag(dy, 1) OVER w AS x1, lag(dy, 2) OVER w AS x2
+      FROM d WINDOW w AS (PARTITION BY repo ORDER BY ds)),
+f AS (SELECT * FROM l WHERE dy IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL)"""
+
+
+def _two(src: str, name: str, x1: str, x2: str, y: str, ridge: str = "0") -> str:
+    """Least squares of y on (x1, x2): ``name`` (repo, n, p1, p2, sse) by Cramer's rule."""
+    return f"""{name}_g AS (SELECT repo, count(*) AS n, sum({x1} * {x1}) AS a, sum({x1} * {x2}) AS b, sum({x2} * {x2}) AS c,
+  sum({x1} * {y}) AS u, sum({x2} * {y}) AS v, sum({y} * {y}) AS yy FROM {src} GROUP BY repo),
+{name}_s AS (SELECT *, ((c + {ridge}) * u - b * v) / ((a + {ridge}) * (c + {ridge}) - b * b) AS p1,
+  ((a + {ridge}) * v - b * u) / ((a + {ridge}) * (c + {ridge}) - b * b) AS p2 FROM {name}_g),
+{name} AS (SELECT repo, n, p1, p2,
+  greatest(yy - 2 * (p1 * u + p2 * v) + p1 * p1 * a + 2 * p1 * p2 * b + p2 * p2 * c, 0) AS sse FROM {name}_s)"""
+
+
+def _path(model: str) -> str:
+    return f"""SELECT repo, '{model}' AS model, step, CAST(last_ds + to_months(step) AS DATE) AS ds, round(level, 4) AS yhat,
+       round(level - {Z80} * sg * sqrt(step), 4) AS yhat_lower, round(level + {Z80} * sg * sqrt(step), 4) AS yhat_upper
+FROM rec"""
+
+
+ORACLE["ar2_forecast"] = with_views("commits", recursive=True) + f""",
+{COMMITS_MONTHLY},
+{_diffs("cm")},
+{_two("f", "fit", "x1", "x2", "dy")},
+lst AS (SELECT repo, max(ds) AS last_ds, arg_max(y, ds) AS y, arg_max(dy, ds) AS d1, arg_max(x1, ds) AS d2
+        FROM (SELECT l.*, d.y FROM l JOIN d ON d.repo = l.repo AND d.ds = l.ds) GROUP BY repo),
+rec AS (
+  SELECT repo, 1 AS step, p1, p2, sqrt(sse / greatest(n - 2, 1)) AS sg, last_ds, p1 * d1 + p2 * d2 AS e1, d1 AS e2,
+         y + p1 * d1 + p2 * d2 AS level FROM fit JOIN lst USING (repo)
+  UNION ALL
+  SELECT repo, step + 1, p1, p2, sg, last_ds, p1 * e1 + p2 * e2, e1, level + p1 * e1 + p2 * e2 FROM rec WHERE step < 12)
+{_path("ar2")}"""
+
+ORACLE["arma_short_forecast"] = with_views("pulls", recursive=True) + f""",
+{PULLS_MONTHLY},
+{_diffs("pm")},
+{_two("f", "long", "x1", "x2", "dy")},
+res AS (SELECT f.repo, f.ds, f.dy - long.p1 * f.x1 - long.p2 * f.x2 AS e FROM f JOIN long USING (repo)),
+de AS (SELECT d.repo, d.ds, d.dy, lag(d.dy) OVER w AS dy1, lag(res.e) OVER w AS e1
+       FROM (SELECT * FROM d WHERE dy IS NOT NULL) d LEFT JOIN res ON res.repo = d.repo AND res.ds = d.ds
+       WINDOW w AS (PARTITION BY d.repo ORDER BY d.ds)),
+f2 AS (SELECT * FROM de WHERE dy1 IS NOT NULL AND e1 IS NOT NULL),
+{_two("f2", "raw", "dy1", "e1", "dy", "1e-9")},
+fit AS (SELECT repo, n, sse, greatest(-0.99, least(0.99, p1)) AS p1,
+               greatest(-0.99, least(0.99, CASE WHEN abs(p2) > 1 THEN 1 / p2 ELSE p2 END)) AS p2 FROM raw),
+nd AS (SELECT repo, ds, dy, row_number() OVER (PARTITION BY repo ORDER BY ds) AS t FROM d WHERE dy IS NOT NULL),
+run AS (
+  SELECT nd.repo, nd.t, nd.dy AS e, nd.dy FROM nd WHERE nd.t = 1
+  UNION ALL
+  SELECT nd.repo, nd.t, nd.dy - fit.p1 * run.dy - fit.p2 * run.e, nd.dy
+  FROM run JOIN nd ON nd.repo = run.repo AND nd.t = run.t + 1 JOIN fit ON fit.repo = run.repo),
+lst AS (SELECT repo, max(ds) AS last_ds, arg_max(y, ds) AS y FROM d GROUP BY repo),
+el AS (SELECT repo, arg_max(e, t) AS e, arg_max(dy, t) AS dy FROM run GROUP BY repo),
+rec AS (
+  SELECT repo, 1 AS step, p1, sqrt(sse / greatest(n - 2, 1)) AS sg, last_ds, p1 * dy + p2 * e AS dd,
+         y + p1 * dy + p2 * e AS level FROM fit JOIN lst USING (repo) JOIN el USING (repo)
+  UNION ALL
+  SELECT repo, step + 1, p1, sg, last_ds, p1 * dd, level + p1 * dd FROM rec WHERE step < 12)
+{_path("arma")}"""
+
+ORACLE["lookback1_forecast"] = with_views("pulls") + f""",
+{PULLS_DAILY_FILLED},
+sp AS (SELECT repo, ds, y, CASE WHEN idx < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx,
+         count(*) OVER (PARTITION BY repo) AS n FROM pdf)),
+mm AS (SELECT repo, min(y) AS lo, max(y) AS hi FROM sp WHERE split = 'train' GROUP BY repo),
+sc AS (SELECT sp.*, lo, hi, (y - lo) / (hi - lo) AS ys, CAST(1 AS DOUBLE) AS one FROM sp JOIN mm USING (repo)),
+lb AS (SELECT * FROM (SELECT *, lag(ys) OVER (PARTITION BY repo, split ORDER BY ds) AS x FROM sc) WHERE x IS NOT NULL),
+tr AS (SELECT * FROM lb WHERE split = 'train'),
+{_two("tr", "fit", "one", "x", "ys", "1e-3")}
+SELECT repo, 'lookback_per_series' AS model, split AS segment, ds, y, round((p1 + p2 * x) * (hi - lo) + lo, 4) AS yhat
+FROM lb JOIN fit USING (repo)"""
+
+ORACLE["forecast_tail"] = with_views("releases", recursive=True) + f""",
+{RELEASES_MONTHLY},{_smoothing("rm")}
+SELECT repo, model, ds, round(yhat, 4) AS yhat FROM fc WHERE step > 9"""
