@@ -23,7 +23,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import fresh, stage, text_hash
+from .rows import few, fresh, stage, text_hash
 
 
 def least_cost_flow(supply: list[int], demand: list[int], cost=None) -> list[list[int]]:
@@ -137,15 +137,15 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old_shard: Co
         for (j, _), end in reversed(list(zip(amounts, ends, strict=True))[:-1]):
             chosen = F.when(F.col("middle2") < 2 * end, j).otherwise(chosen)
         target = F.when(F.col("old") == i, chosen).otherwise(target)
-    located = stage(placed.withColumn("shard", target.cast("int")).select(
-        "rid", "doc_id", "size", "text_crc32", "h", "th", "old", "block", "shard"), "placed")
+    located = placed.withColumn("shard", target.cast("int")).select(
+        "rid", "doc_id", "size", "text_crc32", "h", "th", "old", "block", "shard")
 
     # Slots: rows of the shard in earlier (old, block) cells, then the rank inside the cell.
     cells = located.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("rows_n"))
     ahead = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("shard", "old", "block", F.coalesce(F.sum("rows_n").over(ahead), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy("h", "rid")) - 1
-    return located.withColumn("rank", rank).join(cells, ["shard", "old", "block"]).select(
+    return few(located.withColumn("rank", rank).join(cells, ["shard", "old", "block"]), n).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("first") + F.col("rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         F.col("old").alias("old_shard"), "th")
