@@ -73,6 +73,11 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
+# Base patterns as one SQL row a kind: number, name, pattern, value group, least value length.
+_KINDS = r"""kinds(k, kind, pat, grp, least) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24), (3, 'owned', '[A-Za-z0-9+/_-]+', 0, 20))"""
+
 ORACLE = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
@@ -84,4 +89,56 @@ ORACLE = {
                row_number() OVER w = 1 AS kept,
                text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(t) DESC, doc_id)""",
+    "op7_secret_scan": f"""
+        WITH {_KINDS},
+        d AS (SELECT doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+        -- the i-th match of a kind starts after i pieces and i - 1 matches
+        c AS (SELECT doc_id, owner, k, kind, least,
+                     list_transform(string_split_regex(t, pat), lambda x: length(x)) AS gaps,
+                     list_transform(regexp_extract_all(t, pat), lambda x: length(x)) AS lens,
+                     CASE WHEN k = 0 THEN regexp_extract_all(t, pat, 2) ELSE regexp_extract_all(t, pat) END AS vals
+              FROM d, kinds),
+        m AS (SELECT doc_id, owner, k, kind, least, unnest(range(1, len(lens) + 1)) AS i, gaps, lens, vals FROM c),
+        n AS (SELECT doc_id, owner, k, kind, vals[i] AS v,
+                     list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS a, lens[i] AS len
+              FROM m WHERE length(vals[i]) >= least AND (k < 3 OR regexp_matches(vals[i], '[0-9]'))),
+        base AS (SELECT * FROM n WHERE k < 3),
+        cand AS (SELECT * FROM base UNION ALL
+                 SELECT * FROM n WHERE k = 3 AND NOT EXISTS (
+                   SELECT 1 FROM base b WHERE b.doc_id = n.doc_id AND b.a < n.a + n.len AND n.a < b.a + b.len)),
+        own AS (SELECT v, count(DISTINCT owner) AS owners, bool_or(k < 3) AS in_base FROM cand GROUP BY v),
+        j AS (SELECT cand.*, owners <= 2 AS live, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len AS BIGINT) AS s
+              FROM cand JOIN own USING (v)
+              WHERE k < 3 OR (owners <= 2 AND (in_base OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]'))))),
+        g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+                     count(*) FILTER (k = 2) AS n_hex,
+                     coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < 3), '') AS b,
+                     string_agg(s, ',' ORDER BY a, k) AS spans,
+                     count(*) FILTER (k < 3 AND live) AS n_live, count(*) FILTER (k < 3 AND NOT live) AS n_example
+              FROM j GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+               coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "op9_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        k0 AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+               FROM d),
+        k AS (SELECT doc_id, s, len(s) AS n,
+                     CASE WHEN len(s) = 0 THEN CAST(doc_id AS VARCHAR) ELSE md5(array_to_string(list_sort(s), '|')) END AS ck
+              FROM k0),
+        e AS (SELECT doc_id, unnest(s) AS x FROM k),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+              FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT p.a, p.b, ka.ck AS ca, kb.ck AS cb FROM p JOIN k ka ON ka.doc_id = p.a JOIN k kb ON kb.doc_id = p.b
+              WHERE 5 * p.c >= 4 * (ka.n + kb.n - p.c)),
+        r AS (SELECT doc_id, doc_id AS root FROM k UNION SELECT l.a, r.root FROM l JOIN r ON l.b = r.doc_id),
+        c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+        g AS (SELECT a, count(*) AS n_links, count(DISTINCT cb) FILTER (cb <> ca) AS n_text_links,
+                     count(*) FILTER (cb = ca) AS n_copies FROM l GROUP BY a)
+        SELECT c.doc_id, c.class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links,
+               coalesce(n_copies, 0) AS n_copies, c.doc_id = c.class_id AS kept
+        FROM c LEFT JOIN g ON g.a = c.doc_id""",
 }
