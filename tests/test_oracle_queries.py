@@ -30,7 +30,7 @@ def test_every_query_registered_has_oracle_or_is_model():
     assert no_oracle <= {"ar5_forecast", "arma_forecast",
                          "auto_order_forecast", "additive_forecast", "additive_daily_forecast",
                          "releases_additive_tail", "lookback_forecast", "forecast_report",
-                         "lookback_training_loss"}
+                         "lookback_training_loss", "supplier_commits_additive"}
 
 
 def test_entry_runs(spark):

@@ -790,3 +790,11 @@ def forecast_tail(spark, sf_dir):
     """The last three points of each smoothing forecast."""
     fc = SM.smoothing_forecast(staged(releases_monthly_series(SI.Tables(spark, sf_dir))))
     return S.forecast_tail(fc, 3).select("repo", "model", "ds", r4("yhat").alias("yhat"))
+
+
+@query("supplier_commits_additive")
+def supplier_commits_additive(spark, sf_dir):
+    """F7 + F8 over many repositories at once: monthly line items of every supplier."""
+    li = SI.Tables(spark, sf_dir).lineitem.select(
+        F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("repo"), F.col("l_shipdate").alias("date"))
+    return _band_out(AD.additive_forecast(staged(S.monthly_count(li, "date", "commits")), "month"))
