@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,19 +104,18 @@ def training_counts(train: DataFrame) -> DataFrame:
         .groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
-def sample(train: DataFrame, per_lang: int) -> DataFrame:
-    """At most ``per_lang`` training rows a language: those of the smallest hash of id and text.
+def sample(train: DataFrame, rows: dict[str, int], per_lang: int) -> DataFrame:
+    """About ``per_lang`` of a language's ``rows`` training rows (all, if fewer).
 
-    Only ids and hashes are ranked, and Spark cuts each task's ranks to
-    ``per_lang`` before the shuffle, so a frequent language is no hot group.
-    The broadcast side has one row a language.
+    A row is taken when its hash of id and text lies in the share
+    per_lang / rows of the hash range, so no row is ranked or moved.
     """
-    keyed = train.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    ranked = keyed.select("lang", "key").withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= per_lang)
-    bound = ranked.groupBy("lang").agg(F.max("key").alias("top"), F.max("rank").alias("rank"))
-    return keyed.join(F.broadcast(bound), "lang").where((F.col("rank") < per_lang) | (F.col("key") < F.col("top"))) \
-        .select("lang", "text")
+    span = 1 << 63
+    key, take = F.xxhash64("doc_id", "text"), F.lit(False)
+    for lang, n in rows.items():
+        bound = min(span - 1, -span + 2 * span * per_lang // n)
+        take = F.when(F.col("lang") == lang, key <= bound).otherwise(take)
+    return train.where(take).select("lang", "text")
 
 
 class MaskFilter:
@@ -172,7 +171,7 @@ def learn(train: DataFrame, per_lang: int = 2000, share: float = 0.4, least: int
           bits: int = 21) -> MaskFilter:
     """The filter learned from ``train`` (lang, text; rows of null lang are left out).
 
-    At most ``per_lang`` documents a language are learned from, the
+    About ``per_lang`` documents a language are learned from, the
     documented bound; so the n-gram counts that reach the driver are
     bounded too (an n-gram must occur ``least`` times).
     """
@@ -180,7 +179,7 @@ def learn(train: DataFrame, per_lang: int = 2000, share: float = 0.4, least: int
     train = train.where(F.col("lang").isNotNull())
     prior = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(prior)
-    counts = training_counts(sample(train, per_lang)).cache()
+    counts = training_counts(sample(train, prior, per_lang)).cache()
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*[x for k, v in total.items() for x in (F.lit(k), F.lit(float(v)))])[
         F.col("lang")] if total else F.lit(0.0)
