@@ -207,3 +207,28 @@ def test_rank_deficient_fit_is_flagged(spark):
     assert flags == {"degenerate"}
     ok = AR.ar_forecast(CAT.commits_monthly_series(SI.Tables(spark, SF0001)), 5)
     assert {r.fit_flag for r in ok.collect()} == {None}
+
+
+def test_solve_matches_lstsq(spark):
+    """K1 over stacked series: coefficients, residuals and rank as numpy's, also when rank is missing."""
+    import numpy as np
+
+    from tidecast.operators import linalg as LA
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k in range(6):
+        x = rng.normal(size=(40, 3))
+        if k == 4:
+            x[:, 2] = x[:, 1]  # rank 2
+        y = x @ np.array([1.0, -2.0, 0.5]) + (0.0 if k == 5 else 0.1) * rng.normal(size=40)
+        beta, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+        want[f"o/{k}"] = (beta, float(((y - x @ beta) ** 2).sum()), rank, float(y @ y))
+        rows += [(f"o/{k}", "m", [float(v) for v in a], float(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "repo STRING, metric STRING, x ARRAY<DOUBLE>, y DOUBLE").repartition(3)
+    got = LA.solve(LA.gram(df, ["repo", "metric"], "x", "y", 3), 3).collect()
+    assert len(got) == 6
+    for r in got:
+        beta, sse, rank, yy = want[r["repo"]]
+        assert r["n"] == 40 and r["fit"]["rank"] == rank
+        assert np.allclose(r["fit"]["beta"], beta, atol=1e-8)
+        assert abs(r["fit"]["sse"] - sse) <= 1e-10 * yy  # an exact fit is 0 up to the rounding of y'y
