@@ -16,7 +16,8 @@ over the counts by (source, size), not over documents.
 
 Copies: cumulated rates over growing sizes are rounded, so a source's
 copies follow the rates with less than one copy of error anywhere; what
-words that leaves over or under is settled on the smallest documents.
+words that leaves over or under is settled on the smallest documents and
+then on single documents of the size still missing.
 Inside a cell of equal (source, size), documents are told apart by a hash
 order, ranked in sqrt(n) buckets so that no cell is one task's group.
 """
@@ -130,7 +131,17 @@ def cell_copies(cells: DataFrame, state: DataFrame, budget: float, cap: float) -
     c = c.withColumn("ahead", F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0)))
     fit = F.floor((F.abs("miss") - F.col("ahead")) / F.greatest(F.col("size"), F.lit(1)))
     fix = F.greatest(F.lit(0), F.least(fit, F.col("room"))) * F.signum("miss").cast("long")
-    return c.select("skey", "size", "n", (F.col("k") + fix).cast("long").alias("copies"))
+    c = c.select("skey", "size", "n", "target", (F.col("k") + fix).cast("long").alias("k"))
+    # What is left is less than a document's size: one copy more (or less) of the size nearest to it, thrice.
+    source = Window.partitionBy("skey")
+    for _ in range(3):
+        c = c.withColumn("miss", F.col("target") - F.sum(F.col("k") * F.col("size")).over(source))
+        room = F.when(F.col("miss") >= 0, F.col("k") < F.col("n") * limit).otherwise(F.col("k") > 0)
+        gap = F.abs(F.abs("miss") - F.col("size"))
+        c = c.withColumn("gap", F.when(room & (F.col("size") > 0) & (gap < F.abs("miss")), F.struct(gap, F.col("size"))))
+        chosen = F.coalesce(F.col("gap") == F.min("gap").over(source), F.lit(False))
+        c = c.withColumn("k", F.col("k") + F.when(chosen, F.signum("miss").cast("long")).otherwise(F.lit(0)))
+    return c.select("skey", "size", "n", F.col("k").cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
@@ -169,12 +180,12 @@ def mix(docs: DataFrame, budget: float = 1.5, cap: float = 2.0, weights=WEIGHTS)
 
 def mixed(docs: DataFrame, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` as the mix takes them: rows repeated by their copies, rows of no copies gone."""
-    copies = mix(docs, budget, cap).groupBy(F.col("doc_id").alias("_m_id"), F.col("th").alias("_m_th")) \
-        .agg(F.sum("copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows")).where("_m_copies > 0")
-    th, nth = fresh(docs, "th"), fresh(docs, "nth")
+    doc_id, key, n, rows, th, nth = (fresh(docs, f"mix_{c}") for c in ("id", "key", "copies", "rows", "th", "nth"))
+    copies = mix(docs, budget, cap).groupBy(F.col("doc_id").alias(doc_id), F.col("th").alias(key)) \
+        .agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(rows)).where(F.col(n) > 0)
     hashed = docs.withColumn(th, text_hash(F.col("text")))
-    if not copies.where("_m_rows > 1").limit(1).isEmpty():  # repeats: one row stands for all of them
+    if not copies.where(F.col(rows) > 1).limit(1).isEmpty():  # repeats: one row stands for all of them
         hashed = hashed.dropDuplicates(["doc_id", th])
-    out = hashed.join(copies, hashed["doc_id"].eqNullSafe(copies["_m_id"]) & (hashed[th] == copies["_m_th"]))
-    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col("_m_copies").cast("int")))) \
+    out = hashed.join(copies, hashed["doc_id"].eqNullSafe(copies[doc_id]) & (hashed[th] == copies[key]))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))) \
         .select(*[F.col(f"`{c}`") for c in docs.columns])

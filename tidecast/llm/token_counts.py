@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .rows import small_batches
 
 #: White space as the tokenizer's split sees it (Unicode White_Space).
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level split (contractions, letters, digits, others, white space).
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+"
                       rf"|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
