@@ -37,7 +37,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Narrow rows (ids, counts, hashes) that make a file of a staged table.
-FILE_ROWS = 100_000
+FILE_ROWS = 25_000
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
