@@ -104,3 +104,9 @@ def test_no_cross_or_nested_loop_joins_anywhere(spark):
         if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
             bad.append(name)
     assert bad == []
+
+
+def test_commits_are_forecast(spark):
+    rows = E.queries()["forecast_report"](spark, SF0001).where(F.col("metric") == "commits") \
+        .select("repo", "slot").distinct().collect()
+    assert {(r.repo, r.slot) for r in rows} == {(f"lineitem/{f}", s) for f in "ANR" for s in ("lstm", "prophet", "statsmodels")}

@@ -67,7 +67,7 @@ def entity_series(t: SI.Tables, as_of: _dt.date = SI.AS_OF, since_days: int | No
         "issues": S.gap_fill(S.daily_series(iss, "created_at", "issues"), "day"),
         "issues_closed": S.gap_fill(S.daily_series(iss, "closed_at", "issues_closed"), "day"),
         "pulls": S.monthly_count(recent(SI.pulls(t), "created_at"), "created_at", "pulls"),
-        "commits": S.monthly_count(recent(SI.commits(t), "date"), "date", "commits"),
+        "commits": S.monthly_count(recent(SI.owned_commits(t), "date"), "date", "commits"),
         "branches": TL.synthetic_monthly(SI.branches(t), as_of, "branches"),
         "releases": S.gap_fill(S.monthly_count(recent(SI.releases(t), "published_at"), "published_at", "releases"), "month"),
     }

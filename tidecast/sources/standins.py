@@ -7,7 +7,7 @@ same views can be written in plain SQL for the DuckDB oracle
 
 * pulls        <- orders   (repo = orders/<o_orderpriority>, created_at = o_orderdate)
 * commits      <- lineitem (repo = l_returnflag without an owner, so an invalid key;
-                  date = l_shipdate)
+                  date = l_shipdate); owned_commits has the key lineitem/<l_returnflag>
 * issues       <- orders left join lineitem (closed_at = first ship date on or
                   after the order date, for status F only)
 * releases     <- 1-URGENT orders join customer join nation (repo = nation/<n_name>)
@@ -66,6 +66,11 @@ def commits(t: Tables) -> DataFrame:
     return li.select(F.col("l_returnflag").alias("repo"), sha.alias("sha"), F.col("l_shipdate").alias("date"))
 
 
+def owned_commits(t: Tables) -> DataFrame:
+    """Commits under valid keys, as the report forecasts them."""
+    return commits(t).withColumn("repo", _key("lineitem", "repo"))
+
+
 def issues(t: Tables, since: _dt.date | None = None) -> DataFrame:
     """Orders as issues; closed_at is the first ship date >= order date.
 
