@@ -335,6 +335,34 @@ def test_op8_every_prefix():
     assert counts[1:] == [len(m.tokenize("".join("Ġ" if ch == " " else ch for ch in word[:i]))) for i in range(1, len(word) + 1)]
 
 
+def test_op8_one_long_run(monkeypatch):
+    """The cut in a run of 1 MB is looked up, not encoded again for each try."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(token_counts.tokenizer_path())
+    c = token_counts.PrefixCounter(token_counts.tokenizer_path())
+    text, work, plain = "ab " + "x" * 1_000_000, [0], c.prefix_counts
+
+    def counted(data):
+        work[0] += len(data)
+        assert work[0] < 5_000_000
+        return plain(data)
+
+    monkeypatch.setattr(c, "prefix_counts", counted)
+    cut = c.longest_within(text, 1024, c.index(text))
+    assert [len(t.encode(text[:i], add_special_tokens=False).ids) > 1024 for i in range(cut, cut + 9)] == [False] + [True] * 8
+
+
+def test_op8_longest_of_all_cuts():
+    c = token_counts.PrefixCounter(token_counts.tokenizer_path())
+    parts = ["a", "the", " ", "\n", "'", "'re", "!!", "<|endoftext|>", "<", "é", "中文", "x" * 20, " " * 15, " " * 16, "=" * 40]
+    rnd = random.Random(8)
+    for _ in range(200):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        counts, table = [c.count(text[:i]) for i in range(len(text) + 1)], c.index(text)
+        for limit in range(counts[-1] + 1):
+            assert c.longest_within(text, limit, table) == max(i for i, n in enumerate(counts) if n <= limit), (text, limit)
+
+
 def brute_links(docs):
     word = re.compile("[a-z0-9_\x80-\U0010ffff]+")
     sets = []

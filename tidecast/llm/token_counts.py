@@ -243,10 +243,31 @@ class PrefixCounter(dict):
         if not totals or totals[-1] <= limit:
             return len(text)
         k = bisect_right(totals, limit)  # the first piece that goes beyond
-        for cut in range(ends[k], ends[k - 1] if k else 0, -1):
+        start, before = (ends[k - 1], totals[k - 1]) if k else (0, 0)
+        end = ends[k]
+        # just behind the piece a cut regroups white space, and a cut special string joins other signs
+        special = next((s for s in self.special if text.startswith(s, end)), "")
+        beyond = min(len(text), end + max(1, len(special) - 1))
+        if special or text[end - 1].isspace():
+            for cut in range(beyond, end, -1):
+                if self.count_at(text, cut, (ends, totals)) <= limit:
+                    return cut
+        # inside it every prefix has its entry; one of limit tokens has at most so many bytes
+        near = min(end, start + 16)
+        if end > near:
+            piece = text[start:start + (limit - before) * self.longest + 16]
+            piece = piece[:end - start]
+            counts = self.prefix_counts(piece.encode("utf-8"))
+            at = list(accumulate(len(c.encode("utf-8")) for c in piece))
+            if len(piece) == end - start and self.count_at(text, end, (ends, totals)) <= limit:
+                return end
+            for i in range(len(piece), near - start, -1):
+                if before + counts[at[i - 1]] <= limit:
+                    return start + i
+        for cut in range(near, start, -1):
             if self.count_at(text, cut, (ends, totals)) <= limit:
                 return cut
-        return ends[k - 1] if k else 0
+        return start
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
