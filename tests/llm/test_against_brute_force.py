@@ -309,6 +309,17 @@ def test_op7_tricky_and_ownership(spark):
                for i in range(4))
 
 
+def test_op7_copies_of_one_source(spark):
+    shared, few = "Ab1Ab1Ab1Ab1Ab1Ab1Ab", "Zk3vQ9sT1xWb7LmN4pRc"
+    rows = [(i, f"secret={shared} and bare {shared} here", "en", "a", 0) for i in range(40)]
+    rows += [(100 + i, f"secret={few} and bare {few} here", "en", "b", 0) for i in range(3)]
+    got = secret_scan.secret_scan(frame(spark, rows), with_evidence=True).collect()
+    for r in got:
+        live = r["doc_id"] >= 100
+        assert (r["n_live"], r["n_example"], "owned" in r["spans"]) == ((1, 0, True) if live else (0, 1, False))
+        assert r["evidence"].split(",")[0] == "assign:0:27:" + ("1:3" if live else "1:40")
+
+
 def test_op8(spark):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(token_counts.tokenizer_path())

@@ -8,9 +8,9 @@
    distinct repositories and with how many distinct owners does a value
    occur? Distinct (value, owner, repository) first, then counts, each
    with map-side combine, so a value copied everywhere stays cheap.
-3. A value that more than ``max_owners`` owners carry is a copied example;
-   a value of few owners looks live. A bare token becomes an added
-   ``owned`` span when few owners have it and it either repeats a value
+3. A value that more than ``max_owners`` owners or more than ``max_repos``
+   repositories carry is a copied example; any other looks live. A bare token becomes an added
+   ``owned`` span when it is not copied and it either repeats a value
    that some document holds as a base secret, or mixes upper case, lower
    case and digits as generated credentials do. Base spans always stay.
 
@@ -84,14 +84,16 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                max_owners: int = 2) -> DataFrame:
+                max_owners: int = 2, max_repos: int = 10, with_evidence: bool = False) -> DataFrame:
     """One row per row of ``docs`` (needs doc_id, text, the owner and the
     repository column): doc_id, n_assign, n_access, n_hex, base_sha256,
-    spans, n_live, n_example.
+    spans, n_live, n_example, and ``with_evidence`` the string evidence
+    (kind:start:end:owners:repositories of the same spans).
 
     ``spans`` lists kind:start:end of base and added spans by start, then
     kind as in ``KINDS``. n_live and n_example count the base spans whose
-    value few owners, or more than ``max_owners`` owners, carry.
+    value looks live, or is copied: more than ``max_owners`` owners or more
+    than ``max_repos`` repositories carry it.
 
     Defined cases: a null text counts as empty (no spans, the SHA-256 of
     the empty string); a null owner is one owner of its own, and so is a
@@ -103,19 +105,20 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     each = scan.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("s")) \
         .select("rid", "owner", "repo", "s.*")
     known = ownership(each)
-    judged = each.join(known, "h").select(
-        "rid", F.struct("start", "k", "end", (F.col("n_owners") <= max_owners).alias("live"),
-                        ((F.col("k") < 3) | ((F.col("n_owners") <= max_owners)
-                                             & (F.col("in_base") | F.col("mixed")))).alias("stays")).alias("s"))
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    stays = (F.col("k") < 3) | (live & (F.col("in_base") | F.col("mixed")))
+    judged = each.join(known, "h").select("rid", F.struct(
+        "start", "k", "end", live.alias("live"), stays.alias("stays"), "n_owners", "n_repos").alias("s"))
     by_row = judged.where("s.stays").groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("all"))
-    none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,live:boolean,stays:boolean>>)")
+    none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,live:boolean,stays:boolean,"
+                  "n_owners:bigint,n_repos:bigint>>)")
     out = scan.select("rid", "doc_id").join(by_row, "rid", "left").withColumn("all", F.coalesce("all", none))
     base = F.filter("all", lambda s: s["k"] < 3)
     names = F.array(*[F.lit(k) for k in KINDS])
 
-    def joined(spans: Column) -> Column:
+    def joined(spans: Column, *more: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
-            ":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+            ":", F.element_at(names, s["k"] + 1), *[s[c].cast("string") for c in ("start", "end", *more)])), ",")
 
     def count(cond) -> Column:
         return F.size(F.filter("all", cond)).cast("long")
@@ -127,4 +130,5 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
         "doc_id", *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"),
         count(lambda s: (s["k"] < 3) & s["live"]).alias("n_live"),
-        count(lambda s: (s["k"] < 3) & ~s["live"]).alias("n_example"))
+        count(lambda s: (s["k"] < 3) & ~s["live"]).alias("n_example"),
+        *([joined(F.col("all"), "n_owners", "n_repos").alias("evidence")] if with_evidence else []))
