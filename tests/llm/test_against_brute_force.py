@@ -488,6 +488,40 @@ def test_op10_passages(spark):
     assert m.find("the license is under the version of the work") == []
 
 
+GPL_HEADER = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General "
+              "Public License as published by the Free Software Foundation; either version {3} of the License, or (at your "
+              "option) any later version.")
+BSD_NOTICE = ("Copyright (c) 2020, Ann Example. All rights reserved. Redistribution and use in source and binary forms, with "
+              "or without modification, are permitted provided that the following conditions are met: * Redistributions of "
+              "source code must retain the above copyright notice, this list of conditions and the following disclaimer. * "
+              "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+              "following disclaimer in the documentation and/or other materials provided with the distribution. ")
+
+
+@pytest.mark.parametrize("name,text", [
+    ("GPL-2.0", GPL_HEADER.format("program", ";", "", "2")), ("GPL-3.0", GPL_HEADER.format("program", ":", "", "3")),
+    ("LGPL-2.1", GPL_HEADER.format("library", ";", "Lesser ", "2.1")), ("LGPL-2.0", GPL_HEADER.format("library", ";", "Library ", "2")),
+    ("LGPL-3.0", GPL_HEADER.format("program", ":", "Lesser ", "3")), ("AGPL-3.0", GPL_HEADER.format("program", ":", "Affero ", "3")),
+    *[(f"{a}-4.0", f"This work is licensed under a Creative Commons {b} 4.0 International License.") for a, b in (
+        ("CC-BY", "Attribution"), ("CC-BY-SA", "Attribution-ShareAlike"), ("CC-BY-ND", "Attribution-NoDerivatives"),
+        ("CC-BY-NC", "Attribution-NonCommercial"), ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))],
+    ("CC-BY-SA-3.0", "Available under the Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("BSD-2-Clause", BSD_NOTICE),
+    ("BSD-3-Clause", BSD_NOTICE + "* Neither the name of Ann Example nor the names of its contributors may be used to endorse or "
+                                  "promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+])
+def test_op10_public_wordings(name, text):
+    m = license_scan.Matcher()
+    assert {m.ids[t] for *_, t in m.find(f"Some words before. {text} And words behind.")} == {name}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4095, 4096, 4097, 12_289])
 def test_binary_lengths(n):
     got = packing.binary_lengths(n)

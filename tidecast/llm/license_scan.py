@@ -23,6 +23,75 @@ from .rows import small_batches
 
 WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*")
 
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. ")
+_BSD_3 = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission. ")
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+            "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+            "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+            "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+            "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+            "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+            "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+            "DAMAGE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted")
+_ISC_END = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+            "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+            "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+            "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+            "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so")
+_MIT_KEEP = (", subject to the following conditions: The above copyright notice and this permission notice shall be "
+             "included in all copies or substantial portions of the Software")
+_MIT_END = (". THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+            "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+            "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+            "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+            "OR OTHER DEALINGS IN THE SOFTWARE.")
+_GNU = (("GPL-2.0", "", "2", "2.0"), ("GPL-3.0", "", "3", "3.0"), ("LGPL-2.0", "Library ", "2", "2.0"),
+        ("LGPL-2.1", "Lesser ", "2.1", "2.1"), ("LGPL-3.0", "Lesser ", "3", "3.0"), ("AGPL-3.0", "Affero ", "3", "3.0"))
+_CC = (("CC-BY", "Attribution"), ("CC-BY-SA", "Attribution-ShareAlike"), ("CC-BY-ND", "Attribution-NoDerivs"),
+       ("CC-BY-NC", "Attribution-NonCommercial"), ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+       ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivs"))
+_CC_PORTS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"), ("1.0", "Generic"))
+
+
+def _gnu_templates():
+    """Sentences and file headers of every GNU licence and version."""
+    for name, kind, n, v in _GNU:
+        which = f"GNU {kind}General Public License"
+        yield name, f"This work is licensed under the {which}, version {n}."
+        yield name, f"Licensed under the {which} v{v}."
+        yield name, f"Licensed under the {which} version {v}."
+        for thing in ("program", "library", "software"):
+            for use in (": you can", "; you can"):
+                head = (f"This {thing} is free software{use} redistribute it and/or modify it under the terms of the {which} "
+                        f"as published by the Free Software Foundation")
+                yield name, f"{head}, either version {n} of the License"
+                yield name, f"{head}; either version {n} of the License, or (at your option) any later version."
+                yield name, f"{head}, version {n} of the License."
+                yield name, f"{head}; version {n}."
+
+
+def _cc_templates():
+    """Long and short notices of every Creative Commons licence and version."""
+    for name, long in _CC:
+        for v, port in _CC_PORTS:
+            full = long.replace("NoDerivs", "NoDerivatives") if v == "4.0" else long
+            yield f"{name}-{v}", f"This work is licensed under a Creative Commons {full} {v} {port} License."
+            yield f"{name}-{v}", f"Licensed under the Creative Commons {full} {v} {port} License."
+            yield f"{name}-{v}", f"Creative Commons {full} {v} {port} License"
+            yield f"{name}-{v}", f"Licensed under {name.replace('CC-', 'CC ')} {v}."
+
+
 #: Licence notices in their usual public wording, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,6 +116,32 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+                "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may "
+                "not use this file except in compliance with the License."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
+                   "in compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+                   "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+                   "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+                   "permissions and limitations under the License."),
+    ("MIT", _MIT + _MIT_KEEP), ("MIT", _MIT + _MIT_KEEP + _MIT_END),
+    ("MIT-0", _MIT + _MIT_END),
+    ("BSD-2-Clause", _BSD), ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_3), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("BSD-2-Clause", "This project is licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "This project is licensed under the BSD 3-Clause License."),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END),
+    ("0BSD", _ISC + "."), ("0BSD", _ISC + ". " + _ISC_END),
+    ("ISC", "This project is licensed under the ISC License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."),
+    *_gnu_templates(), *_cc_templates(),
 )
 THRESHOLD = 0.8
 
@@ -79,8 +174,10 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, float, int]]:
         """(start, end, dice, template) of the licence passages, in code
-        points, without overlaps: best coefficient first, then the longer
-        template, the earlier start and the order of the templates."""
+        points, without overlaps: most shared less unshared bigrams first (so
+        the full notice before a sentence of it, and the closest of a family),
+        then the better coefficient, the earlier start and the order of the
+        templates."""
         low = text.lower()
         words = WORD.findall(low)
         grams = list(zip(words, words[1:], strict=False))
@@ -108,14 +205,14 @@ class Matcher:
                         break
                     score = 2 * common / (len(seen) + len(grams_t))
                     if score >= self.threshold and (best is None or score > best[2]):
-                        best = (i, j + 1, score, t)
+                        best = (i, j + 1, score, t, 4 * common - len(seen) - len(grams_t))
                 if best:
                     found.append(best)
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text)] if len(low) == len(text) else None
         taken: list[tuple[int, int, float, int]] = []
-        for i, j, score, t in sorted(found, key=lambda f: (-f[2], -len(self.sets[f[3]]), f[0], f[3])):
+        for i, j, score, t, _ in sorted(found, key=lambda f: (-f[4], -f[2], f[0], f[3])):
             if all(j < x or i > y for x, y, _, _ in taken):
                 taken.append((i, j, score, t))
         taken.sort()
