@@ -488,6 +488,12 @@ def test_op10_passages(spark):
     assert m.find("the license is under the version of the work") == []
 
 
+def test_op10_positions_after_longer_lower_case():
+    m = license_scan.Matcher()
+    text = "\u0130stanbul \u0130. Released under the MIT License. Behind \u0130."
+    assert [(m.ids[t], text[a:b]) for a, b, _, t in m.find(text)] == [("MIT", "Released under the MIT License")]
+
+
 GPL_HEADER = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General "
               "Public License as published by the Free Software Foundation; either version {3} of the License, or (at your "
               "option) any later version.")

@@ -147,7 +147,11 @@ THRESHOLD = 0.8
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The lower-case words of a text; a word ends where it ends before lower-casing."""
+    low = text.lower()
+    if len(low) == len(text):
+        return WORD.findall(low)
+    return [w.lower() for w in WORD.findall(text)]
 
 
 def dice(a: set, b: set) -> float:
@@ -178,8 +182,7 @@ class Matcher:
         the full notice before a sentence of it, and the closest of a family),
         then the better coefficient, the earlier start and the order of the
         templates."""
-        low = text.lower()
-        words = WORD.findall(low)
+        words = words_of(text)
         grams = list(zip(words, words[1:], strict=False))
         holders = self.holders
         hits: dict[int, list[int]] = defaultdict(list)
@@ -210,14 +213,12 @@ class Matcher:
                     found.append(best)
         if not found:
             return []
-        spans = [m.span() for m in WORD.finditer(text)] if len(low) == len(text) else None
+        spans = [m.span() for m in WORD.finditer(text)]
         taken: list[tuple[int, int, float, int]] = []
         for i, j, score, t, _ in sorted(found, key=lambda f: (-f[4], -f[2], f[0], f[3])):
             if all(j < x or i > y for x, y, _, _ in taken):
                 taken.append((i, j, score, t))
         taken.sort()
-        if spans is None or len(spans) != len(words):  # lower case of another length: positions in words only
-            return [(-1, -1, score, t) for _, _, score, t in taken]
         return [(spans[i][0], spans[j][1], score, t) for i, j, score, t in taken]
 
 
@@ -233,7 +234,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     scores the longer template, then the earlier passage is best; repeated
     rows each get their row; very long texts are scanned whole; an empty
     table gives an empty result; extra columns are ignored whatever their
-    names. Where lower-casing changes a text's length, spans are -1.
+    names. Words are lower-cased one by one, so spans hold in every text.
     """
     small_batches(docs.sparkSession)
     schema = T.StructType([
