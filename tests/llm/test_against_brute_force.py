@@ -24,7 +24,7 @@ def run(spark, name):
 
 def test_registered():
     numbers = [int(q[2:].split("_")[0]) for q in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_op1_oracle(spark):
