@@ -180,14 +180,65 @@ def test_op5_flow_is_least(spark):
             assert sum(flow[i][j] * cost[i][j] for i in range(3) for j in range(3)) == best
 
 
+def sharded(spark, path):
+    return Counter((r["doc_id"], r["shard"]) for r in sharding.read_shards(spark, path).collect())
+
+
+def files(path):
+    import os
+    return {f for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
 def test_op5_rewrites_affected_shards_only(spark, scratch):
+    """Eight shards to six and on to unequal ones: no row is lost or doubled, emptied shards are gone, other files stay."""
+    docs, path = documents(spark), f"{scratch}/s"
+    placed = sharding.reshard(docs, shards=8, old_shards=8, old_shard=(docs["doc_id"] % 8).cast("int")).cache()
+    assert sharding.rewrite_affected(docs, placed, path) == list(range(8))
+    now = {r["doc_id"]: r["shard"] for r in placed.collect()}
+    assert sharded(spark, path) == Counter(now.items())
+    for shards, wanted in ((6, None), (6, [5, 1, 1, 1, 1, 1])):
+        old = spark.createDataFrame(list(now.items()), "doc_id LONG, was INT")
+        moved = docs.join(old, "doc_id")
+        placed = sharding.reshard(moved, shards=shards, old_shards=8, old_shard=moved["was"], wanted=wanted).cache()
+        before = files(f"{path}/data")
+        touched = sharding.rewrite_affected(docs, placed, path)
+        now = {r["doc_id"]: r["shard"] for r in placed.collect()}
+        assert before < files(f"{path}/data") and len(now) == docs.count()
+        assert sharded(spark, path) == Counter(now.items()) and set(now.values()) == set(range(6))
+        assert {6, 7} <= set(touched) or wanted
+
+
+def test_op5_capacities(spark):
     docs = documents(spark)
-    old = (docs["doc_id"] % 8).cast("int")  # shard 7 is emptied into others below
-    placed = sharding.reshard(docs, shards=8, old_shards=8, old_shard=old).cache()
-    touched = sharding.rewrite_affected(docs, placed, f"{scratch}/s")
-    want = {(r["doc_id"], r["shard"]) for r in placed.collect() if r["shard"] in touched}
-    got = {(r["doc_id"], r["shard"]) for r in spark.read.parquet(f"{scratch}/s").collect()}
-    assert got == want and len(touched) > 0
+    rows = sharding.reshard(docs, shards=4, wanted=[4, 0, 1, 3]).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    total, largest = sum(sizes.values()), max(r["size"] for r in rows)
+    assert set(sizes) == {0, 2, 3}
+    for shard, share in ((0, 4), (2, 1), (3, 3)):
+        assert abs(sizes[shard] - total * share / 8) <= 7 * largest
+    assert sharding.shares(10, [1, 1, 1]) == [4, 3, 3] and sum(sharding.shares(1001, [7, 0, 5])) == 1001
+    for bad in ([1, 2], [0, 0, 0, 0], [1, -1, 1, 1]):
+        with pytest.raises(ValueError, match="capacity a shard"):
+            sharding.reshard(docs, shards=4, wanted=bad)
+
+
+def test_op5_columns_and_repeated_rows(spark, scratch):
+    """Columns named like the operator's own keep their values; equal rows go where ``placed`` counts them."""
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 90), "en", f"own {i}", i) for i in range(40)] \
+        + [(50, "twin", "en", f"twin {i}", i) for i in range(12)] + [(None, None, "en", f"none {i}", i) for i in range(6)]
+    docs = frame(spark, rows).withColumnRenamed("source", "shard") \
+        .selectExpr("*", "shard as _p_id", "shard as key", "shard as place", "shard as generation").coalesce(1)
+    placed = sharding.reshard(docs, shards=3, old_shards=2).cache()
+    path = f"{scratch}/s"
+    sharding.rewrite_affected(docs, placed, path)
+    back = sharding.read_shards(spark, path)
+    assert back.columns == [*docs.columns, "shard_"]
+    got = back.collect()
+    assert sorted(r["shard"] for r in got) == sorted(r[3] for r in rows)
+    assert all(r["_p_id"] == r["key"] == r["place"] == r["generation"] == r["shard"] for r in got)
+    assert Counter((r["doc_id"], r["shard_"]) for r in got) == Counter((r["doc_id"], r["shard"]) for r in placed.collect())
 
 
 def word_count(text):
@@ -309,6 +360,38 @@ def test_op7_tricky_and_ownership(spark):
                for i in range(4))
 
 
+def test_op7_work_grows_with_the_matches(spark):
+    """A list of 30,000 hex runs (1 MB), one of 12,000 bare tokens, and neighbours that just touch."""
+    import time
+    rng = random.Random(1)
+    runs = " ".join(f"{rng.getrandbits(128):032x}" for _ in range(30_000))
+    bare = " ".join(f"Tok_{rng.getrandbits(80):020X}x" for _ in range(12_000))
+    edge = "password=abcdefgh1234ABCDefgh5678 xx" + "AKIA" + "A1" * 12 + "/abcdefghijklmnopqrst1 " + "0123456789abcdef01234567g-Zz"
+    docs = frame(spark, [(1, runs, "en", "a", 0), (2, bare, "en", "a", 0), (3, edge, "en", "a", 0)])
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secret_scan.secret_scan(docs).collect()}
+    assert time.time() - began < 60
+    assert rows[1]["n_hex"] == 30_000 and rows[2]["spans"].count("owned") == 12_000
+    check_secrets([rows[i] for i in (1, 2, 3)], texts(docs))
+
+
+def test_op7_sql_has_both_bounds(spark, scratch):
+    """Its SQL over a table with values of many repositories but one owner."""
+    import duckdb
+    values = {"many": "Zx9" + "q1W2e3R4t5Y6u7I8o9", "few": "Aa1" + "b2C3d4E5f6G7h8I9j0"}
+    rows = [(i, f"secret={values['many']} and bare {values['many']} here", "en", "a", 0) for i in range(12)]
+    rows += [(100 + i, f"token: {values['few']} and bare {values['few']}", "en", "b", 0) for i in range(3)]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{scratch}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{scratch}/documents/*.parquet')")
+    cols = ["doc_id", "n_assign", "base_sha256", "spans", "n_live", "n_example"]
+    want = con.execute(f"SELECT {','.join(cols)} FROM ({queries.ORACLE['op7_secret_scan']}) ORDER BY 1").fetchall()
+    got = [tuple(r) for r in secret_scan.secret_scan(docs).select(*cols).orderBy("doc_id").collect()]
+    assert got == want and [r[5] for r in got] == [1] * 12 + [0] * 3
+    assert all(r[3].count("owned") == (r[0] >= 100) for r in got)
+
+
 def test_op7_copies_of_one_source(spark):
     shared, few = "Ab1Ab1Ab1Ab1Ab1Ab1Ab", "Zk3vQ9sT1xWb7LmN4pRc"
     rows = [(i, f"secret={shared} and bare {shared} here", "en", "a", 0) for i in range(40)]
@@ -451,6 +534,21 @@ def test_op9_pruning_bound():
             assert (f[x >= 0.8].sum() / f.sum() >= 1e-6) == (m == jaccard_join.least_matches(n))
 
 
+def test_op10_repeated_notices():
+    """A megabyte of one notice over and over, and of a cut one."""
+    import time
+    m = license_scan.Matcher()
+    notice = max((t for n, t in license_scan.TEMPLATES if n == "MIT"), key=len)
+    for text in (notice + " Copyright holder. ", notice[:int(len(notice) * 0.85)] + " Copyright holder. "):
+        many = 1_000_000 // len(text)
+        began = time.process_time()
+        found = m.find(text * many)
+        assert time.process_time() - began < 5
+        assert many * 0.9 <= len(found) and {m.ids[f[3]] for f in found} <= {"MIT", "MIT-0"}
+    once = m.find(notice)
+    assert m.find(notice + " and some words between " + notice)[0] == once[0]
+
+
 def brute_licenses(text):
     """All templates against all passages between template bigrams."""
     words = license_scan.words_of(text)

@@ -12,19 +12,27 @@ into blocks; blocks lie one after another, and so do the plan's amounts: a
 document goes where its middle byte falls. A block that lies inside one
 amount moves whole, only the few blocks at a border are split. Offsets
 come from block sums first and sums inside a block second, so no task ever
-holds a whole shard. Only shards that gain or lose are rewritten.
+holds a whole shard. Only shards that gain or lose are rewritten: into a new
+generation of the table, whose manifest names for every shard the generation
+that holds it, so an emptied shard is simply no longer named.
 """
 
 from __future__ import annotations
 
+import uuid
 from itertools import accumulate
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import positional_index
 from .rows import few, fresh, stage, text_hash
 
+#: Folder names of a sharded table; no column of a table has them.
+SHARD, GENERATION = "__shard", "__generation"
+
 
 def least_cost_flow(supply: list[int], demand: list[int], cost=None) -> list[list[int]]:
     """flow[i][j]: units from i to j that meet all supplies and demands at least cost.
@@ -84,20 +92,32 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def plan(table: DataFrame, old_shards: int, shards: int) -> tuple[list[list[int]], int]:
+def shares(total: int, wanted: list[int]) -> list[int]:
+    """``total`` shared in proportion to ``wanted`` capacities (none negative,
+    not all zero); what rounding leaves goes to the largest remainders."""
+    whole = sum(wanted)
+    out = [total * w // whole for w in wanted]
+    for i in sorted(range(len(wanted)), key=lambda i: (-(total * wanted[i] % whole), i))[:total - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def plan(table: DataFrame, old_shards: int, shards: int, wanted: list[int] | None = None) -> tuple[list[list[int]], int]:
     """The flow between old and new shards, and the bytes it moves."""
     sizes = [0] * old_shards
     for r in table.groupBy("old").agg(F.sum("size").alias("n")).collect():  # one row a shard
         sizes[r["old"]] = r["n"]
-    flow = least_cost_flow(sizes, capacities(sum(sizes), shards))
+    flow = least_cost_flow(sizes, shares(sum(sizes), wanted) if wanted else capacities(sum(sizes), shards))
     return flow, sum(f for i, row in enumerate(flow) for j, f in enumerate(row) if i != j)
 
 
-def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old_shard: Column | None = None) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old_shard: Column | None = None,
+            wanted: list[int] | None = None) -> DataFrame:
     """One row per row of ``docs`` (needs doc_id, text): doc_id, size,
     text_crc32, law, shard, slot, grown_shard, old_shard, th.
 
-    The law is ``bytes``: the new shards' sizes are equal but for the
+    The law is ``bytes``: the new shards' sizes are equal, or as ``wanted``
+    (one capacity a shard, any unit, taken as proportions), but for the
     documents at the borders (at most one document each side). ``old_shard``
     says where a row lies now, 0 to ``old_shards`` - 1; by default rows lie
     by a hash of id and text. slot counts a shard's rows gaplessly from 0 in
@@ -110,8 +130,10 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old_shard: Co
     whatever their names.
     """
     old = old_shard if old_shard is not None else F.pmod(F.xxhash64("doc_id", "text"), F.lit(old_shards))
+    if wanted is not None and (len(wanted) != shards or min(wanted) < 0 or not sum(wanted)):
+        raise ValueError("wanted has one capacity a shard, none negative and not all zero")
     table = size_table(docs, old)
-    flow, _ = plan(table, old_shards, shards)
+    flow, _ = plan(table, old_shards, shards, wanted)
     # As many blocks as rows in a block: both windows below stay small at any size.
     # Large documents come first, where rows stay, so borders fall between small ones.
     n, mean = table.agg(F.count(F.lit(1)), F.avg("size")).first()
@@ -151,20 +173,66 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 6, old_shard: Co
         F.col("old").alias("old_shard"), "th")
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the shards that gain or lose rows, one folder ``shard=N`` each,
-    and return their numbers; the files of all other shards stay untouched.
+def generations(spark: SparkSession, path: str) -> DataFrame | None:
+    """(shard, generation) of the newest manifest; None before the first."""
+    try:
+        known = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    newest = known.agg(F.max("written").alias("newest"))
+    return known.join(newest, known["written"] == newest["newest"]).select("shard", "generation")
 
-    ``placed`` is the result of ``reshard`` over the same rows.
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The sharded table: columns as written, and the shard in the column
+    ``shard`` (``shard_`` and so on where the table has one)."""
+    data = spark.read.parquet(f"{path}/data")
+    named = generations(spark, path).select(F.col("shard").alias(SHARD), F.col("generation").alias(GENERATION))
+    own = data.drop(SHARD, GENERATION)
+    return data.join(named, [SHARD, GENERATION], "left_semi").select(*own.columns, F.col(SHARD).alias(fresh(own, "shard")))
+
+
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
+    """Write the shards that gain or lose rows into a new generation at
+    ``path`` and return their numbers; the files of all other shards stay
+    untouched. The first call writes every shard.
+
+    ``placed`` is the result of ``reshard`` over the same rows. ``docs`` may
+    have columns of any name. Rows repeated with one id and one text go to
+    the shards that ``placed`` says, as many to each as it counts. An
+    emptied shard is not named in the new manifest, which is one file,
+    written last: a job that dies before leaves the old state.
     """
-    changed = placed.where(F.col("shard") != F.col("old_shard"))
-    both = changed.select("shard").union(changed.select(F.col("old_shard").alias("shard"))).distinct()
+    spark = docs.sparkSession
+    known = generations(spark, path)
+    moved = placed.where(F.col("shard") != F.col("old_shard"))
+    both = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
     touched = sorted(r["shard"] for r in both.collect())  # at most one number a shard
-    th = fresh(docs, "th")
-    rows = placed.where(F.col("shard").isin(touched)).groupBy(F.col("doc_id").alias("_p_id"), F.col("th").alias("_p_th")) \
-        .agg(F.collect_set("shard").alias("_p_shards"))
-    hashed = docs.withColumn(th, text_hash(F.col("text")))
-    out = hashed.join(rows, hashed["doc_id"].eqNullSafe(rows["_p_id"]) & (hashed[th] == rows["_p_th"]))
-    out.withColumn("shard", F.element_at("_p_shards", 1)).drop(th, "_p_id", "_p_th", "_p_shards") \
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    if known is None:
+        touched = sorted({r["shard"] for r in placed.select("shard").distinct().collect()} | set(touched))
+    key, at, place = (fresh(docs, c) for c in ("key", "at", "place"))
+
+    def named(df: DataFrame, th: Column) -> DataFrame:
+        return df.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), th.cast("string")))
+
+    places = named(placed.where(F.col("shard").isin(touched)), F.col("th")).select(key, F.col("shard").alias(SHARD), F.col("slot").alias(at))
+    repeated = named(placed, F.col("th")).groupBy(key).count().where("count > 1").select(key)
+    rows = named(docs, text_hash(F.col("text")))
+    out = rows.join(places.join(repeated, key, "left_anti"), key).select(*docs.columns, SHARD)
+    if not repeated.isEmpty():
+        # the i-th row of an id and text takes the i-th of its places, touched or not
+        again = named(placed, F.col("th")).join(repeated, key, "left_semi").select(key, F.col("shard").alias(SHARD), F.col("slot").alias(at))
+        numbered = positional_index(again, [key], [(SHARD, False), (at, False)], out=place).select(key, place, SHARD)
+        twins = positional_index(rows.join(repeated, key, "left_semi").withColumn(at, F.monotonically_increasing_id()),
+                                 [key], [(at, False)], out=place)
+        out = out.unionByName(twins.join(numbered.where(F.col(SHARD).isin(touched)), [key, place]).select(*docs.columns, SHARD))
+    generation = f"g{uuid.uuid4().hex}"
+    out.write.partitionBy(SHARD).parquet(f"{path}/data/{GENERATION}={generation}")
+    new = placed.where(F.col("shard").isin(touched)).select("shard").distinct().withColumn("generation", F.lit(generation))
+    if known is not None:
+        new = new.unionByName(known.where(~F.col("shard").isin(touched)))
+    written = (spark.read.parquet(f"{path}/manifest").agg(F.max("written")).first()[0] + 1) if known is not None else 1
+    new.coalesce(1).write.parquet(f"{path}/manifest/written={written}")
     return touched
