@@ -12,8 +12,10 @@ running prose is found as well as one on a line of its own.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -144,6 +146,8 @@ TEMPLATES = (
     *_gnu_templates(), *_cc_templates(),
 )
 THRESHOLD = 0.8
+#: Words that must be equal for two passages to share a result.
+MEMO = 1024
 
 
 def words_of(text: str) -> list[str]:
@@ -176,6 +180,26 @@ class Matcher:
         self.low = [math.ceil(len(s) * threshold / (2 - threshold) - 1e-9) for s in self.sets]
         self.high = [math.floor(len(s) * (2 - threshold) / threshold + 1e-9) for s in self.sets]
 
+    def _passage(self, t: int, own: set[int], i: int, values: list[int], after: dict[int, int]):
+        """((length in words - 1, dice, gain), distance of the last place looked
+        at, whether there was none after it) of the best passage from ``i``
+        on, which ends at a bigram of the template. Stops when no further
+        bigram can raise the coefficient."""
+        size, most = len(self.sets[t]), self.high[t]
+        best, common, pos, n, last = (0, 0.0, 0), 0, i, 0, i
+        while pos >= 0 and n < most:
+            n, last = n + 1, pos
+            if values[pos] in own:
+                common += 1
+                score = 2 * common / (n + size)
+                if score >= self.threshold and score > best[1]:
+                    best = (pos + 1 - i, score, 4 * common - n - size)
+            # at best all that is left of the template comes next, and nothing else
+            if 2 * size / (n + 2 * size - common) <= max(best[1], self.threshold - 1e-9):
+                return best, last - i, False
+            pos = after[pos]
+        return best, last - i, pos < 0
+
     def find(self, text: str) -> list[tuple[int, int, float, int]]:
         """(start, end, dice, template) of the licence passages, in code
         points, without overlaps: most shared less unshared bigrams first (so
@@ -184,41 +208,59 @@ class Matcher:
         templates."""
         words = words_of(text)
         grams = list(zip(words, words[1:], strict=False))
-        holders = self.holders
-        hits: dict[int, list[int]] = defaultdict(list)
-        for i, g in enumerate(grams):
-            if g in holders:
-                for t in holders[g]:
-                    hits[t].append(i)
-        found = []
-        for t, at in hits.items():
-            grams_t, least, most = self.sets[t], self.low[t], self.high[t]
-            if len({grams[i] for i in at}) < least:
-                continue
-            for a, i in enumerate(at):
-                seen: set = set()
-                common, pos, best = 0, i, None
-                for j in at[a:]:
-                    while pos <= j and len(seen) <= most:
-                        if grams[pos] not in seen:
-                            seen.add(grams[pos])
-                            common += grams[pos] in grams_t
-                        pos += 1
-                    if len(seen) > most:
-                        break
-                    score = 2 * common / (len(seen) + len(grams_t))
-                    if score >= self.threshold and (best is None or score > best[2]):
-                        best = (i, j + 1, score, t, 4 * common - len(seen) - len(grams_t))
-                if best:
-                    found.append(best)
+        holding: dict[int, set] = defaultdict(set)  # template -> its bigrams in the text
+        for g in {g for g in grams if g in self.holders}:
+            for t in self.holders[g]:
+                holding[t].add(g)
+        holding = {t: own for t, own in holding.items() if len(own) >= self.low[t]}
+        if not holding:
+            return []
+        numbers: dict[tuple[str, str], int] = {}
+        ids = np.fromiter((numbers.setdefault(g, len(numbers)) for g in grams), np.int32, len(grams))
+        inside = {t: {numbers[g] for g in own} for t, own in holding.items()}
+        found, memo = [], {}
+        # From the last word to the first: where each bigram occurs next, as a linked list in text order.
+        # A passage from i on grows by the places of that list, so repeated notices cost no more than one.
+        after: dict[int, int] = {}
+        before: dict[int, int] = {}
+        place: dict[int, int] = {}
+        first = -1
+        values = ids.tolist()
+        for i in range(len(values) - 1, -1, -1):
+            g = values[i]
+            old = place.get(g)
+            if old is not None:
+                left, right = before.pop(old), after.pop(old)
+                if left >= 0:
+                    after[left] = right
+                else:
+                    first = right
+                if right >= 0:
+                    before[right] = left
+            place[g], after[i], before[i] = i, first, -1
+            if first >= 0:
+                before[first] = i
+            first = i
+            for t, own in inside.items():
+                if g in own:
+                    key = (t, ids[i:i + MEMO].tobytes())
+                    known = memo.get(key)
+                    # a passage that ran out of new bigrams is shared only with one that does too
+                    if known is None or (known[2] and after[i + known[1]] >= 0):
+                        known = self._passage(t, own, i, values, after)
+                        if known[1] < MEMO:
+                            memo[key] = known
+                    best = known[0]
+                    if best[0]:
+                        found.append((i, i + best[0], best[1], t, best[2]))
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        taken: list[tuple[int, int, float, int]] = []
+        taken: list[tuple[int, int, float, int]] = []  # in text order
         for i, j, score, t, _ in sorted(found, key=lambda f: (-f[4], -f[2], f[0], f[3])):
-            if all(j < x or i > y for x, y, _, _ in taken):
-                taken.append((i, j, score, t))
-        taken.sort()
+            at = bisect_left(taken, (i,))
+            if (at == 0 or taken[at - 1][1] < i) and (at == len(taken) or j < taken[at][0]):
+                taken.insert(at, (i, j, score, t))
         return [(spans[i][0], spans[j][1], score, t) for i, j, score, t in taken]
 
 
