@@ -124,10 +124,11 @@ ORACLE = {
         cand AS (SELECT * FROM base UNION ALL
                  SELECT * FROM n WHERE k = 3 AND NOT EXISTS (
                    SELECT 1 FROM base b WHERE b.doc_id = n.doc_id AND b.a < n.a + n.len AND n.a < b.a + b.len)),
-        own AS (SELECT v, count(DISTINCT owner) AS owners, bool_or(k < 3) AS in_base FROM cand GROUP BY v),
-        j AS (SELECT cand.*, owners <= 2 AS live, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len AS BIGINT) AS s
+        own AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, doc_id)) AS repos, bool_or(k < 3) AS in_base
+                FROM cand GROUP BY v),
+        j AS (SELECT cand.*, owners <= 2 AND repos <= 10 AS live, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len AS BIGINT) AS s
               FROM cand JOIN own USING (v)
-              WHERE k < 3 OR (owners <= 2 AND (in_base OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]'))))),
+              WHERE k < 3 OR (owners <= 2 AND repos <= 10 AND (in_base OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]'))))),
         g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
                      count(*) FILTER (k = 2) AS n_hex,
                      coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < 3), '') AS b,

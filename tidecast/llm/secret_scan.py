@@ -15,12 +15,15 @@
    case and digits as generated credentials do. Base spans always stay.
 
 Positions come from splitting the text at the pattern: the i-th match
-starts after i + 1 pieces and i matches, counted in code points.
+starts after i + 1 pieces and i matches, counted in code points. The sums
+are running sums over the matches of a text, and a bare token's overlap with
+base spans is decided by the nearest spans on either side, so the work grows
+with the number of matches and not with its square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rows import stage
@@ -34,45 +37,49 @@ HEX = r"[0-9a-f]{24,}"
 BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
 LEAST_VALUE = 6
 
-_SPAN = "struct<start:int,k:int,end:int,v:string>"
 
 
-def located(text: Column, pattern: str, k: int, group: int = 0, least: int = 0) -> Column:
-    """array<struct(start, k, end, v)> of the leftmost non-overlapping matches,
-    in code points, end exclusive; v is the group's text. Matches whose
-    group is shorter than ``least`` are dropped after matching."""
+def matches(text: Column, pattern: str, k: int, group: int = 0, least: int = 0) -> Column:
+    """array<struct(k, i, gap, len, h, mixed, fits)> of the leftmost
+    non-overlapping matches: code points before it since the last match, its
+    own, the SHA-256 of the group's text, whether that mixes upper case, lower
+    case and digits, and whether it has ``least`` code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     zipped = F.arrays_zip(before.alias("p"), found.alias("m"), value.alias("v"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.char_length(x["p"])
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), x["v"].alias("v"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda a: a["out"])
-    if least:
-        spans = F.filter(spans, lambda s: F.char_length(s["v"]) >= least)
-    return F.when(text.rlike(pattern), spans).otherwise(none)
-
-
-def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
-    """Staged (rid, doc_id, owner, repo, spans): one row per row of ``docs``."""
+    each = F.transform(zipped, lambda x, i: F.struct(
+        F.lit(k).alias("k"), i.alias("i"), F.char_length(x["p"]).alias("gap"), F.char_length(x["m"]).alias("len"),
+        F.unhex(F.sha2(x["v"], 256)).alias("h"),
+        (x["v"].rlike("[A-Z]") & x["v"].rlike("[a-z]") & x["v"].rlike("[0-9]")).alias("mixed"),
+        (F.char_length(x["v"]) >= least).alias("fits")))
+    none = F.expr("cast(array() as array<struct<k:int,i:int,gap:int,len:int,h:binary,mixed:boolean,fits:boolean>>)")
+    return F.when(text.rlike(pattern), each).otherwise(none)
+
+
+def candidates(docs: DataFrame, owner: str, repository: str) -> tuple[DataFrame, DataFrame]:
+    """Two staged tables: (rid, doc_id) of every row of ``docs``, and the
+    candidate spans (rid, owner, repo, start, k, end, h, mixed)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(located(text, ASSIGN, 0, 2, LEAST_VALUE), located(text, ACCESS, 1), located(text, HEX, 2))
-    one = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"),
-                      F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repo"),
-                      base.alias("base"), located(text, BARE, 3).alias("bare"))
+    every = F.concat(matches(text, ASSIGN, 0, 2, LEAST_VALUE), matches(text, ACCESS, 1), matches(text, HEX, 2),
+                     matches(text, BARE, 3))
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"),
+                             F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repo"),
+                             every.alias("found")), "secrets")
+    each = rows.where(F.size("found") > 0).select("rid", "owner", "repo", F.inline("found"))
+    # all windows are over the matches of one text
+    end = F.sum(F.col("gap").cast("long") + F.col("len")).over(Window.partitionBy("rid", "k").orderBy("i"))
+    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).where("fits")
+    left = Window.partitionBy("rid").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    right = Window.partitionBy("rid").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.withColumn("reach", F.max(F.when(F.col("k") < 3, F.col("end"))).over(left)) \
+        .withColumn("next", F.min(F.when(F.col("k") < 3, F.col("start"))).over(right))
     # a bare token that overlaps a base span adds nothing
-    free = F.filter("bare", lambda b: ~F.exists("base", lambda s: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = F.transform(F.concat("base", free), lambda s: F.struct(
-        s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"),
-        F.unhex(F.sha2(s["v"], 256)).alias("h"),
-        (s["v"].rlike("[A-Z]") & s["v"].rlike("[a-z]") & s["v"].rlike("[0-9]")).alias("mixed")))
-    return stage(one.select("rid", "doc_id", "owner", "repo", spans.alias("spans")), "secrets")
+    touched = (F.coalesce(F.col("reach") > F.col("start"), F.lit(False))
+               | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
+    kept = spans.where((F.col("k") < 3) | ~touched).select(
+        "rid", "owner", "repo", F.col("start").cast("int").alias("start"), "k", F.col("end").cast("int").alias("end"), "h", "mixed")
+    return rows.select("rid", "doc_id"), stage(kept, "secret-spans")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -101,9 +108,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     own, and count as one repository; an empty table gives an empty
     result; extra columns are ignored whatever their names.
     """
-    scan = candidates(docs, owner, repository)
-    each = scan.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("s")) \
-        .select("rid", "owner", "repo", "s.*")
+    rows, each = candidates(docs, owner, repository)
     known = ownership(each)
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     stays = (F.col("k") < 3) | (live & (F.col("in_base") | F.col("mixed")))
@@ -112,7 +117,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     by_row = judged.where("s.stays").groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("all"))
     none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,live:boolean,stays:boolean,"
                   "n_owners:bigint,n_repos:bigint>>)")
-    out = scan.select("rid", "doc_id").join(by_row, "rid", "left").withColumn("all", F.coalesce("all", none))
+    out = rows.join(by_row, "rid", "left").withColumn("all", F.coalesce("all", none))
     base = F.filter("all", lambda s: s["k"] < 3)
     names = F.array(*[F.lit(k) for k in KINDS])
 
