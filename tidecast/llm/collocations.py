@@ -1,11 +1,12 @@
 """Phrase collocations by SON partitioning.
 
 1. Shares: bytes of text by language, one cheap scan.
-2. Mining: the corpus is dealt into shards (tasks of about ``shard_bytes``
-   of text). Each shard is mined completely, words first and then phrases
-   one word longer at a time, at ``support`` times the shard's share of its
-   language. A phrase with ``support`` occurrences in all reaches that
-   bound in at least one shard, so no phrase is lost.
+2. Mining: the corpus is dealt into ``SHARDS`` shards, or more where one
+   would not fit a task (``shard_bytes`` of text). Each shard is mined
+   completely, words first and then phrases one word longer at a time, at
+   ``support`` times the shard's share of its language. A phrase with
+   ``support`` occurrences in all reaches that bound in at least one shard,
+   so no phrase is lost.
 3. Union: hashes of the locally frequent phrases become one Bloom filter of
    at most ``MAX_BITS`` bits, the only thing broadcast. It may let others
    through; they are counted like the rest and fall at step 4.
@@ -37,12 +38,12 @@ from .rows import small_batches, stage
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 #: Largest Bloom filter: 2^27 bits, 16 MB.
 MAX_BITS = 27
-#: Text of a task, whose words are in memory as numbers (about ten times 8 bytes a word).
-SHARD_BYTES = 48 << 20
+#: Shards of the corpus, and the largest text of one: its words are in memory as numbers.
+SHARDS, SHARD_BYTES = 16, 48 << 20
 #: Languages whose share is known exactly while mining; the others get a lower bound than they need.
 MAX_LANGS = 10_000
 #: Buckets of the pair counts that go before the exact ones (mining only).
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 
 
 class Vocabulary(dict):
@@ -72,6 +73,11 @@ class Shard:
         self.parts = [np.concatenate(self.parts)]
         return self.parts[0]
 
+    def join(self, other: Shard) -> None:
+        numbers = np.fromiter((self.vocabulary[w] for w in other.vocabulary), np.int32, len(other.vocabulary))
+        self.parts.append(numbers[other.words()])
+        self.bytes += other.bytes
+
 
 def spread(h: np.ndarray) -> np.ndarray:
     """Bits of 64-bit hashes mixed, so that any of them can be used alone."""
@@ -97,26 +103,26 @@ def frequent(shard: Shard, lang: str, least: int, most: int) -> Iterator[np.ndar
     w, base = shard.words(), seeds(lang, shard.vocabulary)
     counts = np.bincount(w, minlength=len(base))
     counts[0] = 0
-    yield base[counts >= least]
-    at = np.flatnonzero(counts[w] >= least)  # starts of frequent phrases
-    ids, h = w[at].astype(np.int64), base[w[at]]
     one = counts >= least
+    yield base[one]
+    at = np.flatnonzero(one[w]).astype(np.int32)  # starts of frequent phrases
+    ids, h = w[at], base[w[at]]
     for m in range(2, most + 1):
         follows = np.zeros(len(w) + 1, bool)  # starts of frequent phrases one word shorter
         follows[at] = True
         ok = follows[at + 1] & (at + m <= len(w))
+        ok[ok] = one[w[at[ok] + m - 1]]
         at, ids, h = at[ok], ids[ok], h[ok]
         last = w[at + m - 1]
-        ok = one[last]
-        at, ids, h, last = at[ok], ids[ok], h[ok], last[ok]
-        key, h = ids * len(base) + last, longer(h, base[last])
-        bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        h = longer(h, base[last])
+        # hashed counts first: most phrases go before the exact ones are sorted
+        bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
         ok = np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least
-        at, key, h = at[ok], key[ok], h[ok]
+        at, h, key = at[ok], h[ok], ids[ok].astype(np.int64) * len(base) + last[ok]
         _, first, ids, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         yield h[first[n >= least]]
         ok = (n >= least)[ids]
-        at, ids, h = at[ok], ids[ok], h[ok]
+        at, ids, h = at[ok], ids[ok].astype(np.int32), h[ok]
 
 
 class Bloom:
@@ -147,29 +153,29 @@ def counted(shard: Shard, lang: str, bloom: Bloom, most: int) -> Iterator[tuple[
     counts[0] = 0
     yield 0, [b""], counts.sum(keepdims=True)
     held = bloom.holds(base) & (counts > 0)
-    at = np.flatnonzero(held[w])
     number = np.flatnonzero(held)
     yield 1, [names[i] for i in number], counts[number]
-    ids, h = w[at].astype(np.int64), base[w[at]]
+    at = np.flatnonzero(held[w]).astype(np.int32)
+    ids, h = w[at], base[w[at]]
     for m in range(2, most + 1):
         ok = at + m <= len(w)
+        ok[ok] = held[w[at[ok] + m - 1]]
         at, ids, h = at[ok], ids[ok], h[ok]
         last = w[at + m - 1]
         h = longer(h, base[last])
-        ok = held[last]
-        ok[ok] = bloom.holds(h[ok])
-        at, ids, h, last = at[ok], ids[ok], h[ok], last[ok]
-        _, first, ids, n = np.unique(ids * len(base) + last, return_index=True, return_inverse=True, return_counts=True)
+        ok = bloom.holds(h)
+        at, h, key = at[ok], h[ok], ids[ok].astype(np.int64) * len(base) + last[ok]
+        _, first, ids, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        ids = ids.astype(np.int32)
         for a in range(0, len(first), 20_000):
             rows = w[at[first[a:a + 20_000], None] + np.arange(m)].tolist()
             yield m, [b" ".join([names[j] for j in row]) for row in rows], n[a:a + 20_000]
 
 
-def shards(batches, limit: int) -> Iterator[tuple[str, Shard]]:
-    """The texts of a task by language. When ``limit`` bytes are held, the
-    largest language is handed on; the others at the end."""
-    held: dict[str, Shard] = {}
-    size = 0
+def shards(batches, limit: int) -> Iterator[dict[str, Shard]]:
+    """The texts of a task by language, ``limit`` bytes of text at a time. A
+    small rest joins the shard before it, since a small shard has a low bound."""
+    whole, held, size = None, {}, 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             shard = held.get(lang)
@@ -178,11 +184,19 @@ def shards(batches, limit: int) -> Iterator[tuple[str, Shard]]:
             shard.add(text)
             size += len(text) + 1
             if size >= limit:
-                lang = max(held, key=lambda x: held[x].bytes)
-                size -= held[lang].bytes
-                yield lang, held.pop(lang)
-    while held:
-        yield held.popitem()
+                if whole:
+                    yield whole
+                whole, held, size = held, {}, 0
+    if whole and 2 * size < limit:
+        for lang, shard in held.items():
+            if lang in whole:
+                whole[lang].join(shard)
+            else:
+                whole[lang] = shard
+        held = {}
+    for some in (whole, held):
+        if some:
+            yield some
 
 
 def union_filter(mined: DataFrame) -> Bloom:
@@ -223,24 +237,29 @@ def phrase_counts(docs: DataFrame, support: int = 100, most: int = 5, shard_byte
     largest = {r["lang"]: r["bytes"] for r in shares.orderBy(F.desc("bytes"), "lang").limit(MAX_LANGS).collect()}
     # a language beyond the list is no larger than the last on it: the bound stays low enough
     rest = min(largest.values(), default=1)
-    # tasks of about shard_bytes, so that many small files are not many small shards
-    rows = rows.coalesce(max(1, -(-total // shard_bytes)))
+    limit = max(1, min(shard_bytes, -(-total // SHARDS)))
+    # tasks of about a shard, so that many small files are not many small shards
+    rows = rows.coalesce(max(1, -(-total // limit)))
 
     def mine(batches):
-        for lang, shard in shards(batches, 2 * shard_bytes):
-            least = max(1, -(-support * shard.bytes // largest.get(lang, rest)))
-            for h in frequent(shard, lang, least, most):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+        for some in shards(batches, limit):
+            while some:
+                lang, shard = some.popitem()
+                least = max(1, -(-support * shard.bytes // largest.get(lang, rest)))
+                for h in frequent(shard, lang, least, most):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     bloom = union_filter(stage(rows.mapInArrow(mine, "h long"), "mined"))
 
     def count(batches):
-        for lang, shard in shards(batches, 2 * shard_bytes):
-            for m, phrases, n in counted(shard, lang, bloom, most):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), m, np.int32)),
-                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
-                    names=["lang", "m", "phrase", "n"])
+        for some in shards(batches, limit):
+            while some:
+                lang, shard = some.popitem()
+                for m, phrases, n in counted(shard, lang, bloom, most):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), m, np.int32)),
+                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
+                        names=["lang", "m", "phrase", "n"])
 
     counts = rows.mapInArrow(count, "lang string, m int, phrase string, n long") \
         .groupBy("lang", "m", "phrase").agg(F.sum("n").alias("f"))
