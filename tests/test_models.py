@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidecast.operators import additive as AD
 from tidecast.operators import ar as AR
 from tidecast.operators import lookback as LB
+from tidecast.operators import order_search as OS
 from tidecast.operators import smoothing as SM
 from tidecast.plans import catalog as CAT
 from tidecast.sources import standins as SI
@@ -155,7 +156,7 @@ def test_auto_order_picks_differencing(spark):
     walk = np.cumsum(rng.normal(size=400)) + 10
     noise = rng.normal(size=400) + 10
     s = daily_frame(spark, walk.tolist(), repo="w/alk").unionByName(daily_frame(spark, noise.tolist(), repo="n/oise"))
-    d = {r.repo: r.d for r in AR.auto_order_fit(s).collect()}
+    d = {r.repo: r.d for r in OS.order_search(s).collect()}
     assert d == {"w/alk": 1, "n/oise": 0}
 
 

@@ -7,6 +7,7 @@ import pytest
 from tidecast.operators import additive as AD
 from tidecast.operators import ar as AR
 from tidecast.operators import lookback as LB
+from tidecast.operators import order_search as OS
 from tidecast.operators import smoothing as SM
 from tidecast.operators import trend as TR
 from tidecast.operators import windows as W
@@ -41,7 +42,7 @@ def test_daily_models(spark):
     split = W.split_ordered(s)
     train = split.where("split = 'train'").select("repo", "metric", "ds", "y")
     h = split.where("split = 'test'").groupBy("repo", "metric").count().selectExpr("repo", "metric", "cast(count as int) h")
-    assert "o/normal" in {r["repo"] for r in AR.auto_order_forecast(train, h).collect()}
+    assert "o/normal" in {r["repo"] for r in OS.order_search_forecast(train, h).collect()}
 
 
 def test_kpss_has_no_lag_ceiling(spark):

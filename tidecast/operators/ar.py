@@ -1,14 +1,11 @@
-"""Autoregressive family (F4-F6) fitted with the K1 kernel.
+"""Autoregressive family (F4, F5) and the KPSS statistic, fitted with the K1 kernel.
 
 * AR(p) on first differences (ARIMA(p,1,0)) by conditional least squares
   without a constant (differenced models carry none by default).
 * ARMA(1,1) on first differences by the two-stage Hannan-Rissanen
   regression: a long AR(m) gives residual estimates, then dy_t is
   regressed on dy_{t-1} and e_{t-1}.
-* Automatic order: d in {0, 1} from a KPSS level-stationarity statistic,
-  then AR(p), p = 0..5, by AIC on one shared sample (all candidates are
-  principal sub-problems of a single Gram matrix, so one aggregate serves
-  every candidate).
+* Automatic order (F6) is in ``order_search``.
 
 All series-level steps run on series rows (bounded by the calendar per
 key); the only aggregate over many rows is the Gram sum.
@@ -25,11 +22,8 @@ from .series import sorted_points
 from .smoothing import Z80
 from .windows import difference, lag_matrix
 
-# Long-AR order of the Hannan-Rissanen first stage, the
-# KPSS 5 % critical value (level stationarity) and the order search range.
+# Fixed value: long-AR order of the Hannan-Rissanen first stage.
 HR_LONG_ORDER = 4
-KPSS_CRIT_5 = 0.463
-MAX_P = 5
 
 
 def _step_date(unit: str, base: str, step: str):
@@ -172,7 +166,6 @@ def arma_forecast(series: DataFrame, h: int = 12, keys=KEYS, unit: str = "month"
     return _explode_path(st, keys, "arma", unit, sigma, F.when(F.col("degenerate"), F.lit("degenerate")))
 
 
-# ------------------------------------------------------------ order search
 def kpss_level(series: DataFrame, keys=KEYS) -> DataFrame:
     """KPSS level-stationarity statistic per series: Bartlett long-run
     variance with floor(4 * (n/100)^(1/4)) lags, whatever the length.
@@ -194,55 +187,3 @@ def kpss_level(series: DataFrame, keys=KEYS) -> DataFrame:
             (u, i) -> u + e[i] * e[i - k])))"""))
     lrv = "((g0 + gk) / n)"
     return g.select(*keys, "n", F.expr(f"IF({lrv} > 0, ss / (n * n * {lrv}), 0D)").alias("kpss"))
-
-
-def auto_order_fit(series: DataFrame, keys=KEYS, max_p: int = MAX_P) -> DataFrame:
-    """(keys, d, p, beta, c, aic) chosen by AIC; d from KPSS."""
-    kp = kpss_level(series, keys).select(*keys, (F.col("kpss") > KPSS_CRIT_5).cast("int").alias("d"))
-    s = series.join(kp, keys)
-    w = Window.partitionBy(*keys).orderBy("ds")
-    s = s.withColumn("z", F.when(F.col("d") == 1, F.col("y") - F.lag("y", 1).over(w)).otherwise(F.col("y")))
-    s = s.where(F.col("z").isNotNull())
-    s = s.select("*", *[F.lag("z", i).over(w).alias(f"zl{i}") for i in range(1, max_p + 1)])
-    cond = F.col(f"zl{max_p}").isNotNull()
-    s = s.where(cond).select(*keys, "d", "z", F.array(F.lit(1.0), *[F.col(f"zl{i}") for i in range(1, max_p + 1)])
-                             .alias("x"))
-    g = gram(s, [*keys, "d"], "x", "z", max_p + 1)
-    cand = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_p))).alias("p"))
-    # feature positions: intercept (0) only for d = 0, then lags 1..p
-    idx = F.expr("concat(IF(d = 0, array(0), CAST(array() AS ARRAY<INT>)), "
-                 "IF(p > 0, sequence(1, p), CAST(array() AS ARRAY<INT>)))")
-    sol = solve(cand.withColumn("idx", idx), max_p + 1, keep="idx")
-    k = F.size("idx") + F.lit(1)
-    aic = F.col("n") * F.log(F.greatest(F.col("fit.sse"), F.lit(1e-12)) / F.col("n")) + F.lit(2.0) * k
-    sol = sol.withColumn("aic", aic)
-    wb = Window.partitionBy(*keys).orderBy(F.col("aic").asc(), F.col("p").asc())
-    best = sol.withColumn("_rn", F.row_number().over(wb)).where(F.col("_rn") == 1)
-    beta = F.col("fit.beta")
-    c = F.when(F.col("d") == 0, beta[0]).otherwise(F.lit(0.0))
-    lag_beta = F.when(F.col("d") == 0, F.slice(beta, 2, max_p)).otherwise(beta)
-    return best.select(*keys, "d", "p", c.alias("c"), lag_beta.alias("beta"), "aic",
-                       F.col("fit.sse").alias("sse"), "n")
-
-
-def auto_order_forecast(train: DataFrame, horizon: DataFrame, keys=KEYS, unit: str = "day") -> DataFrame:
-    """F6 + F12: fit on ``train``, forecast ``horizon.h`` steps per series
-    (the length of the held-out part)."""
-    fit = auto_order_fit(train, keys)
-    st = _state(train, MAX_P, keys).join(fit, keys).join(horizon, keys)
-    # for d = 0 the recursion runs on levels: history = last values, level = 0
-    st = st.withColumn("hist", F.when(F.col("d") == 0, F.slice("ys", -MAX_P, MAX_P)).otherwise(F.col("hist"))) \
-           .withColumn("last_y", F.when(F.col("d") == 0, F.lit(0.0)).otherwise(F.col("last_y")))
-    rec = F.expr(f"""aggregate(sequence(1, h),
-      named_struct('hist', hist, 'level', last_y, 'out', CAST(array() AS ARRAY<DOUBLE>)),
-      (acc, k) -> named_struct(
-          'hist', concat(acc.hist, array(c + aggregate(IF(p > 0, sequence(1, p), CAST(array() AS ARRAY<INT>)), 0D, (s, i) ->
-                     s + beta[i - 1] * coalesce(element_at(acc.hist, size(acc.hist) - i + 1), 0D)))),
-          'level', IF(d = 1, acc.level, 0D) + c + aggregate(IF(p > 0, sequence(1, p), CAST(array() AS ARRAY<INT>)), 0D, (s, i) ->
-                     s + beta[i - 1] * coalesce(element_at(acc.hist, size(acc.hist) - i + 1), 0D)),
-          'out', concat(acc.out, array(IF(d = 1, acc.level, 0D) + c + aggregate(IF(p > 0, sequence(1, p), CAST(array() AS ARRAY<INT>)), 0D, (s, i) ->
-                     s + beta[i - 1] * coalesce(element_at(acc.hist, size(acc.hist) - i + 1), 0D)))))).out""")
-    st = st.withColumn("path", F.when(F.col("h") > 0, rec).otherwise(F.array().cast("array<double>")))
-    sigma = F.sqrt(F.col("sse") / F.greatest(F.col("n") - F.col("p"), F.lit(1)))
-    out = _explode_path(st, keys, "auto_order", unit, sigma)
-    return out.join(fit.select(*keys, "d", "p"), keys)

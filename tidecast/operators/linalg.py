@@ -5,10 +5,14 @@ y'y and n -- are sums. Every Arrow batch is reduced to one packed upper
 triangle of Z'Z (Z = [X | y]) per key, and Spark adds these partials by
 key: it never moves the rows, only p^2/2 sums per (key, batch). Callers
 feed rows clustered by key, and a series is bounded by the calendar, so a
-key has a few partials at most.
+key has a few partials at most. Rows that are not clustered by key go
+through ``clustered=False``: the partials of a key are then added up in
+two levels, so no row ever holds one for each batch of the job.
 
 The p x p solves run in Python, stacked: one eigendecomposition call for
-all series of an Arrow batch.
+all series of an Arrow batch. A series whose sums cannot be solved (not
+finite, no convergence) gets null coefficients and the reason in ``error``;
+the others of its batch are not touched.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ SOLUTION = T.StructType([
     T.StructField("beta", T.ArrayType(T.DoubleType())),
     T.StructField("sse", T.DoubleType()),
     T.StructField("rank", T.IntegerType()),
+    T.StructField("error", T.StringType()),
 ])
+#: Groups of tasks whose partials are added up first, for rows not clustered by key.
+TASK_GROUPS = 256
 
 
 def packed(i: int, j: int, q: int) -> int:
@@ -31,13 +38,15 @@ def packed(i: int, j: int, q: int) -> int:
     return i * q - i * (i - 1) // 2 + (j - i)
 
 
-def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
+def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int, clustered: bool = True) -> DataFrame:
     """(keys, n, tri) per key: ``tri`` is the packed upper triangle of Z'Z,
     Z = [X | y], row-major, (p + 1)(p + 2) / 2 numbers.
 
     ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
-    feature or target must be filtered out by the caller.
+    feature or target must be filtered out by the caller. ``clustered``:
+    all rows of a key are in a few tasks.
     """
+    keys = list(keys)
     q = p + 1
     iu = np.triu_indices(q)
     key_types = {f.name: f.dataType for f in df.schema.fields if f.name in keys}
@@ -61,8 +70,14 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
 
     parts = df.select(*keys, F.col(x).alias(x), F.col(y).cast("double").alias(y)).mapInPandas(partial, out_schema)
     total = "IF(size(_t) = 1, _t[0], aggregate(slice(_t, 2, size(_t) - 1), _t[0], (a, t) -> zip_with(a, t, (u, v) -> u + v)))"
-    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("tri").alias("_t")) \
-        .select(*keys, "n", F.expr(total).alias("tri"))
+
+    def added(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.collect_list("tri").alias("_t")) \
+            .select(*by, "n", F.expr(total).alias("tri"))
+
+    if not clustered:
+        parts = added(parts.withColumn("_group", F.spark_partition_id() % TASK_GROUPS), [*keys, "_group"])
+    return added(parts, keys)
 
 
 def gram_long(df: DataFrame, keys: list[str], x: str, y: str, p: int) -> DataFrame:
@@ -87,8 +102,14 @@ def _solve_stacked(a: np.ndarray, b: np.ndarray, c: np.ndarray, lam: np.ndarray)
     return beta, np.maximum(sse, 0.0), keep.sum(axis=1)
 
 
+def _solve_part(z: np.ndarray, rows: np.ndarray, ix: np.ndarray, penalty: np.ndarray):
+    """``_solve_stacked`` of the coefficients ``ix`` of some matrices Z'Z."""
+    p = z.shape[1] - 1
+    return _solve_stacked(z[np.ix_(rows, ix, ix)], z[np.ix_(rows, ix, [p])][:, :, 0], z[rows, p, p], penalty[ix])
+
+
 def solve(g: DataFrame, p: int, ridge=0.0, keep: str | None = None) -> DataFrame:
-    """Attach ``fit`` = (beta, sse, rank) to each row of ``gram`` output, and ``yy``.
+    """Attach ``fit`` = (beta, sse, rank, error) to each row of ``gram`` output.
 
     ``ridge``: a float added to every diagonal entry, or one penalty a
     coefficient; 0 is plain least squares (minimum norm when singular).
@@ -102,15 +123,30 @@ def solve(g: DataFrame, p: int, ridge=0.0, keep: str | None = None) -> DataFrame
         z = np.zeros((len(tri), q, q))
         z[:, iu[0], iu[1]] = np.stack(tri.to_numpy()) if len(tri) else 0.0
         z[:, iu[1], iu[0]] = z[:, iu[0], iu[1]]
-        out = pd.DataFrame({"beta": [None] * len(tri), "sse": 0.0, "rank": 0})
+        betas, sses, ranks, errors = [[]] * len(tri), [float("nan")] * len(tri), [0] * len(tri), [None] * len(tri)
         which = [tuple(range(p)) if k is None else tuple(k) for k in positions]
+        finite = np.isfinite(z).all(axis=(1, 2))
         for at in set(which):  # rows of the same positions are solved together
-            rows, ix = np.array([i for i, k in enumerate(which) if k == at]), np.array(at, int)
-            beta, sse, rank = _solve_stacked(z[np.ix_(rows, ix, ix)], z[np.ix_(rows, ix, [p])][:, :, 0],
-                                             z[rows, p, p], penalty[ix])
-            for i, bt, s, r in zip(rows, beta, sse, rank, strict=True):
-                out.at[i, "beta"], out.at[i, "sse"], out.at[i, "rank"] = bt.tolist(), float(s), int(r)
-        return out
+            rows, ix = [i for i, k in enumerate(which) if k == at], np.array(at, int)
+            for i in rows:
+                if not finite[i]:
+                    betas[i], errors[i] = [float("nan")] * len(ix), "sums are not finite"
+            good = np.array([i for i in rows if finite[i]], int)
+            if not len(good):
+                continue
+            try:
+                solved = [(good, _solve_part(z, good, ix, penalty))]
+            except np.linalg.LinAlgError:  # one series must not take the others with it
+                solved = []
+                for i in good:
+                    try:
+                        solved.append((np.array([i]), _solve_part(z, np.array([i]), ix, penalty)))
+                    except np.linalg.LinAlgError as e:
+                        betas[i], errors[i] = [float("nan")] * len(ix), str(e)
+            for some, parts in solved:
+                for i, bt, s, r in zip(some, *parts, strict=True):
+                    betas[i], sses[i], ranks[i] = bt.tolist(), float(s), int(r)
+        return pd.DataFrame({"beta": betas, "sse": sses, "rank": ranks, "error": pd.Series(errors, dtype=object)})
 
     positions = F.col(keep) if keep else F.lit(None).cast("array<int>")
     return g.withColumn("fit", fit("tri", positions))
