@@ -16,18 +16,26 @@ Model (after the published decomposable-model formulation), per series:
 * Fit: ridge least squares through K1 (closed form, in place of MAP
   sampling) with fixed penalties: 1e-6 on level and slope, 1.0 on
   changepoint deltas (the sparsity prior), 0.01 on seasonal terms.
+* ``sparse``: the deltas carry an absolute-value penalty instead of the
+  ridge, so that most of them are exactly 0 (coordinate descent on the
+  Gram matrix after the other terms are eliminated from it).
 * Band (F8): yhat +- z_0.8 * sigma, sigma = residual RMS of the fit.
+  ``sparse``: beyond the history the slope may change again, at the
+  history's rate (changepoints per unit of t) by Laplace steps of the mean
+  size |d|; at distance u that adds rate * 2 |d|^2 * u^3 / 3 to the variance.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import KEYS
-from .linalg import dot_fixed, gram, solve
+from .linalg import SOLUTION, dot_fixed, gram, solve
 from .smoothing import Z80
 
 # Fixed values (defaults of the decomposable model the reference calls).
@@ -37,6 +45,9 @@ YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
 YEAR_DAYS = 365.25
 P = 2 + N_CHANGEPOINTS + 2 * YEARLY_ORDER + 2 * WEEKLY_ORDER
+#: Absolute-value penalty of a delta: noise variance 0.05^2 over prior scale 0.05.
+SPARSE = 0.05
+SWEEPS, TOLERANCE = 20_000, 1e-10
 RIDGE = [1e-6, 1e-6] + [1.0] * N_CHANGEPOINTS + [1e-2] * (2 * (YEARLY_ORDER + WEEKLY_ORDER))
 
 
@@ -75,8 +86,62 @@ def _features(ds: str = "ds"):
     return F.expr(_features_sql(ds))
 
 
-def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: DataFrame | None = None) -> DataFrame:
-    """(keys, stats..., beta, sigma) per series."""
+def sparse_coefficients(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and squared error of stacked Z'Z = [X | y]'[X | y]:
+    least |y - X b|^2 / 2 + ridge b^2 / 2 for all but the deltas + SPARSE |deltas|."""
+    p = z.shape[1] - 1
+    d = np.arange(2, 2 + N_CHANGEPOINTS)
+    rest = np.setdiff1d(np.arange(p), d)
+    a, b = z[:, :p, :p], z[:, :p, p]
+    # the other terms follow from the deltas; what is left is a small problem in the deltas alone
+    inverse = np.linalg.inv(a[:, rest[:, None], rest] + np.diag(np.asarray(RIDGE)[rest]))
+    cross = a[:, d[:, None], rest] @ inverse
+    g = a[:, d[:, None], d] - cross @ a[:, rest[:, None], d]
+    c = b[:, d] - np.einsum("sij,sj->si", cross, b[:, rest])
+    x = np.zeros_like(c)
+    gx = np.zeros_like(c)
+    for _ in range(SWEEPS):
+        moved = np.zeros(len(x))
+        for j in range(N_CHANGEPOINTS):
+            own = g[:, j, j]
+            pull = c[:, j] - gx[:, j] + own * x[:, j]
+            new = np.where(own > 1e-12, np.sign(pull) * np.maximum(np.abs(pull) - SPARSE, 0) / np.where(own > 1e-12, own, 1), 0.0)
+            step = new - x[:, j]
+            gx += step[:, None] * g[:, :, j]
+            x[:, j] = new
+            moved = np.maximum(moved, np.abs(step))
+        if not (moved > TOLERANCE).any():
+            break
+    beta = np.zeros((len(z), p))
+    beta[:, d] = x
+    beta[:, rest] = np.einsum("sij,sj->si", inverse, b[:, rest] - np.einsum("sij,sj->si", a[:, rest[:, None], d], x))
+    sse = z[:, p, p] - 2 * np.einsum("si,si->s", beta, b) + np.einsum("si,sij,sj->s", beta, a, beta)
+    return beta, np.maximum(sse, 0.0)
+
+
+def solve_sparse(g: DataFrame) -> DataFrame:
+    """``linalg.solve`` with the sparse penalty; a series with sums that are not finite gets nulls and an ``error``."""
+    q, iu = P + 1, np.triu_indices(P + 1)
+
+    @F.pandas_udf(SOLUTION)
+    def fit(tri: pd.Series) -> pd.DataFrame:
+        z = np.zeros((len(tri), q, q))
+        if len(tri):
+            z[:, iu[0], iu[1]] = np.stack(tri.to_numpy())
+            z[:, iu[1], iu[0]] = z[:, iu[0], iu[1]]
+        finite = np.isfinite(z).all(axis=(1, 2))
+        beta, sse = np.full((len(z), P), np.nan), np.full(len(z), np.nan)
+        if finite.any():
+            beta[finite], sse[finite] = sparse_coefficients(z[finite])
+        return pd.DataFrame({"beta": list(beta), "sse": sse, "rank": P,
+                             "error": [None if ok else "sums are not finite" for ok in finite]})
+
+    return g.withColumn("fit", fit("tri"))
+
+
+def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: DataFrame | None = None,
+                 sparse: bool = False) -> DataFrame:
+    """(keys, stats..., beta, sigma, step) per series; ``step`` is the mean size of a delta."""
     st = stats if stats is not None else _stats(series, grain, keys)
     # cluster each series' (narrow) rows by key before the 53-wide features
     # exist, so the per-batch partial Gram is already one matrix per series
@@ -84,10 +149,11 @@ def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: Data
     rows = series.repartition(*keys).join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
                                         _features().alias("x"))
     g = gram(rows, keys, "x", "ys", P)
-    sol = solve(g, P, ridge=RIDGE)
-    sol = sol.select(*keys, F.col("fit.beta").alias("beta"),
+    sol = solve_sparse(g) if sparse else solve(g, P, ridge=RIDGE)
+    size = f"aggregate(slice(fit.beta, 3, {N_CHANGEPOINTS}), 0D, (a, v) -> a + abs(v))"
+    sol = sol.select(*keys, F.col("fit.beta").alias("beta"), F.expr(size).alias("_sum"),
                      F.sqrt(F.col("fit.sse") / F.col("n")).alias("_sig"))
-    return st.join(sol, keys).withColumn("sigma", F.col("_sig") * F.col("scale")).drop("_sig")
+    return st.join(sol, keys).withColumn("step", F.col("_sum") / F.greatest(F.col("ncp"), F.lit(1))).drop("_sum").withColumn("sigma", F.col("_sig") * F.col("scale")).drop("_sig")
 
 
 def _future(fit: DataFrame, grain: str, h: int, month_end: bool, keys) -> DataFrame:
@@ -102,21 +168,30 @@ def _future(fit: DataFrame, grain: str, h: int, month_end: bool, keys) -> DataFr
     return f.select(*keys, ds.alias("ds"))
 
 
+def future_variance_sql() -> str:
+    """Variance of the trend beyond the history from slope changes to come."""
+    u = "(CASE WHEN span > 0 THEN greatest(datediff(ds, last_ds), 0) / CAST(span AS DOUBLE) ELSE 0D END)"
+    return f"scale * scale * ncp * 2D * step * step * {u} * {u} * {u} / 3D"
+
+
 def additive_forecast(series: DataFrame, grain: str = "month", h: int | None = None,
-                      month_end: bool = False, keys=KEYS) -> DataFrame:
+                      month_end: bool = False, keys=KEYS, sparse: bool = False) -> DataFrame:
     """F7 + F8: history (segment 'train', in-sample) plus ``h`` future
     points (segment 'forecast'): 30 days for daily series, 12 months for
     monthly ones (month-starts; ``month_end=True`` for the month-end grid)."""
     h = h if h is not None else (30 if grain == "day" else 12)
     st = _stats(series, grain, keys)
-    fit = additive_fit(series, grain, keys, stats=st).select(*keys, "beta", "sigma")
+    fit = additive_fit(series, grain, keys, stats=st, sparse=sparse).select(*keys, "beta", "sigma", "step")
     hist = series.select(*keys, "ds", "y", F.lit("train").alias("segment"))
     fut = _future(st, grain, h, month_end, keys).select(
         *keys, "ds", F.lit(None).cast("double").alias("y"), F.lit("forecast").alias("segment"))
     grid = hist.unionByName(fut).join(st, keys).join(fit, keys)
     out = grid.withColumn("_x", _features())
     out = out.withColumn("yhat", dot_fixed("_x", "beta", P) * F.col("scale"))
-    band = F.lit(Z80) * F.col("sigma")
+    sd = F.col("sigma")
+    if sparse:
+        sd = F.sqrt(sd * sd + F.expr(future_variance_sql()))
+    band = F.lit(Z80) * sd
     return out.select(*keys, F.lit("additive").alias("model"), "segment", "ds", "y", "yhat",
                       (F.col("yhat") - band).alias("yhat_lower"), (F.col("yhat") + band).alias("yhat_upper"))
 
