@@ -30,7 +30,22 @@ def test_every_query_registered_has_oracle_or_is_model():
     assert no_oracle <= {"ar5_forecast", "arma_forecast",
                          "auto_order_forecast", "additive_forecast", "additive_daily_forecast",
                          "releases_additive_tail", "lookback_forecast", "forecast_report",
-                         "lookback_training_loss", "supplier_commits_additive"}
+                         "lookback_training_loss", "supplier_commits_additive", "additive_sparse_forecast",
+                         "dashboard_page", "lookback_network_curve", "lookback_network_forecast",
+                         "lookback_training_curve", "lookback_trees_forecast", "rolling_comparison", "smooth_trend",
+                         "smoothing_refined_forecast"}
+
+
+def test_statuses_are_all_seven(spark):
+    rows = E.queries()["status_report_fits"](spark, SF0001).collect()
+    assert {r["status"] for r in rows} == {"ok", "invalid_repo", "no_data", "no_column", "not_enough_data", "failed",
+                                           "degenerate"}
+
+
+def test_commits_are_reported(spark):
+    rows = E.queries()["status_report"](spark, SF0001).where("metric = 'commits'").collect()
+    assert {r["repo"] for r in rows if r["status"] == "ok"} == {"lineitem/A", "lineitem/N"}
+    assert {r["status"] for r in rows if r["repo"] == "R"} == {"invalid_repo"}
 
 
 def test_entry_runs(spark):

@@ -3,9 +3,11 @@ aggregate, no single-partition windows, and the R4 sink."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tidecast.plans import publish as PUB
 from tidecast.plans import report as R
 
 from .conftest import SF0001
@@ -54,23 +56,59 @@ def test_write_forecasts_dynamic_overwrite(spark, scratch):
     path = os.path.join(scratch, "fc")
     a = spark.createDataFrame([("r", "pulls", "ses", 1.0), ("r", "commits", "ar5", 2.0)],
                               "repo STRING, metric STRING, model STRING, yhat DOUBLE")
-    R.write_forecasts(a, path)
+    PUB.write_forecasts(a, path)
     b = spark.createDataFrame([("r", "pulls", "ses", 9.0)], "repo STRING, metric STRING, model STRING, yhat DOUBLE")
-    R.write_forecasts(b, path)
-    got = {(r.metric, r.yhat) for r in spark.read.parquet(path).collect()}
+    PUB.write_forecasts(b, path)
+    got = {(r.metric, r.yhat) for r in PUB.read_forecasts(spark, path).collect()}
     assert got == {("pulls", 9.0), ("commits", 2.0)}
 
 
 def test_write_forecasts_keeps_other_repositories(spark, scratch, monkeypatch):
-    monkeypatch.setattr(R, "FORECAST_BUCKETS", 1)  # both repositories share every folder
+    monkeypatch.setattr(PUB, "FORECAST_BUCKETS", 1)  # both repositories share every folder
     path = os.path.join(scratch, "fc")
     schema = "repo STRING, metric STRING, model STRING, yhat DOUBLE"
-    R.write_forecasts(spark.createDataFrame([("o/a", "pulls", "ses", 1.0), ("o/b", "pulls", "ses", 2.0)], schema), path)
-    R.write_forecasts(spark.createDataFrame([("o/a", "pulls", "ses", 5.0)], schema), path)
-    got = {(r.repo, r.yhat) for r in spark.read.parquet(path).collect()}
+    PUB.write_forecasts(spark.createDataFrame([("o/a", "pulls", "ses", 1.0), ("o/b", "pulls", "ses", 2.0)], schema), path)
+    PUB.write_forecasts(spark.createDataFrame([("o/a", "pulls", "ses", 5.0)], schema), path)
+    got = {(r.repo, r.yhat) for r in PUB.read_forecasts(spark, path).collect()}
     assert got == {("o/a", 5.0), ("o/b", 2.0)}
 
 
+def test_a_publication_that_dies_changes_nothing(spark, scratch, monkeypatch):
+    """It fails between two folders, then before its manifest: readers see the old state, and a later one repairs all."""
+    path = os.path.join(scratch, "fc")
+    schema = "repo STRING, metric STRING, model STRING, yhat DOUBLE"
+    state = lambda: {(r.repo, r.metric, r.yhat) for r in PUB.read_forecasts(spark, path).collect()}
+    first = {("o/a", "pulls", 1.0), ("o/b", "commits", 2.0)}
+    assert PUB.write_forecasts(spark.createDataFrame([(r, m, "ses", y) for r, m, y in first], schema), path) == 1
+    assert state() == first
+    # the second row of the second folder cannot be computed: the first folder's rows are already on their way
+    broken = spark.createDataFrame([("o/a", "pulls", "ses", 7.0), ("o/b", "commits", "ses", 0.0)], schema) \
+        .withColumn("yhat", F.when(F.col("metric") == "commits", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("yhat")))
+    monkeypatch.setattr(PUB, "cut_lineage", lambda df: df)
+    with pytest.raises(Exception, match="lost"):
+        PUB.write_forecasts(broken, path)
+    assert state() == first
+    # complete data, but the job is gone before it names a manifest
+    new = spark.createDataFrame([("o/a", "pulls", "ses", 7.0), ("o/c", "pulls", "ses", 8.0)], schema)
+    with monkeypatch.context() as m:
+        m.setattr(PUB.F, "lit", lambda v, real=F.lit: (_ for _ in ()).throw(OSError("gone")) if str(v).startswith("p") and len(str(v)) == 33 else real(v))
+        with pytest.raises(OSError, match="gone"):
+            PUB.write_forecasts(new, path)
+    assert state() == first and PUB.manifest(spark, path)[0] == 1
+    assert PUB.write_forecasts(new, path) == 2
+    assert state() == {("o/a", "pulls", 7.0), ("o/c", "pulls", 8.0), ("o/b", "commits", 2.0)}
+    assert {(r.repo, r.yhat) for r in PUB.read_forecasts(spark, path, 1).collect()} == {("o/a", 1.0), ("o/b", 2.0)}
+    # another publisher took the version meanwhile
+    monkeypatch.setattr(PUB, "manifest", lambda s, p, v=None, real=PUB.manifest: real(s, p, 1))
+    with pytest.raises(Exception, match="version=2"):
+        PUB.write_forecasts(new, path)
+
+
+def test_nothing_published_yet(spark, scratch):
+    with pytest.raises(ValueError, match="nothing published"):
+        PUB.read_forecasts(spark, os.path.join(scratch, "none"))
+
+
 def test_report_nested_columns(spark):
     from tidecast.sources import standins as SI
     t = SI.Tables(spark, SF0001)

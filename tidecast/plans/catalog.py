@@ -237,7 +237,7 @@ def metric_series(t, metric: str):
     if metric == "contributors":
         return TL.synthetic_monthly(SI.contributors(t), SI.AS_OF, metric, "contributions", with_n=True)
     series = {"issues": lambda: S.gap_fill(S.daily_series(SI.issues_created(t), "created_at", "issues"), "day"),
-              "pulls": lambda: pulls_monthly_series(t), "commits": lambda: commits_monthly_series(t),
+              "pulls": lambda: pulls_monthly_series(t), "commits": lambda: S.monthly_count(SI.reported_commits(t), "date", "commits"),
               "branches": lambda: branches_monthly_series(t),
               "releases": lambda: S.gap_fill(releases_monthly_series(t), "month")}[metric]()
     return series.withColumn("n", F.col("y").cast("long"))
@@ -345,6 +345,7 @@ def diff_and_lags(spark, sf_dir):
 from ..operators import ar as AR  # noqa: E402
 from ..operators import evaluate as EV  # noqa: E402
 from ..operators import linalg as LA  # noqa: E402
+from ..operators import order_search as OS  # noqa: E402
 from ..operators import trend as TR  # noqa: E402
 
 
@@ -439,11 +440,18 @@ def auto_order_forecast(spark, sf_dir):
     s = W.split_ordered(staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day")))
     train = s.where(F.col("split") == "train").select("repo", "metric", "ds", "y")
     h = s.where(F.col("split") == "test").groupBy("repo", "metric").agg(F.count(F.lit(1)).cast("int").alias("h"))
-    fc = AR.auto_order_forecast(train, h)
-    return fc.select("repo", "model", "d", "p", "step", "ds", r4("yhat").alias("yhat"),
+    fc = OS.order_search_forecast(train, h)
+    return fc.select("repo", "model", "d", "p", "q", "step", "ds", r4("yhat").alias("yhat"),
                      r4("yhat_lower").alias("yhat_lower"), r4("yhat_upper").alias("yhat_upper"))
 
 
+@query("differencing_order")
+def differencing_order(spark, sf_dir):
+    """KPSS statistics of monthly pulls and their differences, and d."""
+    k = OS.differencing(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    return k.select("repo", *[r4(F.col("kpss")[i]).alias(f"kpss{i}") for i in range(3)], "d")
+
+
 from ..operators import additive as AD  # noqa: E402
 from ..operators import lookback as LB  # noqa: E402
 
@@ -798,3 +806,187 @@ def supplier_commits_additive(spark, sf_dir):
     li = SI.Tables(spark, sf_dir).lineitem.select(
         F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("repo"), F.col("l_shipdate").alias("date"))
     return _band_out(AD.additive_forecast(staged(S.monthly_count(li, "date", "commits")), "month"))
+
+
+# ------------------------------------------------ training, curves, back-tests
+from ..operators import backtest as BT  # noqa: E402
+from ..operators import smooth as SMO  # noqa: E402
+from ..operators import training as TRN  # noqa: E402
+from . import publish as PUB  # noqa: E402
+
+
+def _issues_filled(spark, sf_dir):
+    return staged(S.gap_fill(issues_daily_series(SI.Tables(spark, sf_dir)), "day"))
+
+
+def _curve_out(curve):
+    return curve.select("repo", "epoch", r4("train_loss").alias("train_loss"), r4("val_loss").alias("val_loss"), "best", "stopped")
+
+
+@query("lookback_training_curve")
+def lookback_training_curve(spark, sf_dir):
+    """train and validation loss by epoch of every repository's look-back
+    model on daily issues, with early stop."""
+    return _curve_out(TRN.training_curve(_issues_filled(spark, sf_dir)))
+
+
+@query("lookback1_training_curve")
+def lookback1_training_curve(spark, sf_dir):
+    """F11 with one day of look-back, on filled daily pulls."""
+    return _curve_out(TRN.training_curve(staged(pulls_daily_filled(SI.Tables(spark, sf_dir))), k=1))
+
+
+def _lookback_out(fc):
+    return fc.select("repo", "model", "segment", "ds", "y", r4("yhat").alias("yhat"))
+
+
+@query("lookback_network_forecast")
+def lookback_network_forecast(spark, sf_dir):
+    """F9 + F11: a network over the look-back windows of all repositories' daily issues."""
+    return _lookback_out(TRN.network_forecast(_issues_filled(spark, sf_dir), epochs=20)[0])
+
+
+@query("lookback_network_curve")
+def lookback_network_curve(spark, sf_dir):
+    """the network's losses by epoch (weekly look-back, daily pulls)."""
+    return TRN.network_forecast(staged(pulls_daily_filled(SI.Tables(spark, sf_dir))), k=7, epochs=15)[1]
+
+
+@query("lookback_trees_forecast")
+def lookback_trees_forecast(spark, sf_dir):
+    """boosted trees over the look-back windows of daily issues."""
+    return _lookback_out(TRN.tree_forecast(_issues_filled(spark, sf_dir)))
+
+
+def _smooth_out(df):
+    return df.select("repo", "ds", "idx", "y", r4("yhat").alias("yhat"), "penalty", r4("loo").alias("loo"))
+
+
+@query("smooth_trend")
+def smooth_trend(spark, sf_dir):
+    """F10 as a smooth curve of the month index, monthly pulls."""
+    return _smooth_out(SMO.smooth_trend(staged(pulls_monthly_series(SI.Tables(spark, sf_dir)))))
+
+
+@query("smooth_trend_two_knots")
+def smooth_trend_two_knots(spark, sf_dir):
+    """F10 with two bends and three penalties, small enough for a written-out solve."""
+    s = staged(pulls_monthly_series(SI.Tables(spark, sf_dir)))
+    return _smooth_out(SMO.smooth_trend(s, knots=2, degree=1, penalties=[1e-4, 1e-2, 1.0]))
+
+
+@query("smoothing_refined_forecast")
+def smoothing_refined_forecast(spark, sf_dir):
+    """F1 to F3 with continuous parameters, monthly releases."""
+    return _fc_out(SM.smoothing_forecast(staged(releases_monthly_series(SI.Tables(spark, sf_dir))), refine=True))
+
+
+@query("additive_sparse_forecast")
+def additive_sparse_forecast(spark, sf_dir):
+    """F7 + F8 with sparse changepoints and a band that widens with the horizon."""
+    return _band_out(AD.additive_forecast(staged(pulls_monthly_series(SI.Tables(spark, sf_dir))), "month", sparse=True))
+
+
+def _comparison_out(fc):
+    return BT.rolling_comparison(fc).select("repo", "model", "n", r4("mse").alias("mse"), "rank")
+
+
+@query("rolling_comparison")
+def rolling_comparison(spark, sf_dir):
+    """All model families by their error from six origins, monthly pulls."""
+    return _comparison_out(BT.rolling_forecasts(pulls_monthly_series(SI.Tables(spark, sf_dir))))
+
+
+@query("rolling_comparison_plain")
+def rolling_comparison_plain(spark, sf_dir):
+    """E3 of index trend and SES from six origins, monthly pulls."""
+    return _comparison_out(BT.rolling_forecasts(pulls_monthly_series(SI.Tables(spark, sf_dir)), ("index_trend", "ses")))
+
+
+@query("units_synthetic_months")
+def units_synthetic_months(spark, sf_dir):
+    """T8 over long undated lists: one entry for every unit sold."""
+    return TL.synthetic_months(SI.commit_units(SI.Tables(spark, sf_dir)), SI.AS_OF, "units") \
+        .select("repo", "ds", "y", "n", "status")
+
+
+@query("issue_month_maps")
+def issue_month_maps(spark, sf_dir):
+    """R1's month -> count maps, entry by entry."""
+    return R.month_entries(R.issue_report(_issues_windowed(spark, sf_dir)))
+
+
+@query("published_forecasts")
+def published_forecasts(spark, sf_dir):
+    """Monthly pulls' SES forecasts published over an earlier state that
+    had half of the repositories and other values, then read back."""
+    from uuid import uuid4
+
+    from ..session import checkpoint_dir
+    fc = staged(SM.ses_forecast(pulls_monthly_series(SI.Tables(spark, sf_dir)))) \
+        .select("repo", "metric", "model", "ds", r4("yhat").alias("yhat"))
+    path = f"{checkpoint_dir(spark)}/tidecast-published-{uuid4().hex}"
+    PUB.write_forecasts(fc.where("hash(repo) % 2 = 0").withColumn("yhat", F.lit(0.0)), path)
+    PUB.write_forecasts(fc, path)
+    return PUB.read_forecasts(spark, path).select("repo", "metric", "model", "ds", "yhat")
+
+
+def _points(li, prefix, y):
+    return li.select(F.concat(F.lit(prefix), F.col("l_returnflag")).alias("repo"), F.lit("commits").alias("metric"), "ds",
+                     y.cast("double").alias("y"), "n")
+
+
+@query("status_report_fits")
+def status_report_fits(spark, sf_dir):
+    """R3 with every status, P11 included: line items as commits under valid and
+    invalid keys, young repositories, one release a month (nothing for an
+    autoregression to explain), and revenue on a scale that overflows."""
+    from pyspark.sql import Window
+    t = SI.Tables(spark, sf_dir)
+    li = staged(t.lineitem.groupBy("l_returnflag", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("ds")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("v")))
+    first = li.withColumn("t", F.row_number().over(Window.partitionBy("l_returnflag").orderBy("ds"))).where("t <= 5")
+    series = _points(li, "lineitem/", F.col("n"))
+    for part in (_points(li, "", F.col("n")), _points(li, "train/", F.lit(1)), _points(li, "overflow/", F.exp(F.col("v").cast("double"))),
+                 _points(first, "young/", F.col("n"))):
+        series = series.unionByName(part)
+    series = staged(series)
+    status = staged(EL.eligibility(EL.series_counts(series, SI.repositories(t), ["commits"])))
+    fc = AR.ar_forecast(EL.eligible_series(series.drop("n"), status, "statsmodels"), 5).withColumn("slot", F.lit("statsmodels"))
+    third = status.where(F.col("slot") == "statsmodels")
+    out = R.status_report(status, PL.fit_status(fc, third)).drop("key_status")
+    return out.unionByName(EL.missing_column_status(SI.pulls(t).drop("created_at"), "pulls", ["created_at"]))
+
+
+# ------------------------------------------------------ the dashboard's tables
+@query("dashboard_bars")
+def dashboard_bars(spark, sf_dir):
+    """The two bar series of every repository, in the order drawn."""
+    return PL.bar_series(_issues_windowed(spark, sf_dir))
+
+
+@query("dashboard_insights")
+def dashboard_insights(spark, sf_dir):
+    """The three insights of the issues on the page."""
+    return I.issue_insights(_issues_windowed(spark, sf_dir))
+
+
+@query("dashboard_charts")
+def dashboard_charts(spark, sf_dir):
+    """Points behind the trend and smoothing charts of five metrics, one staged series for all."""
+    t = SI.Tables(spark, sf_dir)
+    s = report_series(t, MONTHLY)
+    st = staged(metric_statuses(t, s, MONTHLY))
+    points = s.select("repo", "metric", "ds", "y")
+    trend = TR.index_trend_fit(W.split_hashed(EL.eligible_series(points, st, "lstm")))
+    smooth = SM.smoothing_forecast(EL.eligible_series(points, st, "statsmodels"))
+    return trend.select("repo", "metric", F.lit("lstm").alias("slot"), F.lit("index_trend").alias("model"), "ds", "y",
+                        r4("yhat").alias("yhat")).unionByName(
+        smooth.select("repo", "metric", F.lit("statsmodels").alias("slot"), "model", "ds", F.lit(None).cast("double").alias("y"),
+                      r4("yhat").alias("yhat")))
+
+
+@query("dashboard_page")
+def dashboard_page(spark, sf_dir):
+    """Every table of the page in one frame, from one staged forecast table."""
+    return PL.page_rows(PL.dashboard_tables(SI.Tables(spark, sf_dir)))

@@ -240,7 +240,7 @@ st AS (
               ELSE 'ok' END AS status
   FROM cnt c JOIN gates g ON g.metric = c.metric)"""
 
-_ALL_VIEWS = ("issues", "pulls", "commits", "branches", "contributors", "releases")
+_ALL_VIEWS = ("issues", "pulls", "reported_commits", "branches", "contributors", "releases")
 
 ORACLE["series_eligibility"] = with_views(*_ALL_VIEWS) + f""",
 {GATES}, {PULLS_M}, {COMMITS_M}, {BRANCHES_M}, {CONTRIB_M}, {RELEASES_M}, {ISSUES_D}, {RECORDS},
@@ -756,3 +756,178 @@ FROM lb JOIN fit USING (repo)"""
 ORACLE["forecast_tail"] = with_views("releases", recursive=True) + f""",
 {RELEASES_MONTHLY},{_smoothing("rm")}
 SELECT repo, model, ds, round(yhat, 4) AS yhat FROM fc WHERE step > 9"""
+
+
+# ------------------------------------------------------- order search, F11, F10, E3, R3 to R5
+def _kpss(z: str, name: str) -> str:
+    """KPSS level statistic of ``z`` (repo, t from 0, v): ``name`` (repo, n, kpss)."""
+    return f"""{name}_e AS (SELECT repo, t, v - avg(v) OVER (PARTITION BY repo) AS e, count(*) OVER (PARTITION BY repo) AS n,
+  CAST(floor(4 * pow(count(*) OVER (PARTITION BY repo) / CAST(100 AS DOUBLE), CAST(0.25 AS DOUBLE))) AS INTEGER) AS lags FROM {z}),
+{name}_c AS (SELECT repo, t, sum(e) OVER (PARTITION BY repo ORDER BY t) AS c FROM {name}_e),
+{name}_s AS (SELECT repo, sum(c * c) AS ss FROM {name}_c GROUP BY repo),
+{name}_g AS (SELECT repo, any_value(n) AS n, sum(e * e) AS g0 FROM {name}_e GROUP BY repo),
+{name}_k AS (SELECT a.repo, sum(2 * (1 - (a.t - b.t) / CAST(a.lags + 1 AS DOUBLE)) * a.e * b.e) AS gk
+  FROM {name}_e a JOIN {name}_e b ON b.repo = a.repo AND a.t > b.t AND a.t - b.t <= a.lags GROUP BY a.repo),
+{name} AS (SELECT g.repo, g.n, ss / (CAST(g.n AS DOUBLE) * (g0 + coalesce(gk, 0))) AS kpss
+  FROM {name}_g g JOIN {name}_s s ON s.repo = g.repo LEFT JOIN {name}_k k ON k.repo = g.repo)"""
+
+
+ORACLE["differencing_order"] = with_views("pulls") + f""",
+{PULLS_MONTHLY},
+z0 AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS t, y AS v FROM pm),
+z1 AS (SELECT * FROM (SELECT repo, t, v - lag(v) OVER (PARTITION BY repo ORDER BY t) AS v FROM z0) WHERE v IS NOT NULL),
+z2 AS (SELECT * FROM (SELECT repo, t, v - lag(v) OVER (PARTITION BY repo ORDER BY t) AS v FROM z1) WHERE v IS NOT NULL),
+{_kpss("z0", "k0")}, {_kpss("z1", "k1")}, {_kpss("z2", "k2")}
+SELECT k0.repo, round(k0.kpss, 4) AS kpss0, round(k1.kpss, 4) AS kpss1, round(k2.kpss, 4) AS kpss2,
+       CAST(CASE WHEN k0.kpss <= 0.463 OR k1.n < 4 THEN 0 WHEN k1.kpss <= 0.463 OR k2.n < 4 THEN 1 ELSE 2 END AS INTEGER) AS d
+FROM k0 JOIN k1 USING (repo) JOIN k2 USING (repo)"""
+
+ORACLE["lookback1_training_curve"] = ORACLE["lookback1_forecast"].split("tr AS (")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """
+g AS (SELECT repo, count(*) FILTER (split = 'train') AS n, sum(x) FILTER (split = 'train') AS sx,
+             sum(x * x) FILTER (split = 'train') AS sxx, sum(ys) FILTER (split = 'train') AS sy,
+             sum(x * ys) FILTER (split = 'train') AS sxy, sum(ys * ys) FILTER (split = 'train') AS syy,
+             count(*) FILTER (split = 'test') AS m, sum(x) FILTER (split = 'test') AS tx, sum(x * x) FILTER (split = 'test') AS txx,
+             sum(ys) FILTER (split = 'test') AS ty, sum(x * ys) FILTER (split = 'test') AS txy,
+             sum(ys * ys) FILTER (split = 'test') AS tyy FROM lb GROUP BY repo),
+w AS (SELECT repo, 1 AS epoch, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM g
+      UNION ALL
+      SELECT w.repo, epoch + 1, a - (n * a + sx * b - sy) / (n + sxx), b - (sx * a + sxx * b - sxy) / (n + sxx)
+      FROM w JOIN g ON g.repo = w.repo WHERE epoch < 20),
+l AS (SELECT w.repo, epoch, (syy - 2 * (a * sy + b * sxy) + a * a * n + 2 * a * b * sx + b * b * sxx) / n AS train_loss,
+             (tyy - 2 * (a * ty + b * txy) + a * a * m + 2 * a * b * tx + b * b * txx) / m AS val_loss
+      FROM w JOIN g ON g.repo = w.repo),
+lo AS (SELECT *, arg_min(epoch, val_loss) OVER (PARTITION BY repo ORDER BY epoch) AS low FROM l),
+en AS (SELECT repo, min(epoch) AS last FROM lo WHERE epoch - low >= 10 GROUP BY repo),
+cut AS (SELECT lo.*, en.last FROM lo LEFT JOIN en ON en.repo = lo.repo WHERE en.last IS NULL OR epoch <= en.last)
+SELECT repo, epoch, round(train_loss, 4) AS train_loss, round(val_loss, 4) AS val_loss,
+       epoch = last_value(low) OVER (PARTITION BY repo ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
+       coalesce(epoch = last, false) AS stopped FROM cut"""
+
+
+def _det(m: list[list[str]]) -> str:
+    """Determinant of a small matrix of SQL expressions, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    terms = (f"{'-' if j % 2 else '+'} ({m[0][j]}) * ({_det([r[:j] + r[j + 1:] for r in m[1:]])})" for j in range(len(m)))
+    return "(" + " ".join(terms).lstrip("+ ") + ")"
+
+
+def _cramer(g: list[list[str]], b: list[str]) -> list[str]:
+    whole = _det(g)
+    return [f"{_det([r[:j] + [b[i]] + r[j + 1:] for i, r in enumerate(g)])} / {whole}" for j in range(len(b))]
+
+
+_KNOT_G = [[f"g{min(i, j)}{max(i, j)}" + ((" + 1e-9 * n" if i < 2 else " + (1e-9 + c) * n") if i == j else "") for j in range(4)]
+           for i in range(4)]
+_KNOT_LOO = [[f"{_KNOT_G[i][j]} - f{i} * f{j}" for j in range(4)] for i in range(4)]
+_KNOT_FIT = _cramer(_KNOT_G, [f"b{i}" for i in range(4)])
+_KNOT_OUT = _cramer(_KNOT_LOO, [f"b{i} - f{i} * y" for i in range(4)])
+
+# every point is left out and the four coefficients solved again, by Cramer's rule
+ORACLE["smooth_trend_two_knots"] = with_views("pulls") + f""",
+{PULLS_MONTHLY},
+ix AS (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) - 1 AS idx, count(*) OVER (PARTITION BY repo) AS n FROM pm),
+fx AS (SELECT *, CAST(1 AS DOUBLE) AS f0, idx / CAST(greatest(n - 1, 1) AS DOUBLE) AS f1,
+              greatest(idx / CAST(greatest(n - 1, 1) AS DOUBLE) - CAST(1 AS DOUBLE) / 3, 0) AS f2,
+              greatest(idx / CAST(greatest(n - 1, 1) AS DOUBLE) - CAST(2 AS DOUBLE) / 3, 0) AS f3 FROM ix),
+gx AS (SELECT repo, {", ".join(f"sum(f{i} * f{j}) AS g{i}{j}" for i in range(4) for j in range(i, 4))},
+              {", ".join(f"sum(f{i} * y) AS b{i}" for i in range(4))} FROM fx GROUP BY repo),
+pc AS (SELECT CAST(c AS DOUBLE) AS c FROM (VALUES (0.0001), (0.01), (1)) v(c)),
+ea AS (SELECT fx.repo, ds, idx, y, c, {" + ".join(f"f{j} * ({_KNOT_FIT[j]})" for j in range(4))} AS yhat,
+              y - ({" + ".join(f"f{j} * ({_KNOT_OUT[j]})" for j in range(4))}) AS e
+       FROM fx JOIN gx ON gx.repo = fx.repo CROSS JOIN pc),
+sc AS (SELECT repo, c, avg(e * e) AS loo FROM ea GROUP BY repo, c),
+bc AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY repo ORDER BY loo, c DESC) = 1)
+SELECT ea.repo, ds, idx, y, round(yhat, 4) AS yhat, bc.c AS penalty, round(loo, 4) AS loo
+FROM ea JOIN bc ON bc.repo = ea.repo AND bc.c = ea.c"""
+
+ORACLE["rolling_comparison_plain"] = with_views("pulls", recursive=True) + f""",
+{PULLS_MONTHLY},
+s AS (SELECT repo, ds, y, row_number() OVER (PARTITION BY repo ORDER BY ds) AS t, count(*) OVER (PARTITION BY repo) AS n FROM pm),
+o AS (SELECT DISTINCT repo, n - (7 - j) * 3 AS o FROM s, range(1, 7) r(j) WHERE n - (7 - j) * 3 >= 24),
+lt AS (SELECT o.repo, o.o, regr_slope(y, t - 1) AS slope, regr_intercept(y, t - 1) AS icpt
+       FROM o JOIN s ON s.repo = o.repo AND s.t <= o.o GROUP BY o.repo, o.o),
+grid AS (SELECT CAST(i AS DOUBLE) / CAST(100 AS DOUBLE) AS alpha FROM range(1, 100) r(i)),
+rec AS (
+  SELECT s.repo, g.alpha, s.t, s.y AS level, CAST(0 AS DOUBLE) AS sse FROM s CROSS JOIN grid g WHERE s.t = 1
+  UNION ALL
+  SELECT r.repo, r.alpha, s.t, r.alpha * s.y + (CAST(1 AS DOUBLE) - r.alpha) * r.level,
+         r.sse + (s.y - r.level) * (s.y - r.level) FROM rec r JOIN s ON s.repo = r.repo AND s.t = r.t + 1),
+se AS (SELECT r.repo, o.o, r.level FROM rec r JOIN o ON o.repo = r.repo AND r.t = o.o
+       QUALIFY row_number() OVER (PARTITION BY r.repo, o.o ORDER BY sse, alpha) = 1),
+fc AS (SELECT s.repo, 'index_trend' AS model, s.y, icpt + slope * (s.t - 1) AS yhat
+       FROM lt JOIN s ON s.repo = lt.repo AND s.t > lt.o AND s.t <= lt.o + 3
+       UNION ALL
+       SELECT s.repo, 'ses', s.y, se.level FROM se JOIN s ON s.repo = se.repo AND s.t > se.o AND s.t <= se.o + 3),
+m AS (SELECT repo, model, count(*) AS n, avg((y - yhat) * (y - yhat)) AS mse FROM fc GROUP BY repo, model)
+SELECT repo, model, n, round(mse, 4) AS mse, row_number() OVER (PARTITION BY repo ORDER BY mse, model) AS rank FROM m"""
+
+ORACLE["published_forecasts"] = ORACLE["pulls_ses_forecast"].replace(
+    "SELECT repo, CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE) AS ds, round(alpha, 4) AS alpha, round(level, 4) AS yhat",
+    "SELECT repo, 'pulls' AS metric, 'ses' AS model, CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE) AS ds, "
+    "round(level, 4) AS yhat")
+
+ORACLE["issue_month_maps"] = with_views("issues", recursive=True) + f""",
+{_WINDOWS},
+ev AS (SELECT repo, 'created' AS event, strftime(created_at, '%Y-%m') AS month FROM iw WHERE created_at IS NOT NULL
+       UNION ALL SELECT repo, 'closed', strftime(closed_at, '%Y-%m') FROM iw WHERE closed_at IS NOT NULL),
+c AS (SELECT repo, event, month, count(*) AS n FROM ev GROUP BY ALL)
+SELECT *, CAST(count(*) OVER (PARTITION BY repo, event) AS INTEGER) AS months FROM c"""
+
+ORACLE["units_synthetic_months"] = f"""
+WITH u AS (SELECT 'units/' || l_returnflag AS repo, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS n FROM lineitem GROUP BY ALL),
+b AS (SELECT repo, n, date_diff('day', DATE '1970-01-01', {AS_OF_SQL}) - n AS lo,
+             date_diff('day', DATE '1970-01-01', {AS_OF_SQL}) - 1 AS hi FROM u),
+m AS (SELECT make_date(CAST(1 + i // 12 AS INTEGER), CAST(1 + i % 12 AS INTEGER), 1) AS ds FROM range(0, 24012) r(i)),
+d AS (SELECT ds, date_diff('day', DATE '1970-01-01', ds) AS a, date_diff('day', DATE '1970-01-01', last_day(ds)) AS z FROM m),
+x AS (SELECT repo, ds, least(z, hi) - greatest(a, lo) + 1 AS n FROM b JOIN d ON z >= lo AND a <= hi)
+SELECT repo, ds, CAST(n AS DOUBLE) AS y, n, 'ok' AS status FROM x
+UNION ALL
+SELECT repo, NULL, CAST(-719162 - lo AS DOUBLE), -719162 - lo, 'before_calendar' FROM b WHERE lo < -719162"""
+
+# ------------------------------------------------------------ the dashboard's tables
+ORACLE["dashboard_bars"] = with_views("issues", recursive=True) + f""",
+{_WINDOWS},
+ev AS (SELECT repo, 'created' AS event, strftime(created_at, '%Y-%m') AS month FROM iw WHERE created_at IS NOT NULL
+       UNION ALL SELECT repo, 'closed', strftime(closed_at, '%Y-%m') FROM iw WHERE closed_at IS NOT NULL)
+SELECT repo, event, month, count(*) AS n, row_number() OVER (PARTITION BY repo, event ORDER BY month) AS position
+FROM ev GROUP BY repo, event, month"""
+
+ORACLE["dashboard_insights"] = with_views("issues", recursive=True) + f""",
+{_ISSUE_REPORT}
+SELECT r.repo, a.v AS max_created_day_of_week, b.v AS max_closed_day_of_week, c.v AS max_closed_month_of_year
+{_ISSUE_REPORT_JOINS}"""
+
+_DASH = ORACLE["metric_reports"].split("lt AS (SELECT repo, metric,")[0]
+ORACLE["dashboard_charts"] = _DASH + f"""
+sm AS (SELECT m.metric || '|' || m.repo AS repo, m.ds, m.y FROM m_all m JOIN ok ON ok.repo = m.repo AND ok.metric = m.metric),
+{_smoothing("sm").lstrip()}
+SELECT eh.repo, eh.metric, 'lstm' AS slot, 'index_trend' AS model, eh.ds, eh.y, round(ec.icpt + ec.slope * eh.idx, 4) AS yhat
+FROM eh JOIN ec ON ec.repo = eh.repo AND ec.metric = eh.metric
+UNION ALL
+SELECT split_part(repo, '|', 2), split_part(repo, '|', 1), 'statsmodels', model, ds, NULL, round(yhat, 4) FROM fc"""
+
+# gates as in status_report; of the series that pass the third slot's gate, those without any
+# change are degenerate for AR(5) and those with an overflow have failed
+ORACLE["status_report_fits"] = """
+WITH li AS (SELECT l_returnflag AS flag, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds, count(*) AS n,
+                   sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+s AS (SELECT 'lineitem/' || flag AS repo, ds, CAST(n AS DOUBLE) AS y, n FROM li
+      UNION ALL SELECT flag, ds, CAST(n AS DOUBLE), n FROM li
+      UNION ALL SELECT 'train/' || flag, ds, CAST(1 AS DOUBLE), n FROM li
+      UNION ALL SELECT 'overflow/' || flag, ds, CASE WHEN v > 1000 THEN CAST('Infinity' AS DOUBLE) ELSE exp(CAST(v AS DOUBLE)) END, n FROM li
+      UNION ALL SELECT 'young/' || flag, ds, CAST(n AS DOUBLE), n FROM (
+        SELECT *, row_number() OVER (PARTITION BY flag ORDER BY ds) AS t FROM li) WHERE t <= 5),
+c AS (SELECT repo, sum(n) AS n_records, count(*) AS n_points,
+             max(CASE WHEN isinf(y) THEN 1 ELSE 0 END) AS bad, max(y) = min(y) AS flat FROM s GROUP BY repo),
+k AS (SELECT repo FROM s UNION SELECT 'nation/' || n_name FROM nation),
+slots(slot, estimator, least) AS (VALUES ('lstm', 'index_trend', 0), ('prophet', 'additive', 0), ('statsmodels', 'ar5', 12))
+SELECT k.repo, 'commits' AS metric, slot, estimator, CAST(coalesce(n_records, 0) AS BIGINT) AS n_records,
+       coalesce(n_points, 0) AS n_points,
+       CASE WHEN len(string_split(k.repo, '/')) <> 2 THEN 'invalid_repo' WHEN c.repo IS NULL THEN 'no_data'
+            WHEN n_points < least THEN 'not_enough_data' WHEN slot = 'statsmodels' AND bad = 1 THEN 'failed'
+            WHEN slot = 'statsmodels' AND flat THEN 'degenerate' ELSE 'ok' END AS status
+FROM k LEFT JOIN c ON c.repo = k.repo, slots
+UNION ALL
+SELECT DISTINCT 'orders/' || o_orderpriority, 'pulls', slot, CASE slot WHEN 'statsmodels' THEN 'smoothing' ELSE estimator END, 0, 0,
+       'no_column' FROM orders, slots"""

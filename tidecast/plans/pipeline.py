@@ -19,6 +19,7 @@ from ..operators import ar as AR
 from ..operators import clean as C
 from ..operators import eligibility as EL
 from ..operators import lookback as LB
+from ..operators import order_search as OS
 from ..operators import series as S
 from ..operators import smoothing as SM
 from ..operators import timeline as TL
@@ -109,7 +110,7 @@ def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, since_days: int | No
     s = W.split_ordered(ok(daily, "statsmodels"))
     train = s.where(F.col("split") == "train").select(*KEYS, "ds", "y")
     h = s.where(F.col("split") == "test").groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("h"))
-    fc = AR.auto_order_forecast(train, h).withColumn("segment", F.lit("test"))
+    fc = OS.order_search_forecast(train, h).withColumn("segment", F.lit("test"))
     fc = fc.join(s.where(F.col("split") == "test").select(*KEYS, "ds", "y"), [*KEYS, "ds"], "left")
     out.append(_norm(fc, "statsmodels"))
     tr = TR.index_trend_fit(W.split_hashed(ok(monthly, "lstm"))).withColumn("model", F.lit("index_trend")) \
@@ -119,7 +120,7 @@ def all_forecasts(t: SI.Tables, as_of: _dt.date = SI.AS_OF, since_days: int | No
     # releases: month-end continuation, last 12 rows only (the release endpoint's view)
     out.append(_norm(S.forecast_tail(AD.additive_forecast(ok(("releases",), "prophet"), "month",
                                                           month_end=True), 12), "prophet"))
-    out.append(_norm(SM.smoothing_forecast(ok(("pulls",), "statsmodels")), "statsmodels"))
+    out.append(_norm(SM.smoothing_forecast(ok(("pulls",), "statsmodels"), refine=True), "statsmodels"))
     out.append(_norm(AR.ar_forecast(ok(("commits", "branches"), "statsmodels"), 5), "statsmodels"))
     out.append(_norm(AR.arma_forecast(ok(("contributors", "releases"), "statsmodels")), "statsmodels"))
     res = out[0]
@@ -135,7 +136,7 @@ def fit_status(forecasts: DataFrame, status: DataFrame) -> DataFrame:
     'degenerate' when the fit was rank deficient."""
     fc = forecasts.groupBy("repo", "metric", "slot").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum(F.when(F.col("yhat").isNull() | F.isnan("yhat"), 1).otherwise(0)).alias("_bad"),
+        F.sum(F.when(F.col("yhat").isNull() | F.isnan("yhat") | (F.abs("yhat") == float("inf")), 1).otherwise(0)).alias("_bad"),
         F.max(F.col("fit_flag")).alias("_flag"))
     ok = status.where(F.col("status") == "ok").select("repo", "metric", "slot")
     j = ok.join(fc, ["repo", "metric", "slot"], "left")
@@ -145,6 +146,33 @@ def fit_status(forecasts: DataFrame, status: DataFrame) -> DataFrame:
     return j.select("repo", "metric", "slot", st.alias("fit_status")).where(F.col("fit_status").isNotNull())
 
 
+def bar_series(issues: DataFrame) -> DataFrame:
+    """(repo, event, month, n, position): created and closed issues by month, in the order drawn."""
+    from pyspark.sql import Window
+    both = None
+    for event in ("created", "closed"):
+        part = S.count_by_month_text(issues, f"{event}_at").select("repo", F.lit(event).alias("event"), "month", "n")
+        both = part if both is None else both.unionByName(part)
+    w = Window.partitionBy("repo", "event").orderBy("month")  # months of the page's windows
+    return both.withColumn("position", F.row_number().over(w).cast("long"))
+
+
+def page_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables of ``dashboard_tables`` as (section, repo, metric, slot,
+    label, ds, value, text) rows: statuses, bars, insights and charts."""
+    def rows(df, section, **cols):
+        every = {"repo": "repo", "metric": "CAST(NULL AS STRING)", "slot": "CAST(NULL AS STRING)", "label": "CAST(NULL AS STRING)",
+                 "ds": "CAST(NULL AS DATE)", "value": "CAST(NULL AS DOUBLE)", "text": "CAST(NULL AS STRING)"} | cols
+        return df.selectExpr(f"'{section}' AS section", *(f"{v} AS {c}" for c, v in every.items()))
+
+    out = rows(tables["status"], "status", metric="metric", slot="slot", label="estimator", text="status")
+    out = out.unionByName(rows(tables["bars"], "bars", metric="'issues'", label="event", text="month", value="CAST(n AS DOUBLE)"))
+    for name in ("max_created_day_of_week", "max_closed_day_of_week", "max_closed_month_of_year"):
+        out = out.unionByName(rows(tables["issue_report"], "insights", metric="'issues'", label=f"'{name}'", text=name))
+    return out.unionByName(rows(tables["forecasts"], "charts", metric="metric", slot="slot", label="concat(model, ' ', segment)",
+                                ds="ds", value="yhat"))
+
+
 def dashboard_tables(t: SI.Tables, as_of: _dt.date = SI.AS_OF) -> dict[str, DataFrame]:
     """Everything the page shows, for every repository.
 
@@ -155,7 +183,7 @@ def dashboard_tables(t: SI.Tables, as_of: _dt.date = SI.AS_OF) -> dict[str, Data
     fc = cut_lineage(fc)
     issues = SW.records_in_windows(SI.issues(t, since=SW.window_bounds(as_of)[-1][1]), as_of, "created_at")
     out = {"forecasts": fc, "status": R.status_report(status, fit_status(fc, status)),
-           "issue_report": R.issue_report(issues, forecasts=fc.where(F.col("metric") == "issues"))}
+           "bars": bar_series(issues), "issue_report": R.issue_report(issues, forecasts=fc.where(F.col("metric") == "issues"))}
     for m in ("pulls", "commits", "branches", "contributors", "releases"):
         out[f"{m}_report"] = R.metric_report(status, m, fc)
     return out

@@ -1,4 +1,4 @@
-"""Reports and sinks.
+"""Reports (R1-R3, R5); ``publish`` has the sink R4.
 
 Reports are one row per repository, assembled from small keyed frames
 (month counts, insights, statuses, forecasts) with left joins on ``repo``.
@@ -10,7 +10,6 @@ the number of records.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,31 +110,14 @@ def status_report(status: DataFrame, fit_status: DataFrame | None = None) -> Dat
     return out
 
 
-#: Repositories of one (metric, model) are spread over so many folders.
-FORECAST_BUCKETS = 64
-
-
-def write_forecasts(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Publish forecasts; what ``df`` holds for a (repo, metric, model)
-    replaces what was there, everything else stays.
-
-    Folders are (metric, model, bucket of repo). Only the folders that
-    ``df`` touches are read, merged and replaced; the merged rows are
-    written to the checkpoint folder first, since a folder cannot be read
-    and replaced in one job.
-    """
-    spark = df.sparkSession
-    new = df.withColumn("bucket", F.pmod(F.xxhash64("repo"), F.lit(FORECAST_BUCKETS)).cast("int"))
-    try:
-        old = spark.read.format(fmt).load(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        folders = ["metric", "model", "bucket"]
-        kept = old.join(new.select(*folders).distinct(), folders, "left_semi") \
-            .join(new.select("repo", "metric", "model").distinct(), ["repo", "metric", "model"], "left_anti")
-        new = cut_lineage(new.unionByName(kept, allowMissingColumns=True))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("metric", "model", "bucket").format(fmt).save(path)
+def month_entries(report: DataFrame) -> DataFrame:
+    """R1's month maps as rows: (repo, event, month, n, months), ``months``
+    being the size of the map."""
+    out = None
+    for event in ("created", "closed"):
+        col = f"{event}_issues_by_month"
+        part = report.where(F.col(col).isNotNull()).select(
+            "repo", F.lit(event).alias("event"), F.explode(F.map_entries(col)).alias("e"), F.size(col).alias("months")) \
+            .select("repo", "event", F.col("e.key").alias("month"), F.col("e.value").alias("n"), "months")
+        out = part if out is None else out.unionByName(part)
+    return out

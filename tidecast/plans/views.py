@@ -13,6 +13,9 @@ VIEWS = {
   SELECT l_returnflag AS repo,
          md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)) AS sha,
          l_shipdate AS "date"
+  FROM lineitem)""",
+    "reported_commits": """commits AS (
+  SELECT CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'lineitem/' || l_returnflag END AS repo, l_shipdate AS "date"
   FROM lineitem)""",
     "issues": """issues AS (
   SELECT 'orders/' || o.o_orderpriority AS repo, o.o_orderkey AS issue_number,

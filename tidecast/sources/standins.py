@@ -7,7 +7,8 @@ same views can be written in plain SQL for the DuckDB oracle
 
 * pulls        <- orders   (repo = orders/<o_orderpriority>, created_at = o_orderdate)
 * commits      <- lineitem (repo = l_returnflag without an owner, so an invalid key;
-                  date = l_shipdate); owned_commits has the key lineitem/<l_returnflag>
+                  date = l_shipdate); owned_commits has the key lineitem/<l_returnflag>,
+                  reported_commits too but for flag R, whose key stays invalid
 * issues       <- orders left join lineitem (closed_at = first ship date on or
                   after the order date, for status F only)
 * releases     <- 1-URGENT orders join customer join nation (repo = nation/<n_name>)
@@ -71,6 +72,16 @@ def owned_commits(t: Tables) -> DataFrame:
     return commits(t).withColumn("repo", _key("lineitem", "repo"))
 
 
+def reported_commits(t: Tables) -> DataFrame:
+    """Commits as the report queries read them: valid keys, and one without an owner."""
+    return commits(t).withColumn("repo", F.when(F.col("repo") == "R", F.col("repo")).otherwise(F.concat(F.lit("lineitem/"), "repo")))
+
+
+def commit_units(t: Tables) -> DataFrame:
+    """A long undated list: one entry for every unit of every line item."""
+    return t.lineitem.select(_key("units", "l_returnflag"), F.explode(F.sequence(F.lit(1), F.col("l_quantity").cast("int"))).alias("unit"))
+
+
 def issues(t: Tables, since: _dt.date | None = None) -> DataFrame:
     """Orders as issues; closed_at is the first ship date >= order date.
 
