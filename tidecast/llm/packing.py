@@ -35,8 +35,12 @@ END_ID = 2
 #: str.split() also splits at these four, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
-#: Bound of each of a worker's tables (about 200 bytes an entry); the one before is kept too.
-KNOWN = 500_000
+#: Bounds of each of a worker's tables, in entries and in bytes; the one before is kept too.
+KNOWN, KNOWN_BYTES = 500_000, 96 << 20
+#: Longer chunks and pieces are not kept: they hardly recur.
+LONGEST = 256
+#: What an entry takes besides its characters and ids.
+ENTRY = 150
 #: The split of the tokenizer's pattern, and the same on the characters below.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -56,15 +60,19 @@ class Known(dict):
     def __init__(self):
         super().__init__()
         self.before: dict[str, bytes] = {}
+        self.bytes = 0
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.find(key)
         out = self.before.get(key)
         if out is None:
             out = self.find(key)
-        if len(self) >= KNOWN:
-            self.before = dict(self)
+        if len(self) >= KNOWN or self.bytes >= KNOWN_BYTES:
+            self.before, self.bytes = dict(self), 0
             self.clear()
         self[key] = out
+        self.bytes += ENTRY + (len(key) if key.isascii() else 4 * len(key)) + len(out)
         return out
 
 
