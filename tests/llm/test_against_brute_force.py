@@ -70,6 +70,65 @@ def test_op2_filter_holds_what_it_learned():
     assert abs(f.hits(other) / 20_000 - f.fp).max() < 0.02
 
 
+def test_op2_filter_grows_with_what_it_learned():
+    rng = np.random.default_rng(2)
+    grams = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (2_000_000, 50_000)]
+    f = language_id.MaskFilter(["a", "b"], grams, [1, 1], language_id.filter_bits(2_000_000))
+    other = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    assert f.fp.max() < 0.05 and (f.hits(other) / 100_000 < 0.05).all()
+    assert language_id.filter_bits(60_000) == language_id.filter_bits(0) == language_id.LEAST_BITS
+
+
+def word_grams(text):
+    """n-grams of 2 to 5 characters; a word's borders count, none spans a border."""
+    out = Counter()
+    for w in language_id.WORD.findall((text or "").lower()):
+        w = f" {w} "
+        for n in (2, 3, 4, 5):
+            out.update(w[i:i + n] for i in range(len(w) - n + 1))
+    return out
+
+
+def test_op2_plain_predictor(spark):
+    """Sets of n-grams instead of hashes and filters: the same language, the same score up to the filter's chance."""
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None:
+            counts[r["lang"]].update(word_grams(r["text"]))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    top = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[x])
+    known = {x: {g for g, n in c.items() if n >= 2 and n / total[x] >= 0.4 * top[g]} for x, c in counts.items()}
+    rows = {r["doc_id"]: r for r in language_id.language_id(documents(spark, "/root/testdata/sf0.01")).collect()}
+    for r in docs:
+        mine, grams = rows[r["doc_id"]], word_grams(r["text"])
+        n = sum(grams.values())
+        if not n:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        share = {x: sum(c for g, c in grams.items() if g in k) / n for x, k in known.items()}
+        assert abs(mine["score"] - max(share.values())) < 0.02
+        assert share[mine["lang_pred"]] > max(share.values()) - 0.02
+
+
+def test_op3_tables_are_bounded_in_bytes(monkeypatch):
+    """Chunks of any length, tables of a few kilobytes: the ids stay the tokenizer's."""
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 4000)
+    ids, t = packing.ChunkIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(3)
+    chunks = ["".join(rng.choice("abcXYZ019_-é中") for _ in range(rng.choice([1, 3, 8, 255, 256, 257, 4000]))) for _ in range(400)]
+    text = " ".join(rng.choice(chunks) for _ in range(1500))
+    want = np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert ids.of(text) == want
+    for table in (ids, ids.pieces):
+        assert max(map(len, [*table, *table.before]), default=0) <= packing.LONGEST
+        assert table.bytes <= 4000 + packing.ENTRY + 12 * packing.LONGEST
+
+
 def test_op3_round_trip(spark):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(packing.tokenizer_path())

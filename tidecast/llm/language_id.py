@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from .rows import small_batches
 
 HASHES = 2
+#: log2 of the cells of the smallest filter.
+LEAST_BITS = 21
 #: Orders of the n-grams; a word's borders count as characters.
 ORDERS = (2, 3, 4, 5)
 LETTER = regex.compile(r"\p{L}")
@@ -167,13 +169,20 @@ class MaskFilter:
         return self.langs[best], float(share[best])
 
 
+def filter_bits(largest: int) -> int:
+    """Cells of the filter as a power of two: sixteen for each n-gram of the
+    largest language, so that a false positive has a chance of about 0.014."""
+    return max(LEAST_BITS, (16 * largest - 1).bit_length() if largest else 0)
+
+
 def learn(train: DataFrame, per_lang: int = 2000, share: float = 0.4, least: int = 2,
-          bits: int = 21) -> MaskFilter:
+          bits: int | None = None) -> MaskFilter:
     """The filter learned from ``train`` (lang, text; rows of null lang are left out).
 
     About ``per_lang`` documents a language are learned from, the
     documented bound; so the n-gram counts that reach the driver are
-    bounded too (an n-gram must occur ``least`` times).
+    bounded too (an n-gram must occur ``least`` times). ``bits``: log2 of
+    the filter's cells, by default from the n-grams learned.
     """
     small_batches(train.sparkSession)
     train = train.where(F.col("lang").isNotNull())
@@ -189,6 +198,8 @@ def learn(train: DataFrame, per_lang: int = 2000, share: float = 0.4, least: int
         .select("lang", "h").toPandas()
     counts.unpersist()
     grams = [kept.loc[kept["lang"] == lang, "h"].to_numpy(np.int64).view(np.uint64) for lang in langs]
+    if bits is None:
+        bits = filter_bits(max(map(len, grams), default=0))
     return MaskFilter(langs, grams, [prior[x] for x in langs], bits)
 
 
