@@ -498,7 +498,7 @@ ORACLE["series_bounds"] = with_views("pulls") + f""",
 {PULLS_MONTHLY}
 SELECT repo, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS n_points FROM pm GROUP BY repo"""
 
-ORACLE["record_counts"] = with_views(*_ALL_VIEWS) + """
+ORACLE["record_counts"] = with_views("issues", "pulls", "commits", "branches", "contributors", "releases") + """
 SELECT repo, 'issues' AS entity, count(*) AS n_records FROM issues GROUP BY repo
 UNION ALL SELECT repo, 'pulls', count(*) FROM pulls GROUP BY repo
 UNION ALL SELECT repo, 'commits', count(*) FROM commits GROUP BY repo
