@@ -21,8 +21,8 @@ number of series in a task.
 
 The recursions of 3 and 4 run in Arrow batches, stacked over the series and
 orders of a batch: one step in time is a few array operations for all of
-them. The same folds in SQL took 0.8 s a series of 1,900 days, this takes
-about a millisecond where a batch has many series.
+them. For 36 orders of a series of 1,900 days that is about 10 ms in a batch
+of 128 series; the same folds in SQL took 0.8 s.
 """
 
 from __future__ import annotations
