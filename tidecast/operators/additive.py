@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import KEYS
-from .linalg import SOLUTION, dot_fixed, gram, solve
+from .linalg import SOLUTION, dot_fixed, gram, pieces, solve, unpacked
 from .smoothing import Z80
 
 # Fixed values (defaults of the decomposable model the reference calls).
@@ -121,18 +121,18 @@ def sparse_coefficients(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def solve_sparse(g: DataFrame) -> DataFrame:
     """``linalg.solve`` with the sparse penalty; a series with sums that are not finite gets nulls and an ``error``."""
-    q, iu = P + 1, np.triu_indices(P + 1)
+    q = P + 1
 
     @F.pandas_udf(SOLUTION)
     def fit(tri: pd.Series) -> pd.DataFrame:
-        z = np.zeros((len(tri), q, q))
-        if len(tri):
-            z[:, iu[0], iu[1]] = np.stack(tri.to_numpy())
-            z[:, iu[1], iu[0]] = z[:, iu[0], iu[1]]
-        finite = np.isfinite(z).all(axis=(1, 2))
-        beta, sse = np.full((len(z), P), np.nan), np.full(len(z), np.nan)
-        if finite.any():
-            beta[finite], sse[finite] = sparse_coefficients(z[finite])
+        beta, sse, finite = np.full((len(tri), P), np.nan), np.full(len(tri), np.nan), np.zeros(len(tri), bool)
+        for s in pieces(len(tri), q):
+            z = unpacked(tri.iloc[s], q)
+            ok = np.isfinite(z).all(axis=(1, 2))
+            finite[s] = ok
+            if ok.any():
+                at = np.arange(s.start, s.stop)[ok]
+                beta[at], sse[at] = sparse_coefficients(z[ok])
         return pd.DataFrame({"beta": list(beta), "sse": sse, "rank": P,
                              "error": [None if ok else "sums are not finite" for ok in finite]})
 
@@ -144,10 +144,11 @@ def additive_fit(series: DataFrame, grain: str = "month", keys=KEYS, stats: Data
     """(keys, stats..., beta, sigma, step) per series; ``step`` is the mean size of a delta."""
     st = stats if stats is not None else _stats(series, grain, keys)
     # cluster each series' (narrow) rows by key before the 53-wide features
-    # exist, so the per-batch partial Gram is already one matrix per series
+    # exist and put them one after the other (a broadcast join would leave
+    # them mixed), so the per-batch partial Gram is one matrix per series
     # (series length is bounded by the calendar, so no key is unbounded)
-    rows = series.repartition(*keys).join(st, keys).select(*keys, (F.col("y") / F.col("scale")).alias("ys"),
-                                        _features().alias("x"))
+    rows = series.repartition(*keys).join(st, keys).sortWithinPartitions(*keys).select(
+        *keys, (F.col("y") / F.col("scale")).alias("ys"), _features().alias("x"))
     g = gram(rows, keys, "x", "ys", P)
     sol = solve_sparse(g) if sparse else solve(g, P, ridge=RIDGE)
     size = f"aggregate(slice(fit.beta, 3, {N_CHANGEPOINTS}), 0D, (a, v) -> a + abs(v))"

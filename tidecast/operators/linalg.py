@@ -10,7 +10,9 @@ through ``clustered=False``: the partials of a key are then added up in
 two levels, so no row ever holds one for each batch of the job.
 
 The p x p solves run in Python, stacked: one eigendecomposition call for
-all series of an Arrow batch. A series whose sums cannot be solved (not
+some series of an Arrow batch at a time (``PIECE``). Triangles are made
+and unpacked by the same pieces, so that a worker's memory does not follow
+the number of series in a batch. A series whose sums cannot be solved (not
 finite, no convergence) gets null coefficients and the reason in ``error``;
 the others of its batch are not touched.
 """
@@ -31,6 +33,8 @@ SOLUTION = T.StructType([
 ])
 #: Groups of tasks whose partials are added up first, for rows not clustered by key.
 TASK_GROUPS = 256
+#: Numbers of the matrices made or solved at once in a worker (4 MB); bounds its memory.
+PIECE = 1 << 19
 
 
 def packed(i: int, j: int, q: int) -> int:
@@ -38,13 +42,30 @@ def packed(i: int, j: int, q: int) -> int:
     return i * q - i * (i - 1) // 2 + (j - i)
 
 
+def pieces(n: int, q: int):
+    """Slices of ``n`` matrices q x q: ``PIECE`` numbers each, or one matrix."""
+    step = max(1, PIECE // (q * q))
+    return [slice(a, min(a + step, n)) for a in range(0, n, step)]
+
+
+def unpacked(tri: pd.Series, q: int) -> np.ndarray:
+    """Stacked symmetric matrices of packed upper triangles."""
+    iu = np.triu_indices(q)
+    z = np.zeros((len(tri), q, q))
+    if len(tri):
+        z[:, iu[0], iu[1]] = np.stack(tri.to_numpy())
+        z[:, iu[1], iu[0]] = z[:, iu[0], iu[1]]
+    return z
+
+
 def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int, clustered: bool = True) -> DataFrame:
     """(keys, n, tri) per key: ``tri`` is the packed upper triangle of Z'Z,
     Z = [X | y], row-major, (p + 1)(p + 2) / 2 numbers.
 
     ``x`` is an ARRAY<DOUBLE> column of length ``p``; rows with a null
     feature or target must be filtered out by the caller. ``clustered``:
-    all rows of a key are in a few tasks.
+    all rows of a key are in a few tasks, there one after the other (a
+    batch has one partial for each of its keys).
     """
     keys = list(keys)
     q = p + 1
@@ -63,10 +84,11 @@ def gram(df: DataFrame, keys: list[str], x: str, y: str, p: int, clustered: bool
             order = np.argsort(number, kind="stable")
             z, ends = z[order], np.cumsum(np.bincount(number))
             starts = np.concatenate([[0], ends[:-1]])
-            out = pdf.iloc[order[starts]][keys].reset_index(drop=True)
-            out["n"] = ends - starts
-            out["tri"] = [(z[a:b].T @ z[a:b])[iu] for a, b in zip(starts, ends, strict=True)]
-            yield out
+            for s in pieces(len(starts), q):
+                out = pdf.iloc[order[starts[s]]][keys].reset_index(drop=True)
+                out["n"] = ends[s] - starts[s]
+                out["tri"] = [(z[a:b].T @ z[a:b])[iu] for a, b in zip(starts[s], ends[s], strict=True)]
+                yield out
 
     parts = df.select(*keys, F.col(x).alias(x), F.col(y).cast("double").alias(y)).mapInPandas(partial, out_schema)
     total = "IF(size(_t) = 1, _t[0], aggregate(slice(_t, 2, size(_t) - 1), _t[0], (a, t) -> zip_with(a, t, (u, v) -> u + v)))"
@@ -108,6 +130,34 @@ def _solve_part(z: np.ndarray, rows: np.ndarray, ix: np.ndarray, penalty: np.nda
     return _solve_stacked(z[np.ix_(rows, ix, ix)], z[np.ix_(rows, ix, [p])][:, :, 0], z[rows, p, p], penalty[ix])
 
 
+def _solve_piece(z: np.ndarray, which: list[tuple], penalty: np.ndarray) -> list[tuple]:
+    """(beta, sse, rank, error) of each stacked matrix Z'Z for its positions."""
+    out: list = [None] * len(z)
+    finite = np.isfinite(z).all(axis=(1, 2))
+    for at in set(which):  # rows of the same positions are solved together
+        rows, ix = [i for i, k in enumerate(which) if k == at], np.array(at, int)
+        failed = lambda why: ([float("nan")] * len(ix), float("nan"), 0, why)  # noqa: B023, E731
+        for i in rows:
+            if not finite[i]:
+                out[i] = failed("sums are not finite")
+        good = np.array([i for i in rows if finite[i]], int)
+        if not len(good):
+            continue
+        try:
+            solved = [(good, _solve_part(z, good, ix, penalty))]
+        except np.linalg.LinAlgError:  # one series must not take the others with it
+            solved = []
+            for i in good:
+                try:
+                    solved.append((np.array([i]), _solve_part(z, np.array([i]), ix, penalty)))
+                except np.linalg.LinAlgError as e:
+                    out[i] = failed(str(e))
+        for some, parts in solved:
+            for i, bt, s, r in zip(some, *parts, strict=True):
+                out[i] = bt.tolist(), float(s), int(r), None
+    return out
+
+
 def solve(g: DataFrame, p: int, ridge=0.0, keep: str | None = None) -> DataFrame:
     """Attach ``fit`` = (beta, sse, rank, error) to each row of ``gram`` output.
 
@@ -115,38 +165,18 @@ def solve(g: DataFrame, p: int, ridge=0.0, keep: str | None = None) -> DataFrame
     coefficient; 0 is plain least squares (minimum norm when singular).
     ``keep``: an ARRAY<INT> column of feature positions; only these enter.
     """
-    q, iu = p + 1, np.triu_indices(p + 1)
+    q = p + 1
     penalty = np.broadcast_to(np.asarray(ridge, float), (p,)).copy()
 
     @F.pandas_udf(SOLUTION)
     def fit(tri: pd.Series, positions: pd.Series) -> pd.DataFrame:
-        z = np.zeros((len(tri), q, q))
-        z[:, iu[0], iu[1]] = np.stack(tri.to_numpy()) if len(tri) else 0.0
-        z[:, iu[1], iu[0]] = z[:, iu[0], iu[1]]
-        betas, sses, ranks, errors = [[]] * len(tri), [float("nan")] * len(tri), [0] * len(tri), [None] * len(tri)
-        which = [tuple(range(p)) if k is None else tuple(k) for k in positions]
-        finite = np.isfinite(z).all(axis=(1, 2))
-        for at in set(which):  # rows of the same positions are solved together
-            rows, ix = [i for i, k in enumerate(which) if k == at], np.array(at, int)
-            for i in rows:
-                if not finite[i]:
-                    betas[i], errors[i] = [float("nan")] * len(ix), "sums are not finite"
-            good = np.array([i for i in rows if finite[i]], int)
-            if not len(good):
-                continue
-            try:
-                solved = [(good, _solve_part(z, good, ix, penalty))]
-            except np.linalg.LinAlgError:  # one series must not take the others with it
-                solved = []
-                for i in good:
-                    try:
-                        solved.append((np.array([i]), _solve_part(z, np.array([i]), ix, penalty)))
-                    except np.linalg.LinAlgError as e:
-                        betas[i], errors[i] = [float("nan")] * len(ix), str(e)
-            for some, parts in solved:
-                for i, bt, s, r in zip(some, *parts, strict=True):
-                    betas[i], sses[i], ranks[i] = bt.tolist(), float(s), int(r)
-        return pd.DataFrame({"beta": betas, "sse": sses, "rank": ranks, "error": pd.Series(errors, dtype=object)})
+        out: list = []
+        for s in pieces(len(tri), q):
+            which = [tuple(range(p)) if k is None else tuple(k) for k in positions.iloc[s]]
+            out += _solve_piece(unpacked(tri.iloc[s], q), which, penalty)
+        betas, sses, ranks, errors = zip(*out, strict=True) if out else ((), (), (), ())
+        return pd.DataFrame({"beta": list(betas), "sse": list(sses), "rank": list(ranks),
+                             "error": pd.Series(errors, dtype=object)})
 
     positions = F.col(keep) if keep else F.lit(None).cast("array<int>")
     return g.withColumn("fit", fit("tri", positions))
