@@ -693,5 +693,7 @@ def test_binary_lengths(n):
 
 def test_empty_inputs_of_every_query(spark, scratch):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{scratch}/documents.parquet")
+    spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").write.parquet(f"{scratch}/embeddings.parquet")
+    spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{scratch}/labels.parquet")
     for name, q in queries.QUERIES.items():
         assert q(spark, scratch).collect() == [], name
