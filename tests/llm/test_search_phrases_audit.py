@@ -170,6 +170,32 @@ def test_phrase_filter_full_and_languages_beyond_the_list(spark, monkeypatch):
     assert got == phrases([(r[1], r[2]) for r in rows], 6)
 
 
+def test_phrases_of_more_shards_than_support(spark, monkeypatch):
+    """A bound of less than one occurrence a shard doesn't let all phrases through."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(60)) + rng.choice([". new york city", ""]), "en", "s", 0)
+            for i in range(200)]
+    df, sent = frame(spark, rows).repartition(4), []
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: sent.append(real(self, *a, **k)) or sent[-1])
+    got = mined(collocations.collocations(df, support=20, shard_bytes=600))  # some 80 shards
+    assert got == phrases([(r[1], r[2]) for r in rows], 20) and "new york city" in {r[2] for r in got}
+    occurrences = sum(60 - m + 1 for m in range(2, 6)) * len(rows)
+    assert sent[-1].where("m > 1").agg({"n": "sum"}).first()[0] < occurrences / 5
+
+
+@pytest.mark.parametrize("most", [100, 70_000])
+def test_phrase_buckets_packed(most):
+    rng = np.random.default_rng(0)
+    buckets = np.concatenate([rng.integers(0, 1 << 20, 5000), rng.integers(0, 300, 100_000), [0, 65_535, 65_536, (1 << 28) - 1],
+                              np.full(80_000, 65_536)]).astype(np.uint32)
+    want, counts, got = Counter(buckets.tolist()), np.min_scalar_type(most), {}
+    for row in (row for batch in collocations.packed(buckets, most, counts) for row in batch.to_pylist()):
+        place, n = collocations.unpacked(row["used"], row["data"], counts)
+        got |= zip(((row["block"] << 16) + place).tolist(), n.tolist(), strict=True)
+    assert got == {b: min(n, most) for b, n in want.items()}
+
+
 def test_phrases_empty(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert collocations.collocations(spark.createDataFrame([(None,) * 5] * 3, SCHEMA), support=1).collect() == []

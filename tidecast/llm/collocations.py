@@ -1,33 +1,34 @@
-"""Phrase collocations by SON partitioning.
+"""Phrase collocations by counts summed over partitions.
 
 1. Shares: bytes of text by language, one cheap scan.
 2. Mining: the corpus is dealt into ``SHARDS`` shards, or more where one
-   would not fit a task (``shard_bytes`` of text). Each shard is mined
-   completely, words first and then phrases one word longer at a time, at
-   ``support`` times the shard's share of its language. A phrase with
-   ``support`` occurrences in all reaches that bound in at least one shard,
-   so no phrase is lost.
-3. Union: hashes of the locally frequent phrases become one Bloom filter of
-   at most ``MAX_BITS`` bits, the only thing broadcast. It may let others
-   through; they are counted like the rest and fall at step 4.
-4. Counting: a second pass counts in every shard each phrase that the filter
-   holds, by its words and not by its hash; the counts are added up per
+   would not fit a task (``shard_bytes`` of text). Each shard counts all its
+   phrases in hash buckets, words and pairs first and then, where the pairs
+   may be frequent, longer phrases. What a shard sends is its buckets in
+   use, about a byte each, and never the phrases.
+3. Union: the counts of a bucket are added up over all shards. Buckets with
+   ``support`` or more are one bit each, at most 2^MAX_BITS bits for each of
+   the two rounds and the only thing broadcast. A phrase with ``support``
+   occurrences in all is in such a bucket, so no phrase is lost. Others may
+   share it; they are counted like the rest and fall at step 4.
+4. Counting: a last pass counts in every shard each phrase that the buckets
+   let through, by its words and not by its hash; the counts are added up per
    (language, phrase) and phrases below ``support`` dropped.
 5. Scores, absorbed phrases and ranks are joins on these exact counts.
 
-Shards need not be the same in both passes, so a repeated task changes
-nothing. The lowered bound is what keeps the union small: with a fixed
-``support`` it reaches one occurrence when a language has more shards than
-``support``. Counts stay exact then, but the second pass sends most phrases
-once a shard; a support that grows with the corpus avoids that.
+Shards need not be the same in all passes, so a repeated task changes
+nothing. The bound is ``support`` over the whole corpus and not over a shard,
+so it doesn't fall with the number of shards.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,46 +37,48 @@ from .rows import small_batches, stage
 
 #: Bytes that end a piece become a full stop, the others stay.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
-#: Largest Bloom filter: 2^27 bits, 16 MB.
-MAX_BITS = 27
+#: Most buckets of a round: 2^28, as bits 32 MB.
+MAX_BITS = 28
 #: Shards of the corpus, and the largest text of one: its words are in memory as numbers.
 SHARDS, SHARD_BYTES = 16, 48 << 20
-#: Languages whose share is known exactly while mining; the others get a lower bound than they need.
+#: Text of a language that is split into words at once.
+TEXT_BYTES = 4 << 20
+#: Languages whose share is known exactly while mining; the others are taken as no smaller than the last of these.
 MAX_LANGS = 10_000
-#: Buckets of the pair counts that go before the exact ones (mining only).
-BUCKET_BITS = 22
-
-
-class Vocabulary(dict):
-    """word -> number in order of appearance; 0 is the end of a piece."""
-
-    def __init__(self):
-        super().__init__({b".": 0})
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+#: Buckets of a block, whose sums are made at once: 2^16, so that a place in it has two bytes.
+BLOCK_BITS = 16
 
 
 class Shard:
-    """The words of one language in one shard, as numbers."""
+    """The words of one language in one shard, as numbers; 0 is the end of a piece."""
 
     def __init__(self):
-        self.vocabulary, self.parts, self.bytes = Vocabulary(), [], 0
+        self.parts = [pa.DictionaryArray.from_arrays(pa.array([0], pa.int32()), pa.array([b"."]))]
+        self.texts, self.bytes = [], 0
 
     def add(self, text: bytes) -> None:
-        words = text.lower().translate(ENDS).replace(b".", b" . ").split()  # bytes: only A-Z lower-cased
-        self.parts.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)))
-        self.parts.append(np.zeros(1, np.int32))
+        self.texts.append(text)
         self.bytes += len(text) + 1
-
-    def words(self) -> np.ndarray:
-        self.parts = [np.concatenate(self.parts)]
-        return self.parts[0]
+        if self.bytes >= TEXT_BYTES:
+            self.split()
+
+    def split(self) -> None:
+        """The texts added since the last time, as numbers of their different words."""
+        text = b".".join([*self.texts, b""]).lower().translate(ENDS).replace(b".", b" . ")  # bytes: only A-Z lower-cased
+        words = pc.ascii_split_whitespace(pa.array([text.strip()], pa.binary()).view(pa.string())).flatten()
+        self.parts.append(words.view(pa.binary()).dictionary_encode())
+        self.texts, self.bytes = [], 0
+
+    def words(self) -> tuple[np.ndarray, pa.Array]:
+        """The numbers, and the words by their number."""
+        if self.texts:
+            self.split()
+        self.parts = pa.chunked_array(self.parts).unify_dictionaries().chunks
+        return np.concatenate([part.indices.to_numpy() for part in self.parts]), self.parts[0].dictionary
 
     def join(self, other: Shard) -> None:
-        numbers = np.fromiter((self.vocabulary[w] for w in other.vocabulary), np.int32, len(other.vocabulary))
-        self.parts.append(numbers[other.words()])
+        self.parts += other.parts
+        self.texts += other.texts
         self.bytes += other.bytes
 
 
@@ -90,91 +93,112 @@ def longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return spread(h * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def seeds(lang: str, vocabulary: Vocabulary) -> np.ndarray:
+def seeds(lang: str, vocabulary: pa.Array) -> np.ndarray:
     """Hash of every word, by its number; languages differ."""
     seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
-
-
-def frequent(shard: Shard, lang: str, least: int, most: int) -> Iterator[np.ndarray]:
-    """Hashes of all phrases of 1 to ``most`` words with ``least`` occurrences
-    in the shard, by length. A phrase can be frequent only where the two
-    phrases one word shorter are."""
-    w, base = shard.words(), seeds(lang, shard.vocabulary)
-    counts = np.bincount(w, minlength=len(base))
-    counts[0] = 0
-    one = counts >= least
-    yield base[one]
-    at = np.flatnonzero(one[w]).astype(np.int32)  # starts of frequent phrases
-    ids, h = w[at], base[w[at]]
-    for m in range(2, most + 1):
-        follows = np.zeros(len(w) + 1, bool)  # starts of frequent phrases one word shorter
-        follows[at] = True
-        ok = follows[at + 1] & (at + m <= len(w))
-        ok[ok] = one[w[at[ok] + m - 1]]
-        at, ids, h = at[ok], ids[ok], h[ok]
-        last = w[at + m - 1]
-        h = longer(h, base[last])
-        # hashed counts first: most phrases go before the exact ones are sorted
-        bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-        ok = np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least
-        at, h, key = at[ok], h[ok], ids[ok].astype(np.int64) * len(base) + last[ok]
-        _, first, ids, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        yield h[first[n >= least]]
-        ok = (n >= least)[ids]
-        at, ids, h = at[ok], ids[ok].astype(np.int32), h[ok]
-
-
-class Bloom:
-    """Set of 64-bit hashes; may hold others by chance, never loses one."""
-
-    def __init__(self, cells, bits: int, probes: int):
-        self.cells, self.bits, self.probes = cells, bits, probes  # cells: broadcast
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+
+
+class Buckets:
+    """Set of 64-bit hashes by their first bits; may hold others by chance, never loses one."""
+
+    def __init__(self, cells, bits: int):
+        self.cells, self.bits = cells, bits  # cells: broadcast
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        cells, out = self.cells.value, np.ones(len(h), bool)
-        for i in range(self.probes):
-            p = probe(h, i, self.bits)
-            out &= (cells[p >> 6] >> (p & 63)) & 1 == 1
-        return out
-
-
-def probe(h: np.ndarray, i: int, bits: int) -> np.ndarray:
-    return (spread(h + np.uint64((i + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def counted(shard: Shard, lang: str, bloom: Bloom, most: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(length, phrases, counts) of all phrases in the filter, by length; first
-    the number of words, as length 0. A phrase's first words are in the
-    filter whenever it is itself, for they were frequent in the same shard."""
-    w, base = shard.words(), seeds(lang, shard.vocabulary)
-    names = list(shard.vocabulary)
-    counts = np.bincount(w, minlength=len(base))
-    counts[0] = 0
-    yield 0, [b""], counts.sum(keepdims=True)
-    held = bloom.holds(base) & (counts > 0)
-    number = np.flatnonzero(held)
-    yield 1, [names[i] for i in number], counts[number]
-    at = np.flatnonzero(held[w]).astype(np.int32)
-    ids, h = w[at], base[w[at]]
+        p = bucket(h, self.bits)
+        return (self.cells.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
+def bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.uint32)
+
+
+def followed(w: np.ndarray, base: np.ndarray, held: dict[int, Buckets], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, hashes) of the phrases of 1 to ``most`` words that the
+    buckets ``held`` of their length let through; without such all pass. A
+    phrase can be frequent only where the two phrases one word shorter are."""
+    one = held[1].holds(base) if 1 in held else np.ones(len(base), bool)
+    one[0] = False
+    at = np.flatnonzero(one[w]).astype(np.int32)
+    h = base[w[at]]
+    yield 1, at, h
     for m in range(2, most + 1):
-        ok = at + m <= len(w)
-        ok[ok] = held[w[at[ok] + m - 1]]
-        at, ids, h = at[ok], ids[ok], h[ok]
-        last = w[at + m - 1]
-        h = longer(h, base[last])
-        ok = bloom.holds(h)
-        at, h, key = at[ok], h[ok], ids[ok].astype(np.int64) * len(base) + last[ok]
-        _, first, ids, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        ids = ids.astype(np.int32)
-        for a in range(0, len(first), 20_000):
-            rows = w[at[first[a:a + 20_000], None] + np.arange(m)].tolist()
-            yield m, [b" ".join([names[j] for j in row]) for row in rows], n[a:a + 20_000]
+        follows = np.zeros(len(w) + 1, bool)  # starts of phrases one word shorter
+        follows[at] = True
+        ok = follows[at + 1]
+        at, h = at[ok], h[ok]
+        h = longer(h, base[w[at + m - 1]])
+        if m in held:
+            ok = held[m].holds(h)
+            at, h = at[ok], h[ok]
+        yield m, at, h
+
+
+def packed(buckets: np.ndarray, most: int, counts: np.dtype) -> Iterator[pa.RecordBatch]:
+    """How often each of ``buckets`` occurs, at most ``most`` times. A row for
+    each block: gaps between its buckets in use as low and high bytes, then
+    the counts, compressed."""
+    buckets.sort()
+    blocks = np.arange(int(buckets[-1] >> BLOCK_BITS) + 2 if len(buckets) else 1) << BLOCK_BITS
+    edges, codec, rows = np.searchsorted(buckets, blocks).tolist(), pa.Codec("zstd", 1), []
+    for block, (a, b) in enumerate(itertools.pairwise(edges)):
+        if a < b:
+            part = buckets[a:b]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            gap = np.diff(part[first], prepend=np.uint32(block << BLOCK_BITS))
+            n = np.minimum(np.diff(first, append=len(part)), most).astype(counts)
+            data = b"".join((gap.astype(np.uint8).tobytes(), (gap >> 8).astype(np.uint8).tobytes(), n.tobytes()))
+            rows.append((block, len(gap), codec.compress(data, asbytes=True)))
+    for a in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            zip(*rows[a:a + 1000], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "used", "data"])
+
+
+def unpacked(used: int, data: bytes, counts: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Places in its block of the buckets of a row of ``packed``, and their counts."""
+    raw = pa.Codec("zstd").decompress(data, used * (2 + counts.itemsize), asbytes=True)
+    low, high = np.frombuffer(raw, np.uint8, 2 * used).reshape(2, used).astype(np.int64)
+    return np.cumsum(low | high << 8), np.frombuffer(raw, counts, used, 2 * used)
+
+
+def mined(shard: Shard, lang: str, held: dict[int, Buckets], lengths: range, bits: int) -> Iterator[np.ndarray]:
+    """Buckets of all phrases of ``lengths`` words in the shard, once for each occurrence."""
+    w, names = shard.words()
+    for m, _, h in followed(w, seeds(lang, names), held, lengths[-1]):
+        if m in lengths:
+            yield bucket(h, bits)
+
+
+def counted(shard: Shard, lang: str, held: dict[int, Buckets], most: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, phrases, counts) of all phrases that the buckets let through, by
+    length; first the number of words, as length 0."""
+    w, names = shard.words()
+    base = seeds(lang, names)
+    yield 0, pa.array([b""], pa.binary()), np.array([np.count_nonzero(w)])
+    ids = w.copy()  # number of the phrase that starts here
+    for m, at, _ in followed(w, base, held, most):
+        key = ids[at].astype(np.int64)
+        if m > 1:
+            key *= len(base)
+            key += w[at + m - 1]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+        del key
+        at = at[order]
+        del order
+        ids[at] = np.cumsum(new, dtype=np.int32) - 1
+        first = np.flatnonzero(new)
+        n, at = np.diff(first, append=len(at)), at[first]
+        for a in range(0, len(at), 20_000):
+            words = [names.take(pa.array(w[at[a:a + 20_000] + i])) for i in range(m)]
+            yield m, pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())), n[a:a + 20_000]
 
 
 def shards(batches, limit: int) -> Iterator[dict[str, Shard]]:
     """The texts of a task by language, ``limit`` bytes of text at a time. A
-    small rest joins the shard before it, since a small shard has a low bound."""
+    small rest joins the shard before it, since every shard sends its own counts."""
     whole, held, size = None, {}, 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -199,28 +223,23 @@ def shards(batches, limit: int) -> Iterator[dict[str, Shard]]:
             yield some
 
 
-def union_filter(mined: DataFrame) -> Bloom:
-    """Filter of the distinct hashes ``h``, sixteen bits for each up to 2^MAX_BITS bits."""
-    spark = mined.sparkSession
-    n = mined.agg(F.approx_count_distinct("h")).first()[0]
-    bits, probes = min(MAX_BITS, max(10, int(16 * n).bit_length())), 3
+def union_filter(sent: DataFrame, bits: int, support: int, counts: np.dtype) -> Buckets:
+    """The buckets that reach ``support`` over all rows of ``packed``."""
+    size = min(bits, BLOCK_BITS)
 
-    def marked(batches):
-        cells = np.zeros(1 << bits - 6, np.uint64)
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(probes):
-                p = probe(h, i, bits)
-                np.bitwise_or.at(cells, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
-        at = np.flatnonzero(cells)
-        for a in range(0, len(at), 100_000):
-            part = at[a:a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part].view(np.int64))], ["cell", "mask"])
+    def add(rows: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << size, np.int64)
+        for used, data in zip(rows.column("used").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            place, n = unpacked(used, data, counts)
+            sums[place] += n
+        cells = np.packbits(sums >= support, bitorder="little").tobytes()
+        return pa.table([rows.column("block")[:1].cast(pa.int32()), pa.array([cells], pa.binary())], names=["block", "cells"])
 
-    cells = np.zeros(1 << bits - 6, np.int64)
-    found = mined.select("h").mapInArrow(marked, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask")).toArrow()
-    cells[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return Bloom(spark.sparkContext.broadcast(cells), bits, probes)
+    cells = np.zeros((1 << bits - size, 1 << size - 3), np.uint8)
+    for block in sent.groupBy("block").applyInArrow(add, "block int, cells binary").toArrow().to_batches():
+        for i, part in zip(block.column(0).to_pylist(), block.column(1), strict=True):
+            cells[i] = np.frombuffer(part.as_buffer(), np.uint8)
+    return Buckets(sent.sparkSession.sparkContext.broadcast(cells.reshape(-1)), bits)
 
 
 def phrase_counts(docs: DataFrame, support: int = 100, most: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -235,35 +254,45 @@ def phrase_counts(docs: DataFrame, support: int = 100, most: int = 5, shard_byte
                    "shares")
     total = shares.agg(F.sum("bytes")).first()[0] or 0
     largest = {r["lang"]: r["bytes"] for r in shares.orderBy(F.desc("bytes"), "lang").limit(MAX_LANGS).collect()}
-    # a language beyond the list is no larger than the last on it: the bound stays low enough
+    # a language beyond the list is no larger than the last on it
     rest = min(largest.values(), default=1)
     limit = max(1, min(shard_bytes, -(-total // SHARDS)))
     # tasks of about a shard, so that many small files are not many small shards
     rows = rows.coalesce(max(1, -(-total // limit)))
+    least = max(1, int(support))
+    # some ten buckets for each phrase that could be frequent
+    bits, counts = min(MAX_BITS, max(10, int(2 * total // least).bit_length())), np.min_scalar_type(least)
 
-    def mine(batches):
+    def mine(batches, held, lengths):
         for some in shards(batches, limit):
+            found = [np.zeros(0, np.uint32)]
             while some:
                 lang, shard = some.popitem()
-                least = max(1, -(-support * shard.bytes // largest.get(lang, rest)))
-                for h in frequent(shard, lang, least, most):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-
-    bloom = union_filter(stage(rows.mapInArrow(mine, "h long"), "mined"))
+                if largest.get(lang, rest) >= 2 * least:  # a word and its end are two bytes
+                    found += mined(shard, lang, held, lengths, bits)
+            lang = shard = None
+            found = np.concatenate(found)
+            yield from packed(found, least, counts)
+
+    held: dict[int, Buckets] = {}
+    for lengths in (range(1, min(most, 2) + 1), range(3, most + 1)):
+        if lengths:
+            found = rows.mapInArrow(lambda b, held=dict(held), lengths=lengths: mine(b, held, lengths),
+                                    "block int, used int, data binary")
+            held |= dict.fromkeys(lengths, union_filter(found, bits, least, counts))
 
     def count(batches):
         for some in shards(batches, limit):
             while some:
                 lang, shard = some.popitem()
-                for m, phrases, n in counted(shard, lang, bloom, most):
+                for m, phrases, n in counted(shard, lang, held, most):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), m, np.int32)),
-                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
-                        names=["lang", "m", "phrase", "n"])
+                         phrases.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "m", "phrase", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, m int, phrase string, n long") \
+    sums = rows.mapInArrow(count, "lang string, m int, phrase string, n long") \
         .groupBy("lang", "m", "phrase").agg(F.sum("n").alias("f"))
-    return stage(counts.where(f"m = 0 OR f >= {int(support)}"), "phrases")
+    return stage(sums.where(f"m = 0 OR f >= {int(support)}"), "phrases")
 
 
 def scored(counts: DataFrame) -> DataFrame:
